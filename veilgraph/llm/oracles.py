@@ -2,4 +2,48 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+URL_FILTER = r"""
+WITH rest AS (
+    SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages
+), parts AS (
+    SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+), rules(verdict, h, p) AS (
+    VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), hits AS (
+    SELECT page_id, h || p AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h) DESC, length(p) DESC) AS place
+    FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT parts.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parts LEFT JOIN hits ON hits.page_id = parts.page_id AND place = 1
+"""
+
+MIXING = r"""
+WITH sized AS (
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+        coalesce('s' || source, 'n') AS src, substr(md5('0|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS h FROM documents
+), sources AS (
+    SELECT src, CAST(sum(size) AS BIGINT) AS total, [1.0, 2.0, 3.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS weight
+    FROM sized GROUP BY src, source
+), ratios AS (
+    SELECT *, total * 3.0::DOUBLE AS most, total * 3.0::DOUBLE / weight AS ratio FROM sources
+), shares AS (
+    SELECT *, (sum(total) OVER () - coalesce(sum(most) OVER (ORDER BY ratio, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / sum(weight) OVER (ORDER BY ratio, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM ratios
+), one AS (SELECT arg_min(share, ratio) AS share FROM shares WHERE share <= ratio),
+targets AS (SELECT src, total AS source_size, least(most, one.share * weight) AS target FROM shares, one),
+placed AS (
+    SELECT s.*, source_size, target, sum(size) OVER (PARTITION BY s.src ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+    FROM sized s JOIN targets USING (src)
+), items AS (
+    SELECT *, CAST(turn * source_size + upto AS DOUBLE) / target AS time FROM placed, (SELECT unnest([0, 1, 2]) AS turn) WHERE size > 0 AND target > 0
+), queue AS (
+    SELECT *, sum(size) OVER (ORDER BY time, src, h, doc_id, size, turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sent FROM items
+), served AS (
+    SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM queue WHERE sent <= (SELECT sum(target) FROM targets) * (1 + 1e-12) GROUP BY doc_id
+)
+SELECT placed.doc_id, size, source_size, coalesce(target, 0) AS target, coalesce(taken, 0) AS taken
+FROM placed LEFT JOIN served ON served.doc_id = placed.doc_id
+"""
+
+ORACLES = {"op2_url_filter": URL_FILTER, "op9_mixing": MIXING}

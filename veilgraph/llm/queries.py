@@ -14,4 +14,19 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, window=35, key="doc_id").select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup,)}
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import Rule, judge
+
+    rules = [Rule("allow", "org", "/"), Rule("block", "example.org", "/es/"), Rule("block", "example.org", "/en/1"), Rule("allow", "com", "/fr/"), Rule("block", "com", "/de/")]
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs, weights=(1, 2, 3), repeats=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op9_mixing)}
