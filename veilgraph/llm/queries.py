@@ -22,6 +22,16 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+    from .sampling import fold
+
+    docs = table(spark, sf_dir, "documents")
+    model = langid.learn(langid.training_rows(docs, folds=4, held_out=2))
+    rows = docs.select("doc_id", "text", (fold("doc_id", 4) == 2).alias("held_out"))
+    return langid.identify(rows, model, keep_text=False).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -29,4 +39,4 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, weights=(1, 2, 3), repeats=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op7_language_id, op9_mixing)}
