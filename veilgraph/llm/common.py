@@ -5,8 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,3 +71,22 @@ def slices(rows: list, weigh, limit: int) -> list[list]:
         out[-1].append(row)
         room -= w
     return out
+
+
+def pack(df: DataFrame, text: str) -> DataFrame:
+    """df with `text` as zstd-compressed bytes, for shuffles: their own codec halves no text."""
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text else f.dataType, f.nullable) for f in df.schema])
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            small = pa.array([None if x is None else squeeze(x.encode()) for x in batch.column(text).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([small if c == text else batch.column(c) for c in schema.fieldNames()], schema.fieldNames())
+
+    return df.mapInArrow(run, schema)
+
+
+def unpacked(column: pa.ChunkedArray) -> pa.Array:
+    """The texts of a packed column."""
+    restore = zstandard.ZstdDecompressor().decompress
+    return pa.array([None if x is None else restore(x) for x in column.to_pylist()], pa.large_binary()).cast(pa.large_string())

@@ -22,6 +22,14 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fractions import Fraction
+
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), Fraction(85, 100))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
     from .sampling import fold
@@ -39,4 +47,4 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, weights=(1, 2, 3), repeats=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op7_language_id, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_minhash_near_dedup, op7_language_id, op9_mixing)}
