@@ -30,6 +30,12 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Fraction(85, 100))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
     from .sampling import fold
@@ -47,4 +53,4 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, weights=(1, 2, 3), repeats=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_minhash_near_dedup, op7_language_id, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_minhash_near_dedup, op5_decontamination, op7_language_id, op9_mixing)}
