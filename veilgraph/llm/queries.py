@@ -36,6 +36,16 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+    from .sampling import fold
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grammar = toxicity.learn(docs, labels.filter(fold("doc_id", 5) != 0))
+    rows = docs.select("doc_id", "text", (fold("doc_id", 5) == 0).alias("held_out"))
+    return toxicity.score(rows, grammar, keep_text=False).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
     from .sampling import fold
@@ -53,4 +63,4 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, weights=(1, 2, 3), repeats=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_minhash_near_dedup, op5_decontamination, op7_language_id, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_minhash_near_dedup, op5_decontamination, op6_toxicity, op7_language_id, op9_mixing)}
