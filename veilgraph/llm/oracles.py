@@ -46,4 +46,16 @@ SELECT placed.doc_id, size, source_size, coalesce(target, 0) AS target, coalesce
 FROM placed LEFT JOIN served ON served.doc_id = placed.doc_id
 """
 
-ORACLES = {"op2_url_filter": URL_FILTER, "op9_mixing": MIXING}
+TOP_K = r"""
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM scores QUALIFY rank <= 5
+"""
+
+ORACLES = {"op2_url_filter": URL_FILTER, "op9_mixing": MIXING, "op10_exact_top_k": TOP_K}

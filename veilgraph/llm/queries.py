@@ -30,6 +30,13 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Fraction(85, 100))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tokens import count_tokens, vocabulary_from_file
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_tokens(docs, vocabulary_from_file(), keep_text=False).select("doc_id", "n_tokens")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated
 
@@ -63,4 +70,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, weights=(1, 2, 3), repeats=3).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_minhash_near_dedup, op5_decontamination, op6_toxicity, op7_language_id, op9_mixing)}
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_minhash_near_dedup, op4_token_counts, op5_decontamination, op6_toxicity, op7_language_id, op9_mixing, op10_exact_top_k)}

@@ -258,7 +258,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
         # n times the divergence of the share from the base rate bounds the log of the chance
         sure = F.col("n") * (share * F.log(share / base) + rest) > float(np.log(tried) + 4)
-        best = counted.filter((F.col("bad") > 0) & (share > 0.97) & sure).orderBy(F.desc("bad"), "length", "h").limit(LEXICON)
+        best = counted.filter(((F.col("bad") + 1) / (F.col("n") + 1) > 0.95) & sure).orderBy(F.desc("bad"), "length", "h").limit(LEXICON)
         for r in best.collect():
             lengths.setdefault(r["length"], []).append(r["h"])
     found = sorted(lengths)
