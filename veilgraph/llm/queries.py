@@ -63,6 +63,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, model, keep_text=False).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -76,4 +82,4 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_minhash_near_dedup, op4_token_counts, op5_decontamination, op6_toxicity, op7_language_id, op9_mixing, op10_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_minhash_near_dedup, op4_token_counts, op5_decontamination, op6_toxicity, op7_language_id, op8_license_scan, op9_mixing, op10_exact_top_k)}
