@@ -8,7 +8,7 @@ any two places i and j some shift s below the period makes both i + s and j + s
 cover places; with anchors of `window - period + 1` words both anchors lie
 within the two windows and are equal if these are.  So a window that is repeated
 holds an anchor that is repeated, and the second round extends just the
-repeated anchors: it hashes (128 bits) the windows that hold one and keeps those
+repeated anchors: it hashes (96 bits) the windows that hold one and keeps those
 that occur twice.  The third round cuts the covered words.
 
 Rounds exchange (hash, block) rows, distinct in each block of documents, so a
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import fresh, with_block
+from .common import fresh, pack, unpacked, with_block
 
 #: Perfect difference sets: every remainder by the period is a difference of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
@@ -42,7 +42,7 @@ def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
     return period, COVERS.get(period, (0,))
 
 
-def _repeated_in_order(batches: Iterator[pa.RecordBatch], keys: list[str], block: str) -> Iterator[pa.RecordBatch]:
+def _repeated_in_order(batches: Iterator[pa.RecordBatch], keys: list[str], back: list[str]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by `keys`, those whose keys occur at least twice; `n` counts how often a row occurs.
 
     Holds one batch and one row: whether a row repeats shows in its neighbours.
@@ -52,11 +52,10 @@ def _repeated_in_order(batches: Iterator[pa.RecordBatch], keys: list[str], block
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in [*keys, block, "n"]}
+        cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in dict.fromkeys([*keys, *back, "n"])}
         if held is not None:
-            cols = {c: np.concatenate([[held[c]], v]).astype(v.dtype) for c, v in cols.items()}
-        size = len(cols["n"])
-        same = np.ones(size - 1, bool)
+            cols = {c: np.concatenate([np.array([held[c]], v.dtype), v]) for c, v in cols.items()}
+        same = np.ones(len(cols["n"]) - 1, bool)
         for k in keys:
             same &= cols[k][1:] == cols[k][:-1]
         twin = cols["n"] > 1
@@ -66,30 +65,30 @@ def _repeated_in_order(batches: Iterator[pa.RecordBatch], keys: list[str], block
             twin[0] |= held_twin
         held, held_twin = {c: v[-1] for c, v in cols.items()}, bool(twin[-1])
         at = np.flatnonzero(twin[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(cols[c][at]) for c in [*keys, block]], [*keys, block])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[c][at]) for c in back], back)
     if held is not None and held_twin:
-        yield pa.RecordBatch.from_arrays([pa.array([held[c]]) for c in [*keys, block]], [*keys, block])
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([held[c]])) for c in back], back)
 
 
-def repeated_rows(rows: DataFrame, keys: list[str], block: str) -> DataFrame:
-    """Rows (keys, block, n) whose keys occur twice or more, by one shuffle and a sort that can spill."""
-    schema = T.StructType([rows.schema[c] for c in [*keys, block]])
+def repeated_rows(rows: DataFrame, keys: list[str], back: list[str]) -> DataFrame:
+    """The columns `back` of rows whose keys occur twice or more, by one shuffle and a sort that can spill."""
+    schema = T.StructType([rows.schema[c] for c in back])
     dealt = rows.repartition(F.col(keys[0])).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(lambda it: _repeated_in_order(it, keys, block), schema)
+    return dealt.mapInArrow(lambda it: _repeated_in_order(it, keys, back), schema)
 
 
-def _anchors(table: pa.Table, text: str, window: int) -> np.ndarray:
+def _anchors(texts: pa.Array, window: int) -> np.ndarray:
     """Hashes of all anchors of a block that can lie in a window."""
-    found = [h for _, _, h in _anchor_places(table, text, window)]
+    found = [h for _, _, h in _anchor_places(texts, window)]
     return np.concatenate(found) if found else np.zeros(0, W.U64)
 
 
-def _anchor_places(table: pa.Table, text: str, window: int) -> Iterator[tuple[tuple[int, int, W.Words, np.ndarray], np.ndarray, np.ndarray]]:
+def _anchor_places(texts: pa.Array, window: int) -> Iterator[tuple[tuple[int, int, W.Words, np.ndarray], np.ndarray, np.ndarray]]:
     period, cover = cover_for(window)
     width = window - period + 1
     mask = np.zeros(period, bool)
     mask[list(cover)] = True
-    for lo, hi, words in W.pieces(table.column(text)):
+    for lo, hi, words in W.pieces(texts):
         h = words.hashes()
         fits = W.window_fits(words, width)
         n = len(fits)
@@ -98,16 +97,18 @@ def _anchor_places(table: pa.Table, text: str, window: int) -> Iterator[tuple[tu
         yield (lo, hi, words, h), at, W.window_hashes(h, width)[at]
 
 
-def _distinct(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows and how often each occurs, 2 standing for more."""
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct row first stands, in order, and how often it occurs, 2 standing for more."""
     if not len(columns[0]):
-        return list(columns), np.zeros(0, np.int64)
-    order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0])
-    cols = [c[order] for c in columns]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort(columns[::-1]) if len(columns) > 1 else np.argsort(columns[0], kind="stable")
     new = np.ones(len(order), bool)
-    new[1:] = np.any([c[1:] != c[:-1] for c in cols], axis=0)
-    at = np.flatnonzero(new)
-    return [c[at] for c in cols], np.minimum(np.diff(np.append(at, len(order))), 2)
+    new[1:] = np.any([c[order[1:]] != c[order[:-1]] for c in columns], axis=0)
+    begins = np.flatnonzero(new)
+    count = np.minimum(np.diff(np.append(begins, len(order))), 2)
+    first = order[begins]
+    back = np.argsort(first)
+    return first[back], count[back]
 
 
 def _in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -118,19 +119,25 @@ def _in_sorted(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
-def _candidate_windows(table: pa.Table, text: str, window: int, hits: np.ndarray) -> list[np.ndarray]:
-    """Both hashes of every window that holds a repeated anchor."""
+def _both(h: np.ndarray, window: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 further bits of hash of the windows at some places."""
+    return W.window_hashes(h, window)[at], (W.window_hashes(h, window, W.WORD_BASE_2)[at] >> W.U64(32)).astype(np.uint32)
+
+
+def _candidate_windows(texts: pa.Array, window: int, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and place in the block of every window that holds a repeated anchor."""
     period, _ = cover_for(window)
-    hits, out = np.sort(hits), [np.zeros((2, 0), W.U64)]
-    for (_, _, words, h), at, anchors in _anchor_places(table, text, window):
+    hits, base, out = np.sort(hits), 0, [(np.zeros(0, W.U64), np.zeros(0, np.uint32), np.zeros(0, np.int64))]
+    for (_, _, words, h), at, anchors in _anchor_places(texts, window):
         good = at[_in_sorted(anchors, hits)]
         fits = W.window_fits(words, window)
         if len(good) and len(fits):
             # a window that starts up to period - 1 words before the anchor holds it
             near = W.covered(np.maximum(good - (period - 1), 0), period, len(fits) + period)[: len(fits)]
             starts = np.flatnonzero(near & fits)
-            out.append(np.stack([W.window_hashes(h, window, b)[starts] for b in (W.WORD_BASE, W.WORD_BASE_2)]))
-    return list(np.concatenate(out, axis=1))
+            out.append((*_both(h, window, starts), starts + base))
+        base += len(words.starts)
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _cut(words: W.Words, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,30 +157,37 @@ def _cut(words: W.Words, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return data[keep], sums[words.offsets]
 
 
-def _cut_block(table: pa.Table, text: str, window: int, bad: list[np.ndarray]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Kept text, word count and removed words of each document of a block."""
-    order = np.argsort(bad[0], kind="stable")
-    known, second = bad[0][order], bad[1][order]
-    texts, n_words, n_gone = [], [], []
-    for _, _, words in W.pieces(table.column(text)):
+def _cut_block(texts: pa.Array, window: int, bad: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Kept text, word count and removed words of each document of a block; `bad` has a place of each repeated window."""
+    pieces, base = list(W.pieces(texts)), 0
+    known = [(np.zeros(0, W.U64), np.zeros(0, np.uint32))]
+    hashes = [words.hashes() if len(bad) else None for _, _, words in pieces]
+    for (_, _, words), h in zip(pieces, hashes):
+        own = bad[(bad >= base) & (bad < base + len(words.starts))] - base
+        if len(own):
+            known.append(_both(h, window, own))
+        base += len(words.starts)
+    first, second = (np.concatenate(x) for x in zip(*known))
+    order = np.lexsort((second, first))
+    first, second = first[order], second[order]
+    out, n_words, n_gone = [], [], []
+    for (_, _, words), h in zip(pieces, hashes):
         fits = W.window_fits(words, window)
         gone = np.zeros(len(words.starts), bool)
-        if len(fits) and len(known):
-            h = words.hashes()
-            first = W.window_hashes(h, window)
-            at = np.flatnonzero(fits & _in_sorted(first, known))
+        if len(fits) and len(first):
+            at = np.flatnonzero(fits & _in_sorted(W.window_hashes(h, window), first))
             if len(at):
-                other = W.window_hashes(h, window, W.WORD_BASE_2)[at]
-                lo, hi = np.searchsorted(known, first[at]), np.searchsorted(known, first[at], side="right")
+                one, other = _both(h, window, at)
+                lo, hi = np.searchsorted(first, one), np.searchsorted(first, one, side="right")
                 same = second[lo] == other
                 for k in np.flatnonzero(~same & (hi - lo > 1)):  # two windows share their first hash
                     same[k] = other[k] in second[lo[k] : hi[k]]
                 gone = W.covered(at[same], window, len(gone))
-        texts.append(W.strings(*_cut(words, gone)))
+        out.append(W.strings(*_cut(words, gone)))
         n_words.append(words.counts())
         sums = np.concatenate([[0], np.cumsum(gone)])
         n_gone.append(np.diff(sums[words.first]))
-    return pa.concat_arrays(texts), np.concatenate(n_words), np.concatenate(n_gone)
+    return pa.concat_arrays(out), np.concatenate(n_words), np.concatenate(n_gone)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", rows_per_block: int = ROWS_PER_BLOCK, key: str | None = None) -> DataFrame:
@@ -190,37 +204,39 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", rows_p
     named as the three new ones are replaced. `key`: a column that helps to
     deal rows out evenly; any values do, null too.
     """
-    block, n = fresh(docs.columns, "block", "n")[0], "n"
+    (block,) = fresh(docs.columns, "block")
     dealt = with_block(docs, block, [F.col(c) for c in dict.fromkeys([key or text, text])], rows_per_block)
     new = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType()}
-    dealt = dealt.drop(*[c for c in dealt.columns if c.lower() in new])
-    only = dealt.select(*dealt.columns)
+    dealt = pack(dealt.drop(*[c for c in dealt.columns if c.lower() in new]), text)
+    fields = [T.StructField(f.name, T.StringType() if f.name == text else f.dataType, True) for f in dealt.schema if f.name != block]
+    out_schema = T.StructType(fields + [T.StructField(k, v) for k, v in new.items()])
+    names = out_schema.fieldNames()
 
     def anchors(key, group):
-        (h,), n = _distinct(_anchors(group, text, window))
-        return pa.table({"h": h.view(np.int64), "block": np.full(len(h), key[0].as_py()), "n": n})
+        h = _anchors(unpacked(group.column(text)), window)
+        at, n = _distinct(h)
+        return pa.table({"h": h[at].view(np.int64), "block": np.full(len(at), key[0].as_py()), "n": n})
 
     def windows(key, group, hits):
-        h, n = _distinct(*_candidate_windows(group, text, window, hits.column("h").to_numpy().view(W.U64)))
-        return pa.table({"h": h[0].view(np.int64), "g": h[1].view(np.int64), "block": np.full(len(n), key[0].as_py()), "n": n})
-
-    out_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in dealt.schema if f.name != block] + [T.StructField(k, v) for k, v in new.items()])
-    names = [f.name for f in out_schema]
+        h, g, place = _candidate_windows(unpacked(group.column(text)), window, hits.column("h").to_numpy().view(W.U64))
+        at, n = _distinct(h, g)
+        return pa.table({"h": h[at].view(np.int64), "g": g[at].view(np.int32), "block": np.full(len(at), key[0].as_py()), "place": place[at], "n": n})
 
     def cut(key, group, bad):
-        if not group.num_rows:
-            group = group.slice(0, 0)
-            return pa.table([pa.array([], group.schema.field(c).type) if c in group.column_names else pa.array([], pa.string() if c == "kept_sha256" else pa.int64()) for c in names], names)
-        kept, n_words, n_removed = _cut_block(group, text, window, [bad.column(c).to_numpy().view(W.U64) for c in ("h", "g")])
+        texts = unpacked(group.column(text))
+        if group.num_rows:
+            kept, n_words, n_removed = _cut_block(texts, window, bad.column("place").to_numpy())
+        else:
+            kept, n_words, n_removed = pa.array([], pa.string()), [], []
         data, offsets = W.text_bytes(kept)
         raw = memoryview(data.tobytes())
         sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        made = {text: kept.cast(group.schema.field(text).type), "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
-        return pa.table([made.get(c, group.column(c) if c in group.column_names else None) for c in names], names)
-
-    group = lambda df: df.groupBy(block)
-    found = group(only).applyInArrow(anchors, "h long, block long, n long")
-    hits = repeated_rows(found, ["h"], "block")
-    found = group(only).cogroup(hits.groupBy("block")).applyInArrow(windows, "h long, g long, block long, n long")
-    bad = repeated_rows(found, ["h", "g"], "block")
-    return group(only).cogroup(bad.groupBy("block")).applyInArrow(cut, out_schema)
+        made = {text: kept, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+        return pa.table([made[c] if c in made else group.column(c) for c in names], names)
+
+    group = lambda: dealt.select(*dealt.columns).groupBy(block)
+    found = group().applyInArrow(anchors, "h long, block long, n long")
+    hits = repeated_rows(found, ["h"], ["h", "block"])
+    found = group().cogroup(hits.groupBy("block")).applyInArrow(windows, "h long, g int, block long, place long, n long")
+    bad = repeated_rows(found, ["h", "g"], ["block", "place"])
+    return group().cogroup(bad.groupBy("block")).applyInArrow(cut, out_schema)
