@@ -90,3 +90,18 @@ def unpacked(column: pa.ChunkedArray) -> pa.Array:
     """The texts of a packed column."""
     restore = zstandard.ZstdDecompressor().decompress
     return pa.array([None if x is None else restore(x) for x in column.to_pylist()], pa.large_binary()).cast(pa.large_string())
+
+
+def unpack(df: DataFrame, text: str) -> DataFrame:
+    """The reverse of `pack`."""
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text else f.dataType, f.nullable) for f in df.schema])
+
+    def run(batches):
+        for batch in batches:
+            # packed texts of a batch may be more than is good to hold at once
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                texts = unpacked(pa.chunked_array([part.column(text)])).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([texts if c == text else part.column(c) for c in schema.fieldNames()], schema.fieldNames())
+
+    return df.mapInArrow(run, schema)

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import words as W
-from .common import fresh, materialise
+from .common import fresh, materialise, pack, unpack
 
 #: Buckets of virtual time for each unit of it, and the last unit that is told apart.
 TIME_BUCKETS, TIME_END = 4096, 4
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeats: int = 3,
     src, h, b, upto, start = fresh(docs.columns, "src", "h", "b", "upto", "start")
     sized = with_sizes(docs, "size", text)
     sized = sized.withColumn(h, F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 16)).withColumn(src, F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")))
-    sized = materialise(sized if keep_text else sized.drop(text))
+    sized = materialise(pack(sized, text) if keep_text else sized.drop(text))
     rows = sized.count()
     n = max(1, int(rows**0.5))
     sized = sized.withColumn(b, F.floor(F.conv(F.substring(h, 1, 8), 16, 10).cast("double") * (n / 2**32)))
@@ -122,4 +122,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), repeats: int = 3,
             return early | ((bucket(time) == edge["slot"]) & (own <= last_place))
 
     taken = sum((F.when(takes(i), F.col("size")).otherwise(F.lit(0)) for i in range(repeats)), F.lit(0)).cast("long")
-    return placed.select(*[c for c in docs.columns if keep_text or c != text], "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), taken.alias("taken"))
+    out = placed.select(*[c for c in docs.columns if keep_text or c != text], "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), taken.alias("taken"))
+    return unpack(out, text) if keep_text else out

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import fresh, materialise, pack, unpacked
+from .common import fresh, materialise, pack, unpack, unpacked
 from .components import components
 
 COORDINATES = 48
@@ -236,3 +236,12 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(8, 10), wid
     out = rows.join(known, (F.col("d") == F.col("cd")) & (F.col("e") == F.col("ce")) & (F.col("n") > 0), "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, similarity: Fraction = Fraction(8, 10), width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stay: of each component the document with the smallest key, of rows with one key and text one; rows with a null key all stay."""
+    gone = near_duplicates(docs, similarity, width, key, text).filter(F.col(key).isNotNull() & ~F.col("kept")).select(F.col(key).cast(docs.schema[key].dataType).alias("gone")).distinct()
+    once, copy = fresh(docs.columns, "once", "copy")
+    packed = pack(docs, text).join(gone, F.col(key) == F.col("gone"), "left_anti")
+    packed = packed.withColumn(once, F.md5(text)).withColumn(copy, F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
+    return unpack(packed.dropDuplicates([key, once, copy]).drop(once, copy), text)
