@@ -15,10 +15,12 @@ agree in many coordinates: `match` of them at least, but for a chance of about
 
 Documents with equal sets are one node.  A posting list is never expanded into
 all its pairs: first each node is compared with the list's hub, the node whose
-coordinates are the commonest; links found so make components.  Only lists that still hold
-two components are compared further, in blocks of bounded size that go to
-different tasks, and only pairs across components, as a link within one
-changes nothing.
+coordinates are the commonest; links found so make components.  All that meet in
+a list are in the group of its hub.  Groups that still hold two components are
+compared further, in blocks of bounded size that go to different tasks, across
+components only, as a link within one changes nothing: first by signatures, which
+tells the nodes that may have a link, then these by their full sets.  Both
+rounds return rows per node, never pairs.
 """
 
 from __future__ import annotations
@@ -171,32 +173,94 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: Fracti
     return members.unionByName(heads).groupBy("a", "part").applyInArrow(run, "a long, b long")
 
 
-def _across(cells: DataFrame, match: int, similarity: Fraction) -> DataFrame:
-    """Pairs of nodes of different components that meet in a posting list; rows (token, node, n, sig, component)."""
-    p, q = similarity.numerator, similarity.denominator
-    open_lists = cells.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).filter("low != high")
-    blocks = F.ceil(F.col("rows") / LIST_BLOCK)
-    rows = cells.join(open_lists.select("token", blocks.alias("blocks")), "token").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
-    # block k of a list meets the blocks up to k: a row goes to each pair that its block is in
+def _met(members: DataFrame) -> DataFrame:
+    """members (hub, node, component, ..) of groups that hold two components, dealt out to meet in blocks of bounded size.
+
+    Block k of a group meets the blocks up to k; a row goes to each such pair (i, j) of blocks, with its own block.
+    """
+    groups = members.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).filter("low != high")
+    rows = members.join(groups.select("hub", F.ceil(F.col("rows") / LIST_BLOCK).alias("blocks")), "hub").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
     met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.greatest(x, F.col("own")).alias("i"), F.least(x, F.col("own")).alias("j")))
-    rows = rows.select("token", "node", "n", "sig", "component", "own", F.explode(met).alias("met")).select("token", "met.i", "met.j", "node", "n", "sig", "component", "own")
+    return rows.withColumn("met", F.explode(met)).withColumn("i", F.col("met.i")).withColumn("j", F.col("met.j")).drop("met", "blocks")
+
+
+def _may_link(n: np.ndarray, sig: np.ndarray, part: np.ndarray, left: np.ndarray, right: np.ndarray, match: int, similarity: Fraction) -> np.ndarray:
+    """For each row of `left` and `right`: are they of different components, alike in size, and agree in `match` coordinates?"""
+    p, q = similarity.numerator, similarity.denominator
+    out = np.zeros((len(left), len(right)), bool)
+    sizes, theirs, parts = n[right], np.ascontiguousarray(sig[right].T), part[right]
+    for row, k in enumerate(left):
+        other = np.flatnonzero((parts != part[k]) & (np.minimum(sizes, n[k]) * q >= np.maximum(sizes, n[k]) * p))
+        if len(other):
+            agree = np.zeros(len(other), np.int16)
+            for c in range(COORDINATES):
+                agree += theirs[c, other] == sig[k, c]
+            out[row, other[agree >= match]] = True
+    return out
+
+
+def _active(members: DataFrame, match: int, similarity: Fraction) -> DataFrame:
+    """The (hub, node) that may have a link to another component within the hub's group: rows, not pairs."""
 
     def run(key, group):
         i, j = key[1].as_py(), key[2].as_py()
         own, node, n, part = (group.column(c).to_numpy() for c in ("own", "node", "n", "component"))
-        sig = _signatures(group.column("sig"))
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in left:
-            other = right[(node[right] < node[k]) | (i != j)]
-            other = other[(part[other] != part[k]) & (np.minimum(n[other], n[k]) * q >= np.maximum(n[other], n[k]) * p)]
-            other = other[(sig[other] == sig[k]).sum(axis=1) >= match]
-            a.append(np.full(len(other), node[k]))
-            b.append(node[other])
-        a, b = np.concatenate(a), np.concatenate(b)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        may = _may_link(n, _signatures(group.column("sig")), part, left, right, match, similarity)
+        found = np.union1d(node[left[may.any(axis=1)]], node[right[may.any(axis=0)]])
+        return pa.table({"hub": np.full(len(found), key[0].as_py()), "node": found})
+
+    return _met(members).groupBy("hub", "i", "j").applyInArrow(run, "hub long, node long").distinct()
+
+
+def _common(values: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, rows: int) -> np.ndarray:
+    """Shingles in common of each row of `left` and `right`, as products of 0/1 matrices."""
+    _, code, count = np.unique(values, return_inverse=True, return_counts=True)
+    kept = np.flatnonzero(count[code] > 1)
+    _, code = np.unique(code[kept], return_inverse=True)
+    doc, out = doc[kept], np.zeros((len(left), len(right)), np.float32)
+    step = 4096
+    for a in range(0, int(code.max()) + 1 if len(code) else 0, step):
+        some = (code >= a) & (code < a + step)
+        has = np.zeros((rows, step), np.float32)
+        has[doc[some], code[some] - a] = 1
+        out += has[left] @ has[right].T
+    return out
+
+
+def _merged(members: DataFrame, width: int, match: int, similarity: Fraction) -> DataFrame:
+    """(a, b) of nodes that links, confirmed on full sets, put into one component: for each task and node the smallest node that it reaches there."""
+    p, q = similarity.numerator, similarity.denominator
 
-    return rows.groupBy("token", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    def run(key, group):
+        i, j = key[1].as_py(), key[2].as_py()
+        own, node, n, part = (group.column(c).to_numpy() for c in ("own", "node", "n", "component"))
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        link = _may_link(n, _signatures(group.column("sig")), part, left, right, match, similarity)
+        if link.any():
+            docs, values, base = [], [], 0
+            for _, _, words in W.pieces(unpacked(group.column("packed")), lower=True):
+                doc, value = shingles(words, width)
+                docs.append(doc + base)
+                values.append(value)
+                base += len(words.offsets) - 1
+            common = _common(np.concatenate(values), np.concatenate(docs), left, right, len(node)).astype(np.int64)
+            link &= q * common >= p * (n[left][:, None] + n[right][None] - common)
+        # the smallest node reached over these links
+        label = node.copy()
+        while link.any():
+            rows = np.where(link, label[right][None], np.iinfo(np.int64).max).min(axis=1)
+            columns = np.where(link, label[left][:, None], np.iinfo(np.int64).max).min(axis=0)
+            new = label.copy()
+            np.minimum.at(new, left, rows)
+            np.minimum.at(new, right, columns)
+            if (new == label).all():
+                break
+            label = new
+        at = np.flatnonzero(label != node)
+        return pa.table({"a": label[at], "b": node[at]})
+
+    return _met(members).groupBy("hub", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(8, 10), width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -218,20 +282,24 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(8, 10), wid
     classes = rows.filter("n > 0 AND key IS NOT NULL").groupBy("d", "e").agg(F.min("key").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = materialise(classes)
     posted = materialise(_postings(nodes, match))
-    texts = docs.filter(F.col(text).isNotNull()).join(posted.select(F.col("node").alias("wanted")).distinct(), F.col(key) == F.col("wanted"), "left_semi")
-    texts = materialise(pack(texts.select(F.col(key).alias("node"), F.col(text).alias("packed")), "packed").dropDuplicates(["node"]))
+    texts = pack(docs.select(F.col(key).alias("node"), F.col(text).alias("packed")).filter("packed IS NOT NULL"), "packed")
+    texts = texts.join(posted.select(F.col("node").alias("wanted")), F.col("node") == F.col("wanted"), "left_semi")
+    texts = materialise(texts.dropDuplicates(["node"]))
 
     lists = posted.select("node", "score", F.explode("prefix").alias("token"))
-    hubs = lists.groupBy("token").agg(F.max(F.struct("score", "node")).alias("hub")).select("token", F.col("hub.node").alias("a"))
-    pairs = lists.join(hubs, "token").select("a", F.col("node").alias("b")).filter("a != b").distinct()
+    hubs = lists.groupBy("token").agg(F.max(F.struct("score", "node")).alias("top"), F.count("*").alias("rows")).filter("rows > 1").select("token", F.col("top.node").alias("hub"))
+    # two nodes that meet in a list are both in the group of its hub
+    groups = materialise(lists.join(hubs, "token").select("hub", "node").distinct())
+    pairs = groups.filter("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     links = materialise(_verified(_agree(pairs, posted, match, similarity), texts, width, similarity))
-    found = components(links)
-    part = posted.join(found.withColumnRenamed("node", "in"), F.col("node") == F.col("in"), "left").withColumn("component", F.coalesce("component", "node"))
-    cells = part.select("node", "n", "sig", "component", F.explode("prefix").alias("token"))
-    more = materialise(_verified(_across(cells, match, similarity), texts, width, similarity))
-    if not more.limit(1).isEmpty():
-        found = components(links.unionByName(more))
-    known = nodes.select(F.col("d").alias("cd"), F.col("e").alias("ce"), "node").join(found.withColumnRenamed("node", "in"), F.col("node") == F.col("in"), "left")
+    found = components(links).withColumnRenamed("node", "in")
+    member = posted.select("node", "n", "sig").join(found, F.col("node") == F.col("in"), "left").select("node", "n", "sig", F.coalesce("component", "node").alias("component"))
+    member = materialise(member)
+    active = materialise(_active(groups.join(member, "node"), match, similarity))
+    merged = materialise(_merged(active.join(member, "node").join(texts, "node"), width, match, similarity))
+    if not merged.limit(1).isEmpty():
+        found = components(links.unionByName(merged)).withColumnRenamed("node", "in")
+    known = nodes.select(F.col("d").alias("cd"), F.col("e").alias("ce"), "node").join(found, F.col("node") == F.col("in"), "left")
     known = known.select("cd", "ce", F.coalesce("component", "node").alias("component_id"))
     out = rows.join(known, (F.col("d") == F.col("cd")) & (F.col("e") == F.col("ce")) & (F.col("n") > 0), "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
