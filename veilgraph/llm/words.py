@@ -23,7 +23,7 @@ BYTE_BASE, WORD_BASE, WORD_BASE_2 = (
     0xAF251AF3B0F025B5,
 )
 #: Texts are handled in pieces of about this many bytes, whole documents each.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 
 
 def _byte_table(of: bytes) -> np.ndarray:
