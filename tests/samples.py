@@ -9,8 +9,8 @@ from pathlib import Path
 UCUM = "http://unitsofmeasure.org"
 
 
-def doc(kind: str, name: str | None = None, **fields) -> dict:
-    return {"resourceType": kind, **({"id": name} if name else {}), **fields}
+def doc(kind: str, own: str | None = None, /, **fields) -> dict:
+    return {"resourceType": kind, **({"id": own} if own else {}), **fields}
 
 
 def ref(target: str) -> dict:
@@ -21,14 +21,14 @@ def quantity(value, code="mg/dL", system=UCUM) -> dict:
     return {"value": value, "system": system, "code": code, "unit": code}
 
 
-def observation(name: str, value, **fields) -> dict:
+def observation(own: str, value, /, **fields) -> dict:
     base = {"status": "final", "subject": ref("Patient/p"), "code": {"coding": [{"system": "urn:codes", "code": "c1"}]}, "valueQuantity": value}
-    return doc("Observation", name, **(base | fields))
+    return doc("Observation", own, **(base | fields))
 
 
-def person(name="p", **fields) -> dict:
+def person(own="p", /, **fields) -> dict:
     base = {"birthDate": "1980-05-06", "name": [{"family": "Muster", "given": ["Anna", "Eva"]}], "identifier": [{"system": "urn:test", "value": "123"}], "telecom": [{"system": "phone", "value": "555"}, {"system": "email", "value": "a@b"}]}
-    return doc("Patient", name, **(base | fields))
+    return doc("Patient", own, **(base | fields))
 
 
 def bundle(*entries, **fields) -> dict:
