@@ -39,6 +39,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that Spark sends to Python at once, at most, while texts are among them.
+ROWS_AT_ONCE = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df itself; its session is set to send Python at most `ROWS_AT_ONCE` rows at a time: ten thousand texts, in several copies, are too many for small executors."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= ROWS_AT_ONCE:
+        conf.set(name, str(ROWS_AT_ONCE))
+    return df
+
+
 def fresh(taken: Iterable[str], *names: str) -> list[str]:
     """The names, made unlike all in `taken` (without regard to case)."""
     used, out = {x.lower() for x in taken}, []

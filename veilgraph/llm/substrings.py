@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import fresh, pack, unpacked, with_block
+from .common import bounded_batches, fresh, pack, unpacked, with_block
 
 #: Perfect difference sets: every remainder by the period is a difference of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
@@ -204,7 +204,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", rows_p
     named as the three new ones are replaced. `key`: a column that helps to
     deal rows out evenly; any values do, null too.
     """
-    (block,) = fresh(docs.columns, "block")
+    (block,) = fresh(bounded_batches(docs).columns, "block")
     dealt = with_block(docs, block, [F.col(c) for c in dict.fromkeys([key or text, text])], rows_per_block)
     new = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType()}
     dealt = pack(dealt.drop(*[c for c in dealt.columns if c.lower() in new]), text)
@@ -212,17 +212,23 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", rows_p
     out_schema = T.StructType(fields + [T.StructField(k, v) for k, v in new.items()])
     names = out_schema.fieldNames()
 
+    def settled(group):
+        """The rows in an order that depends on their texts only: shuffles deliver a block in any order, and places count words through it."""
+        packed = group.column(text).to_pylist()
+        return group.take(pa.array(sorted(range(len(packed)), key=lambda i: packed[i] or b""), pa.int64()))
+
     def anchors(key, group):
         h = _anchors(unpacked(group.column(text)), window)
         at, n = _distinct(h)
         return pa.table({"h": h[at].view(np.int64), "block": np.full(len(at), key[0].as_py()), "n": n})
 
     def windows(key, group, hits):
-        h, g, place = _candidate_windows(unpacked(group.column(text)), window, hits.column("h").to_numpy().view(W.U64))
+        h, g, place = _candidate_windows(unpacked(settled(group).column(text)), window, hits.column("h").to_numpy().view(W.U64))
         at, n = _distinct(h, g)
         return pa.table({"h": h[at].view(np.int64), "g": g[at].view(np.int32), "block": np.full(len(at), key[0].as_py()), "place": place[at], "n": n})
 
     def cut(key, group, bad):
+        group = settled(group)
         texts = unpacked(group.column(text))
         if group.num_rows:
             kept, n_words, n_removed = _cut_block(texts, window, bad.column("place").to_numpy())

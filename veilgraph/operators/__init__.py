@@ -1,0 +1 @@
+"""Relational and per-document operators of the core engine."""

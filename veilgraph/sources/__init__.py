@@ -1,0 +1 @@
+"""Reading exports and writing them back in their layout."""

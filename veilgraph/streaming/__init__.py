@@ -1,0 +1 @@
+"""No operator here works on streams: references may point forward, so an export is resolved as a whole."""
