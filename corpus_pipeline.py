@@ -18,9 +18,7 @@ ORACLE_SQL = None
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those that are rejected go."""
-    model = langid.learn(langid.training_rows(docs))
-    judged = langid.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, keep_text=False)
-    return judged.filter(~F.col("rejected")).select("row.*")
+    return langid.accepted(docs, langid.learn(langid.training_rows(docs)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .common import bounded_batches
 
 BITS, BLOCKS, RADIUS = 64, 8, 24
 #: Characters of benchmark sent to the tasks at once.
@@ -149,7 +150,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: Fraction = F
     """
     indexes = _indexes(benchmark, width, item_key, item_text)
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("item_id", benchmark.schema[item_key].dataType), T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType())])
-    found = [_scan(docs.select(key, text), index, similarity, schema) for index in indexes]
+    found = [_scan(bounded_batches(docs).select(key, text), index, similarity, schema) for index in indexes]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -165,7 +166,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: Fraction = Fraction
                     good[[lo + d for d, *_ in _hits(words, shared.value, similarity)]] = False
                 yield batch.filter(pa.array(good))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = bounded_batches(docs).mapInArrow(keep, docs.schema)
     return docs
 
 

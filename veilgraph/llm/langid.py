@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import fresh
+from .common import bounded_batches
 from .sampling import bounded_sample, fold
 
 ORDER = 4
@@ -212,7 +212,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     The sample is bounded, so are the models; a language without letters in its
     texts gets none. Null languages and texts are left out.
     """
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    rows = bounded_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
     picked = bounded_sample(rows, "lang", sample, "key")
 
     def fit(key, group):
@@ -256,7 +256,7 @@ def identify(docs: DataFrame, model: Identifier, text: str = "text", slack: floa
     lang_pred is the language of the lowest cross-entropy per character, ties to
     the first by name; score its share in 0 to 1. rejected is set if there is no
     letter, or if the cross-entropy exceeds the language's own by `slack` and by
-    `tolerance` deviations of a text of this length.
+    `tolerance` deviations of a text of this length (of one nat a character at least).
 
     Null and empty texts and texts without a letter get `und`, score 0, and are
     rejected; with no model at all every text does. Repeated rows are judged alike;
@@ -269,31 +269,48 @@ def identify(docs: DataFrame, model: Identifier, text: str = "text", slack: floa
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, cache = shared.value, {}
-        names = np.array([*model.languages, "und"], object)
-        for batch in batches:
-            data, offsets = W.text_bytes(batch.column(text))
-            lo, found = 0, []
-            while lo < len(offsets) - 1:
-                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + W.PIECE_BYTES // 2, side="right")) - 1)
-                chars = characters(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                n = (np.diff(chars.first) - (ORDER - 1)).astype(float)
-                if model.models:
-                    h = model.entropies(chars, cache)
-                    best = np.argmin(h, axis=1)
-                    low = h[np.arange(len(h)), best]
-                    # the share of the likeliest language, were the text of up to 40 characters
-                    score = 1 / np.exp((low[:, None] - h) * np.minimum(n, 40)[:, None]).sum(axis=1)
-                    far = low > model.mean[best] + slack + tolerance * model.spread[best] / np.sqrt(np.minimum(n, 1000))
-                else:
-                    best, score, far = np.zeros(hi - lo, int), np.zeros(hi - lo), np.ones(hi - lo, bool)
-                no = (chars.letters == 0) | (not model.models)
-                found.append((np.where(no, len(model.languages), best), np.where(no, 0.0, score), far | no))
-                lo = hi
-            best, score, far = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0), np.zeros(0, bool))
+        names = np.array([*shared.value.languages, "und"], object)
+        for batch, best, score, far in _judged(batches, shared.value, text, slack, tolerance):
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(far)], schema.fieldNames())
 
-    return docs.mapInArrow(judge, schema)
+    return bounded_batches(docs).mapInArrow(judge, schema)
+
+
+def accepted(docs: DataFrame, model: Identifier, text: str = "text", slack: float = 1.0, tolerance: float = 8.0) -> DataFrame:
+    """The rows of docs, with all their columns, that `identify` doesn't reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches):
+        for batch, _, _, far in _judged(batches, shared.value, text, slack, tolerance):
+            yield batch.filter(pa.array(~far))
+
+    return bounded_batches(docs).mapInArrow(keep, docs.schema)
+
+
+def _judged(batches: Iterator[pa.RecordBatch], model: Identifier, text: str, slack: float, tolerance: float) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each batch with the number of the language (one past the last: none), the score, and whether it is rejected."""
+    cache: dict = {}
+    for batch in batches:
+        data, offsets = W.text_bytes(batch.column(text))
+        lo, found = 0, []
+        while lo < len(offsets) - 1:
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + W.PIECE_BYTES // 2, side="right")) - 1)
+            chars = characters(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            n = (np.diff(chars.first) - (ORDER - 1)).astype(float)
+            if model.models:
+                h = model.entropies(chars, cache)
+                best = np.argmin(h, axis=1)
+                low = h[np.arange(len(h)), best]
+                # the share of the likeliest language, were the text of up to 40 characters
+                score = 1 / np.exp((low[:, None] - h) * np.minimum(n, 40)[:, None]).sum(axis=1)
+                far = low > model.mean[best] + slack + tolerance * np.maximum(model.spread[best], 1.0) / np.sqrt(np.minimum(n, 1000))
+            else:
+                best, score, far = np.zeros(hi - lo, int), np.zeros(hi - lo), np.ones(hi - lo, bool)
+            no = (chars.letters == 0) | (not model.models)
+            found.append((np.where(no, len(model.languages), best), np.where(no, 0.0, score), far | no))
+            lo = hi
+        best, score, far = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, int), np.zeros(0), np.zeros(0, bool))
+        yield batch, best, score, far
 
 
 def training_rows(docs: DataFrame, folds: int = 4, held_out: int = 2, key: str = "doc_id") -> DataFrame:

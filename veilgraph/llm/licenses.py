@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import words as W
-from .common import materialise
+from .common import bounded_batches, materialise
 
 #: Words of all templates, at most.
 TEMPLATE_WORDS = 200_000
@@ -101,7 +101,7 @@ def hits(docs: DataFrame, templates: Sequence[Template], key: str, text: str) ->
                 pairs = pa.StructArray.from_arrays([pa.array(gram[order]), pa.array(at[order])], ["gram", "at"])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(words.counts(), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pairs)], schema.fieldNames())
 
-    return docs.select(key, text).mapInArrow(grams, schema).withColumn("row", F.monotonically_increasing_id())
+    return bounded_batches(docs).select(key, text).mapInArrow(grams, schema).withColumn("row", F.monotonically_increasing_id())
 
 
 def spans(found: DataFrame, templates: Sequence[Template]) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import words as W
-from .common import fresh, materialise, pack, unpack
+from .common import bounded_batches, fresh, materialise, pack, unpack
 
 #: Buckets of virtual time for each unit of it, and the last unit that is told apart.
 TIME_BUCKETS, TIME_END = 4096, 4
@@ -37,7 +37,7 @@ def with_sizes(docs: DataFrame, size: str, text: str = "text") -> DataFrame:
             n = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, n], schema.fieldNames())
 
-    return docs.mapInArrow(count, schema)
+    return bounded_batches(docs).mapInArrow(count, schema)
 
 
 def _targets(sizes: DataFrame, key: str, source: str, weights: Sequence[float], cap: float) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import fresh, materialise, pack, unpack, unpacked
+from .common import bounded_batches, fresh, materialise, pack, unpack, unpacked
 from .components import components
 
 COORDINATES = 48
@@ -219,7 +219,7 @@ def _common(values: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.nda
     kept = np.flatnonzero(count[code] > 1)
     _, code = np.unique(code[kept], return_inverse=True)
     doc, out = doc[kept], np.zeros((len(left), len(right)), np.float32)
-    step = 4096
+    step = 2048
     for a in range(0, int(code.max()) + 1 if len(code) else 0, step):
         some = (code >= a) & (code < a + step)
         has = np.zeros((rows, step), np.float32)
@@ -278,6 +278,7 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(8, 10), wid
     if docs.schema[key].dataType != T.LongType():
         docs = docs.withColumn(key, F.col(key).cast("long"))
     match = match_for(similarity)
+    bounded_batches(docs)
     rows = materialise(sketches(docs, key, text, width))
     classes = rows.filter("n > 0 AND key IS NOT NULL").groupBy("d", "e").agg(F.min("key").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     nodes = materialise(classes)

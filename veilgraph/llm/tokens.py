@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 SPACE = "▁"
 #: Below the lowest score, for an unknown character.
 UNKNOWN_PENALTY = 10.0
@@ -125,7 +127,7 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ke
             n = pa.array((counter.count(column[i].as_py()) for i in range(len(column))), pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], n], schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
 
 
 def vocabulary(pieces: Sequence[tuple[str, float]], byte_fallback: bool = False, prefix: bool = True) -> Vocabulary:
