@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
+from .common import bounded_batches, materialise
 from .neardup import shingles
 from .sampling import bounded_sample
 
@@ -220,15 +221,14 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *[pa.array(x.view(np.int64)) for x in low]], ["text", "toxic", "a", "b", "c"])
 
     marked = found.select("text", "toxic").mapInArrow(mark, "text string, toxic boolean, a long, b long, c long")
-    for name in "abc":
-        marked = marked.dropDuplicates([name])
+    for name in "abc":  # the smallest text of each, so that reruns agree
+        marked = marked.groupBy(name).agg(F.min(F.struct("text", "toxic", *[c for c in "abc" if c != name])).alias("one")).select("one.*", name)
     return marked.select("text", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Grammar:
     """Lexicon and weights from a bounded sample of labelled documents, whole texts. Without labels the given words and priors stay."""
-    from .common import materialise
-
+    bounded_batches(docs)
     sample = materialise(_sample(docs, labels, key, text, label))
     totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, other = totals.get(True, 0), totals.get(False, 0)
@@ -313,4 +313,4 @@ def score(docs: DataFrame, grammar: Grammar, text: str = "text", keep_text: bool
             made = [pa.array(values), pa.array((values >= 0.5).astype(np.int32)), pa.array(names, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
