@@ -367,12 +367,20 @@ def _lines(spark, sf_dir) -> DataFrame:
     """Lines with both measures before and after scaling, in hundredths."""
     l = read(spark, sf_dir, "lineitem")
     root = _new_id(F.concat(F.lit("LineItem/"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_extendedprice").cast("decimal(18,2)") * 100).cast("long"))))
-    l = l.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", root.alias("root"), *[F.col(f"l_{f}").cast("decimal(18,2)").alias(f) for f in _FIELDS])
+    l = l.withColumns({f: F.col(f"l_{f}").cast("decimal(18,2)") for f in _FIELDS})
+    l = _once(l, root=root).select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "root", *_FIELDS)
     slot = lambda f: json_array_col(json_string_col(F.col("root")), F.lit(f'[["key","{f}"]]'))
-    draws = [(keyed.below_col(KEY, "quantity-magnitude", slot(f), 1 << 53), keyed.below_col(KEY, "quantity-sign", slot(f), 2)) for f in _FIELDS]
-    scaled = [quantities.scaled_col(F.col(f), n, up, STRENGTH_PERCENT) for f, (n, up) in zip(_FIELDS, draws)]
+    l = _once(l, **{f"n_{f}": keyed.below_col(KEY, "quantity-magnitude", slot(f), 1 << 53) for f in _FIELDS}, **{f"up_{f}": keyed.below_col(KEY, "quantity-sign", slot(f), 2) for f in _FIELDS})
     cents = lambda c: (c * 100).cast("long")
-    return l.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "root", *[x for f, s in zip(_FIELDS, scaled) for x in (cents(F.col(f)).alias(f"{f}_before"), cents(s).alias(f"{f}_after"))])
+    after = {f"{f}_after": cents(quantities.scaled_col(F.col(f), F.col(f"n_{f}"), F.col(f"up_{f}"), STRENGTH_PERCENT)) for f in _FIELDS}
+    l = _once(l, **{f"{f}_before": cents(F.col(f)) for f in _FIELDS}, **after)
+    return l.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "root", *[f"{f}_{x}" for f in _FIELDS for x in ("before", "after")])
+
+
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row, however often they are used: the optimizer would copy costly draws into each use."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.withColumn("_once", one).select("*", "_once.*").drop("_once")
 
 
 @query(f"WITH {_LINES} SELECT l_orderkey, l_linenumber, quantity_before, quantity_after, extendedprice_before, extendedprice_after FROM l2")
