@@ -162,6 +162,22 @@ def test_language_models(spark):
     assert {r["lang_pred"] for r in langid.identify(frame(spark, tests), nothing).collect()} == {"und"}
 
 
+def test_scores_outlive_a_small_cache(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    piece = lambda *texts: langid.characters(*langid.W.text_bytes(pa.array(texts)))
+    models = [langid.estimate(piece("abab ba cab abba", "bac ab")), langid.estimate(piece("xyz zyx xxy", "cab zy"))]
+    identifier = langid.Identifier(["aa", "bb"], models, np.zeros(2), np.zeros(2))
+    monkeypatch.setattr(langid, "CACHE", 8)
+    cache = {}
+    for texts in (["abba cab", "zyx xxy bac"], ["cab abba zyx", "", "bac ab xxy"], ["abba cab", "zyx xxy bac"]):
+        chars = piece(*texts)
+        each = np.stack([np.where(chars.real, m.scores(langid.all_grams(chars.codes)), 0) for m in models], axis=1)
+        plain = [-each[a:b].sum(axis=0) / (b - a - langid.ORDER + 1) for a, b in zip(chars.first, chars.first[1:])]
+        assert np.allclose(identifier.entropies(chars, cache), plain, atol=1e-5)
+
+
 def test_models_sum_to_one():
     import numpy as np
     import pyarrow as pa

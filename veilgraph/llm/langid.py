@@ -179,8 +179,9 @@ class Identifier(NamedTuple):
         keys, scores = cache.setdefault("keys", np.zeros(CACHE, W.U64)), cache.setdefault("scores", np.zeros((CACHE, len(self.models)), np.float32))
         slot = (full & W.U64(CACHE - 1)).astype(np.int64)
         missing = np.flatnonzero((keys[slot] != full) & chars.real)
+        each = scores[slot]  # before slots are taken over: their n-grams may stand in this piece too
         if len(missing):
-            _, first = np.unique(full[missing], return_index=True)
+            _, first, same = np.unique(full[missing], return_index=True, return_inverse=True)
             places = missing[first]
             near = np.stack([chars.codes[np.maximum(places - k, 0)] for k in range(ORDER)])  # the last code first
             own = []
@@ -192,14 +193,9 @@ class Identifier(NamedTuple):
                     own.append(W.mix(h))
             found = np.stack([m.scores(own) for m in self.models], axis=1).astype(np.float32)
             keys[slot[places]] = full[places]
-            scores[slot[places]] = found
-            lost = missing[keys[slot[missing]] != full[missing]]  # two of this piece share a slot
-            each = scores[slot]
-            if len(lost):
-                order = np.argsort(full[places])
-                each[lost] = found[order[np.searchsorted(full[places][order], full[lost])]]
-        else:
-            each = scores[slot]
+            held = keys[slot[places]] == full[places]  # of those of this piece that share a slot, one
+            scores[slot[places[held]]] = found[held]
+            each[missing] = found[same]
         each = np.where(chars.real[:, None], each, np.float32(0))
         n = np.diff(chars.first) - (ORDER - 1)
         sums = np.add.reduceat(each.astype(np.float64), chars.first[:-1], axis=0) if len(n) else np.zeros((0, len(self.models)))
