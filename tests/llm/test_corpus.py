@@ -168,7 +168,7 @@ def test_scores_outlive_a_small_cache(monkeypatch):
 
     piece = lambda *texts: langid.characters(*langid.W.text_bytes(pa.array(texts)))
     models = [langid.estimate(piece("abab ba cab abba", "bac ab")), langid.estimate(piece("xyz zyx xxy", "cab zy"))]
-    identifier = langid.Identifier(["aa", "bb"], models, np.zeros(2), np.zeros(2))
+    identifier = langid.Identifier(["aa", "bb"], models, np.zeros((2, len(langid.LENGTHS))))
     monkeypatch.setattr(langid, "CACHE", 8)
     cache = {}
     for texts in (["abba cab", "zyx xxy bac"], ["cab abba zyx", "", "bac ab xxy"], ["abba cab", "zyx xxy bac"]):
@@ -275,6 +275,15 @@ class TestTables:
         assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
         assert found.filter("rejected").count() == 0
 
+    @pytest.mark.parametrize("left_out", ["de", "en", "es", "fr"])
+    def test_unknown_language_is_rejected(self, spark, left_out):
+        docs = spark.read.parquet(str(TABLES / "documents.parquet"))
+        model = langid.learn(langid.training_rows(docs).filter(F.col("lang") != left_out))
+        found = langid.identify(docs.withColumn("held_out", fold("doc_id", 4) == 2), model, keep_text=False)
+        rejected = F.avg(F.col("rejected").cast("int"))
+        assert found.filter((F.col("lang") == left_out) & (F.col("n_chars") >= 200)).agg(rejected).first()[0] > 0.95
+        assert found.filter((F.col("lang") != left_out) & F.col("held_out")).agg(rejected).first()[0] == 0
+
     def test_held_out_toxicity(self, spark):
         labels = spark.read.parquet(str(TABLES / "labels.parquet"))
         found = queries.op6_toxicity(spark, str(TABLES)).join(labels, "doc_id").filter("held_out")

@@ -4,15 +4,15 @@ For each language of a bounded sample of labelled documents a model of order
 `ORDER` is estimated: discounted counts at the highest order, continuation
 counts below, all interpolated.  N-grams are 64-bit hashes in sorted arrays, with
 the log probability and the back-off weight of each.  A text gets the language
-of the lowest cross-entropy per character.  It is rejected if that is higher
-than the texts of the language ever come, allowing for its length.
+of the lowest cross-entropy per character.  It is rejected if that is above the
+language's bound for its length, which is set by texts the model hasn't seen.
 """
 
 from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -35,6 +35,16 @@ LANGUAGES = 512
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 #: Slots of the cache of n-gram scores that each task keeps.
 CACHE = 1 << 19
+#: Lengths in characters that have a bound of their own. Longer texts get that of the last: they differ by topic and quotations, not by chance.
+LENGTHS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 50, 70, 100])
+#: A bound lies `REACH` times as far above the median as this quantile; rows of another language may be as many as it leaves out.
+QUANTILE, REACH = 0.95, 5.0
+#: It lies this much above the median at least, over the root of the length, and more if the texts are few: these tell little about the others.
+LEAST = 5.0
+#: Pieces of a length that a bound takes, at least; with fewer, the one before goes on, its margin falling with the root of the length.
+PIECES = 20
+#: Texts that set the bounds, at least, if a language has so many.
+UNSEEN = 100
 
 
 @lru_cache(maxsize=1)
@@ -170,8 +180,7 @@ def estimate(chars: Chars) -> Model:
 class Identifier(NamedTuple):
     languages: list[str]
     models: list[Model]
-    mean: np.ndarray  # of each language's own texts: cross-entropy
-    spread: np.ndarray  # its deviation, for one character
+    bounds: np.ndarray  # highest cross-entropy that is accepted, of each language (rows) for each of `LENGTHS`
 
     def entropies(self, chars: Chars, cache: dict) -> np.ndarray:
         """Cross-entropy per character of each document (rows) under each language (columns)."""
@@ -202,6 +211,35 @@ class Identifier(NamedTuple):
         return -sums / np.maximum(n, 1)[:, None]
 
 
+def held_out(texts: set[str]) -> list[np.ndarray]:
+    """The scores of the codes of texts under a model that hasn't seen them: of a fifth of the texts, and of more fifths until `UNSEEN` are judged; a single text is judged by halves."""
+    rows = sorted(texts, key=lambda t: (hash_of(t), t))
+    if len(rows) == 1:
+        rows = [rows[0][: len(rows[0]) // 2], rows[0][len(rows[0]) // 2 :]]
+    part = lambda some: characters(*W.text_bytes(pa.array(some, pa.string())))
+    out: list[np.ndarray] = []
+    folds = min(5, len(rows))
+    for k in range(folds):
+        if len(out) < UNSEEN:
+            own = part(rows[k::folds])
+            scores = estimate(part([t for i, t in enumerate(rows) if i % folds != k])).scores(all_grams(own.codes))
+            out += [scores[a + ORDER - 1 : b] for a, b in zip(own.first, own.first[1:])]
+    return out if len(texts) > 1 else [np.concatenate(out)]
+
+
+def bounds(texts: list[np.ndarray]) -> np.ndarray:
+    """For each of `LENGTHS` the highest cross-entropy to accept, from the scores of the codes of unseen texts, in pieces of that length."""
+    out, middle, width = [], 0.0, np.inf  # width: the margin for one character
+    for length in LENGTHS:
+        runs = [t[: len(t) // length * length] for t in texts]
+        values = -np.concatenate([np.zeros(0), *runs]).reshape(-1, length).mean(axis=1)
+        if len(values) >= PIECES or len(values) and not out:
+            middle, high = np.quantile(values, [0.5, QUANTILE])
+            width = max(REACH * (high - middle) * np.sqrt(length), LEAST * (1 + 1 / len(texts)))
+        out.append(middle + width / np.sqrt(length))
+    return np.array(out)
+
+
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Identifier:
     """Models from about `sample` documents of each language of `docs`, whole texts.
 
@@ -216,20 +254,10 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
         chars = characters(data, offsets)
         if not chars.letters.sum():
             return pa.table({"lang": pa.array([], pa.string()), "model": pa.array([], pa.binary())})
-        # a fifth of the texts tells how texts that a model hasn't seen come out
         import pickle
 
-        order = np.argsort(np.array([hash_of(t) for t in group.column("text").to_pylist()], np.uint64))
-        part = lambda at: characters(*W.text_bytes(group.column("text").take(pa.array(np.sort(at)))))
-        tests, rest = order[: max(1, len(order) // 5)], order[max(1, len(order) // 5) :]
-        trial = estimate(part(rest)) if len(rest) else estimate(chars)
-        own = part(tests)
-        values = Identifier([""], [trial], np.zeros(1), np.zeros(1)).entropies(own, {})[:, 0]
-        n = np.diff(own.first) - (ORDER - 1)
-        good = own.letters > 0
-        mean = float(np.average(values[good], weights=n[good])) if good.any() else 0.0
-        spread = float(np.sqrt(np.mean((values[good] - mean) ** 2 * np.minimum(n[good], 1000)))) if good.any() else 1.0
-        return pa.table({"lang": [key[0].as_py()], "model": [pickle.dumps((estimate(chars), mean, spread))]})
+        limits = bounds(held_out({t for t, c in zip(group.column("text").to_pylist(), chars.letters) if c}))
+        return pa.table({"lang": [key[0].as_py()], "model": [pickle.dumps((estimate(chars), limits))]})
 
     import pickle
 
@@ -237,7 +265,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     if len(found) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
     parts = [pickle.loads(bytes(m)) for _, m in found]
-    return Identifier([x for x, _ in found], [m for m, _, _ in parts], np.array([x for _, x, _ in parts]), np.array([x for _, _, x in parts]))
+    return Identifier([x for x, _ in found], [m for m, _ in parts], np.array([x for _, x in parts]))
 
 
 def hash_of(text: str) -> int:
@@ -246,13 +274,13 @@ def hash_of(text: str) -> int:
     return zlib.crc32(text.encode()) << 32 | len(text)
 
 
-def identify(docs: DataFrame, model: Identifier, text: str = "text", slack: float = 1.0, tolerance: float = 8.0, keep_text: bool = True) -> DataFrame:
+def identify(docs: DataFrame, model: Identifier, text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with lang_pred, score and rejected.
 
     lang_pred is the language of the lowest cross-entropy per character, ties to
     the first by name; score its share in 0 to 1. rejected is set if there is no
-    letter, or if the cross-entropy exceeds the language's own by `slack` and by
-    `tolerance` deviations of a text of this length (of one nat a character at least).
+    letter, or if the cross-entropy exceeds the language's bound for texts of this length,
+    which pieces of held-out texts of the language set (`bounds`).
 
     Null and empty texts and texts without a letter get `und`, score 0, and are
     rejected; with no model at all every text does. Repeated rows are judged alike;
@@ -266,24 +294,24 @@ def identify(docs: DataFrame, model: Identifier, text: str = "text", slack: floa
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*shared.value.languages, "und"], object)
-        for batch, best, score, far in _judged(batches, shared.value, text, slack, tolerance):
+        for batch, best, score, far in _judged(batches, shared.value, text):
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(far)], schema.fieldNames())
 
     return bounded_batches(docs).mapInArrow(judge, schema)
 
 
-def accepted(docs: DataFrame, model: Identifier, text: str = "text", slack: float = 1.0, tolerance: float = 8.0) -> DataFrame:
+def accepted(docs: DataFrame, model: Identifier, text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that `identify` doesn't reject."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):
-        for batch, _, _, far in _judged(batches, shared.value, text, slack, tolerance):
+        for batch, _, _, far in _judged(batches, shared.value, text):
             yield batch.filter(pa.array(~far))
 
     return bounded_batches(docs).mapInArrow(keep, docs.schema)
 
 
-def _judged(batches: Iterator[pa.RecordBatch], model: Identifier, text: str, slack: float, tolerance: float) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+def _judged(batches: Iterator[pa.RecordBatch], model: Identifier, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Each batch with the number of the language (one past the last: none), the score, and whether it is rejected."""
     cache: dict = {}
     for batch in batches:
@@ -299,7 +327,7 @@ def _judged(batches: Iterator[pa.RecordBatch], model: Identifier, text: str, sla
                 low = h[np.arange(len(h)), best]
                 # the share of the likeliest language, were the text of up to 40 characters
                 score = 1 / np.exp((low[:, None] - h) * np.minimum(n, 40)[:, None]).sum(axis=1)
-                far = low > model.mean[best] + slack + tolerance * np.maximum(model.spread[best], 1.0) / np.sqrt(np.minimum(n, 1000))
+                far = low > model.bounds[best, np.maximum(np.searchsorted(LENGTHS, n, side="right") - 1, 0)]
             else:
                 best, score, far = np.zeros(hi - lo, int), np.zeros(hi - lo), np.ones(hi - lo, bool)
             no = (chars.letters == 0) | (not model.models)
