@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import zstandard
@@ -51,6 +52,42 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return what this Python worker has freed to the system: workers are reused, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, for mapInArrow, with freed memory given back after the last batch."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def salted(rows: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """rows joined with `few`, which has a row for some values of `key`; the rows of a value go to `salts` tasks by a hash of `by`.
+
+    `few` grows with the data, so it is never broadcast.
+    """
+    (salt,) = fresh([*rows.columns, *few.columns], "salt")
+    few = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
+    return rows.withColumn(salt, F.pmod(F.hash(by), F.lit(salts))).join(few, [key, salt], how).drop(salt)
+
+
+def passing(df: DataFrame, new: Iterable[str], without: str | None = None) -> list[str]:
+    """The columns of df that pass through: all but those named as new ones (without regard to case) and `without`."""
+    names = {x.lower() for x in new}
+    return [c for c in df.columns if c.lower() not in names and c != without]
+
+
 def fresh(taken: Iterable[str], *names: str) -> list[str]:
     """The names, made unlike all in `taken` (without regard to case)."""
     used, out = {x.lower() for x in taken}, []
@@ -66,12 +103,6 @@ def blocks_for(rows: int, rows_per_block: int) -> int:
     return max(1, -(-rows // rows_per_block))
 
 
-def with_block(df: DataFrame, name: str, key: list, rows_per_block: int) -> DataFrame:
-    """df with a long column that deals rows out to blocks of about `rows_per_block`, by a hash of `key`."""
-    n = blocks_for(df.count(), rows_per_block)
-    return df.withColumn(name, F.pmod(F.xxhash64(*key), F.lit(n)))
-
-
 def slices(rows: list, weigh, limit: int) -> list[list]:
     """rows in runs whose weights sum up to `limit` at most (a single row may weigh more)."""
     out, room = [], 0
@@ -95,7 +126,7 @@ def pack(df: DataFrame, text: str) -> DataFrame:
             small = pa.array([None if x is None else squeeze(x.encode()) for x in batch.column(text).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([small if c == text else batch.column(c) for c in schema.fieldNames()], schema.fieldNames())
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def unpacked(column: pa.ChunkedArray) -> pa.Array:
@@ -116,4 +147,4 @@ def unpack(df: DataFrame, text: str) -> DataFrame:
                 texts = unpacked(pa.chunked_array([part.column(text)])).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([texts if c == text else part.column(c) for c in schema.fieldNames()], schema.fieldNames())
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

@@ -21,7 +21,7 @@ FROM parts LEFT JOIN hits ON hits.page_id = parts.page_id AND place = 1
 MIXING = r"""
 WITH sized AS (
     SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-        coalesce('s' || source, 'n') AS src, substr(md5('0|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS h FROM documents
+        coalesce('s' || source, 'n') AS src, substr(md5('0|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 16) AS h FROM documents
 ), sources AS (
     SELECT src, CAST(sum(size) AS BIGINT) AS total, [1.0, 2.0, 3.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)]::DOUBLE AS weight
     FROM sized GROUP BY src, source
@@ -33,12 +33,12 @@ WITH sized AS (
 ), one AS (SELECT arg_min(share, ratio) AS share FROM shares WHERE share <= ratio),
 targets AS (SELECT src, total AS source_size, least(most, one.share * weight) AS target FROM shares, one),
 placed AS (
-    SELECT s.*, source_size, target, sum(size) OVER (PARTITION BY s.src ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+    SELECT s.*, source_size, target, sum(size) OVER (PARTITION BY s.src ORDER BY h, CAST(doc_id AS VARCHAR), size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
     FROM sized s JOIN targets USING (src)
 ), items AS (
     SELECT *, CAST(turn * source_size + upto AS DOUBLE) / target AS time FROM placed, (SELECT unnest([0, 1, 2]) AS turn) WHERE size > 0 AND target > 0
 ), queue AS (
-    SELECT *, sum(size) OVER (ORDER BY time, src, h, doc_id, size, turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sent FROM items
+    SELECT *, sum(size) OVER (ORDER BY time, src, h, CAST(doc_id AS VARCHAR), size, turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sent FROM items
 ), served AS (
     SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM queue WHERE sent <= (SELECT sum(target) FROM targets) * (1 + 1e-12) GROUP BY doc_id
 )
@@ -51,10 +51,10 @@ WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scores AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
-    FROM v q JOIN v c ON q.vec_id <> c.vec_id AND q.vec_id % 50 = 0
+    SELECT q.vec_id AS query_id, q.x, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+    FROM (SELECT DISTINCT vec_id, x FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id
 )
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, x ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
 FROM scores QUALIFY rank <= 5
 """
 

@@ -28,11 +28,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import bounded_batches, fresh, pack, unpacked, with_block
+from .common import blocks_for, bounded_batches, fresh, give_back, pack, passing, tidy, unpacked
 
 #: Perfect difference sets: every remainder by the period is a difference of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
-ROWS_PER_BLOCK = 512
+#: Documents of a block, and their characters, at most (about).
+ROWS_PER_BLOCK, CHARS_PER_BLOCK = 2048, 4 << 20
 
 
 def cover_for(window: int) -> tuple[int, tuple[int, ...]]:
@@ -74,7 +75,7 @@ def repeated_rows(rows: DataFrame, keys: list[str], back: list[str]) -> DataFram
     """The columns `back` of rows whose keys occur twice or more, by one shuffle and a sort that can spill."""
     schema = T.StructType([rows.schema[c] for c in back])
     dealt = rows.repartition(F.col(keys[0])).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(lambda it: _repeated_in_order(it, keys, back), schema)
+    return dealt.mapInArrow(tidy(lambda it: _repeated_in_order(it, keys, back)), schema)
 
 
 def _anchors(texts: pa.Array, window: int) -> np.ndarray:
@@ -198,38 +199,40 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", rows_p
     blank and \\t\\n\\v\\f\\r, unchanged.
 
     Null texts count as without words and give an empty text; documents
-    of fewer words than the window stay whole (white space collapsed); of
+    of fewer words than the window stay whole (white space collapsed); texts of any length count whole; of
     repeated rows every copy is cut, as each is another place of the others; an
     empty table gives no rows; columns of any other name pass through, and columns
-    named as the three new ones are replaced. `key`: a column that helps to
+    named as the three new ones are replaced, the text too. `key`: a column that helps to
     deal rows out evenly; any values do, null too.
     """
-    (block,) = fresh(bounded_batches(docs).columns, "block")
-    dealt = with_block(docs, block, [F.col(c) for c in dict.fromkeys([key or text, text])], rows_per_block)
     new = {"n_words": T.LongType(), "n_removed": T.LongType(), "kept_sha256": T.StringType()}
-    dealt = pack(dealt.drop(*[c for c in dealt.columns if c.lower() in new]), text)
-    fields = [T.StructField(f.name, T.StringType() if f.name == text else f.dataType, True) for f in dealt.schema if f.name != block]
-    out_schema = T.StructType(fields + [T.StructField(k, v) for k, v in new.items()])
+    keep = passing(bounded_batches(docs), new)
+    block, body = fresh([*docs.columns, *new], "block", "body")
+    dealt = docs.select(*[c for c in keep if c != text], F.col(text).alias(body), F.xxhash64(*dict.fromkeys([key or text, text])).alias(block))
+    sizes = docs.agg(F.count("*").alias("rows"), F.sum(F.length(text)).alias("chars")).first()
+    n = max(blocks_for(sizes["rows"], rows_per_block), blocks_for(sizes["chars"] or 0, CHARS_PER_BLOCK))
+    dealt = pack(dealt.withColumn(block, F.pmod(F.col(block), F.lit(n))), body)
+    out_schema = T.StructType([T.StructField(c, docs.schema[c].dataType, True) for c in keep] + [T.StructField(k, v) for k, v in new.items()])
     names = out_schema.fieldNames()
 
     def settled(group):
         """The rows in an order that depends on their texts only: shuffles deliver a block in any order, and places count words through it."""
-        packed = group.column(text).to_pylist()
+        packed = group.column(body).to_pylist()
         return group.take(pa.array(sorted(range(len(packed)), key=lambda i: packed[i] or b""), pa.int64()))
 
     def anchors(key, group):
-        h = _anchors(unpacked(group.column(text)), window)
+        h = _anchors(unpacked(group.column(body)), window)
         at, n = _distinct(h)
         return pa.table({"h": h[at].view(np.int64), "block": np.full(len(at), key[0].as_py()), "n": n})
 
     def windows(key, group, hits):
-        h, g, place = _candidate_windows(unpacked(settled(group).column(text)), window, hits.column("h").to_numpy().view(W.U64))
+        h, g, place = _candidate_windows(unpacked(settled(group).column(body)), window, hits.column("h").to_numpy().view(W.U64))
         at, n = _distinct(h, g)
         return pa.table({"h": h[at].view(np.int64), "g": g[at].view(np.int32), "block": np.full(len(at), key[0].as_py()), "place": place[at], "n": n})
 
     def cut(key, group, bad):
         group = settled(group)
-        texts = unpacked(group.column(text))
+        texts = unpacked(group.column(body))
         if group.num_rows:
             kept, n_words, n_removed = _cut_block(texts, window, bad.column("place").to_numpy())
         else:
@@ -238,6 +241,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, text: str = "text", rows_p
         raw = memoryview(data.tobytes())
         sha = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
         made = {text: kept, "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(sha, pa.string())}
+        give_back()
         return pa.table([made[c] if c in made else group.column(c) for c in names], names)
 
     group = lambda: dealt.select(*dealt.columns).groupBy(block)

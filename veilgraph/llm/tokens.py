@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, passing, tidy
 
 SPACE = "▁"
 #: Below the lowest score, for an unknown character.
@@ -112,11 +112,11 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ke
     """docs with n_tokens, the pieces of each whole text.
 
     Null and empty texts have 0; unknown characters count one each, or their bytes
-    with byte fallback; repeated rows count alike; an empty table gives no rows; other
-    columns pass through and one named n_tokens is replaced.
+    with byte fallback; texts of any length count whole; ties go as the module says; repeated rows count alike; an empty table gives no rows; other
+    columns pass through and one named n_tokens is replaced, the text too.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() == "n_tokens" and c != text])
-    keep = [c for c in docs.columns if keep_text or c != text]
+    keep = passing(docs, ["n_tokens"], None if keep_text else text)
+    docs = docs.select(*dict.fromkeys([*keep, text]))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType())])
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -127,7 +127,7 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ke
             n = pa.array((counter.count(column[i].as_py()) for i in range(len(column))), pa.int64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], n], schema.fieldNames())
 
-    return bounded_batches(docs).mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(tidy(run), schema)
 
 
 def vocabulary(pieces: Sequence[tuple[str, float]], byte_fallback: bool = False, prefix: bool = True) -> Vocabulary:

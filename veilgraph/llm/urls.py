@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, slices
+from .common import fresh, passing, slices
 
 #: Rules sent to the tasks at once, in characters; more are swept in further passes.
 RULES_AT_ONCE = 4 << 20
@@ -77,17 +77,18 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", url:
     with the longest host, then the longest path, wins, then a block.
 
     Null urls and urls without `://` have an empty host and path, fit no rule and
-    get `default`. Repeated rows are judged alike; an empty table gives no rows;
-    other columns pass through and those named as new ones are replaced.
+    get `default`. Urls of any length are judged whole; repeated rows are judged alike; an empty table gives no rows;
+    other columns pass through and those named as new ones are replaced, the url too.
     """
     new = ("host", "path", "rule", "verdict")
-    pages = pages.drop(*[c for c in pages.columns if c.lower() in new and c != url])
+    keep = passing(pages, new)
     rest = F.coalesce(F.expr(f"CASE WHEN instr(`{url}`, '://') > 0 THEN substring(`{url}`, instr(`{url}`, '://') + 3) END"), F.lit(""))
     host = F.translate(F.regexp_extract(rest, r"(?s)^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     path = F.regexp_extract(rest, r"(?s)^[^/?#]*([^?#]*)", 1)
-    (key,) = fresh(pages.columns, "key")
+    (key,) = fresh([*pages.columns, *new], "key")
     # the key of the order is the canonical host; \x01 sorts below all that stands in hosts
-    out = pages.withColumns({"host": host, "path": path, "rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
+    none = F.lit(None).cast("string")
+    out = pages.select(*keep, host.alias("host"), path.alias("path"), none.alias("rule"), none.alias("verdict"))
     out = out.withColumn(key, F.when(F.col("host") != "", F.concat(F.array_join(F.reverse(F.split("host", r"\.")), "\x01"), F.lit("\x01"))).otherwise(F.lit("")))
     out = out.sortWithinPartitions(key)
     names = out.columns

@@ -23,7 +23,9 @@ BYTE_BASE, WORD_BASE, WORD_BASE_2 = (
     0xAF251AF3B0F025B5,
 )
 #: Texts are handled in pieces of about this many bytes, whole documents each.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
+#: Bytes, or words, that a hash's sums run over at once: the tables of powers stay small however long a text is.
+STRETCH = 1 << 15
 
 
 def _byte_table(of: bytes) -> np.ndarray:
@@ -51,30 +53,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
-def _powers_cached(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(base, -1, 1 << 64)
     out = []
     for b in (base, inverse):
         p = np.ones(n, U64)
         filled, step = 1, b
-        while filled < n:  # n is a power of two
-            np.multiply(p[:filled], U64(step), out=p[filled : 2 * filled])
-            filled, step = 2 * filled, step * step % (1 << 64)
+        while filled < n:
+            more = min(filled, n - filled)
+            np.multiply(p[:more], U64(step), out=p[filled : filled + more])
+            filled, step = filled + more, step * step % (1 << 64)
         out.append(p)
     return out[0], out[1]
 
 
+@lru_cache(maxsize=4)
+def _kept_powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(base, 2 * STRETCH)
+
+
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    size = max(1024, 1 << max(0, n - 1).bit_length())
-    if size > 4 * PIECE_BYTES:  # of one very long document; not kept
-        p, q = _powers_cached.__wrapped__(base, size)
-    else:
-        p, q = _powers_cached(base, size)
+    """base**i and base**-i modulo 2**64 for i < n; only short tables are kept, so a worker holds 1 MB a base."""
+    p, q = _kept_powers(base) if n <= 2 * STRETCH else _powers(base, n)
     return p[:n], q[:n]
 
 
+def polynomial(values: np.ndarray, base: int) -> int:
+    """The sum of values[i] * base**i modulo 2**64, a stretch at a time."""
+    p, _ = powers(base, STRETCH)
+    total = 0
+    for a in range(0, len(values), STRETCH):
+        part = values[a : a + STRETCH].astype(U64)
+        total += int((part * p[: len(part)]).sum()) * pow(base, a, 1 << 64)
+    return total % (1 << 64)
+
+
 class Words(NamedTuple):
     """The words of a piece of a batch."""
 
@@ -88,10 +101,23 @@ class Words(NamedTuple):
         """64-bit hash of each word."""
         if not len(self.starts):
             return np.zeros(0, U64)
-        p, inverse = powers(BYTE_BASE, len(self.data))
-        sums = np.zeros(len(self.data) + 1, U64)
-        np.cumsum((self.data.astype(U64) + U64(1)) * p, out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        out = np.empty(len(self.starts), U64)
+        at = 0
+        while at < len(out):
+            lo = int(self.starts[at])
+            stop = int(np.searchsorted(self.ends, lo + STRETCH, side="right"))
+            if stop <= at:  # one very long word
+                out[at] = U64(polynomial(self.data[lo : self.ends[at]].astype(np.uint16) + np.uint16(1), BYTE_BASE))
+                at += 1
+                continue
+            hi = int(self.ends[stop - 1])
+            p, inverse = powers(BYTE_BASE, hi - lo)
+            sums = np.zeros(hi - lo + 1, U64)
+            np.cumsum((self.data[lo:hi].astype(U64) + U64(1)) * p, out=sums[1:])
+            starts, ends = self.starts[at:stop] - lo, self.ends[at:stop] - lo
+            out[at:stop] = (sums[ends] - sums[starts]) * inverse[starts]
+            at = stop
+        return mix(out)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -150,12 +176,18 @@ def pieces(column: pa.Array | pa.ChunkedArray, separators: np.ndarray = SPACE, l
 
 def window_hashes(words: np.ndarray, width: int, base: int = WORD_BASE) -> np.ndarray:
     """Hash of every `width` consecutive entries of `words`; entry i covers words[i:i + width]."""
-    if len(words) < width:
+    n = len(words) - width + 1
+    if n <= 0:
         return np.zeros(0, U64)
-    p, inverse = powers(base, len(words))
-    sums = np.zeros(len(words) + 1, U64)
-    np.cumsum(words * p, out=sums[1:])
-    return mix((sums[width:] - sums[:-width]) * inverse[: len(words) - width + 1])
+    out, step = np.empty(n, U64), max(STRETCH, width)
+    p, inverse = powers(base, step + width - 1)
+    for a in range(0, n, step):
+        part = words[a : a + step + width - 1]
+        sums = np.zeros(len(part) + 1, U64)
+        np.cumsum(part * p[: len(part)], out=sums[1:])
+        k = len(part) - width + 1
+        out[a : a + k] = (sums[width:] - sums[:-width]) * inverse[:k]
+    return mix(out)
 
 
 def window_fits(words: Words, width: int) -> np.ndarray:
@@ -169,9 +201,7 @@ def window_fits(words: Words, width: int) -> np.ndarray:
 
 def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of n places lie in a window of `width` from one of `starts`."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.subtract.at(change, np.minimum(starts + width, n), 1)
+    change = np.bincount(starts, minlength=n + 1) - np.bincount(np.minimum(starts + width, n), minlength=n + 1)
     return np.cumsum(change[:-1]) > 0
 
 
