@@ -23,18 +23,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import bounded_batches
+from .common import bounded_batches, give_back, passing, tidy
 from .sampling import bounded_sample, fold
 
 ORDER = 4
 SPACE = 32
-#: Documents of each language to learn from, at most (about).
-SAMPLE = 800
+#: Documents and characters of each language to learn from, at most (about), and characters of all languages.
+SAMPLE, LANGUAGE_CHARS, SAMPLE_CHARS = 800, 1 << 20, 16 << 20
 #: Distinct languages, at most: the models of all are sent to every task.
 LANGUAGES = 512
 _MULTIPLIERS = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
-#: Slots of the cache of n-gram scores that each task keeps.
-CACHE = 1 << 19
+#: Bytes of the cache of n-gram scores that each task keeps.
+CACHE_BYTES = 12 << 20
 #: Lengths in characters that have a bound of their own. Longer texts get that of the last: they differ by topic and quotations, not by chance.
 LENGTHS = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 50, 70, 100])
 #: A bound lies `REACH` times as far above the median as this quantile; rows of another language may be as many as it leaves out.
@@ -59,6 +59,12 @@ def _letters() -> np.ndarray:
     return table
 
 
+@lru_cache(maxsize=1)
+def _marks() -> np.ndarray:
+    """Code points that go on letters, but are none."""
+    return np.array([i for i in range(128, sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("Mn", "Mc")], np.uint32)
+
+
 class Chars(NamedTuple):
     codes: np.ndarray  # letters in lower case, runs of all else as one space, ORDER - 1 spaces before each document
     first: np.ndarray  # document k has codes first[k]:first[k + 1], the spaces before it included
@@ -86,7 +92,7 @@ def characters(data: np.ndarray, offsets: np.ndarray) -> Chars:
     real = np.ones(len(out), bool)
     for k in range(ORDER - 1):
         real[first[:-1] + k] = False
-    letters = np.bincount(doc[codes != SPACE], minlength=len(offsets) - 1) if len(doc) else np.zeros(len(offsets) - 1, np.int64)
+    letters = np.bincount(doc[(codes != SPACE) & ~np.isin(codes, _marks())], minlength=len(offsets) - 1) if len(doc) else np.zeros(len(offsets) - 1, np.int64)
     return Chars(out, first, real, letters)
 
 
@@ -185,8 +191,11 @@ class Identifier(NamedTuple):
     def entropies(self, chars: Chars, cache: dict) -> np.ndarray:
         """Cross-entropy per character of each document (rows) under each language (columns)."""
         full = gram_hashes(chars.codes, ORDER)
-        keys, scores = cache.setdefault("keys", np.zeros(CACHE, W.U64)), cache.setdefault("scores", np.zeros((CACHE, len(self.models)), np.float32))
-        slot = (full & W.U64(CACHE - 1)).astype(np.int64)
+        if not cache:
+            slots = 1 << (max(1, CACHE_BYTES // (8 + 4 * len(self.models))).bit_length() - 1)
+            cache |= {"keys": np.zeros(slots, W.U64), "scores": np.zeros((slots, len(self.models)), np.float32)}
+        keys, scores = cache["keys"], cache["scores"]
+        slot = (full & W.U64(len(keys) - 1)).astype(np.int64)
         missing = np.flatnonzero((keys[slot] != full) & chars.real)
         each = scores[slot]  # before slots are taken over: their n-grams may stand in this piece too
         if len(missing):
@@ -241,13 +250,15 @@ def bounds(texts: list[np.ndarray]) -> np.ndarray:
 
 
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Identifier:
-    """Models from about `sample` documents of each language of `docs`, whole texts.
+    """Models from about `sample` documents of each language of `docs`, whole texts of `LANGUAGE_CHARS` characters each and `SAMPLE_CHARS` in all at most.
 
-    The sample is bounded, so are the models; a language without letters in its
-    texts gets none. Null languages and texts are left out.
+    The sample is bounded in documents, characters and languages, so are the models and what a task holds; a
+    language without letters in its texts gets none. Rows with a null language or text, and empty texts, are left out; a
+    null or repeated key is no matter, repeated rows count once; documents of 65,536 characters or more are
+    left to languages that have no shorter ones; ties of the sampling hash don't matter; an empty table gives no models; other columns aren't read.
     """
-    rows = bounded_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    picked = bounded_sample(rows, "lang", sample, "key")
+    rows = bounded_batches(docs).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text <> '' AND lang IS NOT NULL")
+    picked = bounded_sample(rows, "lang", sample, LANGUAGES, "text", SAMPLE_CHARS, LANGUAGE_CHARS)
 
     def fit(key, group):
         data, offsets = W.text_bytes(group.column("text"))
@@ -257,13 +268,13 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
         import pickle
 
         limits = bounds(held_out({t for t, c in zip(group.column("text").to_pylist(), chars.letters) if c}))
-        return pa.table({"lang": [key[0].as_py()], "model": [pickle.dumps((estimate(chars), limits))]})
+        model = pickle.dumps((estimate(chars), limits))
+        give_back()
+        return pa.table({"lang": [key[0].as_py()], "model": [model]})
 
     import pickle
 
-    found = sorted((r["lang"], r["model"]) for r in picked.groupBy("lang").applyInArrow(fit, "lang string, model binary").limit(LANGUAGES + 1).collect())
-    if len(found) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    found = sorted((r["lang"], r["model"]) for r in picked.groupBy("lang").applyInArrow(fit, "lang string, model binary").collect())
     parts = [pickle.loads(bytes(m)) for _, m in found]
     return Identifier([x for x, _ in found], [m for m, _ in parts], np.array([x for _, x in parts]))
 
@@ -282,13 +293,13 @@ def identify(docs: DataFrame, model: Identifier, text: str = "text", keep_text:
     letter, or if the cross-entropy exceeds the language's bound for texts of this length,
     which pieces of held-out texts of the language set (`bounds`).
 
-    Null and empty texts and texts without a letter get `und`, score 0, and are
-    rejected; with no model at all every text does. Repeated rows are judged alike;
-    other columns pass through and those named as new ones are replaced.
+    Null and empty texts and texts without a letter (marks are none) get `und`, score 0, and are
+    rejected; with no model at all every text does. Very long texts are judged whole. Repeated rows are judged alike;
+    an empty table gives no rows; other columns pass through and those named as new ones are replaced, the text too.
     """
     new = {"lang_pred": T.StringType(), "score": T.DoubleType(), "rejected": T.BooleanType()}
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in new])
-    keep = [c for c in docs.columns if keep_text or c != text]
+    keep = passing(docs, new, None if keep_text else text)
+    docs = docs.select(*dict.fromkeys([*keep, text]))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(k, v) for k, v in new.items()])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -297,18 +308,22 @@ def identify(docs: DataFrame, model: Identifier, text: str = "text", keep_text:
         for batch, best, score, far in _judged(batches, shared.value, text):
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(far)], schema.fieldNames())
 
-    return bounded_batches(docs).mapInArrow(judge, schema)
+    return bounded_batches(docs).mapInArrow(tidy(judge), schema)
 
 
 def accepted(docs: DataFrame, model: Identifier, text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that `identify` doesn't reject."""
+    """The rows of docs, with all their columns, that `identify` doesn't reject.
+
+    Null and empty texts, texts without a letter, and with no model at all every row, go; very long texts are judged whole; of repeated rows all stay or all
+    go; ties are settled as there; an empty table stays one; columns of any name pass through as they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches):
         for batch, _, _, far in _judged(batches, shared.value, text):
             yield batch.filter(pa.array(~far))
 
-    return bounded_batches(docs).mapInArrow(keep, docs.schema)
+    return bounded_batches(docs).mapInArrow(tidy(keep), docs.schema)
 
 
 def _judged(batches: Iterator[pa.RecordBatch], model: Identifier, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
@@ -318,7 +333,7 @@ def _judged(batches: Iterator[pa.RecordBatch], model: Identifier, text: str) ->
         data, offsets = W.text_bytes(batch.column(text))
         lo, found = 0, []
         while lo < len(offsets) - 1:
-            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + W.PIECE_BYTES // 2, side="right")) - 1)
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + W.PIECE_BYTES, side="right")) - 1)
             chars = characters(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
             n = (np.diff(chars.first) - (ORDER - 1)).astype(float)
             if model.models:
