@@ -3,20 +3,22 @@
 Words become symbols: insult, threat, target, negation, reported speech, or
 nothing.  Insults are a lexicon of word beginnings, some given, most learned: a
 beginning enters if it stands in toxic documents of a bounded labelled sample
-more often than chance allows among all beginnings tried.  Transducers then run
-over each clause one after another:
+more often than chance allows among all beginnings tried.  Three transducers are
+composed into one, which reads a document's symbols clause by clause:
 
     negation   marks what follows a negation within three words
     reporting  marks what follows a verb of reporting, up to the clause's end
-    target     marks a clause that addresses or points at somebody
-    verdict    turns each insult or threat with its marks into a pattern
+    verdict    turns insults and threats with their marks into patterns; whether a
+               clause is aimed at somebody shows at its end, where it emits what is pending
 
-and a document's score joins its matched patterns by noisy-or, each with the
-share of toxic documents that the sample shows for it.
+Each pattern weighs what the sample shows: the share of toxic documents among
+those that have it.  A document's score is the noisy-or of its patterns' weights.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -26,17 +28,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import bounded_batches, materialise
+from .common import bounded_batches, materialise, passing, tidy
 from .neardup import shingles
 from .sampling import bounded_sample
 
 #: Labelled documents to learn from, at most (about): toxic and other ones.
 TOXIC_SAMPLE, OTHER_SAMPLE = 2500, 10000
-#: Learned beginnings, at most: the likeliest.
-LEXICON = 8192
-#: Lengths of beginnings in bytes.
+#: Characters of either, at most (about). With the number of documents this bounds the lexicon too: an entry stands in a dozen of them.
+SAMPLE_CHARS = 16 << 20
+#: Lengths of beginnings in bytes. Longer words that start alike count as one.
 SHORTEST, LONGEST = 3, 12
-NONE, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+NONE, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+#: Words that a negation reaches.
+SCOPE = 3
 #: Words of the grammar, in the languages of the corpus.
 SEEDS = {
     THREAT: "kill hurt destroy beat crush strangle shoot stab burn toeten verletzen zerstoeren tuer frapper detruire matar golpear destruir",
@@ -64,33 +68,20 @@ class Lexicon(NamedTuple):
     begins: tuple[np.ndarray, ...]  # sorted hashes of the beginnings of each length
 
 
-class Beginnings(NamedTuple):
-    """Hashes of the words' first bytes."""
-
-    sums: np.ndarray
-    inverse: np.ndarray
-    words: W.Words
-
-    @classmethod
-    def of(cls, words: W.Words) -> Beginnings:
-        p, inverse = W.powers(W.BYTE_BASE, len(words.data))
-        sums = np.zeros(len(words.data) + 1, W.U64)
-        np.cumsum((words.data.astype(W.U64) + W.U64(1)) * p, out=sums[1:])
-        return cls(sums, inverse, words)
-
-    def whole(self) -> np.ndarray:
-        return W.mix((self.sums[self.words.ends] - self.sums[self.words.starts]) * self.inverse[self.words.starts])
-
-    def first(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Words of at least that many bytes, cut between characters, and the hash of what comes before the cut."""
-        starts, ends = self.words.starts, self.words.ends
-        at = np.flatnonzero(ends - starts >= length)
-        cut = starts[at] + length
-        inside = cut < ends[at]
-        fine = ~inside
-        fine[inside] = (self.words.data[cut[inside]] & 0xC0) != 0x80
-        at, cut = at[fine], cut[fine]
-        return at, W.mix((self.sums[cut] - self.sums[starts[at]]) * self.inverse[starts[at]] + W.U64(length))
+def beginnings(words: W.Words, lengths: Iterable[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length in bytes, ascending, the words of at least so many and the hash of what comes before the cut; words are cut between characters only."""
+    size = words.ends - words.starts
+    p, _ = W.powers(W.BYTE_BASE, LONGEST)
+    sums, wanted = np.zeros(len(size), W.U64), set(lengths)
+    for length in range(1, max(wanted, default=0) + 1):
+        at = np.flatnonzero(size >= length)
+        sums[at] += (words.data[words.starts[at] + length - 1].astype(W.U64) + W.U64(1)) * p[length - 1]
+        if length in wanted:
+            cut = words.starts[at] + length
+            inside = cut < words.ends[at]
+            fine = ~inside
+            fine[inside] = (words.data[cut[inside]] & 0xC0) != 0x80
+            yield length, at[fine], W.mix(sums[at[fine]] + W.U64(length))
 
 
 def _find(sorted_keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,12 +100,11 @@ def _find(sorted_keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.n
 
 def symbols(words: W.Words, lexicon: Lexicon) -> np.ndarray:
     """The symbol of each word; given words come before learned beginnings."""
-    begin = Beginnings.of(words)
     out = np.zeros(len(words.starts), np.int8)
-    for length, known in zip(lexicon.lengths, lexicon.begins):
-        at, h = begin.first(length)
-        out[at[_find(known, h)[1]]] = INSULT
-    at, found = _find(lexicon.whole, begin.whole())
+    known = dict(zip(lexicon.lengths, lexicon.begins))
+    for length, at, h in beginnings(words, known):
+        out[at[_find(known[length], h)[1]]] = INSULT
+    at, found = _find(lexicon.whole, words.hashes())
     out[found] = lexicon.symbol[at[found]]
     return out
 
@@ -125,39 +115,72 @@ def given(lengths: tuple[int, ...] = (), begins: tuple[np.ndarray, ...] = ()) ->
     return Lexicon(keys, np.array([words[k] for k in keys], np.int8), lengths, begins)
 
 
-def negation(clause: list[list[int]]) -> None:
-    """Each entry is [place, symbol, marks]; marks bit 0: negated."""
-    last = None
-    for entry in clause:
-        if entry[1] == NEGATION:
-            last = entry[0]
-        elif last is not None and entry[0] - last <= 3:
-            entry[2] |= 1
+class Transducer(NamedTuple):
+    """Deterministic: by state (rows) and input (columns) the next state and the output. It starts in state 0."""
+
+    next: np.ndarray
+    out: np.ndarray
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: what this one puts out, the other reads."""
+        n = len(other.next)
+        state = np.arange(len(self.next) * n)
+        mine, theirs = state // n, state % n
+        read = self.out[mine]
+        return Transducer(self.next[mine] * n + other.next[theirs[:, None], read], other.out[theirs[:, None], read])
+
+
+def _machine(states: int, inputs: int, step: Callable[[int, int], tuple[int, int]]) -> Transducer:
+    cells = np.array([[step(s, x) for x in range(inputs)] for s in range(states)])
+    return Transducer(cells[..., 0], cells[..., 1])
+
+
+def negation() -> Transducer:
+    """Symbols to symbols, 8 more if negated; the state counts the words that a negation still reaches."""
+
+    def step(state: int, x: int) -> tuple[int, int]:
+        return (0 if x == END else SCOPE if x == NEGATION else max(state - 1, 0)), x + 8 * (state > 0)
 
+    return _machine(SCOPE + 1, END + 1, step)
 
-def reporting(clause: list[list[int]]) -> None:
-    """Marks bit 1: reported."""
-    on = False
-    for entry in clause:
-        if on:
-            entry[2] |= 2
-        on |= entry[1] == REPORT
 
+def reporting() -> Transducer:
+    """Marked symbols to marked symbols, 16 more if reported."""
 
-def target(clause: list[list[int]]) -> None:
-    """Marks bit 2: aimed at somebody."""
-    if any(entry[1] == TARGET for entry in clause):
-        for entry in clause:
-            entry[2] |= 4
+    def step(state: int, x: int) -> tuple[int, int]:
+        symbol = x % 8
+        return (0 if symbol == END else int(state or symbol == REPORT)), x + 16 * state
 
+    return _machine(2, 16, step)
 
-def verdict(clause: list[list[int]]) -> set[int]:
-    out = set()
-    for _, symbol, marks in clause:
+
+def verdict() -> Transducer:
+    """Marked symbols to sets of patterns, a bit each. State bits: aimed at somebody, an insult pending, a threat pending."""
+
+    def step(state: int, x: int) -> tuple[int, int]:
+        symbol, found = x % 8, 0
+        if symbol == END:
+            for k in range(2):
+                if state & 2 << k:
+                    found |= 1 << 4 * k + (state & 1)
+            return 0, found
         if symbol in (INSULT, THREAT):
-            kind = 2 if marks & 1 else 3 if marks & 2 else 1 if marks & 4 else 0
-            out.add(kind + 4 * (symbol == THREAT))
-    return out
+            k = int(symbol == THREAT)
+            if x & 8:
+                return state, 1 << 4 * k + 2
+            if x & 16:
+                return state, 1 << 4 * k + 3
+            return state | 2 << k, 0
+        return state | (symbol == TARGET), 0
+
+    return _machine(8, 32, step)
+
+
+@lru_cache(maxsize=1)
+def grammar_machine() -> tuple[list[list[int]], list[list[int]]]:
+    """Next states and outputs of the three transducers, composed."""
+    whole = negation().then(reporting()).then(verdict())
+    return whole.next.tolist(), whole.out.tolist()
 
 
 def patterns(words: W.Words, lexicon: Lexicon) -> list[tuple[int, tuple[int, ...]]]:
@@ -168,31 +191,25 @@ def patterns(words: W.Words, lexicon: Lexicon) -> list[tuple[int, tuple[int, ...
     if not len(hot):
         return []
     clauses = np.concatenate([[0], np.cumsum(_CLAUSE[words.data])])
+    step, emit = grammar_machine()
     out = []
     for d in hot.tolist():
         a, b = words.first[d], words.first[d + 1]
         at = np.flatnonzero(symbol[a:b]) + a
-        found: set[int] = set()
-        clause: list[list[int]] = []
-        last = None
+        found, state, clause, before = 0, 0, None, 0
         for place, sym, number in zip(at.tolist(), symbol[at].tolist(), clauses[words.starts[at]].tolist()):
-            if number != last and clause:
-                found |= _run(clause)
-                clause = []
-            last = number
-            clause.append([place, sym, 0])
-        found |= _run(clause)
+            # words without a symbol between two others; more than a negation reaches make no difference
+            reads = [END] if number != clause else [NONE] * min(place - before - 1, SCOPE)
+            for x in (*reads, sym):
+                found |= emit[state][x]
+                state = step[state][x]
+            clause, before = number, place
+        found |= emit[state][END]
         if found:
-            out.append((d, tuple(sorted(found))))
+            out.append((d, tuple(k for k in range(len(PATTERNS)) if found >> k & 1)))
     return out
 
 
-def _run(clause: list[list[int]]) -> set[int]:
-    for transducer in (negation, reporting, target):
-        transducer(clause)
-    return verdict(clause)
-
-
 class Grammar(NamedTuple):
     lexicon: Lexicon
     share: np.ndarray  # of each pattern
@@ -203,31 +220,38 @@ class Grammar(NamedTuple):
 
 
 def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
-    """(text, toxic) of a bounded sample; of texts that share one of three min-hashes one stays, so copies count once."""
+    """(text, toxic) of a bounded sample; of texts of one label that share two of six min-hashes in a row one stays, so copies count once."""
     rows = labels.filter(F.col(label).isNotNull()).select(F.col(key).alias("key"), (F.col(label) == 1).alias("toxic"))
-    picked = bounded_sample(rows.filter("toxic"), "toxic", TOXIC_SAMPLE, "key").unionByName(bounded_sample(rows.filter("NOT toxic"), "toxic", OTHER_SAMPLE, "key"))
+    picked = bounded_sample(rows.filter("toxic"), "toxic", TOXIC_SAMPLE, 1).unionByName(bounded_sample(rows.filter("NOT toxic"), "toxic", OTHER_SAMPLE, 1))
     # bounded by the sample, so it may be sent to every task
     found = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).filter("text IS NOT NULL").join(F.broadcast(picked), F.col("doc") == F.col("key"))
+    found = bounded_sample(materialise(found.select("text", "toxic")), "toxic", TOXIC_SAMPLE + OTHER_SAMPLE, 2, "text", 2 * SAMPLE_CHARS, SAMPLE_CHARS)
+    bands = ["a", "b", "c"]
 
     def mark(batches):
         for batch in batches:
             for lo, hi, words in W.pieces(batch.column(0), lower=True):
                 doc, value = shingles(words, 5)
-                low = np.zeros((3, hi - lo), np.uint64)
+                low = np.zeros((6, hi - lo), np.uint64)
                 at = np.flatnonzero(np.diff(doc, prepend=-1)) if len(doc) else np.zeros(0, np.int64)
-                for k in range(3):
+                for k in range(6):
                     if len(at):
                         low[k, doc[at]] = np.minimum.reduceat(W.mix(value + W.U64(k)), at)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *[pa.array(x.view(np.int64)) for x in low]], ["text", "toxic", "a", "b", "c"])
+                both = W.mix(low[::2] * W.U64(W.WORD_BASE) + low[1::2])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *[pa.array(x.view(np.int64)) for x in both]], ["text", "toxic", *bands])
 
-    marked = found.select("text", "toxic").mapInArrow(mark, "text string, toxic boolean, a long, b long, c long")
-    for name in "abc":  # the smallest text of each, so that reruns agree
-        marked = marked.groupBy(name).agg(F.min(F.struct("text", "toxic", *[c for c in "abc" if c != name])).alias("one")).select("one.*", name)
+    marked = found.select("text", "toxic").mapInArrow(tidy(mark), "text string, toxic boolean, a long, b long, c long")
+    for name in bands:  # the smallest text of each, so that reruns agree
+        marked = marked.groupBy(name, "toxic").agg(F.min(F.struct("text", *[c for c in bands if c != name])).alias("one")).select("one.*", name, "toxic")
     return marked.select("text", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Grammar:
-    """Lexicon and weights from a bounded sample of labelled documents, whole texts. Without labels the given words and priors stay."""
+    """Lexicon and weights from a bounded sample of labelled documents, whole texts. Without labels the given words and priors stay.
+
+    Rows with a null key, label or text are left out; repeated labels count once, documents with one key each; texts of 65,536 characters or more
+    are left to labels that have no shorter ones; of near copies the smallest text counts; empty tables leave what is given; other columns aren't read.
+    """
     bounded_batches(docs)
     sample = materialise(_sample(docs, labels, key, text, label))
     totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
@@ -237,9 +261,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         for batch in batches:
             flags = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for lo, _, words in W.pieces(batch.column(0), W.NOT_ALNUM, lower=True):
-                begin, doc = Beginnings.of(words), words.docs()
-                for length in range(SHORTEST, LONGEST + 1):
-                    at, h = begin.first(length)
+                doc = words.docs()
+                for length, at, h in beginnings(words, range(SHORTEST, LONGEST + 1)):
                     order = np.lexsort((doc[at], h))
                     h, d = h[order], doc[at][order]
                     new = np.ones(len(h), bool)
@@ -249,7 +272,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                     bad = np.bincount(of, flags[lo + d], minlength=len(keys)).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), length)), pa.array(keys.view(np.int64)), pa.array(bad), pa.array(np.bincount(of, minlength=len(keys)).astype(np.int64))], ["length", "h", "bad", "n"])
 
-    counted = sample.mapInArrow(count, "length long, h long, bad long, n long").groupBy("length", "h").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    counted = sample.mapInArrow(tidy(count), "length long, h long, bad long, n long").groupBy("length", "h").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
     counted = materialise(counted)
     lengths: dict[int, list[int]] = {}
     if toxic and other:
@@ -258,7 +281,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
         # n times the divergence of the share from the base rate bounds the log of the chance
         sure = F.col("n") * (share * F.log(share / base) + rest) > float(np.log(tried) + 4)
-        best = counted.filter(((F.col("bad") + 1) / (F.col("n") + 1) > 0.95) & sure).orderBy(F.desc("bad"), "length", "h").limit(LEXICON)
+        best = counted.filter(((F.col("bad") + 1) / (F.col("n") + 1) > 0.95) & sure)
         for r in best.collect():
             lengths.setdefault(r["length"], []).append(r["h"])
     found = sorted(lengths)
@@ -282,7 +305,7 @@ def _weigh(sample: DataFrame, lexicon: Lexicon, toxic: int, other: int) -> Gramm
 
     share, with_any = PRIOR * PRIOR_COUNT, np.zeros(2)
     total = np.full(len(PATTERNS), PRIOR_COUNT)
-    for r in sample.mapInArrow(run, "pattern long, bad long").groupBy("pattern").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).collect():
+    for r in sample.mapInArrow(tidy(run), "pattern long, bad long").groupBy("pattern").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).collect():
         share[r["pattern"]] += r["bad"]
         total[r["pattern"]] += r["n"]
         with_any += r["bad"], r["n"]
@@ -294,12 +317,12 @@ def score(docs: DataFrame, grammar: Grammar, text: str = "text", keep_text: bool
     """docs with score (0 to 1), predicted (1 if it is 0.5 or more) and the names of the patterns found.
 
     Null and empty texts have no pattern and get the score of a document without
-    any. Repeated rows are scored alike; an empty table gives no rows; other columns
-    pass through and those named as new ones are replaced.
+    any. Texts of any length are read whole; repeated rows are scored alike; an empty table gives no rows; other columns
+    pass through and those named as new ones are replaced, the text too.
     """
     new = {"score": T.DoubleType(), "predicted": T.IntegerType(), "patterns": T.ArrayType(T.StringType())}
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in new and c != text])
-    keep = [c for c in docs.columns if keep_text or c != text]
+    keep = passing(docs, new, None if keep_text else text)
+    docs = docs.select(*dict.fromkeys([*keep, text]))
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(k, v) for k, v in new.items()])
     shared = docs.sparkSession.sparkContext.broadcast(grammar)
 
@@ -313,4 +336,4 @@ def score(docs: DataFrame, grammar: Grammar, text: str = "text", keep_text: bool
             made = [pa.array(values), pa.array((values >= 0.5).astype(np.int32)), pa.array(names, pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], schema.fieldNames())
 
-    return bounded_batches(docs).mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(tidy(run), schema)
