@@ -13,11 +13,11 @@ agree in many coordinates: `match` of them at least, but for a chance of about
 * candidates must agree in `match` coordinates and in size (skip), and are
   confirmed on their full shingle sets.
 
-Documents with equal sets are one node.  A posting list is never expanded into
+Documents with equal sets are one node; nodes that share a key are linked.  A posting list is never expanded into
 all its pairs: first each node is compared with the list's hub, the node whose
 coordinates are the commonest; links found so make components.  All that meet in
 a list are in the group of its hub.  Groups that still hold two components are
-compared further, in blocks of bounded size that go to different tasks, across
+compared further, in blocks of bounded size, each pair of blocks dealt to a task by a hash of its own, across
 components only, as a link within one changes nothing: first by signatures, which
 tells the nodes that may have a link, then these by their full sets.  Both
 rounds return rows per node, never pairs.
@@ -34,12 +34,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import bounded_batches, fresh, materialise, pack, unpack, unpacked
+from .common import bounded_batches, fresh, materialise, pack, salted, tidy, unpack, unpacked
 from .components import components
 
 COORDINATES = 48
 #: Nodes of one posting list that are compared in one task at a time, and texts verified in one.
-LIST_BLOCK, TEXT_BLOCK = 1024, 256
+LIST_BLOCK, TEXT_BLOCK = 256, 256
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -98,18 +98,18 @@ def _signatures(column) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, n, d, e, sig) for each row: size of the shingle set, its digest and its signature."""
-    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("n", T.LongType()), T.StructField("d", T.LongType()), T.StructField("e", T.LongType()), T.StructField("sig", T.BinaryType())])
+    """(key, h, n, d, e, sig) for each row: hash of the text, size of the shingle set, its digest and its signature."""
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *(T.StructField(c, T.LongType()) for c in "hnde"), T.StructField("sig", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
-            keys = batch.column(0)
+            keys, hashes = batch.column(0), batch.column(2)
             for lo, hi, words in W.pieces(batch.column(1), lower=True):
                 s = _sketch(words, width)
                 sig = [x.tobytes() if n else b"" for x, n in zip(s["signature"], s["size"])]
-                yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), pa.array(s["size"], pa.int64()), pa.array(s["digest"][:, 0].view(np.int64)), pa.array(s["digest"][:, 1].view(np.int64)), pa.array(sig, pa.binary())], schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([keys.slice(lo, hi - lo), hashes.slice(lo, hi - lo), pa.array(s["size"], pa.int64()), pa.array(s["digest"][:, 0].view(np.int64)), pa.array(s["digest"][:, 1].view(np.int64)), pa.array(sig, pa.binary())], schema.fieldNames())
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("h")).mapInArrow(tidy(run), schema)
 
 
 def _postings(nodes: DataFrame, match: int) -> DataFrame:
@@ -122,7 +122,7 @@ def _postings(nodes: DataFrame, match: int) -> DataFrame:
                 token = W.mix(sig * W.U64(COORDINATES) + np.arange(COORDINATES, dtype=W.U64)).view(np.int64).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), COORDINATES)), pa.array(token)], ["node", "token"])
 
-    posted = nodes.select("node", "sig").mapInArrow(run, "node long, token long")
+    posted = nodes.select("node", "sig").mapInArrow(tidy(run), "node long, token long")
     shared = posted.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     own = posted.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("own"), F.sum("df").alias("score"))
     own = own.filter(F.size("own") >= match).select("node", "score", F.slice("own.token", F.lit(1), F.size("own") - (match - 1)).alias("prefix"))
@@ -141,14 +141,14 @@ def _agree(pairs: DataFrame, nodes: DataFrame, match: int, similarity: Fraction)
                 good = (_signatures(batch.column(2)) == _signatures(batch.column(3))).sum(axis=1) >= match
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: Fraction) -> DataFrame:
     """Pairs (a, b) whose full shingle sets are similar enough; for each a, the b go to tasks in blocks of bounded size."""
     p, q = similarity.numerator, similarity.denominator
-    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / TEXT_BLOCK).alias("blocks"))
-    dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("part"))
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / TEXT_BLOCK).alias("blocks")).filter("blocks > 1")
+    dealt = salted(pairs, many, "a", "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("b"), "blocks"), F.lit(0)).alias("part"))
     members = dealt.join(texts, F.col("b") == F.col("node")).select("a", "part", "node", "packed")
     heads = dealt.select("a", "part").distinct().join(texts, F.col("a") == F.col("node")).select("a", "part", "node", "packed")
 
@@ -176,12 +176,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: Fracti
 def _met(members: DataFrame) -> DataFrame:
     """members (hub, node, component, ..) of groups that hold two components, dealt out to meet in blocks of bounded size.
 
-    Block k of a group meets the blocks up to k; a row goes to each such pair (i, j) of blocks, with its own block.
+    Block k of a group meets the blocks up to k; a row goes to each such pair (i, j) of blocks, with its own block. Rows are
+    dealt out by the pair, not by the hub alone, which grouping by (hub, i, j) would be content with.
     """
     groups = members.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).filter("low != high")
-    rows = members.join(groups.select("hub", F.ceil(F.col("rows") / LIST_BLOCK).alias("blocks")), "hub").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    rows = salted(members, groups.select("hub", F.ceil(F.col("rows") / LIST_BLOCK).alias("blocks")), "hub", "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
     met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.greatest(x, F.col("own")).alias("i"), F.least(x, F.col("own")).alias("j")))
-    return rows.withColumn("met", F.explode(met)).withColumn("i", F.col("met.i")).withColumn("j", F.col("met.j")).drop("met", "blocks")
+    return rows.withColumn("met", F.explode(met)).withColumn("i", F.col("met.i")).withColumn("j", F.col("met.j")).drop("met", "blocks").repartition("hub", "i", "j")
 
 
 def _may_link(n: np.ndarray, sig: np.ndarray, part: np.ndarray, left: np.ndarray, right: np.ndarray, match: int, similarity: Fraction) -> np.ndarray:
@@ -263,6 +264,17 @@ def _merged(members: DataFrame, width: int, match: int, similarity: Fraction) ->
     return _met(members).groupBy("hub", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def _same_key(full: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """Pairs (a, b) of nodes that rows with one key are in: of each such key its first node with the others; None if there is no such key."""
+    differ = lambda c: F.min(c) != F.max(c)
+    several = materialise(full.groupBy("key").agg((differ("d") | differ("e")).alias("several")).filter("several").select("key"))
+    if several.isEmpty():
+        return None
+    own = full.join(several, "key", "left_semi").select("key", "d", "e").distinct()
+    own = materialise(own.join(nodes.select("d", "e", F.col("node").alias("b")), ["d", "e"]).select("key", "b"))
+    return own.groupBy("key").agg(F.min("b").alias("a")).join(own, "key").filter("a != b").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(8, 10), width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """For each row of docs its key, n_shingles, component_id (the smallest key reachable over links) and kept.
 
@@ -271,20 +283,23 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(8, 10), wid
     whole sequence as one shingle.
 
     Documents without words, or with a null text, have no shingles and are linked with nothing: their component
-    is their own key. Rows with one key are one node if their sets are equal too, and each
-    comes back; rows with a null key link nothing and have a null component and kept false.
-    An empty table gives no rows; other columns are left out.
+    is their own key. Rows with one key are one document: what any of them is linked with is in their component, and each
+    comes back, with kept true where its key stays; rows with a null key link nothing and have a null component and kept false.
+    Texts of any length count whole; ties don't matter; an empty table gives no rows; other columns are left out, whatever their names.
     """
     if docs.schema[key].dataType != T.LongType():
         docs = docs.withColumn(key, F.col(key).cast("long"))
     match = match_for(similarity)
     bounded_batches(docs)
     rows = materialise(sketches(docs, key, text, width))
-    classes = rows.filter("n > 0 AND key IS NOT NULL").groupBy("d", "e").agg(F.min("key").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    nodes = materialise(classes)
+    full = rows.filter("n > 0 AND key IS NOT NULL")
+    classes = full.groupBy("d", "e").agg(F.min(F.struct("key", "h")).alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    # numbers are written once, so later steps agree on them
+    nodes = materialise(classes.select(F.monotonically_increasing_id().alias("node"), "d", "e", F.col("low.key").alias("key"), F.col("low.h").alias("h"), "n", "sig"))
     posted = materialise(_postings(nodes, match))
-    texts = pack(docs.select(F.col(key).alias("node"), F.col(text).alias("packed")).filter("packed IS NOT NULL"), "packed")
-    texts = texts.join(posted.select(F.col("node").alias("wanted")), F.col("node") == F.col("wanted"), "left_semi")
+    wanted = posted.select("node").join(nodes.select("node", F.col("key").alias("of"), F.col("h").alias("oh")), "node")
+    texts = pack(docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("packed")).filter("packed IS NOT NULL"), "packed")
+    texts = texts.join(wanted, (F.col("key") == F.col("of")) & (F.col("h") == F.col("oh"))).select("node", "packed")
     texts = materialise(texts.dropDuplicates(["node"]))
 
     lists = posted.select("node", "score", F.explode("prefix").alias("token"))
@@ -292,7 +307,8 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(8, 10), wid
     # two nodes that meet in a list are both in the group of its hub
     groups = materialise(lists.join(hubs, "token").select("hub", "node").distinct())
     pairs = groups.filter("hub != node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    links = materialise(_verified(_agree(pairs, posted, match, similarity), texts, width, similarity))
+    links, same = _verified(_agree(pairs, posted, match, similarity), texts, width, similarity), _same_key(full, nodes)
+    links = materialise(links if same is None else links.unionByName(same))
     found = components(links).withColumnRenamed("node", "in")
     member = posted.select("node", "n", "sig").join(found, F.col("node") == F.col("in"), "left").select("node", "n", "sig", F.coalesce("component", "node").alias("component"))
     member = materialise(member)
@@ -300,15 +316,20 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(8, 10), wid
     merged = materialise(_merged(active.join(member, "node").join(texts, "node"), width, match, similarity))
     if not merged.limit(1).isEmpty():
         found = components(links.unionByName(merged)).withColumnRenamed("node", "in")
-    known = nodes.select(F.col("d").alias("cd"), F.col("e").alias("ce"), "node").join(found, F.col("node") == F.col("in"), "left")
-    known = known.select("cd", "ce", F.coalesce("component", "node").alias("component_id"))
+    known = nodes.select("d", "e", "key", "node").join(found, F.col("node") == F.col("in"), "left").select("d", "e", "key", F.coalesce("component", "node").alias("part"))
+    lowest = known.groupBy(F.col("part").alias("of")).agg(F.min("key").alias("component_id"))
+    known = known.join(lowest, F.col("part") == F.col("of")).select(F.col("d").alias("cd"), F.col("e").alias("ce"), "component_id")
     out = rows.join(known, (F.col("d") == F.col("cd")) & (F.col("e") == F.col("ce")) & (F.col("n") > 0), "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(False)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, similarity: Fraction = Fraction(8, 10), width: int = 5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that stay: of each component the document with the smallest key, of rows with one key and text one; rows with a null key all stay."""
+    """The rows of docs, with all their columns, that stay: of each component the document with the smallest key.
+
+    Of rows with one key and text one stays; rows with a null key all stay, and so do documents without words or with a null text, each for itself; texts of
+    any length count whole; ties don't matter; an empty table stays one; columns of any name pass through as they are.
+    """
     gone = near_duplicates(docs, similarity, width, key, text).filter(F.col(key).isNotNull() & ~F.col("kept")).select(F.col(key).cast(docs.schema[key].dataType).alias("gone")).distinct()
     once, copy = fresh(docs.columns, "once", "copy")
     packed = pack(docs, text).join(gone, F.col(key) == F.col("gone"), "left_anti")
