@@ -24,14 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import materialise, tidy
 
 #: Vectors that pivots and slab limits are fitted to, at most (about).
 SAMPLE = 4096
 PIVOTS, SLAB, ANNULUS = 16, 4096, 512
-#: Queries handled together.
-QUERIES = 512
+#: Queries handled together, and slabs whose bounds they are held against at once.
+QUERIES, SHELF = 512, 4096
 _EXACT = float(1 << 52)
+#: Components are held within this, scores within a long.
+LARGEST = 1 << 62
 
 
 class Index(NamedTuple):
@@ -52,7 +54,7 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def prepared(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """(id, dim, v): components scaled and floored, as bytes; vectors that are null, empty or hold null or non-finite components are left out."""
+    """(id, dim, v): components scaled and floored, held within `LARGEST`, as bytes; vectors that are null, empty or hold null or non-finite components are left out."""
     rows = vectors.filter(F.col(vector).isNotNull() & F.col(key).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("x"))
 
     def run(batches):
@@ -62,20 +64,21 @@ def prepared(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame
             flat = lists.flatten()
             x = flat.cast(pa.float64()).to_numpy(zero_copy_only=False)  # null becomes nan
             good = np.logical_and.reduceat(np.isfinite(x), np.concatenate([[0], np.cumsum(lengths)[:-1]])) if len(lengths) else np.zeros(0, bool)
-            v = np.clip(np.floor(np.where(np.isfinite(x), x, 0) * scale), -(2.0**62), 2.0**62).astype(np.int64)
+            v = np.clip(np.floor(np.where(np.isfinite(x), x, 0) * scale), -float(LARGEST), float(LARGEST)).astype(np.int64)
             ends = np.cumsum(lengths)
             cells = [v[e - n : e].tobytes() for e, n in zip(ends, lengths)]
             yield pa.RecordBatch.from_arrays([ids, pa.array(lengths, pa.int32()), pa.array(cells, pa.binary())], ["id", "dim", "v"]).filter(pa.array(good))
 
-    return rows.mapInArrow(run, "id long, dim int, v binary")
+    return rows.mapInArrow(tidy(run), "id long, dim int, v binary")
 
 
 def fit(rows: DataFrame) -> dict[int, Index]:
     """An index for each number of dimensions, from a bounded sample: pivots chosen farthest first, slab limits by quantiles."""
     counts = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().collect()}
     total, out = sum(counts.values()), {}
-    unit = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    picked = rows.filter(unit * total < SAMPLE).select("dim", "v").collect() if total else []
+    unit = F.pmod(F.xxhash64("id", "v", F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    # repeated rows count once, so the sample is bounded whatever their number
+    picked = rows.filter(unit * total < SAMPLE).select("dim", "v").distinct().collect() if total else []
     for dim, n in counts.items():
         cells = sorted({bytes(r["v"]) for r in picked if r["dim"] == dim})
         x = np.frombuffer(b"".join(cells), np.int64).reshape(-1, dim).astype(float) if cells else np.zeros((1, dim))
@@ -108,7 +111,7 @@ def _placed(rows: DataFrame, indexes: dict[int, Index]) -> DataFrame:
                     slab[cell == c] = np.searchsorted(index.limits[c], low[cell == c])
                 yield pa.RecordBatch.from_arrays([*some.columns, pa.array(cell), pa.array(slab), pa.array(low)], ["id", "dim", "v", "cell", "slab", "far"])
 
-    return rows.mapInArrow(run, "id long, dim int, v binary, cell long, slab long, far double")
+    return rows.mapInArrow(tidy(run), "id long, dim int, v binary, cell long, slab long, far double")
 
 
 def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -120,7 +123,7 @@ def _scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _search(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, pivot: np.ndarray, vid: np.ndarray, v: np.ndarray, far: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query, vector, score) of what a slab adds to the best k of queries, expanding annuli outwards from each query's distance."""
+    """(place among the queries, vector, score) of what a slab adds to the best k of queries, expanding annuli outwards from each query's distance."""
     order = np.argsort(far, kind="stable")
     vid, v, far = vid[order], v[order], far[order]
     own = _distances(q.astype(float), pivot[None].astype(float))[:, 0]
@@ -152,18 +155,19 @@ def _search(qid: np.ndarray, q: np.ndarray, floor: np.ndarray, pivot: np.ndarray
                     best[g] = merged
                     if len(merged) == k:
                         kth[g] = max(kth[g], -merged[-1][0])
-    return [(int(qid[g]), vec, -s) for g, found in enumerate(best) for s, vec in found]
+    return [(g, vec, -s) for g, found in enumerate(best) for s, vec in found]
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose key is divisible by `every` its k highest inner products with other rows.
 
-    Components are floor(scale * x); equal scores go to the smaller key; fewer than k other
+    Components are floor(scale * x), held within 2**62 either way, and scores within the range of a long; equal scores go to the smaller key; fewer than k other
     vectors give as many rows. Only vectors of a query's own number of dimensions are compared.
 
     Null keys and vectors, empty vectors and such with null, infinite or nan
-    components take no part; rows with the query's own key count as its own; other
-    rows that are equal each count; an empty table gives no rows.
+    components take no part. All rows with the query's own key count as its own. Query rows that are equal in key and vector
+    are one query; those with one key and different vectors are answered each, ranks from 1. Other
+    rows that are equal each count; an empty table gives no rows; other columns are left out, whatever their names.
     """
     spark = vectors.sparkSession
     rows = materialise(prepared(vectors, key, vector, scale))
@@ -176,7 +180,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key
     data = materialise(data.withColumn("norm", _norm("v")))
     place = ["dim", "cell", "slab", "part"]
     edges = data.groupBy(*place).agg(F.min("far").alias("lo"), F.max("far").alias("hi"), F.max("norm").alias("most"))
-    queries = data.filter(F.pmod("id", F.lit(every)) == 0).select("id", "v", *place)
+    queries = data.filter(F.pmod("id", F.lit(every)) == 0).select("id", "v", *place).dropDuplicates(["id", "v"])
     shared = spark.sparkContext.broadcast(indexes)
 
     def search(key, group, asked):
@@ -186,21 +190,22 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, key
             vid, v, far = group.column("id").to_numpy(), _matrix(group.column("v")), group.column("far").to_numpy()
             qid, q, floor = asked.column("id").to_numpy(), _matrix(asked.column("v")), asked.column("floor").to_numpy()
             for a in range(0, len(qid), QUERIES):
-                out += _search(qid[a : a + QUERIES], q[a : a + QUERIES], floor[a : a + QUERIES], index.pivots[key[1].as_py()], vid, v, far, k)
-        query, vec, score = zip(*out) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()), "score": pa.array(score, pa.int64())})
+                found = _search(qid[a : a + QUERIES], q[a : a + QUERIES], floor[a : a + QUERIES], index.pivots[key[1].as_py()], vid, v, far, k)
+                out += [(int(qid[a + g]), asked.column("mark")[a + g].as_py(), vec, s) for g, vec, s in found]
+        return pa.table([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 4)], ["query_id", "mark", "vec_id", "score"])
 
     def searched(asked: DataFrame) -> DataFrame:
-        return data.select(*place, "id", "v", "far").groupBy(*place).cogroup(asked.groupBy(*place)).applyInArrow(search, "query_id long, vec_id long, score long")
+        return data.select(*place, "id", "v", "far").groupBy(*place).cogroup(asked.groupBy(*place)).applyInArrow(search, "query_id long, mark long, vec_id long, score long")
 
     lowest = F.lit(-float("inf"))
+    queries = queries.withColumn("mark", F.xxhash64("v"))  # tells queries of one key apart
     first = materialise(searched(queries.withColumn("floor", lowest)))
-    floors = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score").cast("double")).alias("floor"))
+    floors = first.groupBy("query_id", "mark").agg(F.when(F.count("*") == k, F.min("score").cast("double")).alias("floor"))
     # every other slab whose bound reaches the k-th score
-    wanted = queries.join(floors, F.col("id") == F.col("query_id"), "left").select("id", "v", *place, F.coalesce("floor", lowest).alias("floor"))
-    asked = _reached(wanted, edges, indexes, place)
+    wanted = queries.join(floors, (F.col("id") == F.col("query_id")) & queries["mark"].eqNullSafe(floors["mark"]), "left").select("id", "v", queries["mark"], *place, F.coalesce("floor", lowest).alias("floor"))
+    asked = _reached(materialise(wanted), edges, indexes, place)
     found = first.unionByName(searched(asked))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -217,29 +222,36 @@ def _norm(column: str):
 def _reached(wanted: DataFrame, edges: DataFrame, indexes: dict[int, Index], place: list[str]) -> DataFrame:
     """A row of `wanted` for each slab, but its own, that may hold one of its best k.
 
-    Queries go in blocks of bounded size past the list of slabs, a table with a row per slab of `SLAB` vectors.
+    Blocks of queries meet shelves of slabs, both of bounded size, each pair in a task of its own: no task sees all slabs or
+    all queries of a number of dimensions.
     """
-    shared = wanted.sparkSession.sparkContext.broadcast(indexes)
-    blocks = wanted.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-wanted.count() // QUERIES)))))
-    asking = blocks.select(F.col("dim").alias("of"), F.col("block").alias("by")).distinct()
-    dims = asking.join(edges, F.col("of") == F.col("dim")).select("of", "by", *place[1:], "lo", "hi", "most")
+    spark = wanted.sparkSession
+    shared = spark.sparkContext.broadcast(indexes)
+    edges = materialise(edges)
+    # a row for each number of dimensions
+    asked, held = wanted.groupBy("dim").count(), edges.groupBy("dim").agg(F.count("*").alias("slabs"))
+    parts = asked.join(held, "dim").select("dim", F.ceil(F.col("count") / QUERIES).alias("blocks"), F.ceil(F.col("slabs") / SHELF).alias("shelves"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    blocks = wanted.join(F.broadcast(parts), "dim").withColumn("block", F.pmod(F.xxhash64("id", "mark"), "blocks")).withColumn("shelf", each("shelves")).drop("blocks", "shelves")
+    shelves = edges.join(F.broadcast(parts), "dim").withColumn("shelf", F.pmod(F.xxhash64(*place), "shelves")).withColumn("block", each("blocks")).drop("blocks", "shelves")
 
     def run(key, queries, slabs):
-        out = {"id": [], "v": [], "floor": [], "cell": [], "slab": [], "part": []}
+        out = {"id": [], "v": [], "mark": [], "floor": [], "cell": [], "slab": [], "part": []}
         if queries.num_rows and slabs.num_rows:
             index = shared.value[key[0].as_py()]
             q = _matrix(queries.column("v")).astype(float)
             d, squares = _distances(q, index.pivots), (q * q).sum(axis=1)
-            floor, ids, cells = queries.column("floor").to_numpy(), queries.column("id").to_pylist(), queries.column("v").to_pylist()
+            floor = queries.column("floor").to_numpy()
+            ids, marks, cells = (queries.column(c).to_pylist() for c in ("id", "mark", "v"))
             own = list(zip(*(queries.column(c).to_pylist() for c in place[1:])))
             for s in slabs.to_pylist():
                 gap = np.maximum(0, np.maximum(d[:, s["cell"]] - s["hi"], s["lo"] - d[:, s["cell"]]))
                 bound = (squares + s["most"] - gap * gap) / 2 * (1 + 1e-9) + 1 + 1e-9 * (squares + s["most"])
                 for g in np.flatnonzero(bound >= floor).tolist():
                     if own[g] != (s["cell"], s["slab"], s["part"]):
-                        for name, value in (("id", ids[g]), ("v", cells[g]), ("floor", floor[g]), ("cell", s["cell"]), ("slab", s["slab"]), ("part", s["part"])):
+                        for name, value in (("id", ids[g]), ("v", cells[g]), ("mark", marks[g]), ("floor", floor[g]), ("cell", s["cell"]), ("slab", s["slab"]), ("part", s["part"])):
                             out[name].append(value)
         n = len(out["id"])
-        return pa.table({"id": pa.array(out["id"], pa.int64()), "v": pa.array(out["v"], pa.binary()), "dim": pa.array([key[0].as_py()] * n, pa.int32()), **{c: pa.array(out[c], pa.int64()) for c in place[1:]}, "floor": pa.array(out["floor"], pa.float64())})
+        return pa.table({"id": pa.array(out["id"], pa.int64()), "v": pa.array(out["v"], pa.binary()), "mark": pa.array(out["mark"], pa.int64()), "dim": pa.array([key[0].as_py()] * n, pa.int32()), **{c: pa.array(out[c], pa.int64()) for c in place[1:]}, "floor": pa.array(out["floor"], pa.float64())})
 
-    return blocks.groupBy("dim", "block").cogroup(dims.groupBy("of", "by")).applyInArrow(run, "id long, v binary, dim int, cell long, slab long, part long, floor double")
+    return blocks.groupBy("dim", "block", "shelf").cogroup(shelves.groupBy("dim", "block", "shelf")).applyInArrow(run, "id long, v binary, mark long, dim int, cell long, slab long, part long, floor double")
