@@ -10,7 +10,10 @@ weighted shingle similarity (shingles weigh as often as they occur).
 A window can only be similar to an item if it has a shingle of it, so just those
 windows are fingerprinted.  That prunes nothing that verification would keep.
 
-The benchmark goes to the tasks in slices of bounded size; a larger one takes more passes.
+A document shorter than an item is one window, whole.  At a similarity of 0.8 the radius is
+five standard deviations above the mean distance of fingerprints; a test states what it misses.
+
+The benchmark goes to the tasks in slices whose indexes are of bounded size; a larger one takes more passes.
 """
 
 from __future__ import annotations
@@ -28,11 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 BITS, BLOCKS, RADIUS = 64, 8, 24
-#: Characters of benchmark sent to the tasks at once.
-SLICE_CHARS = 2 << 20
+#: Bytes of index sent to the tasks at once (about), and what an item and a character of it take.
+SLICE_BYTES, ITEM_BYTES, CHAR_BYTES = 64 << 20, 4096, 16
 _SIEVE = 1 << 21
 
 
@@ -94,8 +97,8 @@ def _within_radius(index: Index, prints: np.ndarray, item: int) -> np.ndarray:
     return found
 
 
-def _hits(words: W.Words, index: Index, similarity: Fraction) -> Iterator[tuple[int, int, int, float]]:
-    """(document, item, first word, similarity) of the best window for each document and item."""
+def _hits(words: W.Words, index: Index, similarity: Fraction) -> Iterator[tuple[int, int, int, int, float]]:
+    """(document, item, first word, words, similarity) of the best window for each document and item."""
     h = words.hashes()
     p, q = similarity.numerator, similarity.denominator
     for width in sorted({i.width for i in index.items}):
@@ -115,17 +118,18 @@ def _hits(words: W.Words, index: Index, similarity: Fraction) -> Iterator[tuple[
         cuts = np.flatnonzero((np.diff(owner) != 0) | (np.diff(doc) != 0)) + 1
         for a, b in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(place)]]).tolist()):
             item, d, spots = index.items[owner[a]], int(doc[a]), place[a:b]
-            size = item.words - item.width + 1
             begin, end = int(words.first[d]), int(words.first[d + 1])
-            if item.width != width or end - begin < item.words:
+            length = min(item.words, end - begin)
+            size, whole = length - width + 1, item.words - width + 1
+            if item.width != width or size < 1:
                 continue
             # windows that hold a hit
-            reach = end - begin - item.words + 1
+            reach = end - begin - length + 1
             near = W.covered(np.maximum(spots - begin - size + 1, 0), size, reach + size)[:reach] if size > 1 else np.isin(np.arange(reach), spots - begin)
             starts = np.flatnonzero(near) + begin
             # no more shingles in common than hits: a bound on the similarity
             hits = np.searchsorted(spots, starts + size) - np.searchsorted(spots, starts)
-            starts = starts[q * hits >= p * (2 * size - hits)]
+            starts = starts[q * hits >= p * (size + whole - hits)]
             if not len(starts):
                 continue
             base = int(starts[0])
@@ -134,19 +138,21 @@ def _hits(words: W.Words, index: Index, similarity: Fraction) -> Iterator[tuple[
             for s in starts[_within_radius(index, prints, int(owner[a]))].tolist():
                 own = Counter(values[s : s + size].tolist())
                 common = sum((own & item.weights).values())
-                if q * common >= p * (2 * size - common) and (best is None or common > best[0]):
+                if q * common >= p * (size + whole - common) and (best is None or common > best[0]):
                     best = (common, s)
+                    if common == whole:
+                        break
             if best:
-                yield d, int(owner[a]), best[1] - begin, best[0] / (2 * size - best[0])
+                yield d, int(owner[a]), best[1] - begin, length, best[0] / (size + whole - best[0])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: Fraction = Fraction(8, 10), width: int = 5, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item, start, n_words, similarity): the best window of each document for each item that it holds.
 
     Words are lower-cased in A-Z; items and windows of fewer than `width` words have
-    all their words as one shingle. Null texts, documents shorter than an item, and items
-    without words match nothing; the earliest of equally good windows counts; repeated
-    rows are reported each; a null key comes back as null; empty tables give no rows.
+    all their words as one shingle; a document shorter than an item is compared whole. Null texts and items
+    without words match nothing; the earliest of equally good windows counts; texts of any length are searched whole; repeated
+    rows of docs are reported each, repeated items once; a null key comes back as null; empty tables give no rows; other columns are left out, whatever their names.
     """
     indexes = _indexes(benchmark, width, item_key, item_text)
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("item_id", benchmark.schema[item_key].dataType), T.StructField("start", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("similarity", T.DoubleType())])
@@ -155,7 +161,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: Fraction = F
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: Fraction = Fraction(8, 10), width: int = 5, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that hold no benchmark item as `contaminated` finds them; rows with a null text stay."""
+    """The rows of docs, with all their columns, that hold no benchmark item as `contaminated` finds them.
+
+    Rows with a null or empty text stay; texts of any length are searched whole; repeated rows stay or go alike; ties don't matter; an
+    empty benchmark keeps all rows; an empty table stays one; columns of any name pass through as they are.
+    """
     for index in _indexes(benchmark, width, item_key, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -166,16 +176,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: Fraction = Fraction
                     good[[lo + d for d, *_ in _hits(words, shared.value, similarity)]] = False
                 yield batch.filter(pa.array(good))
 
-        docs = bounded_batches(docs).mapInArrow(keep, docs.schema)
+        docs = bounded_batches(docs).mapInArrow(tidy(keep), docs.schema)
     return docs
 
 
 def _indexes(benchmark: DataFrame, width: int, item_key: str, item_text: str) -> Iterator[Index]:
     """Indexes of slices of the benchmark, of bounded size each; one of nothing if it is empty."""
-    items = benchmark.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text")).filter("text IS NOT NULL")
-    n = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // SLICE_CHARS) or 1
+    items = benchmark.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text")).filter("text IS NOT NULL").distinct()
+    n = -(-(items.agg(F.sum(F.length("text") * CHAR_BYTES + ITEM_BYTES)).first()[0] or 0) // SLICE_BYTES) or 1
     for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k).collect()
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
         yield build(sorted(((r["item_id"], r["text"]) for r in rows), key=str), width)
 
 
@@ -188,10 +198,10 @@ def _scan(docs: DataFrame, index: Index, similarity: Fraction, schema: T.StructT
             keys = batch.column(0)
             for lo, _, words in W.pieces(batch.column(1), lower=True) if index.items else ():
                 if found := list(_hits(words, index, similarity)):
-                    doc, item, start, score = zip(*found)
+                    doc, item, start, length, score = zip(*found)
                     own = pa.array([index.items[i].id for i in item])
-                    cols = [keys.take(pa.array([lo + d for d in doc])), own, pa.array(start, pa.int64()), pa.array([index.items[i].words for i in item], pa.int64()), pa.array(score)]
+                    cols = [keys.take(pa.array([lo + d for d in doc])), own, pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(score)]
                     yield pa.RecordBatch.from_arrays(cols, schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
