@@ -89,13 +89,14 @@ def leaks(rows, items, p=8, q=10):
             k = min(5, len(v))
             own = Counter(tuple(v[i : i + k]) for i in range(len(v) - k + 1)) if v else Counter()
             best = None
-            for s in range(len(w) - len(v) + 1 if v else 0):
-                n = len(v) - k + 1
+            m = min(len(v), len(w))  # words of a window
+            for s in range(len(w) - m + 1 if v and m >= k else 0):
+                n, whole = m - k + 1, len(v) - k + 1
                 common = sum((own & Counter(tuple(w[s + i : s + i + k]) for i in range(n))).values())
-                if q * common >= p * (2 * n - common) and (best is None or common > best[0]):
-                    best = (common, s, n)
+                if q * common >= p * (n + whole - common) and (best is None or common > best[0]):
+                    best = (common, s, n + whole)
             if best:
-                out[key, item] = (best[1], len(v), best[0] / (2 * best[2] - best[0]))
+                out[key, item] = (best[1], m, best[0] / (best[2] - best[0]))
     return out
 
 
@@ -106,15 +107,83 @@ def licensed(text):
     return len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at}))
 
 
+def license_labels(text, base, notices):
+    """Labels and score: k-grams by diagonal, neighbouring diagonals merged, words of spans compared."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    labels, score = set(), 0.0
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    for t in (*base, *notices):
+        n = len(t.words)
+        k = max(1, min(3, n - 1 if n > 2 else n))
+        votes = defaultdict(set)
+        for i in range(len(w) - k + 1):
+            for j in range(n - k + 1):
+                if w[i : i + k] == list(t.words[j : j + k]):
+                    votes[i - j].add(j)
+        if t.exact:
+            if any(len(v) == n - k + 1 for v in votes.values()):
+                labels.add(t.label)
+                score = 1.0
+            continue
+        groups = []
+        for d in sorted(votes):
+            if not groups or d - groups[-1][-1] > 3:
+                groups.append([])
+            groups[-1].append(d)
+        for g in groups:
+            if len(set().union(*(votes[d] for d in g))) / (n - k + 1) >= 0.6:
+                start = max(g[0], 0)
+                share = common(w[start : n + g[-1]], t.words) / n
+                if share >= 0.6:
+                    labels.add(t.label)
+                    score = max(score, share)
+    return ",".join(sorted(labels)), score
+
+
+def clause_patterns(text, insults=frozenset()):
+    """The patterns of a text, clause by clause; insults: (length, hash) of learned beginnings."""
+    from veilgraph.llm import toxicity as tox
+
+    symbol = {w: s for s, ws in {**tox.SEEDS, tox.INSULT: tox.INSULTS}.items() for w in ws.split()}
+
+    def begins(w):
+        raw, total = w.encode(), 0
+        for n in range(1, min(len(raw), 12) + 1):
+            total = (total + (raw[n - 1] + 1) * pow(tox.W.BYTE_BASE, n - 1, 1 << 64)) % (1 << 64)
+            if (n == len(raw) or raw[n] & 0xC0 != 0x80) and (n, int(tox.W.mix(tox.np.array([(total + n) % (1 << 64)], tox.W.U64))[0])) in insults:
+                return True
+        return False
+
+    found = set()
+    for clause in re.split(r"[.!?;:\n\r]", (text or "").translate(LOWER)):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", clause)
+        s = [symbol.get(x) or (tox.INSULT if insults and begins(x) else None) for x in w]
+        for i, kind in enumerate(s):
+            if kind in (tox.INSULT, tox.THREAT):
+                how = "negated " if tox.NEGATION in s[max(0, i - 3) : i] else "reported " if tox.REPORT in s[:i] else "aimed " if tox.TARGET in s else ""
+                found.add(how + ("insult" if kind == tox.INSULT else "threat"))
+    return found
+
+
 def top(vectors, k, every):
+    """For each distinct (key, vector) of the query rows, the k best (vector, score)."""
     import math
 
-    valid = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
+    held = lambda n, limit, least: max(min(n, limit), least)
+    valid = [(i, tuple(held(math.floor(256 * x), 1 << 62, -(1 << 62)) for x in v)) for i, v in vectors if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     out = {}
-    for i, v in valid:
+    for i, v in dict.fromkeys(valid):
         if i % every == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in valid if j != i and len(w) == len(v))
-            out[i] = [(j, -s) for s, j in scores[:k]]
+            scores = sorted((-held(sum(a * b for a, b in zip(v, w)), (1 << 63) - 1, -(1 << 63)), j) for j, w in valid if j != i and len(w) == len(v))
+            out[i, v] = [(j, -s) for s, j in scores[:k]]
     return out
 
 

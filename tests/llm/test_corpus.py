@@ -47,6 +47,13 @@ def test_near_duplicates(spark, similarity, monkeypatch):
     assert sorted(own, key=key) == sorted(brute.near(rows, similarity.numerator, similarity.denominator), key=key)
 
 
+def test_near_duplicates_with_repeated_keys(spark):
+    a, b = brute.varied(31, 60), brute.varied(32, 60)
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (5, brute.varied(33, 40)), (5, brute.varied(34, 40)), (5, brute.varied(35, 40)), (4, brute.varied(35, 40)), (6, "")]
+    own = sorted(tuple(r) for r in neardup.near_duplicates(frame(spark, rows), Fraction(85, 100)).collect())
+    assert own == sorted(brute.near(rows, 85, 100)) and {c for k, _, c, _ in own if k == 3} == {1} and {c for k, _, c, _ in own if k == 5} == {4}
+
+
 def test_near_duplicates_without_a_centre(spark, monkeypatch):
     # variants too far from each other's hub, in blocks smaller than their group
     monkeypatch.setattr(neardup, "LIST_BLOCK", 8)
@@ -71,16 +78,32 @@ def test_one_of_each_keeps_columns(spark):
 
 
 def test_decontamination(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "SLICE_CHARS", 400)  # several passes
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 4 * decontaminate.ITEM_BYTES)  # several passes
     items = [(1, brute.varied(1, 60)), (2, " ".join(brute.varied(1, 60).split()[10:40])), (3, "Word TWO"), (4, ""), (5, None), (6, brute.varied(99, 30)), (7, "one"), (8, "a " * 40)]
-    rows = [r for r in brute.awkward() if r[0] is not None and r[0] != 11] + [(90, brute.varied(99, 30).replace(brute.varied(99, 30).split()[15], "zz")), (91, "x " + brute.varied(99, 30).rsplit(" ", 1)[0] + " zz")]
+    rows = [r for r in brute.awkward() if r[0] is not None and r[0] != 11] + [(90, brute.varied(99, 30).replace(brute.varied(99, 30).split()[15], "zz")), (91, "x " + brute.varied(99, 30).rsplit(" ", 1)[0] + " zz"), (92, brute.varied(99, 30).rsplit(" ", 2)[0]), (93, brute.varied(99, 12))]
     docs, bench = frame(spark, rows), frame(spark, items, "item_id long, text string")
     own = {(r["doc_id"], r["item_id"]): (r["start"], r["n_words"], r["similarity"]) for r in decontaminate.contaminated(docs, bench).collect()}
     assert own == brute.leaks(rows, items)
+    assert (92, 6) in own and (93, 6) not in own
     clean = sorted(r["doc_id"] for r in decontaminate.clean(docs, bench).collect())
     assert clean == sorted({k for k, _ in rows} - {k for k, _ in own})
 
 
+def test_fingerprints_within_the_radius():
+    """Pairs of shingle multisets of a similarity of 0.8 or a little more: how many lie beyond the radius?"""
+    import numpy as np
+
+    rng, beyond, pairs = np.random.default_rng(3), 0, 0
+    for size in (9, 18, 27, 45, 90, 180):
+        common = -(-16 * size // 18)  # common / (2 * size - common) >= 0.8
+        for _ in range(3000):
+            both = rng.integers(0, 1 << 63, 2 * size, dtype=np.uint64)
+            one, two = both[:size], np.concatenate([both[:common], both[size : 2 * size - common]])
+            prints = [int(decontaminate.fingerprints(x, np.zeros(1, np.int64), size)[0]) for x in (one, two)]
+            beyond, pairs = beyond + ((prints[0] ^ prints[1]).bit_count() > decontaminate.RADIUS), pairs + 1
+    assert beyond <= pairs * 1e-3, (beyond, pairs)
+
+
 def test_url_rules(spark):
     rules = [urls.Rule("allow", "org", "/"), urls.Rule("block", "example.org", "/es/"), urls.Rule("block", "example.org", "/en/1"), urls.Rule("allow", "com", "/fr/"), urls.Rule("block", "com", "/de/"), urls.Rule("allow", "a.com", "/de/x"), urls.Rule("block", "net", "")]
     addresses = [None, "", "no scheme", "http://", "http://Example.ORG/es/1?x", "https://a.example.org/en/12#f", "http://example.org/en/2", "http://badexample.org/es/", "http://x.com/fr/", "http://x.com/de/", "http://b.a.com/de/xy", "http://a.com/de/y", "http://org", "http://n.net?q=/x", "s://com/fr/://org/", "http://example.org.:80/es/", "http://é.org/", "http://com/fr"]
@@ -148,6 +171,18 @@ def test_clause_transducers():
     assert run("not now but later on, idiot") == ["insult"] and run("I will hurt you") == ["aimed threat"]
 
 
+def test_composed_transducer():
+    import random
+
+    pick = random.Random(5)
+    some = [w for text in toxicity.SEEDS.values() for w in text.split()[:4]] + toxicity.INSULTS.split()[:4] + ["calm", "day", "tree", "walk"] * 4 + [".", "!", "\n", ":"]
+    lexicon = toxicity.given()
+    texts = [" ".join(pick.choice(some) for _ in range(pick.randrange(30))) for _ in range(3000)]
+    words = toxicity.W.split(*toxicity.W.text_bytes(toxicity.pa.array(texts)), toxicity.W.NOT_ALNUM, True)
+    own = {d: {toxicity.PATTERNS[p] for p in found} for d, found in toxicity.patterns(words, lexicon)}
+    assert own == {d: found for d, found in enumerate(map(brute.clause_patterns, texts)) if found} and len(own) > 1000
+
+
 def test_language_models(spark):
     tongue = {"aa": ("ba", "de", "ku"), "bb": ("xz", "qw", "pf"), "cc": ("äö", "ßü", "çé")}
     rows = [(i, " ".join("".join(tongue[lang][(i * 7 + j * j + k) % 3] for k in range(1 + j % 3)) for j in range(30)), lang) for i in range(90) for lang in [sorted(tongue)[i % 3]]]
@@ -169,7 +204,7 @@ def test_scores_outlive_a_small_cache(monkeypatch):
     piece = lambda *texts: langid.characters(*langid.W.text_bytes(pa.array(texts)))
     models = [langid.estimate(piece("abab ba cab abba", "bac ab")), langid.estimate(piece("xyz zyx xxy", "cab zy"))]
     identifier = langid.Identifier(["aa", "bb"], models, np.zeros((2, len(langid.LENGTHS))))
-    monkeypatch.setattr(langid, "CACHE", 8)
+    monkeypatch.setattr(langid, "CACHE_BYTES", 128)
     cache = {}
     for texts in (["abba cab", "zyx xxy bac"], ["cab abba zyx", "", "bac ab xxy"], ["abba cab", "zyx xxy bac"]):
         chars = piece(*texts)
@@ -198,7 +233,12 @@ def test_licenses(spark):
     rows = [(1, None), (2, ""), (3, "CC BY-NC 4.0, cc by cc by"), (4, "General Public License all rights reserved"), (5, "general, public. License"), (5, "general, public. License"), (None, "cc-by"), (7, "you can redistribute it and or modify it under some terms of the GNU General Public License as published by the Free Software Foundation"), (8, "Permission is hereby granted, free of charge, to any person getting a copy of this software and associated documentation files, to deal in the Software without restriction"), (9, "ccc by all right reserved"), (10, "x " * 3000 + "cc by")]
     out = [tuple(r) for r in licenses.scan(frame(spark, rows).withColumn("labels", F.lit(1))).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()]
     assert sorted(out, key=key) == sorted([(k, *brute.licensed(t)) for k, t in rows], key=key)
-    labels = {r["doc_id"]: r["labels"] for r in licenses.scan(frame(spark, rows)).collect()}
+    found = licenses.scan(frame(spark, rows)).collect()
+    labels = {r["doc_id"]: r["labels"] for r in found}
+    plain = dict(rows)
+    for r in found:
+        names, score = brute.license_labels(plain[r["doc_id"]], licenses.BASE, licenses.NOTICES)
+        assert r["labels"] == names and abs(r["score"] - score) < 1e-9
     assert "mit" in labels[8].split(",") and "gpl-notice" in labels[7].split(",")
 
 
@@ -218,18 +258,19 @@ def test_mixing(spark):
     assert again == sorted((key((r["doc_id"],)), r["taken"]) for r in out)
 
 
-def test_top_k(spark):
+def test_top_k(spark, monkeypatch):
     nan, inf = float("nan"), float("inf")
     rows = [(i, [((i * 37 + j * 11) % 97 - 48) / 97 for j in range(6)]) for i in range(300)]
     rows += [(1000 + i, [0.25, -0.5, 0.125, 0.75, -0.1, 0.3]) for i in range(200)]  # many equal ones
     rows += [(2000, None), (2050, [nan] * 6), (2100, [inf] * 6), (2150, [None] * 6), (2200, []), (2250, [1.0, 2.0]), (2251, [3.0, 4.0]), (2300, [1e30] * 6), (None, [0.1] * 6), (-50, [0.9] * 6)]
-    out = {}
-    for r in vectors.top_k(frame(spark, rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit(1))).orderBy("query_id", "rank").collect():
-        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
-    exact = brute.top([r for r in rows if r[0] != 2300], 5, 50)
-    for q, best in exact.items():
-        mine = [x for x in out[q] if x[0] != 2300]
-        assert mine == best[: len(mine)] and len(mine) >= min(4, len(best))
+    rows += [rows[50], rows[21], (100, [0.5] * 6)]  # a repeated query, a repeated vector, and a second vector of a query's key
+    for shelf in (vectors.SHELF, 1):  # one shelf of slabs, and many
+        monkeypatch.setattr(vectors, "SHELF", shelf)
+        monkeypatch.setattr(vectors, "QUERIES", 512 if shelf > 1 else 4)
+        monkeypatch.setattr(vectors, "SLAB", 4096 if shelf > 1 else 64)
+        found = vectors.top_k(frame(spark, rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit(1))).collect()
+        exact = brute.top(rows, 5, 50)
+        assert sorted(map(tuple, found)) == sorted((q, rank, vec, score) for (q, _), best in exact.items() for rank, (vec, score) in enumerate(best, 1))
 
 
 def test_empty_tables(spark):
@@ -266,6 +307,8 @@ class TestTables:
         own = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in queries.op1_substring_dedup(spark, str(TABLES)).collect())
         assert own == sorted((k, n, g, hashlib.sha256(t.encode()).hexdigest()) for k, n, g, t in brute.cut(rows, 35))
         assert sorted(map(tuple, queries.op3_minhash_near_dedup(spark, str(TABLES)).collect())) == sorted(brute.near(rows, 85, 100))
+        for r in queries.op8_license_scan(spark, str(TABLES)).collect():
+            assert (r["labels"], round(r["score"], 9)) == tuple(x if isinstance(x, str) else round(x, 9) for x in brute.license_labels(dict(rows)[r["doc_id"]], licenses.BASE, licenses.NOTICES))
         lic = sorted((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in queries.op8_license_scan(spark, str(TABLES)).collect())
         assert lic == sorted((k, *brute.licensed(t)) for k, t in rows)
 
@@ -284,6 +327,19 @@ class TestTables:
         assert found.filter((F.col("lang") == left_out) & (F.col("n_chars") >= 200)).agg(rejected).first()[0] > 0.95
         assert found.filter((F.col("lang") != left_out) & F.col("held_out")).agg(rejected).first()[0] == 0
 
+    def test_toxicity_scores(self, spark):
+        tables = TABLES.parent / "sf0.01"
+        docs, labels = (spark.read.parquet(str(tables / f"{t}.parquet")) for t in ("documents", "labels"))
+        grammar = toxicity.learn(docs, labels.filter(fold("doc_id", 5) != 0))
+        insults = {(n, int(h)) for n, hashes in zip(grammar.lexicon.lengths, grammar.lexicon.begins) for h in hashes}
+        assert insults
+        own = {r["doc_id"]: r for r in queries.op6_toxicity(spark, str(tables)).collect()}
+        for r in docs.collect():
+            found, score = brute.clause_patterns(r["text"], insults), 1 - grammar.none
+            for k, name in enumerate(toxicity.PATTERNS):
+                score *= 1 - grammar.share[k] if name in found else 1
+            assert abs(own[r["doc_id"]]["score"] - (1 - score)) < 1e-9 and own[r["doc_id"]]["predicted"] == (own[r["doc_id"]]["score"] >= 0.5)
+
     def test_held_out_toxicity(self, spark):
         labels = spark.read.parquet(str(TABLES / "labels.parquet"))
         found = queries.op6_toxicity(spark, str(TABLES)).join(labels, "doc_id").filter("held_out")
