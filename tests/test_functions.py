@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 from decimal import Decimal
+from fractions import Fraction
 
 import pytest
 from hypothesis import given
@@ -47,6 +48,9 @@ def test_columns_agree_with_values(spark):
     for r in out:
         assert r["label"] == keyed.label(KEY, "name-text", r["v"])
         assert [r["u0"], r["u1"], r["u2"], r["u3"]] == [keyed.below(KEY, "contact-number", r["v"], u) for u in (2, 61, 10**10, 1 << 53)]
+    drawn = keyed.with_draws(df, KEY, hex=("name-text", j, None), u=("contact-number", j, 61), p=("contact-number", j, 1 << 53)).collect()
+    for r in drawn:
+        assert (r["hex"], r["u"], r["p"]) == (keyed.label(KEY, "name-text", r["v"]), keyed.below(KEY, "contact-number", r["v"], 61), keyed.below(KEY, "contact-number", r["v"], 1 << 53))
     message = '["hmac-sha256-v1","name-text","plain",0]'
     assert out[0]["label"] == hmac.new(KEY, message.encode(), hashlib.sha256).hexdigest()
 
@@ -71,13 +75,20 @@ def test_factors_and_rounding(monkeypatch):
     s = Decimal("0.16")
     for n, up, expected in ((0, 1, "1.01"), (0, 0, "0.99"), (quantities.STEPS, 1, "1.16"), (quantities.STEPS, 0, "0.84")):
         monkeypatch.setattr(quantities.keyed, "below", lambda key, purpose, value, upper, n=n, up=up: n if upper > 2 else up)
-        assert quantities.factor(KEY, "r", [], s) == Decimal(expected)
-    assert quantities.factor(KEY, "r", [], Decimal(0)) == 1
-    assert quantities.scale(5, Decimal("1.1")) == 6 and quantities.scale(15, Decimal("1.1")) == 16
-    assert str(quantities.scale(Decimal("10.00"), Decimal(1))) == "10.00"
+        assert Fraction(*quantities.factor(KEY, "r", [], s)) == Fraction(expected)
+    assert quantities.factor(KEY, "r", [], Decimal(0)) == (1, 1)
+    assert quantities.scale(5, (11, 10)) == 6 and quantities.scale(15, (11, 10)) == 16 and quantities.scale(-15, (11, 10)) == -16
+    assert [str(quantities.scale(Decimal(v), (11, 10))) for v in ("10.00", "-0.00", "1E+4", "0.5", "1E-7")] == ["11.00", "-0.00", "1E+4", "0.6", "1E-7"]
     assert quantities.relative_change(0, 0) is None and quantities.relative_change(-2, -3) == Decimal("-0.5")
 
 
+@given(st.decimals(allow_nan=False, allow_infinity=False, min_value=-(10**12), max_value=10**12), st.integers(0, quantities.STEPS), st.booleans())
+def test_scaling_is_exact(value, n, up):
+    by = 1 + (1 if up else -1) * (Fraction(1, 100) + (Fraction("0.16") - Fraction(1, 100)) * Fraction(n, quantities.STEPS))
+    out, step = quantities.scale(value, (by.numerator, by.denominator)), Fraction(10) ** value.as_tuple().exponent
+    assert out.as_tuple().exponent == value.as_tuple().exponent and Fraction(out) == round(Fraction(value) * by / step) * step
+
+
 @given(st.lists(st.decimals(allow_nan=False, allow_infinity=False, places=None), min_size=2, max_size=20))
 def test_order_keys_sort_as_decimals(values):
     keys = [(quantities.order_key(str(v)), v) for v in values]
@@ -86,12 +97,12 @@ def test_order_keys_sort_as_decimals(values):
             assert (a < b) == (x < y) and (a == b) == (x == y)
 
 
-def test_scaling_column_is_exact(spark):
-    rows = [(Decimal(f"{v}.{c:02d}"), n, up) for v, c, n, up in ((0, 0, 5, 1), (12, 34, 0, 0), (99999, 99, quantities.STEPS, 1), (7, 5, 123456789012345, 0), (1, 50, quantities.STEPS // 2, 1))]
-    df = spark.createDataFrame(rows, "v decimal(18,2), n long, up long")
-    for r in df.select("v", "n", "up", quantities.scaled_col(F.col("v"), F.col("n"), F.col("up"), 16).alias("out")).collect():
-        size = Decimal("0.01") + Decimal("0.15") * Decimal(r["n"]) / quantities.STEPS
-        assert r["out"] == quantities.scale(r["v"], 1 + size if r["up"] else 1 - size)
+def test_scaling_columns_are_exact(spark):
+    rows = [(c, n, up) for c, n, up in ((0, 5, 1), (1234, 0, 0), (9999999, quantities.STEPS, 1), (705, 123456789012345, 0), (150, quantities.STEPS // 2, 1), (-150, 0, 1), (50, 0, 1), (150, 0, 1), (10**15 + 7, 77, 0))]
+    df = spark.createDataFrame(rows, "cents long, n long, up long")
+    for r in quantities.with_scaled(df, 16, out=(F.col("cents"), F.col("n"), F.col("up"))).collect():
+        size = Fraction(1, 100) + Fraction(15, 100) * Fraction(r["n"], quantities.STEPS)
+        assert r["out"] == round(r["cents"] * (1 + size if r["up"] else 1 - size))
 
 
 def test_walk_types():

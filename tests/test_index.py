@@ -97,6 +97,29 @@ def test_reading_lines(tmp_path):
     assert rows[-1][2] is None and len(rows) > 1
 
 
+def test_parts_of_a_large_file(spark, tmp_path):
+    body = "\ufeff" + "".join(f'{{"n": {i}}}' + ("\r\n" if i % 3 else "\n" if i % 5 else "\r") + ("\n" if i % 7 == 0 else "") for i in range(3000)) + "é" * 10
+    large, small = put(tmp_path / "a.ndjson", raw=""), put(tmp_path / "b.ndjson", raw="x\ny\n")
+    large.write_bytes(body.encode())
+    packed = put(tmp_path / "c.jsonl.gz", raw=body)
+    files = [large, small, packed]
+    plain = {(i, *row) for i, f in enumerate(files, 1) for row in exports.read_documents(str(f))}
+    for size in (1000, 1 << 30):
+        df = exports.scan(spark, files, part_bytes=size)
+        assert {tuple(r) for r in df.collect()} == plain
+    assert exports.scan(spark, files, part_bytes=1000).rdd.getNumPartitions() > 20
+    large.write_bytes(body.encode()[:20000] + b"\n\xff\n" + body.encode()[20000:])
+    rows = sorted(tuple(r) for r in exports.scan(spark, [large], part_bytes=1000).collect())
+    assert rows[-1][3] is None and rows[-1][1] == len(body.encode()[:20000].decode("utf-8-sig").replace("\r\n", "\n").replace("\r", "\n").split("\n")) + 1
+
+
+def test_rest_urls_with_odd_hosts():
+    assert rest_parts("HTTP://h:80/a/b/Patient/p") == ("HTTP://h:80/a/b/", "Patient/p", None)
+    assert rest_parts("https://[::1]:8080/Patient/p") == ("https://[::1]:8080/", "Patient/p", None)
+    for bad in ("https:///Patient/p", "https://h/Patient/p/_history/", "ftp://h/Patient/p", "https://h/Patient/p#x", "https://hPatient/p"):
+        assert rest_parts(bad) is None
+
+
 def test_ward(spark, tmp_path):
     found = index.ingest([put(tmp_path / "ward.json", ward())], tmp_path / "out", spark=spark)
     assert found["status"] == "completed" and found["issues"] == []

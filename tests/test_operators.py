@@ -30,6 +30,25 @@ def test_relative_references(spark):
     assert out == {1: ("resolved", 1), 2: ("ambiguous", None), 3: ("unresolved", None), 4: ("resolved", 2), 5: ("resolved", 3), 6: ("unresolved", None)}
 
 
+def test_an_alias_in_many_contexts(spark):
+    """`Patient/1` stands in each of 2,000 bundles: questions meet counts by equality, so nothing grows with their product."""
+    aliases = spark.range(2000).selectExpr("'A/1' AS alias", "concat('c', id) AS context", "CAST(NULL AS STRING) AS version", "id AS resource")
+    edges = spark.range(4000).selectExpr("id AS edge", "'A/1' AS alias", "concat('c', id) AS context", "CAST(NULL AS STRING) AS version")
+    out = references.resolve_relative(edges, aliases)
+    found = {r["edge"]: (r["status"], r["target"], r["n_targets"]) for r in out.collect()}
+    assert found[7] == ("resolved", 7, 1) and found[1999] == ("resolved", 1999, 1) and found[2000] == ("ambiguous", None, 2000) and len(found) == 4000
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 3 and all(" OR " not in line and "<=>" in line for line in joins)
+
+
+def test_rows_without_a_partner(spark):
+    from veilgraph.plans.registry import without
+
+    left, right = spark.createDataFrame([(1,), (2,), (None,)], "a long"), spark.createDataFrame([(2,), (None,), (3,)], "b long")
+    assert sorted(map(str, (r["a"] for r in without(left, right, "a", "b").collect()))) == ["1", "None"]
+
+
 def test_weighted_quantiles_are_exact(spark):
     precise = "1.00000000000000000001"
     rows = [("g", v, order_key(v), n) for v, n in ((precise, 3), ("2", 2), ("10", 1), ("10E-1", 1))]

@@ -61,15 +61,15 @@ def test_quantities():
 def test_references_and_contained():
     value = doc("MedicationAdministration", None, contained=[doc("Medication", "m")], medicationReference=ref("#m"), subject=ref("Patient/p"), context=ref("Encounter/lost"))
     members = [member(1, "MedicationAdministration", None, 7, 1), member(2, "Medication", "m")]
-    edge = lambda owner, path, literal, status, target=None, root=None, to=None: {"owner_id": owner, "path": path, "literal": literal, "status": status, "target_id": target, "target_root": root, "replacement": to}
-    edges = [edge(1, "medicationReference.reference", "#m", "resolved", 2, 1, "#pert-2"), edge(1, "subject.reference", "Patient/p", "resolved", 9, 9, "Patient/pert-9"), edge(1, "context.reference", "Encounter/lost", "unresolved")]
+    edge = lambda path, literal, target=None, to=None, fault=None: {"owner_id": 1, "path": path, "literal": literal, "target_id": target, "replacement": to, "fault": fault}
+    edges = [edge("medicationReference.reference", "#m", 2, "#pert-2"), edge("subject.reference", "Patient/p", 9, "Patient/pert-9"), edge("context.reference", "Encounter/lost")]
     after, out, check = perturbed(value, members, edges)
     assert after["contained"][0]["id"] == "pert-2" and after["medicationReference"]["reference"] == "#pert-2" and after["subject"]["reference"] == "Patient/pert-9"
     assert after["context"]["reference"] == "Encounter/lost" and after["id"] == "pert-1"
     assert [c["old_present"] for c in out["changes"] if c["reason"] == "resource_id_added"] == [False]
     assert kernel.check_root(check, KEY, Decimal("0.16"))["references_checked"] == 2
     with pytest.raises(PerturbationError):
-        perturbed(value, members, [edge(1, "medicationReference.reference", "#m", "resolved", 3, 5, "#pert-3")])
+        perturbed(value, members, [edge("medicationReference.reference", "#m", 3, "#pert-3", perturbation.CROSSES)])
     with pytest.raises(PerturbationError):
         perturbed(value, members[:1], edges)
 
@@ -107,6 +107,15 @@ def test_dates_at_both_ends_stop_all_shifts():
     assert kernel.date_limits(root) == {1: (0, 0)}
 
 
+def test_outcomes_of_references(spark):
+    mappings = spark.createDataFrame([(1, 1, "Condition", "pert-1"), (2, 2, "Patient", "pert-2"), (3, 2, "Medication", "pert-3"), (4, 1, "Medication", "pert-4")], "resource_id long, root_id long, resource_type string, new_id string")
+    rows = [("a", "Patient/p", "resolved", 2), ("b", "#m", "resolved", 4), ("c", "#x", "resolved", 3), ("d", "y", "resolved", 99), ("e", "z", "unresolved", None), ("f", "t", "resolved", 2), ("f", "t", "ambiguous", None), ("a", "Patient/p", "resolved", 2)]
+    refs = spark.createDataFrame([(1, path, literal, "literal", status, target) for path, literal, status, target in rows], "source_resource_id long, path string, literal string, kind string, status string, target_resource_id long")
+    (row,) = perturbation._edges({"resource_references": refs}, mappings).collect()
+    found = {e["path"]: (e["replacement"], e["fault"]) for e in row["edges"]}
+    assert row["of_root"] == 1 and found == {"a": ("Patient/pert-2", None), "b": ("#pert-4", None), "c": ("#pert-3", perturbation.CROSSES), "d": (None, perturbation.LOST), "e": (None, None), "f": (None, None)}
+
+
 def test_settings():
     assert perturbation.validate_settings(0.16, 30) == {"strength": Decimal("0.16"), "date_shift_days": 30}
     for strength, days in ((0.001, 1), (1, 1), (True, 1), ("x", 1), (0.1, -1), (0.1, True), (0.1, 1.5), (float("nan"), 1), (0.1, 10**7)):
@@ -136,6 +145,8 @@ def test_run_reuse_and_reingestion(spark, tmp_path):
     state = json.loads((tmp_path / "one/intermediates/state-run.json").read_text())
     assert state["run_key"] not in report and "Muster" not in report and canonical.parse(report)["fields"]
     assert json.loads((tmp_path / "one/intermediates/run.json").read_text()) == {"status": "completed_with_warnings", "phase": "complete"}
+    for place in (tmp_path / "one").rglob("*"):
+        assert place.stat().st_mode & 0o077 == 0, place
     # the same key on the same index makes the same bytes
     perturbation.perturb(tmp_path / "one/intermediates", tmp_path / "two", reuse_key_from=tmp_path / "one/intermediates", spark=spark)
     for name in ("ward.ndjson", "x/more.ndjson.gz"):
@@ -165,4 +176,4 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["perturb", "--input", str(tmp_path / "i"), "--output", str(tmp_path / "p")]) == 0
     assert cli.main(["ingest", "--input", str(source), "--output", str(tmp_path / "i")]) == 2
     out = capsys.readouterr()
-    assert "1 resource roots" in out.out and "Cannot ingest: Output already exists" in out.err
+    assert "1 roots" in out.out and "veilgraph ingest: There is something" in out.err

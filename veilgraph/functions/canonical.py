@@ -59,6 +59,7 @@ _RENDER = {
     Decimal: _decimal,
     dict: _object,
     list: lambda value: "[" + ",".join(map(render, value)) + "]",
+    tuple: lambda value: "[" + ",".join(map(render, value)) + "]",
     int: str,
     bool: lambda value: "true" if value else "false",
     type(None): lambda value: "null",

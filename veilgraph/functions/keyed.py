@@ -12,8 +12,9 @@ import hashlib
 import hmac
 import secrets
 from functools import reduce
+from itertools import count
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .canonical import render
@@ -33,30 +34,30 @@ def check_key(key: object) -> bytes:
     return key
 
 
-def _plain(value):
-    """Tuples as lists, all the way down."""
-    if isinstance(value, dict):
-        return {k: _plain(v) for k, v in value.items()}
-    return [_plain(v) for v in value] if isinstance(value, (list, tuple)) else value
+def frame(purpose: str, counter: int = 0) -> tuple[str, str]:
+    """What stands before and after a value's canonical text in the message of a draw; both forms of the draws use it."""
+    return f'["{ALGORITHM}",{render(purpose)},', f",{counter}]"
 
 
 def digest(key: bytes, purpose: str, value, counter: int = 0) -> bytes:
-    message = render([ALGORITHM, purpose, _plain(value), counter])
-    return hmac.digest(check_key(key), message.encode(), "sha256")
+    return hmac.digest(check_key(key), render(value).join(frame(purpose, counter)).encode(), "sha256")
 
 
 def label(key: bytes, purpose: str, value) -> str:
     return digest(key, purpose, value).hex()
 
 
+def fair(upper: int) -> int:
+    """The largest digest that a draw below `upper` may come from: what is above would favour small numbers."""
+    return SPACE - SPACE % upper - 1
+
+
 def below(key: bytes, purpose: str, value, upper: int) -> int:
-    """A uniform draw from 0 to upper - 1; digests past the last full multiple of `upper` are drawn again."""
-    if isinstance(upper, bool) or not isinstance(upper, int) or not 1 <= upper <= SPACE:
+    """A uniform draw from 0 to upper - 1, from the first fair digest."""
+    if type(upper) is not int or not 0 < upper <= SPACE:
         raise ValueError("a draw needs an upper limit from 1 to 2**256")
-    fair, counter = SPACE // upper * upper, 0
-    while (drawn := int.from_bytes(digest(key, purpose, value, counter))) >= fair:
-        counter += 1
-    return drawn % upper
+    numbers = (int.from_bytes(digest(key, purpose, value, turn)) for turn in count())
+    return next(n for n in numbers if n <= fair(upper)) % upper
 
 
 # ---------------------------------------------------------------- as Catalyst expressions
@@ -83,7 +84,8 @@ def _pad(key: bytes, byte: int) -> Column:
 def digest_col(key: bytes, purpose: str, value_json: Column, counter: int = 0) -> Column:
     """Hex digest; `value_json` is the canonical text of the value."""
     check_key(key)
-    message = F.concat(F.lit(f'["{ALGORITHM}","{purpose}",'), value_json, F.lit(f",{counter}]"))
+    before, after = frame(purpose, counter)
+    message = F.concat(F.lit(before), value_json, F.lit(after))
     inner = F.sha2(F.concat(_pad(key, 0x36), F.encode(message, "utf-8")), 256)
     return F.sha2(F.concat(_pad(key, 0x5C), F.unhex(inner)), 256)
 
@@ -93,24 +95,46 @@ def label_col(key: bytes, purpose: str, value_json: Column) -> Column:
 
 
 def modulo_col(hex_digest: Column, upper: Column) -> Column:
-    """A 256-bit hex number modulo `upper` (a long up to 2**37), by Horner's rule over 16 bits at a time."""
-    limbs = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(F.substring(hex_digest, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
-    return F.aggregate(limbs, F.lit(0).cast("long"), lambda rest, limb: (rest * 65536 + limb) % upper)
-
-
-def below_col(key: bytes, purpose: str, value_json: Column, upper: int, tries: int = 3) -> Column:
-    """A uniform draw from 0 to upper - 1 for a fixed limit; null if `tries` digests in a row are past the last full multiple (chance below 2**-200 each for small limits)."""
-    fair = f"{SPACE // upper * upper - 1:064x}"
-    out = F.lit(None).cast("long")
-    for counter in reversed(range(tries)):
-        drawn = digest_col(key, purpose, value_json, counter)
-        if upper & (upper - 1) == 0:  # a power of two: the low bits
-            bits = upper.bit_length() - 1
-            value = F.conv(F.substring(drawn, -15, 15), 16, 10).cast("long") % upper if bits else F.lit(0).cast("long")
-        else:
-            value = modulo_col(drawn, F.lit(upper).cast("long"))
-        out = F.when(drawn <= fair, value).otherwise(out)
-    return out
+    """A 256-bit hex number modulo `upper` (a long up to 2**37), by Horner's rule over 24 bits at a time; `hex_digest` stands in it often, so let it be a column."""
+    rest = F.lit(0).cast("long")
+    for at in range(0, 64, 6):
+        width = min(6, 64 - at)
+        limb = F.conv(F.substring(hex_digest, at + 1, width), 16, 10).cast("long")
+        rest = (rest * (1 << 4 * width) + limb) % upper
+    return rest
+
+
+def draw_col(hex_digest: Column, upper: int) -> Column:
+    """The draw below a fixed limit that a digest gives; null if it isn't a fair one."""
+    if upper & (upper - 1) == 0:  # a power of two: the low bits, and every digest is fair
+        bits = upper.bit_length() - 1
+        return F.conv(F.substring(hex_digest, -15, 15), 16, 10).cast("long").bitwiseAND(F.lit(upper - 1).cast("long")) if bits else F.lit(0).cast("long")
+    return F.when(hex_digest <= f"{fair(upper):064x}", modulo_col(hex_digest, F.lit(upper).cast("long")))
+
+
+def with_draws(df: DataFrame, key: bytes, tries: int = 2, **draws: tuple[str, Column, int | None]) -> DataFrame:
+    """df with a column for each draw (purpose, canonical text of the value, limit; None: the hex digest itself).
+
+    Digests are computed once a row and then used, however often: the optimizer would copy them into each use. A
+    draw is null if `tries` digests in a row aren't fair, a chance below 2**-200 each for small limits.
+    """
+    df = once(df, **{f"_{n}": digest_col(key, purpose, value) for n, (purpose, value, _) in draws.items()})
+    made = {}
+    for n, (purpose, value, upper) in draws.items():
+        again = [] if upper is None or upper & (upper - 1) == 0 else [draw_col(digest_col(key, purpose, value, t), upper) for t in range(1, tries)]
+        made[n] = F.coalesce(draw_col(F.col(f"_{n}"), upper), *again) if upper else F.col(f"_{n}")
+    return once(df, **made).drop(*[f"_{n}" for n in draws])
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once a row."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.withColumn("_once", one).select("*", "_once.*").drop("_once")
+
+
+def below_col(key: bytes, purpose: str, value_json: Column, upper: int, tries: int = 2) -> Column:
+    """A uniform draw from 0 to upper - 1 for a fixed limit, in one expression, which repeats the digest; `with_draws` doesn't."""
+    return F.coalesce(*[draw_col(digest_col(key, purpose, value_json, t), upper) for t in range(tries)])
 
 
 def sha256(text: str) -> str:

@@ -2,44 +2,49 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_EVEN, Context, Decimal, localcontext
+from decimal import Context, Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import keyed
 
 STEPS = (1 << 53) - 1
-LOWEST = Decimal("0.01")
 
 
-def factor(key: bytes, root: str, path: tuple | list, strength: Decimal) -> Decimal:
-    """1 plus or minus a draw from 0.01 to `strength`; 1 at strength 0. Root and path make each slot's draw its own."""
+def factor(key: bytes, root: str, path: tuple | list, strength: Decimal) -> tuple[int, int]:
+    """1 plus or minus a draw from 0.01 to `strength`, as numerator and denominator; 1 at strength 0.
+
+    Root and path make each slot's draw its own. With n the draw, M its highest value and strength s / q, the
+    factor is 1 +- (q M + (100 s - q) n) / (100 q M), in integers throughout.
+    """
     if strength == 0:
-        return Decimal(1)
-    slot = [root, path]
-    drawn = keyed.below(key, "quantity-magnitude", slot, 1 << 53)
-    up = keyed.below(key, "quantity-sign", slot, 2)
-    with localcontext(Context(prec=max(50, len(strength.as_tuple().digits) + 25))):
-        size = LOWEST + (strength - LOWEST) * (Decimal(drawn) / STEPS)
-        return 1 + size if up else 1 - size
+        return 1, 1
+    n = keyed.below(key, "quantity-magnitude", (root, path), STEPS + 1)
+    up = keyed.below(key, "quantity-sign", (root, path), 2)
+    s, q = strength.as_integer_ratio()
+    moved, whole = q * STEPS + (100 * s - q) * n, 100 * q * STEPS
+    return whole + moved if up else whole - moved, whole
+
+
+def scale(value: int | Decimal, by: tuple[int, int]) -> int | Decimal:
+    """value times a ratio, rounded half to even at the last written place of `value`."""
+    sign, digits, exponent = Decimal(value).as_tuple()
+    written = int("".join(map(str, digits)))
+    out, rest = divmod(written * by[0], by[1])
+    out += 2 * rest > by[1] or (2 * rest == by[1] and out % 2)
+    if isinstance(value, int):
+        return -out if sign else out
+    return Decimal((sign, tuple(map(int, str(out))), exponent))
 
 
-def scale(value: int | Decimal, by: Decimal) -> int | Decimal:
-    """value * by, rounded half to even at the last written place of `value`."""
-    number = Decimal(value)
-    digits = len(number.as_tuple().digits) + len(by.as_tuple().digits)
-    with localcontext(Context(prec=max(50, digits + 10))):
-        out = (number * by).quantize(Decimal((0, (1,), number.as_tuple().exponent)), ROUND_HALF_EVEN)
-    return int(out) if isinstance(value, int) else out
+_QUOTIENTS = Context(prec=34)
 
 
 def relative_change(before: int | Decimal, after: int | Decimal) -> Decimal | None:
-    """(after - before) / |before| to 34 digits; None from zero."""
-    if before == 0:
-        return None
-    with localcontext(Context(prec=34)):
-        return (Decimal(after) - Decimal(before)) / abs(Decimal(before))
+    """What a value grew by as a share of its size, to 34 digits; None from zero."""
+    was = Decimal(before)
+    return _QUOTIENTS.divide(_QUOTIENTS.subtract(Decimal(after), was), _QUOTIENTS.abs(was)) if was else None
 
 
 def order_key(token: str) -> str:
@@ -55,18 +60,22 @@ def order_key(token: str) -> str:
     return "n" + (place + text).translate(str.maketrans("0123456789", "9876543210")) + "~"
 
 
-def scaled_col(value: Column, drawn: Column, up: Column, strength_percent: int) -> Column:
-    """A DECIMAL(.., 2) scaled as `factor` and `scale` do, exactly, in integers, while 100 * value has up to 18 digits.
+def with_scaled(df: DataFrame, strength_percent: int, **cells: tuple[Column, Column, Column]) -> DataFrame:
+    """df with a column for each (hundredths, draw, up): hundredths of up to 18 digits scaled as `factor` and `scale` do, exactly, in integers.
 
-    With n the draw and M its highest value, the factor is 1 +- (M + (100 s - 1) n) / (100 M).
+    Each step is computed once a row. Half of the divisor is added before the whole quotient is taken, and a tie gives back its odd one.
     """
-    whole = (value * 100).cast("decimal(38,0)")
-    part = F.lit(STEPS).cast("decimal(20,0)") + F.lit(strength_percent - 1).cast("decimal(4,0)") * drawn.cast("decimal(20,0)")
-    most = F.lit(100 * STEPS).cast("decimal(20,0)")
-    ratio = F.when(up == 1, most + part).otherwise(most - part).cast("decimal(20,0)")
-    product = (F.abs(whole).cast("decimal(18,0)") * ratio).cast("decimal(38,0)")
-    rest = product % most
-    quotient = ((product - rest) / most).cast("decimal(38,0)")
-    twice = rest * 2
-    rounded = quotient + F.when((twice > most) | ((twice == most) & (quotient % 2 == 1)), 1).otherwise(0)
-    return (F.signum(whole).cast("decimal(38,0)") * rounded / 100).cast("decimal(38,2)")
+    most = F.lit(100 * STEPS).cast("decimal(18,0)")
+    double = (most * 2).cast("decimal(19,0)")
+
+    def product(cents: Column, drawn: Column, up: Column) -> Column:
+        part = F.lit(STEPS).cast("decimal(20,0)") + F.lit(strength_percent - 1).cast("decimal(4,0)") * drawn.cast("decimal(16,0)")
+        ratio = F.when(up == 1, most + part).otherwise(most - part).cast("decimal(20,0)")
+        return ((F.abs(cents).cast("decimal(18,0)") * ratio).cast("decimal(38,0)") * 2 + most).cast("decimal(38,0)")
+
+    df = keyed.once(df, **{f"_p_{n}": product(*cell) for n, cell in cells.items()})
+    df = keyed.once(df, **{f"_r_{n}": F.col(f"_p_{n}") % double for n in cells})
+    df = keyed.once(df, **{f"_q_{n}": ((F.col(f"_p_{n}") - F.col(f"_r_{n}")) / double).cast("long") for n in cells})
+    odd = lambda n: F.when((F.col(f"_r_{n}") == 0) & (F.col(f"_q_{n}") % 2 == 1), 1).otherwise(0)
+    made = {n: F.signum(cell[0]).cast("long") * (F.col(f"_q_{n}") - odd(n)) for n, cell in cells.items()}
+    return keyed.once(df, **made).drop(*[f"_{x}_{n}" for x in "pqr" for n in cells])

@@ -14,7 +14,7 @@ from ..operators.ranks import numbered
 from ..operators.unpack import unpack
 from ..progress import notify
 from ..sources import exports
-from .storage import materialise
+from .storage import lock, materialise, scope
 
 SCHEMA_VERSION = 2
 FHIR_VERSION = "4.0.1"
@@ -184,10 +184,13 @@ def write_private(path: Path, text: str) -> None:
 
 def write(spark: SparkSession, files: list[Path], folder: Path, base_url: str | None, progress=None) -> dict:
     """Index the files into `folder`, which exists and is empty; the run file comes last, so a folder without it isn't whole."""
-    tables = build(spark, files, base_url, progress)
-    notify(progress, "Saving linked source index")
-    for name, df in tables.items():
-        df.write.parquet(f"{_uri(folder)}/index/{name}")
+    (folder / "index").mkdir(mode=0o700)
+    with scope(spark):
+        tables = build(spark, files, base_url, progress)
+        notify(progress, "Saving linked source index")
+        for name, df in tables.items():
+            df.write.parquet(f"{_uri(folder)}/index/{name}")
+    lock(folder / "index")
     saved = {name: spark.read.parquet(f"{_uri(folder)}/index/{name}") for name in TABLES}
     notify(progress, "Writing ingestion reports")
     found = report(saved)
@@ -217,20 +220,20 @@ def open_index(spark: SparkSession, folder) -> tuple[dict[str, DataFrame], dict]
     """Tables and run of a whole and clean index; raises InputError for any other."""
     folder = Path(folder).absolute()
     if folder.is_symlink() or not folder.is_dir():
-        raise InputError("Input must be an existing ingestion folder, not a symlink.")
+        raise InputError("The index is a folder that is there and no link.")
     try:
         run = json.loads((folder / "index-run.json").read_text())
         tables = {name: spark.read.parquet(f"{_uri(folder)}/index/{name}") for name in NEEDED}
     except Exception:
-        raise InputError("Input is not a readable, supported ingestion index.") from None
+        raise InputError("The folder holds no index that can be read.") from None
     if run.get("schema_version") != SCHEMA_VERSION:
-        raise InputError("Unsupported ingestion index schema; expected version 2.")
+        raise InputError("The index is of another schema than 2.")
     if run.get("status") not in DONE:
-        raise InputError("The ingestion run is incomplete; use a completed index.")
+        raise InputError("The index was not finished.")
     if any(not columns <= set(tables[name].columns) for name, columns in NEEDED.items()):
-        raise InputError("Input is not a readable, supported ingestion index.")
+        raise InputError("The folder holds no index that can be read.")
     if not tables["issues"].filter("severity = 'error'").limit(1).isEmpty():
-        raise InputError("The source index contains ingestion errors; resolve them before processing.")
+        raise InputError("The index tells of errors in the export; mend these first.")
     if tables["resources"].filter("NOT contained").limit(1).isEmpty():
-        raise InputError("The source index has no non-contained resource roots.")
+        raise InputError("The index holds no resource of its own standing.")
     return tables, run

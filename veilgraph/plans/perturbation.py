@@ -25,6 +25,7 @@ from ..progress import notify
 from ..sources import layout
 from . import index
 from .index import DONE, _uri, write_private
+from .storage import lock, scope
 
 STATE_VERSION, REPORT_VERSION = 3, 2
 LOWEST = Decimal("0.01")
@@ -39,7 +40,7 @@ def validate_settings(strength, date_shift_days) -> dict:
         fine = False
     days = date_shift_days
     if not fine or isinstance(days, bool) or not isinstance(days, int) or not 0 <= days < date.max.toordinal():
-        raise PerturbationError("Use strength 0 or in [0.01,1) and a nonnegative supported day range.")
+        raise PerturbationError("The strength is 0, or from 0.01 up to below 1; the days are a whole number from 0 that the calendar can hold.")
     return {"strength": exact, "date_shift_days": days}
 
 
@@ -69,19 +70,19 @@ def read_reuse_key(folder, settings: dict, found: str) -> bytes:
     path = Path(folder).absolute()
     path = path / "state-run.json" if path.is_dir() else path
     if path.is_symlink() or not path.is_file():
-        raise InputError("Key reuse requires an existing state database file, not a symlink.")
+        raise InputError("The key is taken from a state file that is there and no link.")
     try:
         run = json.loads(path.read_text())
         key = bytes.fromhex(run.get("run_key") or "")
     except (OSError, ValueError, AttributeError):
-        raise InputError("Cannot reuse a key from this state database; use a completed, supported keyed run.") from None
+        raise InputError("No key can be read from this state file; it takes one of a finished run.") from None
     gates = (
-        (run.get("schema_version") == STATE_VERSION, "Key reuse requires a supported schema 3 state database."),
-        (run.get("status") in DONE, "Key reuse requires a completed perturbation run."),
-        (run.get("algorithm") == keyed.ALGORITHM and len(key) == keyed.KEY_BYTES, "State database has an unsupported algorithm or invalid run key."),
-        (run.get("source_fingerprint") == found, "Key reuse requires the same indexed source snapshot."),
-        (run.get("definitions") == definitions(), "Key reuse requires the same datatype definitions."),
-        (run.get("settings") == {k: str(v) for k, v in settings.items()}, "Key reuse requires the same strength and date range as the previous run."),
+        (run.get("schema_version") == STATE_VERSION, "The state file is not of schema 3."),
+        (run.get("status") in DONE, "The run of the state file did not finish."),
+        (run.get("algorithm") == keyed.ALGORITHM and len(key) == keyed.KEY_BYTES, "The state file's algorithm or key is not one that this version draws with."),
+        (run.get("source_fingerprint") == found, "The state file's run was on another index."),
+        (run.get("definitions") == definitions(), "The state file's run had other datatype definitions."),
+        (run.get("settings") == {k: str(v) for k, v in settings.items()}, "The state file's run had another strength or range of days."),
     )
     for passed, message in gates:
         if not passed:
@@ -157,13 +158,26 @@ def _patients(tables: dict[str, DataFrame], mappings: DataFrame, roots: DataFram
     return bounded.mapInArrow(draw, "patient_id long, identity string, minimum_days int, maximum_days int, days int")
 
 
+#: What is wrong with a resolved reference, as it ends the run.
+LOST, CROSSES = "A reference is resolved to a resource that is not there.", "A reference points into the inside of another root."
+
+
 def _edges(tables: dict[str, DataFrame], mappings: DataFrame) -> DataFrame:
-    """For each root the distinct resolutions of its references, with what they are rewritten to."""
+    """For each root what becomes of its references: (owner_id, path, literal, replacement, target_id, fault).
+
+    References of one place and literal have an outcome together: what they are rewritten to if all are
+    resolved alike, else nothing.
+    """
     m = mappings.select("resource_id", "root_id", "resource_type", "new_id")
-    target = m.select(F.col("resource_id").alias("t"), F.col("root_id").alias("target_root"), F.when(F.col("resource_id") != F.col("root_id"), F.concat(F.lit("#"), "new_id")).otherwise(F.concat_ws("/", "resource_type", "new_id")).alias("replacement"))
+    inner = F.col("resource_id") != F.col("root_id")
+    target = m.select(F.col("resource_id").alias("t"), inner.alias("inner"), F.col("root_id").alias("target_root"), F.when(inner, F.concat(F.lit("#"), "new_id")).otherwise(F.concat_ws("/", "resource_type", "new_id")).alias("to"))
     refs = tables["resource_references"].filter("kind = 'literal'").select(F.col("source_resource_id").alias("owner_id"), "path", "literal", "status", F.col("target_resource_id").alias("target_id")).distinct()
-    refs = refs.join(m.select(F.col("resource_id").alias("o"), F.col("root_id").alias("of_root")), F.col("owner_id") == F.col("o")).join(target, F.col("target_id") == F.col("t"), "left")
-    return refs.groupBy("of_root").agg(F.collect_list(F.struct("owner_id", "path", "literal", "status", "target_id", "target_root", "replacement")).alias("edges"))
+    alike = refs.groupBy("owner_id", "path", "literal").agg(F.count("*").alias("n"), F.first("status").alias("status"), F.first("target_id").alias("target_id"))
+    alike = alike.withColumn("target_id", F.when((F.col("n") == 1) & (F.col("status") == "resolved"), F.coalesce("target_id", F.lit(-1))))
+    alike = alike.join(m.select(F.col("resource_id").alias("o"), F.col("root_id").alias("of_root")), F.col("owner_id") == F.col("o")).join(target, F.col("target_id") == F.col("t"), "left")
+    fault = F.when(F.col("target_id").isNotNull() & F.col("t").isNull(), F.lit(LOST)).when(F.col("inner") & (F.col("target_root") != F.col("of_root")), F.lit(CROSSES))
+    outcome = F.struct("owner_id", "path", "literal", F.col("to").alias("replacement"), "target_id", fault.alias("fault"))
+    return alike.groupBy("of_root").agg(F.collect_list(outcome).alias("edges"))
 
 
 def _arrow_schema():
@@ -191,14 +205,14 @@ def _checked(written: DataFrame, mappings: DataFrame, members: DataFrame, patien
         for batch in batches:
             for name, low, high, days in zip(*(batch.column(c).to_pylist() for c in ("identity", "minimum_days", "maximum_days", "days"))):
                 if days != low + keyed.below(key, "date-offset", name, high - low + 1):
-                    raise PerturbationError("Patient date offset does not match its keyed draw.")
+                    raise PerturbationError("A patient's offset is not the one drawn for them.")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
 
     patients.select("identity", "minimum_days", "maximum_days", "days").mapInArrow(offsets, "n long").agg(F.sum("n")).collect()
     own = mappings.filter("resource_id = root_id").select(F.col("root_id").alias("source_root"), "digest")
     both = written.select("root_id", "line", "changes").join(own, F.col("root_id") == F.col("source_root"), "full")
     if not both.filter("root_id IS NULL OR source_root IS NULL").limit(1).isEmpty():
-        raise PerturbationError("Output resource population does not match the source.")
+        raise PerturbationError("The output does not hold the source's resources, each once.")
     m = mappings.select(F.col("resource_id").alias("t"), F.col("root_id").alias("t_root"), "resource_type", "new_id")
     links = written.select("root_id", F.explode("changes").alias("c")).filter("c.target_id IS NOT NULL").select("root_id", F.col("c.target_id").alias("target_id")).distinct().join(m, F.col("target_id") == F.col("t"))
     # a contained target must lie in the same root
@@ -218,7 +232,7 @@ def _checked(written: DataFrame, mappings: DataFrame, members: DataFrame, patien
     sums = rows.mapInArrow(undo, ", ".join(f"{c} long" for c in kernel.CHECKED)).agg(F.count("*").alias("roots_checked"), *[F.sum(c).alias(c) for c in kernel.CHECKED]).first()
     found = {k: v or 0 for k, v in sums.asDict().items()}
     if found["roots_checked"] != own.count():
-        raise PerturbationError("Output resource population does not match the source.")
+        raise PerturbationError("The output does not hold the source's resources, each once.")
     return found
 
 
@@ -250,7 +264,7 @@ def run(spark: SparkSession, source: Path, output: Path, settings: dict, reuse_k
     notify(progress, "Checking input database and FHIR definitions")
     tables, source_run = index.open_index(spark, source)
     if source_run["fhir_version"] != index.FHIR_VERSION:
-        raise PerturbationError("Perturbation requires a FHIR R4 4.0.1 source index.")
+        raise PerturbationError("The index is not one of FHIR R4 4.0.1.")
     notify(progress, "Checking source snapshot")
     found = fingerprint(tables)
     notify(progress, "Planning output files")
@@ -265,7 +279,10 @@ def run(spark: SparkSession, source: Path, output: Path, settings: dict, reuse_k
     kept = {k: str(v) for k, v in settings.items()}
     state = State(spark, work, {"schema_version": STATE_VERSION, "status": "in_progress", "phase": "preparation", "settings": kept, "source_fingerprint": found, "definitions": definitions(), "algorithm": keyed.ALGORITHM, "run_key": key.hex(), "failure_code": None})
     try:
-        header = _run(state, tables, source_run, places, plans, settings, key, output, reserved, progress)
+        (work / "state").mkdir(mode=0o700)
+        with scope(spark):
+            header = _run(state, tables, source_run, places, plans, settings, key, output, reserved, progress)
+        lock(work / "state")
     except BaseException as error:
         failed = "interrupted" if isinstance(error, KeyboardInterrupt) else "failed"
         state.save(status=failed, failure_code=failed)
@@ -280,7 +297,7 @@ def _run(state: State, tables, source_run, places, plans, settings, key, output,
     mappings = state.table("resource_mappings", _mappings(tables, key))
     repeated = mappings.groupBy("new_id").count().filter("count > 1")
     if not repeated.limit(1).isEmpty():
-        raise PerturbationError("Replacement identities are not unique.")
+        raise PerturbationError("Two resources were given one new id.")
     roots = tables["resources"].filter("NOT contained").select(F.col("id").alias("root_id"), "payload")
     state.save(phase="date_bounds")
     notify(progress, "Checking patient date ranges")
@@ -334,7 +351,7 @@ def perturb(source, output_dir, *, strength=Decimal("0.16"), date_shift_days: in
     settings = validate_settings(strength, date_shift_days)
     output = Path(output_dir).absolute()
     if output.is_symlink() or output.exists():
-        raise PerturbationError("Output already exists; choose a new output directory.")
+        raise PerturbationError("There is something at the output's place already; name a new folder.")
     return run(spark or index.session(), Path(source), output, settings, reuse_key_from, progress=progress)
 
 

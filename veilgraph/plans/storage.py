@@ -1,14 +1,28 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share: private, and deleted when they are done with."""
 
 from __future__ import annotations
 
+import atexit
+import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
+from pathlib import Path
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of tables not yet deleted; the innermost scope is last, the first one ends with the process.
+_scopes: list[list[str]] = [[]]
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """What spark.checkpoint.dir names; a local session without it has a folder of its own."""
+    """The folder that driver and executors share.
+
+    It is what spark.checkpoint.dir names. Where that is unset, a local session
+    (tests) gets a folder of its own; on a cluster it is an error, because a
+    machine's temporary folder is not seen by the others.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         if not spark.sparkContext.master.startswith("local"):
@@ -17,8 +31,66 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def private_folder(spark: SparkSession, path: str) -> None:
+    """Make a folder that nobody but its owner can look into, whatever the files in it allow."""
+    place, system = _hadoop(spark, path)
+    system.mkdirs(place)
+    system.setPermission(place, spark.sparkContext._jvm.org.apache.hadoop.fs.permission.FsPermission("700"))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place, system = _hadoop(spark, path)
+    system.delete(place, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """df written as Parquet and read back."""
-    path = f"{shared_dir(df.sparkSession)}/veilgraph-core-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df as Parquet to the shared folder and read it back: later steps start from there, on any executor.
+
+    The table is deleted at the end of the innermost `scope`, or of the process.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/veilgraph-{uuid.uuid4().hex}"
+    private_folder(spark, folder)
+    _scopes[-1].append(folder)
+    df.write.parquet(f"{folder}/table")
+    return spark.read.schema(df.schema).parquet(f"{folder}/table")
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that `materialise` writes within are deleted at the end; nothing that reads them may outlive it."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for folder in _scopes.pop():
+            with suppress(Exception):  # what stays takes room, no more
+                delete(spark, folder)
+
+
+@atexit.register
+def _end() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for folder in _scopes[0]:
+            with suppress(Exception):
+                delete(spark, folder)
+
+
+def lock(folder: Path | str) -> None:
+    """Take from others the rights to all files and folders below a local folder, as Spark writes them by its own mask."""
+    if isinstance(folder, str):
+        parts = urlsplit(folder)
+        if parts.scheme not in ("", "file"):
+            return
+        folder = Path(unquote(parts.path))
+    for place, _, files in os.walk(folder):
+        os.chmod(place, 0o700)
+        for name in files:
+            os.chmod(os.path.join(place, name), 0o600)

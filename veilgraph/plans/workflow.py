@@ -39,7 +39,7 @@ def run_export(inputs, output_dir, *, strength=Decimal("0.16"), date_shift_days:
         _mark(work, "in_progress", phase)
         found = index.write(spark, files, work, base_url, progress)
         if found["status"] not in index.DONE:
-            raise InputError("Ingestion reported errors; inspect intermediates/report.json. Use a new output directory to retry.")
+            raise InputError("The export has errors, which intermediates/report.json counts; mend them and run again into a new folder.")
         phase = "perturbation"
         _mark(work, "in_progress", phase)
         header = perturbation.run(spark, work, output, settings, reuse_key_from, reserved=True, progress=progress)

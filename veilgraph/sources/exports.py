@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import gzip
+import io
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
+from typing import NamedTuple
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -14,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..errors import InputError
 
 ENDINGS = tuple(f"{e}{z}" for e in (".json", ".ndjson", ".jsonl") for z in ("", ".gz"))
-#: Characters of text in a batch.
-BATCH = 4 << 20
+#: Characters of text in a batch, and bytes that a task reads.
+BATCH, PART = 4 << 20, 64 << 20
 
 
 def is_export(path: Path) -> bool:
@@ -26,25 +28,25 @@ def discover(inputs, output) -> tuple[list[Path], Path]:
     """Sorted distinct source files, and the output folder, which must be new and outside the inputs."""
     target = Path(output).absolute()
     if target.is_symlink() or target.exists():
-        raise InputError("Output already exists; choose a new output directory.")
+        raise InputError("There is something at the output's place already; name a new folder.")
     found: set[Path] = set()
     for given in map(Path, [inputs] if isinstance(inputs, (str, Path)) else inputs):
         if given.absolute().is_symlink():
-            raise InputError("Input symlinks are unsupported; select the real file or directory.")
+            raise InputError("An input is a symbolic link; name what it points to.")
         real = given.absolute().resolve()
         if real.is_dir():
             if real in (target.resolve(), *target.resolve().parents):
-                raise InputError("Output must be outside every input directory.")
+                raise InputError("The output may not lie in an input folder.")
             inside = list(real.rglob("*"))
             if any(p.is_symlink() for p in inside):
-                raise InputError("Input directory contains a symlink; use an export without symlinks.")
+                raise InputError("There is a symbolic link among the inputs; links are not followed.")
             found.update(p for p in inside if p.is_file() and is_export(p))
         elif real.is_file() and is_export(real):
             found.add(real)
         else:
-            raise InputError("Input must be a readable JSON/NDJSON/JSONL file (optionally gzip) or directory.")
+            raise InputError("An input is neither a folder nor a .json, .ndjson or .jsonl file, plain or .gz.")
     if not found:
-        raise InputError("No supported input files found.")
+        raise InputError("There are no .json, .ndjson or .jsonl files, plain or .gz, in the inputs.")
     return sorted(found), target
 
 
@@ -58,19 +60,17 @@ def normalize_base_url(value: str | None) -> str | None:
     except ValueError:
         fine = False
     if not fine or any(c.isspace() for c in value):
-        raise InputError("Base URL must be an HTTP(S) FHIR server base without credentials, query or fragment.")
+        raise InputError("The base url is http or https, with a host, and without user, query, fragment or blanks.")
     return value.rstrip("/")
 
 
 def read_documents(path: str) -> Iterator[tuple[int, str, str | None]]:
-    """(ordinal, locator, text) of each document of a file; a text of None stands for a file that broke off there."""
+    """(ordinal, locator, text) of each document of a file that one task reads; a text of None stands for a file that broke off there."""
     name = path.lower()
-    packed = name.endswith(".gz")
-    lines = name.removesuffix(".gz").endswith((".ndjson", ".jsonl"))
     number = 0
     try:
-        with (gzip.open if packed else open)(path, "rt", encoding="utf-8-sig") as stream:
-            if not lines:
+        with (gzip.open if name.endswith(".gz") else open)(path, "rt", encoding="utf-8-sig") as stream:
+            if not has_lines(path):
                 yield 1, "$", stream.read()
                 return
             for number, text in enumerate(stream, 1):
@@ -80,31 +80,116 @@ def read_documents(path: str) -> Iterator[tuple[int, str, str | None]]:
         yield number + 1, "", None
 
 
-def scan(spark: SparkSession, files: list[Path]) -> DataFrame:
-    """(source_id, ordinal, locator, text): a task per file, read as a stream in batches of bounded size.
+def has_lines(path: str) -> bool:
+    return path.lower().removesuffix(".gz").endswith((".ndjson", ".jsonl"))
 
-    Files can't be split where they are compressed or hold one document; the files' own
-    number is what a scan runs in parallel. A null text marks a file that couldn't be read to its end.
+
+class Part(NamedTuple):
+    """Bytes of a file of lines: the lines that begin at `begin` or later and before `end`, of which `before` lines come first. An end of 0: the whole file."""
+
+    source: int
+    path: str
+    begin: int
+    end: int
+    before: int = 0
+
+
+def read_lines(part: Part) -> Iterator[tuple[int, str | None]]:
+    """(number within the part, text) of its lines, blank ones too; None for one that can't be read, which is the last."""
+    number = 0
+    try:
+        with open(part.path, "rb") as stream:
+            if part.begin:  # the line in which the part begins is the one before's, unless it begins just there
+                stream.seek(part.begin - 1)
+                stream.readline()
+            while stream.tell() < part.end and (line := stream.readline()):
+                first = stream.tell() == len(line)
+                # a return ends a line too, alone or before the feed
+                for text in io.StringIO(line.decode("utf-8-sig" if first else "utf-8"), newline=None):
+                    number += 1
+                    yield number, text
+    except (OSError, UnicodeError):
+        yield number + 1, None
+
+
+def plan_parts(files: list[tuple[int, str, int]], size: int, tasks: int = 1) -> list[list[Part]]:
+    """What each task reads, from (source, path, bytes): parts of large plain files of lines, or files packed together up to about `size` bytes, less if that makes fewer than `tasks` tasks."""
+    out: list[list[Part]] = []
+    together, room = None, min(size, max(1 << 20, sum(length for *_, length in files) // tasks))
+    left = 0
+    for source, path, length in files:
+        if length > size and has_lines(path) and not path.lower().endswith(".gz"):
+            out += [[Part(source, path, a, min(a + size, length))] for a in range(0, length, size)]
+            continue
+        if together is None or length > left:
+            together, left = [], room
+            out.append(together)
+        together.append(Part(source, path, 0, 0))
+        left -= length
+    return out
+
+
+def scan(spark: SparkSession, files: list[Path], part_bytes: int = PART) -> DataFrame:
+    """(source_id, ordinal, locator, text), streamed in batches of bounded size. A null text marks a file that couldn't be read to its end.
+
+    Plain files of lines are read in parts, each by a task of its own; a first pass counts their lines, so that every part knows its
+    numbers, and nothing after a line that can't be read counts. Compressed files and single documents can't be split: they
+    are packed together up to a part's size. The driver plans a row a part, and broadcasts the plan: millions of
+    parts are fine, texts never come near it.
     """
-    rows = spark.createDataFrame([(i, str(p)) for i, p in enumerate(files, 1)], "source_id int, path string").repartition(len(files), "source_id")
-    names = ["source_id", "ordinal", "locator", "text"]
+    tasks = plan_parts([(i, str(p), p.stat().st_size) for i, p in enumerate(files, 1)], part_bytes, spark.sparkContext.defaultParallelism)
+    split = [p for parts in tasks for p in parts if p.end]
+    if split:
+        known: dict[int, tuple[int, bool]] = {r["part"]: (r["lines"], r["whole"]) for r in _run_parts(spark, [[p] for p in split], _count, "part int, lines long, whole boolean").collect()}
+        before: dict[int, int] = {}
+        numbered, broken = {}, set()
+        for k, p in enumerate(split):
+            if p.source not in broken:
+                numbered[p] = p._replace(before=before.get(p.source, 0))
+                before[p.source] = before.get(p.source, 0) + known[k][0]
+                if not known[k][1]:
+                    broken.add(p.source)
+        tasks = [[numbered.get(p, p) for p in parts if not p.end or p in numbered] for parts in tasks]
+    return _run_parts(spark, [parts for parts in tasks if parts], _documents, "source_id int, ordinal long, locator string, text string")
+
+
+def _run_parts(spark: SparkSession, tasks: list[list[Part]], read, schema: str) -> DataFrame:
+    """A task for each list of parts."""
+    shared = spark.sparkContext.broadcast(tasks)
 
     def run(batches):
         for batch in batches:
-            for source, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held, size = [], 0
-                for row in read_documents(path):
-                    held.append((source, *row))
-                    size += len(row[2] or "")
-                    if size >= BATCH:
-                        yield _batch(held, names)
-                        held, size = [], 0
-                if held:
-                    yield _batch(held, names)
+            for k in batch.column(0).to_pylist():
+                yield from read(k, shared.value[k])
 
-    return rows.mapInArrow(run, "source_id int, ordinal long, locator string, text string")
+    return spark.range(0, len(tasks), 1, len(tasks)).mapInArrow(run, schema)
+
+
+def _count(k: int, parts: list[Part]) -> Iterator[pa.RecordBatch]:
+    lines, whole = 0, True
+    for lines, text in read_lines(parts[0]):
+        whole = text is not None
+    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([lines], pa.int64()), pa.array([whole])], ["part", "lines", "whole"])
+
+
+def _documents(k: int, parts: list[Part]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for part in parts:
+        if part.end:
+            numbers = ((part.before + n, text) for n, text in read_lines(part))
+            rows = ((n, f"line:{n}" if text is not None else "", text) for n, text in numbers if text is None or text.strip())
+        else:
+            rows = read_documents(part.path)
+        for row in rows:
+            held.append((part.source, *row))
+            size += len(row[2] or "")
+            if size >= BATCH:
+                yield _batch(held)
+                held, size = [], 0
+    if held:
+        yield _batch(held)
 
 
-def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
     source, ordinal, locator, text = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(source, pa.int32()), pa.array(ordinal, pa.int64()), pa.array(locator, pa.string()), pa.array(text, pa.string())], names)
+    return pa.RecordBatch.from_arrays([pa.array(source, pa.int32()), pa.array(ordinal, pa.int64()), pa.array(locator, pa.string()), pa.array(text, pa.string())], ["source_id", "ordinal", "locator", "text"])

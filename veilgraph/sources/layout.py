@@ -17,7 +17,7 @@ from ..errors import InputError, PerturbationError
 def plan(sources: list[tuple[int, str]], population: dict[int, tuple[int, str]]) -> list[dict]:
     """What file each source becomes; population has (records, smallest locator) by source id."""
     if not sources:
-        raise InputError("The source index has no file locations for export.")
+        raise InputError("The index names no files to write.")
     base = os.path.commonpath([str(Path(p).parent) for _, p in sources])
     plans, taken = [], set()
     for source, path in sources:
@@ -29,7 +29,7 @@ def plan(sources: list[tuple[int, str]], population: dict[int, tuple[int, str]])
         single = json_file and records == 1 and locator == "$"
         name = original if single or not json_file else stem[:-5] + ".ndjson" + ".gz" * packed
         if name.casefold() in taken:
-            raise InputError("Source files map to the same output filename; use distinct source names.")
+            raise InputError("Two source files would be written under one name; rename one.")
         taken.add(name.casefold())
         plans.append({"source_id": source, "source_file": original, "file": name, "records": records, "compressed": packed, "format": "json" if single else "ndjson", "bundle_unpacked": json_file and not single})
     return plans
@@ -57,7 +57,7 @@ class _File:
         self.raw.close()
         with (gzip.open if self.packed else open)(self.path, "rb") as back:
             if hashlib.file_digest(back, "sha256").hexdigest() != self.sum.hexdigest():
-                raise PerturbationError("An exported file differs from the verified resource stream.")
+                raise PerturbationError("A written file, read back, is not what was sent to it.")
         return self.sum.hexdigest()
 
 
@@ -94,7 +94,7 @@ def write(roots: DataFrame, plans: list[dict], folder: Path) -> list[dict]:
     for entry in plans:
         found = written.get(entry["source_id"])
         if (found["records"] if found else 0) != entry["records"]:
-            raise PerturbationError("Verified resources do not match their source file locations.")
+            raise PerturbationError("A file did not get the resources planned for it.")
         digest = found["digest"] if found else _File(folder / entry["file"], entry["compressed"]).close()
         manifest.append({k: v for k, v in entry.items() if k != "source_id"} | {"uncompressed_sha256": digest})
     return manifest
