@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,34 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.storage import materialise as materialise
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is what spark.checkpoint.dir names. Where that is unset, a local session
-    (tests) gets a folder of its own; on a cluster it is an error, because a
-    machine's temporary folder is not seen by the others.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        named = "file:///tmp/checkpoints/veilgraph"
-    return named.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: later steps start from there, on any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veilgraph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows that Spark sends to Python at once, at most, while texts are among them.
 ROWS_AT_ONCE = 1000
 
