@@ -177,12 +177,16 @@ def _met(members: DataFrame) -> DataFrame:
     """members (hub, node, component, ..) of groups that hold two components, dealt out to meet in blocks of bounded size.
 
     Block k of a group meets the blocks up to k; a row goes to each such pair (i, j) of blocks, with its own block. Rows are
-    dealt out by the pair, not by the hub alone, which grouping by (hub, i, j) would be content with.
+    dealt out by the pair, as column `task` tells, not by the hub alone.
     """
     groups = members.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).filter("low != high")
     rows = salted(members, groups.select("hub", F.ceil(F.col("rows") / LIST_BLOCK).alias("blocks")), "hub", "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
     met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.greatest(x, F.col("own")).alias("i"), F.least(x, F.col("own")).alias("j")))
-    return rows.withColumn("met", F.explode(met)).withColumn("i", F.col("met.i")).withColumn("j", F.col("met.j")).drop("met", "blocks").repartition("hub", "i", "j")
+    rows = rows.withColumn("met", F.explode(met)).withColumn("i", F.col("met.i")).withColumn("j", F.col("met.j")).drop("met", "blocks")
+    # pairs of a hub are numbered through and dealt in turn, so that no task gets many while others get none
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    turn = F.xxhash64("hub") % tasks + F.shiftright(F.col("i") * (F.col("i") + 1), 1) + F.col("j")
+    return rows.withColumn("task", F.pmod(turn, F.lit(tasks)).cast("int")).repartitionById(tasks, "task")
 
 
 def _may_link(n: np.ndarray, sig: np.ndarray, part: np.ndarray, left: np.ndarray, right: np.ndarray, match: int, similarity: Fraction) -> np.ndarray:
@@ -211,7 +215,7 @@ def _active(members: DataFrame, match: int, similarity: Fraction) -> DataFrame:
         found = np.union1d(node[left[may.any(axis=1)]], node[right[may.any(axis=0)]])
         return pa.table({"hub": np.full(len(found), key[0].as_py()), "node": found})
 
-    return _met(members).groupBy("hub", "i", "j").applyInArrow(run, "hub long, node long").distinct()
+    return _met(members).groupBy("hub", "i", "j", "task").applyInArrow(run, "hub long, node long").distinct()
 
 
 def _common(values: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, rows: int) -> np.ndarray:
@@ -261,7 +265,7 @@ def _merged(members: DataFrame, width: int, match: int, similarity: Fraction) ->
         at = np.flatnonzero(label != node)
         return pa.table({"a": label[at], "b": node[at]})
 
-    return _met(members).groupBy("hub", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return _met(members).groupBy("hub", "i", "j", "task").applyInArrow(run, "a long, b long").distinct()
 
 
 def _same_key(full: DataFrame, nodes: DataFrame) -> DataFrame | None:
