@@ -122,6 +122,46 @@ def test_walk_types():
     assert {s.reason for s in walk.walk(odd, t)} == {walk.UNKNOWN_TYPE}
 
 
+def test_definitions_are_whole():
+    """Each concrete resource of the standard has a definition, and every type that an element takes is one or is primitive."""
+    t = walk.types()
+    primitives = set("base64Binary boolean canonical code date dateTime decimal id instant integer markdown oid positiveInt string time unsignedInt uri url uuid xhtml".split())
+    seen: set[int] = set()
+
+    def check(elements):
+        if id(elements) not in seen:
+            seen.add(id(elements))
+            for kinds, inner in elements.values():
+                check(inner) if inner is not None else None
+                assert inner is not None or set(kinds) <= primitives | t.definitions.keys() | {"Resource"}, kinds
+
+    resources = [n for n, e in t.definitions.items() if "implicitRules" in e]
+    for n in t.definitions:
+        check(t.definitions[n])
+    assert len(resources) == 146 and len(t.definitions) == 187
+
+
+@pytest.mark.parametrize(
+    ("value", "dates_at", "identifier_at"),
+    [
+        ({"resourceType": "DocumentReference", "date": "2020-01-01T10:00:00Z", "identifier": [{"system": "s", "value": "v"}], "context": {"period": {"start": "2020-01-01"}}}, [("date",), ("context", "period", "start")], ("identifier", 0, "value")),
+        ({"resourceType": "Provenance", "recorded": "2020-01-01T10:00:00Z", "occurredDateTime": "2020-01-01", "entity": [{"what": {"identifier": {"value": "v"}}, "agent": [{"who": {"display": "x"}}]}]}, [("recorded",), ("occurredDateTime",)], ("entity", 0, "what", "identifier", "value")),
+        ({"resourceType": "ExplanationOfBenefit", "created": "2020-01-01", "identifier": [{"value": "v"}], "item": [{"servicedDate": "2020-01-01", "locationAddress": {"city": "c"}}], "accident": {"date": "2020-01-01"}}, [("created",), ("item", 0, "servicedDate"), ("accident", "date")], ("identifier", 0, "value")),
+        ({"resourceType": "Task", "authoredOn": "2020-01-01", "identifier": [{"value": "v"}], "input": [{"valueDateTime": "2020-01-01"}]}, [("authoredOn",), ("input", 0, "valueDateTime")], ("identifier", 0, "value")),
+        ({"resourceType": "ValueSet", "date": "2020-01-01", "identifier": [{"value": "v"}], "compose": {"include": [{"filter": [{"value": "x"}]}]}, "expansion": {"timestamp": "2020-01-01"}}, [("date",), ("expansion", "timestamp")], ("identifier", 0, "value")),
+    ],
+)
+def test_dates_and_identifiers_of_all_types(value, dates_at, identifier_at):
+    import json
+
+    member = {"resource_id": 1, "resource_type": value["resourceType"], "old_id": None, "new_id": "pert-1", "patient_id": 1, "days": 3}
+    out = perturb.perturb_root({"root_id": 1, "payload": canonical.render(value), "members": [member], "edges": []}, KEY, Decimal("0.16"))
+    after = json.loads(out["line"])
+    at = lambda path: __import__("functools").reduce(lambda v, k: v[k], path, after)
+    assert all(at(p)[:10] == "2020-01-04" for p in dates_at) and at(identifier_at).startswith("pert-")
+    assert not [a for a in out["actions"] if a["reason"].startswith("unknown")]
+
+
 def test_contact_kinds():
     assert perturb.contact(KEY, "phone", "1").startswith("000") and len(perturb.contact(KEY, "sms", "1")) == 13
     assert perturb.contact(KEY, "email", "1").endswith("@example.invalid") and perturb.contact(KEY, "url", "1").startswith("https://example.invalid/")

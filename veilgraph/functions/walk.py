@@ -16,6 +16,8 @@ from . import canonical, keyed
 
 #: Elements that all resources with "!" share, and those of every complex type.
 _DOMAIN = "id:id meta:Meta implicitRules:uri language:code text:Narrative contained*:Resource extension*:Extension modifierExtension*:Extension"
+#: And those that all published ones with "!!" share.
+_PUBLISHED = "url:uri version:string name:string title:string status:code experimental:boolean date:dateTime publisher:string contact*:ContactDetail description:markdown useContext*:UsageContext jurisdiction*:CodeableConcept purpose:markdown copyright:markdown"
 _ELEMENT = "id:string extension*:Extension"
 _BACKBONE = f"{_ELEMENT} modifierExtension*:Extension"
 #: What sets measurements of one path apart. Fixed values.
@@ -41,7 +43,8 @@ class Types:
         for line in text.splitlines():
             if line and not line.startswith("#"):
                 name, _, rest = line.partition(":")
-                shared = _DOMAIN if name.endswith("!") else "" if name in ("Parameters", "Bundle") else _ELEMENT
+                shared = _DOMAIN if name.endswith("!") else "" if name in ("Parameters", "Bundle", "Binary") else _ELEMENT
+                shared += f" {_PUBLISHED}" * name.endswith("!!")
                 tokens = iter(f"{shared} {rest}".split())
                 self.definitions[name.rstrip("!")] = self._elements(tokens, {})
         self.child = lru_cache(maxsize=1 << 15)(self._child)
