@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from ..errors import InputError, PerturbationError
 from ..functions import canonical, keyed, walk
 from ..operators import perturb as kernel
+from ..operators.ranks import numbered
 from ..operators.statistics import nearest_rank
 from ..progress import notify
 from ..sources import layout
@@ -50,19 +51,30 @@ def definitions() -> dict:
     return {"fhir_version": known.version, "definitions_sha256": known.digest, "definitions": len(known.definitions)}
 
 
-def fingerprint(tables: dict[str, DataFrame]) -> str:
-    """One digest of resources, owners and references.
+#: Digests that are joined into one at a time.
+LEAVES = 4096
+
+
+def ordered_digest(df: DataFrame, columns: list[str], order: list[str]) -> str:
+    """A digest of the rows in order: of each its canonical text, then of runs of `LEAVES` digests, then of these, up to one.
 
-    Each row is hashed where it is; digests of the rows of a table are summed up in 256 hash ranges,
-    then over these, so nothing but 256 digests a table comes together.
+    Nothing but a run comes together in a task, and the last few digests on the driver.
     """
-    parts = []
-    for name, columns in (("resources", ["id", "identity", "digest", "resource_type", "contained"]), ("patient_memberships", ["resource_id", "patient_resource_id", "basis"]), ("resource_references", ["source_resource_id", "path", "literal", "kind", "target_resource_id", "status"])):
-        row = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-        limb = lambda i: F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")).alias(f"s{i}")
-        hashed = tables[name].select(row.alias("h")).groupBy(F.substring("h", 1, 2).alias("range")).agg(F.count("*").alias("n"), *[limb(i) for i in range(8)])
-        parts.append([name, [[str(x) for x in r] for r in hashed.orderBy("range").collect()]])
-    return keyed.sha256(json.dumps(parts))
+    text = F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(keyed.json_string_col(F.col(c)) if df.schema[c].dataType.typeName() == "string" else F.col(c).cast("string"), F.lit("null")) for c in columns]), F.lit("]"))
+    level = numbered(df.select(*[F.col(c) for c in dict.fromkeys(order)], text.alias("text")), order, "place").select((F.col("place") - 1).alias("n"), F.sha2("text", 256).alias("h"))
+    joined = lambda: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "h"))), lambda x: x["h"]), ""), 256)
+    while True:
+        level = level.groupBy(F.floor(F.col("n") / LEAVES).alias("run")).agg(joined().alias("h")).select(F.col("run").alias("n"), "h")
+        rows = level.orderBy("n").limit(LEAVES + 1).collect()
+        if len(rows) <= LEAVES:
+            return keyed.sha256("".join(r["h"] for r in rows))
+
+
+def fingerprint(tables: dict[str, DataFrame]) -> str:
+    """One digest of resources, owners and references, each in order."""
+    parts = {"resources": (["id", "identity", "digest", "resource_type", "contained"], ["id"]), "patient_memberships": (["resource_id", "patient_resource_id", "basis"], ["resource_id"])}
+    parts["resource_references"] = (["source_resource_id", "path", "literal", "kind", "target_resource_id", "status"],) * 2
+    return keyed.sha256(canonical.render([[name, ordered_digest(tables[name], *how)] for name, how in parts.items()]))
 
 
 def read_reuse_key(folder, settings: dict, found: str) -> bytes:
@@ -266,7 +278,8 @@ def run(spark: SparkSession, source: Path, output: Path, settings: dict, reuse_k
     if source_run["fhir_version"] != index.FHIR_VERSION:
         raise PerturbationError("The index is not one of FHIR R4 4.0.1.")
     notify(progress, "Checking source snapshot")
-    found = fingerprint(tables)
+    with scope(spark):
+        found = fingerprint(tables)
     notify(progress, "Planning output files")
     places = layout.population(tables["occurrences"], tables["resources"])
     sizes = {r["source_id"]: (r["n"], r["first"]) for r in places.groupBy("source_id").agg(F.count("*").alias("n"), F.min("locator").alias("first")).collect()}
