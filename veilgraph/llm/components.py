@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, salted
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,8 +20,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("low"))
         step = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("component", "low").alias("to"), F.col("component").alias("was"))
-        targets = step.select(F.col("node").alias("through"), F.col("to").alias("further"))
-        step = materialise(step.join(targets, F.col("to") == F.col("through"), "left").select("node", F.least("to", "further").alias("component"), "was"))
+        # labels that have moved on; very many nodes may have the label of one, so they are dealt out
+        targets = step.filter("to != node").select(F.col("node").alias("to"), F.col("to").alias("further"))
+        step = materialise(salted(step, targets, "to", "node", "left").select("node", F.least("to", "further").alias("component"), "was"))
         labels = step.select("node", "component")
         if step.filter("component != was").limit(1).isEmpty():
             return labels

@@ -320,9 +320,10 @@ def near_duplicates(docs: DataFrame, similarity: Fraction = Fraction(8, 10), wid
     merged = materialise(_merged(active.join(member, "node").join(texts, "node"), width, match, similarity))
     if not merged.limit(1).isEmpty():
         found = components(links.unionByName(merged)).withColumnRenamed("node", "in")
-    known = nodes.select("d", "e", "key", "node").join(found, F.col("node") == F.col("in"), "left").select("d", "e", "key", F.coalesce("component", "node").alias("part"))
-    lowest = known.groupBy(F.col("part").alias("of")).agg(F.min("key").alias("component_id"))
-    known = known.join(lowest, F.col("part") == F.col("of")).select(F.col("d").alias("cd"), F.col("e").alias("ce"), "component_id")
+    known = nodes.select("d", "e", "key", "node").join(found, F.col("node") == F.col("in"), "left").select("d", "e", "key", "node", F.coalesce("component", "node").alias("part"))
+    # of nodes on their own the key is known; a component may have very many, so they are dealt out
+    lowest = known.groupBy("part").agg(F.min("key").alias("low"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    known = salted(known, lowest, "part", "node", "left").select(F.col("d").alias("cd"), F.col("e").alias("ce"), F.coalesce("low", "key").alias("component_id"))
     out = rows.join(known, (F.col("d") == F.col("cd")) & (F.col("e") == F.col("ce")) & (F.col("n") > 0), "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key"))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("key"), F.lit(False)).alias("kept"))
