@@ -284,6 +284,74 @@ def test_empty_tables(spark):
     assert mixing.mix(frame(spark, [], "doc_id long, source string, text string")).count() == 0
     assert vectors.top_k(frame(spark, [], "vec_id long, embedding array<float>")).count() == 0
     assert tokens.count_tokens(docs, tokens.vocabulary([])).count() == 0
+    assert neardup.one_of_each(docs).count() == 0 and decontaminate.clean(docs, frame(spark, [], "item_id long, text string")).count() == 0
+    nothing = langid.learn(frame(spark, [], DOCS + ", lang string"))
+    assert langid.accepted(docs, nothing).count() == 0 and langid.identify(docs, nothing).count() == 0
+    assert toxicity.score(docs, toxicity.learn(docs, frame(spark, [], "doc_id long, toxic int"))).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Documents of over a megabyte, longer than any piece that texts are handled in, beside short ones."""
+    long = brute.varied(1, 160_000)
+    passage, item = brute.varied(71, 40), brute.varied(72, 30)
+    ends = f"{long} {passage} {item} you idiot. cc by"
+    rows = [(1, ends), (2, ends + " more"), (3, f"{passage} tail"), (4, brute.varied(3, 50)), (5, "é" * 700_000)]
+    assert len(ends) > 1 << 20 > substrings.W.PIECE_BYTES
+    docs = frame(spark, rows)
+    cut = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(docs).collect()}
+    plain = {k: (n, gone) for k, n, gone, _ in brute.cut(rows, 35)}
+    assert cut == plain and cut[3][1] == 40
+    assert sorted(map(tuple, neardup.near_duplicates(docs).collect())) == sorted(brute.near(rows, 8, 10))
+    found = decontaminate.contaminated(docs, frame(spark, [(1, item)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["start"], r["similarity"]) for r in found) == [(1, 160_040, 1.0), (2, 160_040, 1.0)]
+    scored = {r["doc_id"]: r["patterns"] for r in toxicity.score(docs, toxicity.Grammar(toxicity.given(), toxicity.PRIOR, 0.05)).collect()}
+    assert {k: set(v) for k, v in scored.items()} == {k: brute.clause_patterns(t) for k, t in rows}
+    marked = {r["doc_id"]: (r["n_words"], r["last_word"]) for r in licenses.scan(docs).collect()}
+    assert marked == {k: (brute.licensed(t)[0], brute.licensed(t)[3]) for k, t in rows}
+    sizes = {r["doc_id"]: r["size"] for r in mixing.mix(docs.withColumn("source", F.lit("s"))).collect()}
+    assert sizes == {k: len(brute.words(t)) for k, t in rows}
+    model = langid.learn(frame(spark, [(9, brute.varied(5, 300), "xx"), (8, "étéé éàé ", "yy")], DOCS + ", lang string"))
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, model).collect()} == {1: "xx", 2: "xx", 3: "xx", 4: "xx", 5: "yy"}
+    few = tokens.vocabulary([("▁", -1.0), ("one", -1.0), ("é", -1.0)])
+    assert {r["doc_id"]: r["n_tokens"] for r in tokens.count_tokens(docs, few).collect()}[5] == 700_001
+
+
+def test_inputs_with_the_names_of_results(spark):
+    texts = frame(spark, [(1, "One two three", "s"), (2, None, None)], "doc_id long, text string, source string")
+    as_text = lambda name: texts.select("doc_id", F.col("text").alias(name), "source", F.lit("old").alias("Extra"))
+    models = langid.learn(frame(spark, [(9, "one two three four", "xx")], DOCS + ", lang string"))
+    grammar = toxicity.Grammar(toxicity.given(), toxicity.PRIOR, 0.05)
+    assert [r["lang_pred"] for r in langid.identify(as_text("score"), models, text="score").orderBy("doc_id").collect()] == ["xx", "und"]
+    assert [r["predicted"] for r in toxicity.score(as_text("patterns"), grammar, text="patterns").orderBy("doc_id").collect()] == [0, 0]
+    assert tokens.count_tokens(as_text("N_TOKENS"), tokens.vocabulary([("▁", -1.0)]), text="N_TOKENS").columns == ["doc_id", "source", "Extra", "n_tokens"]
+    assert [r["n_words"] for r in substrings.remove_repeats(as_text("n_words"), text="n_words").orderBy("doc_id").collect()] == [3, 0]
+    for name in ("size", "taken", "to", "bucket", "turn", "from"):
+        out = mixing.mix(as_text(name), text=name, keep_text=True).orderBy("doc_id").collect()
+        assert [r["source_size"] for r in out] == [3, 0] and [r["taken"] for r in out] == [3, 0]
+    named = texts.select("doc_id", F.col("source").alias("target"), "text")
+    assert [r["size"] for r in mixing.mix(named, source="target").orderBy("doc_id").collect()] == [3, 0]
+    pages = frame(spark, [(1, "http://a.org/x"), (2, None)], "page_id long, host string")
+    assert [r["host"] for r in urls.judge(pages, [], url="host").orderBy("page_id").collect()] == ["a.org", ""]
+
+
+def test_letters_are_no_marks(spark):
+    model = langid.learn(frame(spark, [(9, "one two three four", "xx")], DOCS + ", lang string"))
+    rows = [(1, "\u2764\ufe0f 123"), (2, "e\u0301"), (3, "\u0301\u0301"), (4, "12 \u0903")]
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(frame(spark, rows), model).collect()} == {1: "und", 2: "xx", 3: "und", 4: "und"}
+
+
+def test_samples_are_bounded(spark):
+    """Rows with no key or one, repeated rows, and long texts, don't get past the bounds."""
+    from veilgraph.llm.sampling import bounded_sample
+
+    rows = [(None, f"text {i}", "a") for i in range(3000)] + [(7, f"words {i}", "b") for i in range(3000)] + [(8, "same", "c")] * 3000 + [(9, "x" * 100_000, "d"), (10, "y" * 90_000, "d")]
+    df = frame(spark, rows, "key long, text string, lang string")
+    found = {r["lang"]: r["count"] for r in bounded_sample(df, "lang", 100, 10, "text", 1 << 20, 1 << 20).groupBy("lang").count().collect()}
+    assert 50 < found["a"] < 200 and 50 < found["b"] < 200 and found["c"] == 1 and found["d"] == 2
+    with pytest.raises(ValueError):
+        bounded_sample(df, "lang", 100, 3)
+    short = bounded_sample(df.filter("lang IN ('a', 'b')"), "lang", 10**6, 10, "text", 8000, 4000)
+    assert short.agg(F.sum(F.length("text"))).first()[0] < 12_000
 
 
 @pytest.mark.skipif(not TABLES.exists(), reason="no tables here")

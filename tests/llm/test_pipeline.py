@@ -43,3 +43,13 @@ def test_stages(spark, tmp_path):
     assert mixed and all(r["taken"] % r["size"] == 0 and 0 < r["taken"] <= 3 * r["size"] for r in mixed)
     whole = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "text", "taken").collect()
     assert sorted(map(str, whole)) == sorted(str(r) for r in seen["mixing"].select("doc_id", "text", "taken").collect())
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0 and (name == "mixing" or out.columns == docs.columns)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
