@@ -42,6 +42,8 @@ def unique_owner(owned: DataFrame) -> DataFrame:
 def tangled(parents: DataFrame) -> DataFrame:
     """(node) that lie in a cycle of (child, parent) or below one: what is left when nodes without parents are peeled off."""
     parents = materialise(parents.select("child", "parent").distinct())
+    if parents.isEmpty():
+        return parents.select(F.col("child").alias("node"))
     nodes = parents.select(F.col("child").alias("node")).unionByName(parents.select(F.col("parent").alias("node"))).distinct()
     frontier = materialise(nodes.join(parents, F.col("node") == F.col("child"), "left_anti"))
     left, peeled = parents, frontier

@@ -361,15 +361,14 @@ def faulty_export_gate(spark, sf_dir):
     return spark.createDataFrame([(json.loads((folder / "index-run.json").read_text())["status"], refused)], "status string, refused string")
 
 
-def _tree_sql(name: str, row: str, order: str, source: str) -> str:
-    return f"""{name}1 AS (SELECT row_number() OVER (ORDER BY {order}) - 1 AS n, sha256({row}) AS h FROM {source}), {name}2 AS (SELECT n // {perturbation.LEAVES} AS n, sha256(string_agg(h, '' ORDER BY n)) AS h FROM {name}1 GROUP BY ALL),
-{name} AS (SELECT '{name}' AS name, sha256(coalesce(string_agg(h, '' ORDER BY n), '')) AS h FROM {name}2)"""
+_TREE = f"""level1 AS (SELECT id AS n, sha256('[' || id || ',"' || identity || '","' || digest || '","' || resource_type || '",' || contained || ']') AS h FROM res),
+level2 AS (SELECT n // {perturbation.LEAVES} AS n, sha256(string_agg(h, '' ORDER BY n)) AS h FROM level1 GROUP BY n // {perturbation.LEAVES})"""
 
 
-@query(f"""WITH {_LINES_SQL}, {_tree_sql('resources', "'[' || id || ',\"' || identity || '\",\"' || digest || '\",\"' || resource_type || '\",' || contained || ']'", 'id', 'res')} SELECT h AS digest FROM resources""")
+@query(f"WITH {_LINES_SQL}, {_TREE} SELECT sha256(coalesce(string_agg(h, '' ORDER BY n), '')) AS digest FROM level2")
 def index_fingerprint(spark, sf_dir):
     """A digest over the resources in order, by a tree of digests."""
-    return spark.createDataFrame([(perturbation.ordered_digest(_table(spark, indexed(spark, sf_dir), "index/resources"), ["id", "identity", "digest", "resource_type", "contained"], ["id"]),)], "digest string")
+    return spark.createDataFrame([(perturbation.ordered_digest(_table(spark, indexed(spark, sf_dir), "index/resources"), ["id", "identity", "digest", "resource_type", "contained"], "id"),)], "digest string")
 
 
 _OFFSET = sql_modulo(sql_digest("date-offset", _JSON("identity")), str(2 * DAYS + 1))

@@ -14,7 +14,7 @@ from ..operators.ranks import numbered
 from ..operators.unpack import unpack
 from ..progress import notify
 from ..sources import exports
-from .storage import lock, materialise, scope
+from .storage import lock, materialise, scope, together
 
 SCHEMA_VERSION = 2
 FHIR_VERSION = "4.0.1"
@@ -156,16 +156,20 @@ def _counts(df: DataFrame, *by: str) -> list:
 
 
 def report(tables: dict[str, DataFrame]) -> dict:
-    issues = [{"severity": r[0], "code": r[1], "count": r[2]} for r in _counts(tables["issues"], "severity", "code")]
+    spark = tables["issues"].sparkSession
+    jobs = [lambda: _counts(tables["issues"], "severity", "code"), lambda: _counts(tables["resources"], "resource_type"), lambda: _counts(tables["resource_references"], "status")]
+    jobs += [lambda name=name: tables[name].count() for name in ("occurrences", "sources", "patient_memberships")]
+    by_issue, by_type, by_status, occurrences, files, grouped = together(spark, *jobs)
+    issues = [{"severity": r[0], "code": r[1], "count": r[2]} for r in by_issue]
     severities = {i["severity"] for i in issues}
     status = "incomplete" if "error" in severities else "completed_with_warnings" if "warning" in severities else "completed"
-    types = {r[0]: r[1] for r in _counts(tables["resources"], "resource_type")}
-    occurrences, unique = tables["occurrences"].count(), sum(types.values())
+    types = {r[0]: r[1] for r in by_type}
+    unique = sum(types.values())
     return {
         "schema_version": SCHEMA_VERSION, "status": status, "data_classification": "source_patient_data_not_synthetic",
         "fhir": {"target_version": FHIR_VERSION, "profile_validation_performed": False, "hospital_version_confirmed": False},
-        "counts": {"files": tables["sources"].count(), "resource_occurrences": occurrences, "unique_resources": unique, "duplicate_occurrences": occurrences - unique, "patients": types.get("Patient", 0), "grouped_resources": tables["patient_memberships"].count()},
-        "resource_types": types, "reference_status": {r[0]: r[1] for r in _counts(tables["resource_references"], "status")}, "issues": issues,
+        "counts": {"files": files, "resource_occurrences": occurrences, "unique_resources": unique, "duplicate_occurrences": occurrences - unique, "patients": types.get("Patient", 0), "grouped_resources": grouped},
+        "resource_types": types, "reference_status": {r[0]: r[1] for r in by_status}, "issues": issues,
     }
 
 
@@ -188,8 +192,7 @@ def write(spark: SparkSession, files: list[Path], folder: Path, base_url: str |
     with scope(spark):
         tables = build(spark, files, base_url, progress)
         notify(progress, "Saving linked source index")
-        for name, df in tables.items():
-            df.write.parquet(f"{_uri(folder)}/index/{name}")
+        together(spark, *[lambda name=name, df=df: df.write.parquet(f"{_uri(folder)}/index/{name}") for name, df in tables.items()])
     lock(folder / "index")
     saved = {name: spark.read.parquet(f"{_uri(folder)}/index/{name}") for name in TABLES}
     notify(progress, "Writing ingestion reports")

@@ -20,13 +20,12 @@ from pyspark.sql.window import Window
 from ..errors import InputError, PerturbationError
 from ..functions import canonical, keyed, walk
 from ..operators import perturb as kernel
-from ..operators.ranks import numbered
 from ..operators.statistics import nearest_rank
 from ..progress import notify
 from ..sources import layout
 from . import index
 from .index import DONE, _uri, write_private
-from .storage import lock, scope
+from .storage import lock, scope, spread, together
 
 STATE_VERSION, REPORT_VERSION = 3, 2
 LOWEST = Decimal("0.01")
@@ -55,13 +54,13 @@ def definitions() -> dict:
 LEAVES = 4096
 
 
-def ordered_digest(df: DataFrame, columns: list[str], order: list[str]) -> str:
-    """A digest of the rows in order: of each its canonical text, then of runs of `LEAVES` digests, then of these, up to one.
+def ordered_digest(df: DataFrame, columns: list[str], number: str) -> str:
+    """A digest of the rows in order of `number`, then of their text: of each row, then of runs of `LEAVES` numbers, then of `LEAVES` of these, up to one.
 
     Nothing but a run comes together in a task, and the last few digests on the driver.
     """
     text = F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(keyed.json_string_col(F.col(c)) if df.schema[c].dataType.typeName() == "string" else F.col(c).cast("string"), F.lit("null")) for c in columns]), F.lit("]"))
-    level = numbered(df.select(*[F.col(c) for c in dict.fromkeys(order)], text.alias("text")), order, "place").select((F.col("place") - 1).alias("n"), F.sha2("text", 256).alias("h"))
+    level = df.select(F.col(number).alias("n"), F.sha2(text, 256).alias("h"))
     joined = lambda: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "h"))), lambda x: x["h"]), ""), 256)
     while True:
         level = level.groupBy(F.floor(F.col("n") / LEAVES).alias("run")).agg(joined().alias("h")).select(F.col("run").alias("n"), "h")
@@ -72,9 +71,10 @@ def ordered_digest(df: DataFrame, columns: list[str], order: list[str]) -> str:
 
 def fingerprint(tables: dict[str, DataFrame]) -> str:
     """One digest of resources, owners and references, each in order."""
-    parts = {"resources": (["id", "identity", "digest", "resource_type", "contained"], ["id"]), "patient_memberships": (["resource_id", "patient_resource_id", "basis"], ["resource_id"])}
-    parts["resource_references"] = (["source_resource_id", "path", "literal", "kind", "target_resource_id", "status"],) * 2
-    return keyed.sha256(canonical.render([[name, ordered_digest(tables[name], *how)] for name, how in parts.items()]))
+    parts = {"resources": (["id", "identity", "digest", "resource_type", "contained"], "id"), "patient_memberships": (["resource_id", "patient_resource_id", "basis"], "resource_id")}
+    parts["resource_references"] = (["source_resource_id", "path", "literal", "kind", "target_resource_id", "status"], "source_resource_id")
+    found = together(tables["resources"].sparkSession, *[lambda name=name, how=how: ordered_digest(tables[name], *how) for name, how in parts.items()])
+    return keyed.sha256(canonical.render([*zip(parts, found)]))
 
 
 def read_reuse_key(folder, settings: dict, found: str) -> bytes:
@@ -146,7 +146,7 @@ def _members(mappings: DataFrame, patients: DataFrame | None = None) -> DataFram
     return rows.groupBy(F.col("root_id").alias("of")).agg(F.sort_array(F.collect_list(member)).alias("members"))
 
 
-def _patients(tables: dict[str, DataFrame], mappings: DataFrame, roots: DataFrame, days: int, key: bytes) -> DataFrame:
+def _patients(tables: dict[str, DataFrame], mappings: DataFrame, roots: DataFrame, number: int, days: int, key: bytes) -> DataFrame:
     """(patient_id, identity, minimum_days, maximum_days, days): ranges of all dates of a patient meet before its one draw."""
 
     def limits(batches):
@@ -156,7 +156,7 @@ def _patients(tables: dict[str, DataFrame], mappings: DataFrame, roots: DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["p", "low", "high"])
 
     joined = roots.join(_members(mappings), F.col("root_id") == F.col("of")).select("root_id", "payload", "members")
-    spans = joined.mapInArrow(limits, "p long, low long, high long").groupBy("p").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    spans = spread(joined, number).mapInArrow(limits, "p long, low long, high long").groupBy("p").agg(F.max("low").alias("low"), F.min("high").alias("high"))
     people = tables["resources"].filter("resource_type = 'Patient'").select(F.col("id").alias("patient_id"), "identity")
     bounded = people.join(spans, F.col("patient_id") == F.col("p"), "left")
     bounded = bounded.select("patient_id", "identity", F.greatest(F.lit(-days), F.coalesce("low", F.lit(-days))).cast("int").alias("minimum_days"), F.least(F.lit(days), F.coalesce("high", F.lit(days))).cast("int").alias("maximum_days"))
@@ -198,7 +198,7 @@ def _arrow_schema():
     return to_arrow_schema(kernel.OUT)
 
 
-def _written(roots: DataFrame, members: DataFrame, edges: DataFrame, key: bytes, strength: Decimal) -> DataFrame:
+def _written(roots: DataFrame, number: int, members: DataFrame, edges: DataFrame, key: bytes, strength: Decimal) -> DataFrame:
     def run(batches):
         schema = _arrow_schema()
         for batch in batches:
@@ -207,10 +207,10 @@ def _written(roots: DataFrame, members: DataFrame, edges: DataFrame, key: bytes,
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     joined = roots.join(members, F.col("root_id") == F.col("of")).join(edges, F.col("root_id") == F.col("of_root"), "left")
-    return joined.select("root_id", "payload", "members", "edges").mapInArrow(run, kernel.OUT)
+    return spread(joined.select("root_id", "payload", "members", "edges"), number).mapInArrow(run, kernel.OUT)
 
 
-def _checked(written: DataFrame, mappings: DataFrame, members: DataFrame, patients: DataFrame, key: bytes, strength: Decimal) -> dict:
+def _checked(written: DataFrame, number: int, mappings: DataFrame, members: DataFrame, patients: DataFrame, key: bytes, strength: Decimal) -> dict:
     """Undo all changes in what was written and compare digests; draw every patient's offset again."""
 
     def offsets(batches):
@@ -241,9 +241,9 @@ def _checked(written: DataFrame, mappings: DataFrame, members: DataFrame, patien
                     column.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in counts], list(kernel.CHECKED))
 
-    sums = rows.mapInArrow(undo, ", ".join(f"{c} long" for c in kernel.CHECKED)).agg(F.count("*").alias("roots_checked"), *[F.sum(c).alias(c) for c in kernel.CHECKED]).first()
+    sums = spread(rows, number).mapInArrow(undo, ", ".join(f"{c} long" for c in kernel.CHECKED)).agg(F.count("*").alias("roots_checked"), *[F.sum(c).alias(c) for c in kernel.CHECKED]).first()
     found = {k: v or 0 for k, v in sums.asDict().items()}
-    if found["roots_checked"] != own.count():
+    if found["roots_checked"] != number:
         raise PerturbationError("The output does not hold the source's resources, each once.")
     return found
 
@@ -278,8 +278,7 @@ def run(spark: SparkSession, source: Path, output: Path, settings: dict, reuse_k
     if source_run["fhir_version"] != index.FHIR_VERSION:
         raise PerturbationError("The index is not one of FHIR R4 4.0.1.")
     notify(progress, "Checking source snapshot")
-    with scope(spark):
-        found = fingerprint(tables)
+    found = fingerprint(tables)
     notify(progress, "Planning output files")
     places = layout.population(tables["occurrences"], tables["resources"])
     sizes = {r["source_id"]: (r["n"], r["first"]) for r in places.groupBy("source_id").agg(F.count("*").alias("n"), F.min("locator").alias("first")).collect()}
@@ -312,16 +311,17 @@ def _run(state: State, tables, source_run, places, plans, settings, key, output,
     if not repeated.limit(1).isEmpty():
         raise PerturbationError("Two resources were given one new id.")
     roots = tables["resources"].filter("NOT contained").select(F.col("id").alias("root_id"), "payload")
+    number = roots.count()
     state.save(phase="date_bounds")
     notify(progress, "Checking patient date ranges")
-    patients = state.table("patient_parameters", _patients(tables, mappings, roots, settings["date_shift_days"], key))
+    patients = state.table("patient_parameters", _patients(tables, mappings, roots, number, settings["date_shift_days"], key))
     state.save(phase="writing")
     notify(progress, "Perturbing resources")
     members = _members(mappings, patients)
-    written = state.table("written", _written(roots, members, _edges(tables, mappings), key, strength))
+    written = state.table("written", _written(roots, number, members, _edges(tables, mappings), key, strength))
     state.save(phase="validation")
     notify(progress, "Validating perturbed resources")
-    validation = _checked(written, mappings, members, patients, key, strength)
+    validation = _checked(written, number, mappings, members, patients, key, strength)
     state.save(phase="exporting")
     notify(progress, "Writing and checking FHIR files")
     partial = state.folder / ".result.partial"
@@ -330,10 +330,9 @@ def _run(state: State, tables, source_run, places, plans, settings, key, output,
     manifest = layout.write(lines, plans, partial / "fhir")
     state.save(phase="aggregation")
     notify(progress, "Calculating report statistics")
-    state.table("changes", written.select("root_id", F.explode("changes").alias("c")).select("root_id", "c.*"))
     acts = written.select("resource_type", F.explode("actions").alias("a")).groupBy("resource_type", "a.path", "a.datatype", "a.action", "a.reason").agg(F.sum("a.frequency").alias("frequency"))
-    actions = state.table("field_actions", acts)
-    _statistics(state, written)
+    changes = written.select("root_id", F.explode("changes").alias("c")).select("root_id", "c.*")
+    actions, *_ = together(spark, lambda: state.table("field_actions", acts), lambda: state.table("changes", changes), lambda: _statistics(state, written))
     by_action = {r["action"]: r["n"] for r in actions.groupBy("action").agg(F.sum("frequency").alias("n")).orderBy("action").collect()}
     inner = mappings.filter("resource_id <> root_id").count()
     types = {r[0]: r[1] for r in mappings.filter("resource_id = root_id").groupBy("resource_type").count().orderBy("resource_type").collect()}

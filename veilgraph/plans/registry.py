@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import dates, keyed, quantities
 from ..functions.keyed import json_array_col, json_string_col
 from ..operators import graph, references, statistics
-from .storage import materialise
+from .storage import materialise, spread
 
 KEY = bytes(range(32))
 DAYS = 30
@@ -39,12 +39,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """df in as many partitions as there are cores at least: a file of one row group is one task else, and draws cost more than moving rows."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 # ---------------------------------------------------------------- SQL building blocks
 
 

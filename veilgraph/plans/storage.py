@@ -5,11 +5,13 @@ from __future__ import annotations
 import atexit
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager, suppress
 from pathlib import Path
 from urllib.parse import unquote, urlsplit
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of tables not yet deleted; the innermost scope is last, the first one ends with the process.
@@ -83,6 +85,23 @@ def _end() -> None:
                 delete(spark, folder)
 
 
+def spread(df: DataFrame, rows: int | None = None, rows_per_task: int = 20_000) -> DataFrame:
+    """df dealt out for work that costs far more than moving its rows: over all cores at least, and so that no task has too many `rows`, where the number is known.
+
+    Adaptive execution would put small rows together again, by their size.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows is None:
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(max(cores, -(-rows // rows_per_task)))
+
+
+def together(spark: SparkSession, *jobs: Callable[[], object]) -> list:
+    """What independent jobs return, which run side by side: small ones are mostly waiting."""
+    with ThreadPoolExecutor(4) as pool:
+        return [x.result() for x in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+
+
 def lock(folder: Path | str) -> None:
     """Take from others the rights to all files and folders below a local folder, as Spark writes them by its own mask."""
     if isinstance(folder, str):
