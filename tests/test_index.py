@@ -133,6 +133,18 @@ def test_ward(spark, tmp_path):
     assert (tmp_path / "out/report.json").stat().st_mode & 0o777 == 0o600 and (tmp_path / "out").stat().st_mode & 0o777 == 0o700
 
 
+def test_earlier_schema(spark, tmp_path):
+    index.ingest([put(tmp_path / "w.json", ward())], tmp_path / "out", spark=spark)
+    place = tmp_path / "out/index-run.json"
+    for version, fine in ((1, True), (2, True), (3, False)):
+        place.write_text(json.dumps(json.loads(place.read_text()) | {"schema_version": version}))
+        if fine:
+            assert index.open_index(spark, tmp_path / "out")[1]["schema_version"] == version
+        else:
+            with pytest.raises(InputError):
+                index.open_index(spark, tmp_path / "out")
+
+
 def test_whole_export_issues(spark, tmp_path):
     cyclic = [doc("Encounter", x, partOf=ref(f"Encounter/{y}")) for x, y in (("e1", "e2"), ("e2", "e1"), ("e3", "e1"))]
     put(tmp_path / "in/a.ndjson", person("a"), person("b"), *cyclic, person("a"), person("a", gender="other"))

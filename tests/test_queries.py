@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from veilgraph.plans import export_queries as export_queries, registry
+from veilgraph.plans import function_queries as function_queries, registry
 
 TABLES = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not TABLES.exists(), reason="no tables here")

@@ -593,3 +593,31 @@ def run_status(spark, sf_dir):
     state = json.loads((perturbed(spark, sf_dir) / "intermediates/state-run.json").read_text())
     rows = [("index", json.loads((indexed(spark, sf_dir) / "index-run.json").read_text())["status"], None, None), ("state", state["status"], state["phase"], None), ("report", _report(perturbed(spark, sf_dir))["status"], None, state["settings"]["strength"])]
     return spark.createDataFrame(rows, "part string, status string, phase string, strength string")
+
+
+@query("""SELECT a AS archive, 'package/' || kind || k || '.json' AS name, md5('{"id":"' || kind || k || '","n":"' || n || '"}') AS digest FROM (SELECT 'nation' AS kind, n_nationkey AS k, n_name AS n FROM nation UNION ALL SELECT 'region', r_regionkey, r_name FROM region) CROSS JOIN (VALUES ('p.tgz'), ('p.zip')) AS t(a)
+UNION ALL SELECT a, 'package/package.json', md5('{"name":"p","version":"1"}') FROM (VALUES ('p.tgz'), ('p.zip')) AS t(a)""")
+def archive_scan(spark, sf_dir):
+    """Members of packages in two formats, read without unpacking them, after a look at what they call themselves. The packed tables are fixed and tiny."""
+    import io
+    import tarfile
+    import zipfile
+
+    from ..sources import archives
+
+    def pack(out: Path) -> None:
+        rows = [*read(spark, sf_dir, "nation").select(F.lit("nation"), "n_nationkey", "n_name").collect(), *read(spark, sf_dir, "region").select(F.lit("region"), "r_regionkey", "r_name").collect()]
+        files = {f"package/{kind}{k}.json": f'{{"id":"{kind}{k}","n":"{n}"}}' for kind, k, n in rows} | {"package/package.json": '{"name":"p","version":"1"}', "package/readme.txt": "no"}
+        out.mkdir()
+        with tarfile.open(out / "p.tgz", "w:gz") as tar, zipfile.ZipFile(out / "p.zip", "w") as bag:
+            for name, text in files.items():
+                member = tarfile.TarInfo(name)
+                member.size = len(text.encode())
+                tar.addfile(member, io.BytesIO(text.encode()))
+                bag.writestr(name, text)
+
+    folder = _kept(spark, sf_dir, "archives", pack)
+    both = [folder / "p.tgz", folder / "p.zip"]
+    for path in both:
+        archives.check_identity(path, "p", "1")
+    return archives.scan(spark, both).select("archive", "name", F.md5("text").alias("digest"))

@@ -17,6 +17,8 @@ from ..sources import exports
 from .storage import lock, materialise, scope, together
 
 SCHEMA_VERSION = 2
+#: Versions that can be read: the first has no references of canonical fragments, which perturbation finds itself.
+READABLE = (1, 2)
 FHIR_VERSION = "4.0.1"
 DONE = ("completed", "completed_with_warnings")
 TABLES = ("sources", "resources", "occurrences", "aliases", "resource_references", "patient_memberships", "issues")
@@ -229,8 +231,8 @@ def open_index(spark: SparkSession, folder) -> tuple[dict[str, DataFrame], dict]
         tables = {name: spark.read.parquet(f"{_uri(folder)}/index/{name}") for name in NEEDED}
     except Exception:
         raise InputError("The folder holds no index that can be read.") from None
-    if run.get("schema_version") != SCHEMA_VERSION:
-        raise InputError("The index is of another schema than 2.")
+    if run.get("schema_version") not in READABLE:
+        raise InputError("The index is of another schema than 1 or 2.")
     if run.get("status") not in DONE:
         raise InputError("The index was not finished.")
     if any(not columns <= set(tables[name].columns) for name, columns in NEEDED.items()):

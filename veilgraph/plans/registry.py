@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import dates, keyed, quantities
 from ..functions.keyed import json_array_col, json_string_col
-from ..operators import graph, references, statistics
+from ..operators import audit, graph, references, statistics
 from .storage import materialise, spread
 
 KEY = bytes(range(32))
@@ -522,10 +522,7 @@ SELECT quality, toxic, count(*) AS n FROM (SELECT * FROM post EXCEPT ALL SELECT
 def multiset_diff(spark, sf_dir):
     """What is in one multiset of diagnostics beyond another."""
     post = read(spark, sf_dir, "labels")
-    pre = post.filter("doc_id % 3 <> 0").groupBy("quality", "toxic").agg(F.count("*").alias("m"))
-    # counts first: both sides shrink to distinct rows before they meet
-    both = post.groupBy("quality", "toxic").agg(F.count("*").alias("n")).join(pre.select(F.col("quality").alias("q"), F.col("toxic").alias("t"), "m"), F.col("quality").eqNullSafe(F.col("q")) & F.col("toxic").eqNullSafe(F.col("t")), "left")
-    return both.select("quality", "toxic", (F.col("n") - F.coalesce("m", F.lit(0))).alias("n")).filter("n > 0")
+    return audit.multiset_difference(post, post.filter("doc_id % 3 <> 0"), ["quality", "toxic"])
 
 
 @query("""
@@ -538,6 +535,66 @@ def sample_selection(spark, sf_dir):
     return p.groupBy("kind").agg(F.min(rank)["page_id"].alias("page_id"), F.count("*").alias("candidates"))
 
 
+_PAGE = "CASE page_id % 9 WHEN 0 THEN 'Patient' WHEN 1 THEN 'Bundle' WHEN 2 THEN 'CodeSystem' WHEN 3 THEN 'ValueSet' ELSE 'Kind' || (page_id % 9) END"
+_NAME = "CASE WHEN page_id % 31 = 0 THEN 'package/' || kind || '-example.json' ELSE 'package/' || substr(md5(url), 1, 12) || '-' || page_id || '.json' END"
+
+
+@query(f"""WITH p AS (SELECT *, {_PAGE} AS kind FROM pages), e AS (SELECT kind, {_NAME} AS name FROM p)
+SELECT kind, name FROM e WHERE kind IN ('Bundle', 'Patient', 'Observation')
+UNION ALL SELECT kind, arg_min(name, (CASE WHEN name = 'package/' || kind || '-example.json' THEN 0 ELSE 1 END, name)) FROM e WHERE kind NOT IN ('Bundle', 'Patient', 'Observation') GROUP BY kind""")
+def audit_examples(spark, sf_dir):
+    """Examples for an audit: some kinds whole, one of each other."""
+    p = read(spark, sf_dir, "pages").withColumn("kind", F.expr(_PAGE))
+    return audit.select_examples(p.select("kind", F.expr(_NAME).alias("name")))
+
+
+@query(f"""WITH p AS (SELECT *, {_PAGE} AS kind, 'case' || (page_id % 5) AS "case", lpad(CAST(page_id AS VARCHAR), 9, '0') AS name FROM pages)
+SELECT "case", kind, name FROM p WHERE kind NOT IN ('CodeSystem', 'ValueSet') UNION ALL SELECT "case", kind, min(name) FROM p WHERE kind IN ('CodeSystem', 'ValueSet') GROUP BY ALL""")
+def audit_validation_sample(spark, sf_dir):
+    """Roots that a validator is given: all, but of defining kinds one a case."""
+    p = read(spark, sf_dir, "pages").select(F.expr(_PAGE).alias("kind"), F.concat(F.lit("case"), F.col("page_id") % 5).alias("case"), F.lpad(F.col("page_id").cast("string"), 9, "0").alias("name"))
+    return audit.sample_for_validation(p)
+
+
+_SEVERITY = "CASE event_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' WHEN 2 THEN 'fatal' ELSE 'information' END"
+_WHERE = "('Bundle.entry[' || (event_id % 3) || '].resource/*Patient/' || substr(md5(CAST(event_id AS STRING)), 1, 8) || '*/.name')"
+_SCRUBBED = "('Bundle.entry[' || (event_id % 3) || '].resource/*Patient*/.name')"
+_KEY_SQL = f"('[\"' || {_SEVERITY} || '\",\"' || event_type || '\",[\"' || {_SCRUBBED} || '\"],' || CASE WHEN event_id % 6 = 5 THEN '\"odd \\\"text\\\"\"' ELSE '[\"VALIDATION_' || (event_id % 2) || '\"]' END || ']')"
+
+
+def _diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events")
+    ids = F.when(F.col("event_id") % 6 == 5, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("VALIDATION_"), F.col("event_id") % 2)))
+    key = audit.issue_key(F.expr(_SEVERITY), F.col("event_type"), F.array(F.expr(_WHERE)), ids, F.lit('odd "text"'))
+    return e.select("event_id", (F.col("user_id") % 50).alias("file"), F.expr(_SEVERITY).alias("severity"), key.alias("key"))
+
+
+@query(f"SELECT event_id, {_KEY_SQL} AS key FROM events")
+def audit_issue_keys(spark, sf_dir):
+    """What makes diagnostics alike, changing ids left out."""
+    return _diagnostics(spark, sf_dir).select("event_id", "key")
+
+
+@query(f"""WITH d AS (SELECT event_id, user_id % 50 AS file, {_SEVERITY} AS severity, {_KEY_SQL} AS key FROM events), pre AS (SELECT * FROM d WHERE event_id % 5 <> 0), post AS (SELECT * FROM d WHERE event_id % 7 <> 0),
+new AS (SELECT file, count(*) AS n FROM (SELECT file, key FROM post WHERE severity IN ('error', 'fatal') EXCEPT ALL SELECT file, key FROM pre WHERE severity IN ('error', 'fatal')) GROUP BY file),
+a AS (SELECT file, count(*) FILTER (severity IN ('error', 'fatal')) AS e, count(*) FILTER (severity = 'warning') AS w FROM pre GROUP BY file), b AS (SELECT file, count(*) FILTER (severity IN ('error', 'fatal')) AS e, count(*) FILTER (severity = 'warning') AS w FROM post GROUP BY file)
+SELECT file, coalesce(a.e, 0) AS before_errors, coalesce(b.e, 0) AS after_errors, CAST(coalesce(n, 0) AS BIGINT) AS new_errors, coalesce(a.w, 0) AS before_warnings, coalesce(b.w, 0) AS after_warnings FROM a FULL JOIN b USING (file) LEFT JOIN new USING (file)""")
+def audit_comparison(spark, sf_dir):
+    """Diagnostics before and after, file by file: what is there that wasn't, repeats counted."""
+    d = _diagnostics(spark, sf_dir)
+    return audit.compare(d.filter("event_id % 5 <> 0"), d.filter("event_id % 7 <> 0"))
+
+
+_ODD_ID = "CASE page_id % 4 WHEN 0 THEN 'p' || page_id WHEN 1 THEN url WHEN 2 THEN NULL ELSE 'a.b-' || page_id || chr(10) END"
+_ODD_REF = "CASE page_id % 3 WHEN 0 THEN 'Patient/p' || page_id WHEN 1 THEN 'Patient/p/_history/' || page_id ELSE url END"
+
+
+@query(f"SELECT page_id, coalesce(NOT regexp_full_match({_ODD_ID}, '[A-Za-z0-9.\\-]{{1,64}}'), false) AS invalid, CASE WHEN page_id % 3 = 0 THEN 'p' || page_id END AS patient FROM pages")
+def audit_predicates(spark, sf_dir):
+    """Malformed ids, and exact relative references to patients."""
+    return read(spark, sf_dir, "pages").select("page_id", audit.invalid_id(F.expr(_ODD_ID)).alias("invalid"), audit.patient_id(F.expr(_ODD_REF)).alias("patient"))
+
+
 @query("""
 SELECT (SELECT count(*) FROM documents) > 0 AS has_documents, NOT EXISTS (SELECT 1 FROM documents WHERE text IS NULL) AS no_missing_text,
     (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1)) AS repeated_ids
