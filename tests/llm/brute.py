@@ -82,11 +82,14 @@ def near(rows, p, q, width=5):
 
 def leaks(rows, items, p=8, q=10):
     out = {}
+    bodies = [(item, words(body, True)) for item, body in items]
     for key, text in rows:
         w = words(text, True)
-        for item, body in items:
-            v = words(body, True)
+        grams = {n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for n in {min(5, len(v)) for _, v in bodies}}
+        for item, v in bodies:
             k = min(5, len(v))
+            if not any(tuple(v[i : i + k]) in grams[k] for i in range(len(v) - k + 1)):
+                continue
             own = Counter(tuple(v[i : i + k]) for i in range(len(v) - k + 1)) if v else Counter()
             best = None
             m = min(len(v), len(w))  # words of a window
@@ -100,6 +103,49 @@ def leaks(rows, items, p=8, q=10):
     return out
 
 
+class KneserNey:
+    """Interpolated Kneser-Ney over characters, with dicts: discounted counts at the highest order, below it by how many characters come before."""
+
+    def __init__(self, texts, order=4):
+        self.order = order
+        counts = [Counter() for _ in range(order + 1)]
+        for text in texts:
+            s = self.normal(text)
+            for i in range(order - 1, len(s)):
+                for n in range(1, order + 1):
+                    counts[n][s[i - n + 1 : i + 1]] += 1
+        for n in range(order - 1, 0, -1):
+            before = Counter(g[1:] for g in counts[n + 1])
+            counts[n] = Counter({g: max(before[g], 1) for g in counts[n]})
+        self.vocabulary = len(counts[1]) + 1
+        self.p, self.left = [{"": 1 / self.vocabulary}], {}
+        for n in range(1, order + 1):
+            ones, twos = (sum(c == k for c in counts[n].values()) for k in (1, 2))
+            discount = min(0.95, max(0.1, ones / (ones + 2 * twos) if ones else 0.5))
+            total, kinds = Counter(), Counter()
+            for g, c in counts[n].items():
+                total[g[:-1]] += c
+                kinds[g[:-1]] += 1
+            self.left |= {g: discount * kinds[g] / total[g] for g in total}
+            self.p.append({g: max(c - discount, 0) / total[g[:-1]] + self.left[g[:-1]] * self.p[n - 1][g[1:]] for g, c in counts[n].items()})
+
+    def normal(self, text):
+        low = "".join(c.lower() if c.isalpha() else " " for c in text)
+        return " " * (self.order - 1) + re.sub(" +", " ", low).lstrip() + " "
+
+    def probability(self, gram):
+        if gram in self.p[len(gram)]:
+            return self.p[len(gram)][gram]
+        return self.left.get(gram[:-1], 1.0) * self.probability(gram[1:]) if gram else 1 / self.vocabulary
+
+    def entropy(self, text):
+        from math import log
+
+        s = self.normal(text)
+        each = [-log(self.probability(s[i - self.order + 1 : i + 1])) for i in range(self.order - 1, len(s))]
+        return sum(each) / len(each)
+
+
 def licensed(text):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
     at = [(i, label) for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")) for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]

@@ -220,7 +220,7 @@ def test_models_sum_to_one():
     chars = langid.characters(*langid.W.text_bytes(pa.array(["abab ba cab abba", "bac ab"])))
     model = langid.estimate(chars)
     known = [langid.SPACE, *map(ord, "abc")]
-    for context in ("aba", "bab", "cab", "  a", "bbb"):
+    for context in ("aba", "bab", "cab", "  a", "   ", "bbb"):
         total = 0.0
         for c in known:
             codes = np.array([*map(ord, context), c], np.uint32)
@@ -229,6 +229,18 @@ def test_models_sum_to_one():
         assert abs(total - 1) < 1e-9
 
 
+def test_models_equal_plain_ones():
+    import numpy as np
+    import pyarrow as pa
+
+    piece = lambda texts: langid.characters(*langid.W.text_bytes(pa.array(texts)))
+    known = ["abab ba, cab abba!", "Bac ab", "the cat sat on the mat and the bat", "ABBA 12 cab"]
+    tests = ["abba cab", "zyx the cat", "b", "a man, a plan; a canal"]
+    plain, model = brute.KneserNey(known), langid.estimate(piece(known))
+    found = langid.Identifier(["aa"], [model], np.zeros((1, len(langid.LENGTHS)))).entropies(piece(tests), {})[:, 0]
+    assert np.allclose(found, [plain.entropy(t) for t in tests], atol=1e-6)
+
+
 def test_licenses(spark):
     rows = [(1, None), (2, ""), (3, "CC BY-NC 4.0, cc by cc by"), (4, "General Public License all rights reserved"), (5, "general, public. License"), (5, "general, public. License"), (None, "cc-by"), (7, "you can redistribute it and or modify it under some terms of the GNU General Public License as published by the Free Software Foundation"), (8, "Permission is hereby granted, free of charge, to any person getting a copy of this software and associated documentation files, to deal in the Software without restriction"), (9, "ccc by all right reserved"), (10, "x " * 3000 + "cc by")]
     out = [tuple(r) for r in licenses.scan(frame(spark, rows).withColumn("labels", F.lit(1))).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()]
@@ -380,6 +392,38 @@ class TestTables:
         lic = sorted((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) for r in queries.op8_license_scan(spark, str(TABLES)).collect())
         assert lic == sorted((k, *brute.licensed(t)) for k, t in rows)
 
+    def test_links_on_tables(self, spark):
+        """Of all links of a larger table none is lost, and none made up."""
+        tables = TABLES.parent / "sf0.01"
+        rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(str(tables / "documents.parquet")).collect()]
+        plain = sorted(brute.near(rows, 85, 100))
+        assert sorted(map(tuple, queries.op3_minhash_near_dedup(spark, str(tables)).collect())) == plain and sum(not kept for *_, kept in plain) > 50
+
+    def test_decontamination_on_tables(self, spark):
+        docs, items = (spark.read.parquet(str(TABLES.parent / "sf0.01" / f"{t}.parquet")) for t in ("documents", "benchmark"))
+        plain = brute.leaks([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in items.collect()])
+        own = {(r["doc_id"], r["item_id"]): (r["start"], r["n_words"], r["similarity"]) for r in queries.op5_decontamination(spark, str(TABLES.parent / "sf0.01")).collect()}
+        assert own == plain and own
+
+    def test_token_counts_on_tables(self, spark):
+        from tokenizers import Tokenizer, models
+
+        known = tokens.vocabulary_from_file()
+        lowest = min(s for _, s in known.pieces)
+        model = Tokenizer(models.Unigram([("<unk>", lowest), *known.pieces, *((f"<0x{i:02X}>", lowest) for i in range(256))], unk_id=0, byte_fallback=True))
+        texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(str(TABLES / "documents.parquet")).collect()}
+        own = {r["doc_id"]: r["n_tokens"] for r in queries.op4_token_counts(spark, str(TABLES)).collect()}
+        assert own == {k: len(model.encode("▁" + t.replace(" ", "▁")).ids) if t else 0 for k, t in texts.items()}
+
+    def test_language_scores_on_tables(self, spark):
+        """The registered query against plain models of the same sample."""
+        docs = spark.read.parquet(str(TABLES / "documents.parquet"))
+        train = langid.bounded_sample(langid.training_rows(docs).select(F.col("doc_id").alias("key"), "text", "lang").filter("text <> '' AND lang IS NOT NULL"), "lang", langid.SAMPLE, langid.LANGUAGES, "text", langid.SAMPLE_CHARS, langid.LANGUAGE_CHARS).collect()
+        models = {lang: brute.KneserNey([r["text"] for r in train if r["lang"] == lang]) for lang in sorted({r["lang"] for r in train})}
+        own = {r["doc_id"]: r["lang_pred"] for r in queries.op7_language_id(spark, str(TABLES)).collect()}
+        some = sorted((r for r in docs.collect() if any(map(str.isalpha, r["text"] or ""))), key=lambda r: len(r["text"]))[:60]
+        assert {r["doc_id"]: own[r["doc_id"]] for r in some} == {r["doc_id"]: min(models, key=lambda m: (models[m].entropy(r["text"]), m)) for r in some}
+
     def test_held_out_accuracy(self, spark):
         docs = spark.read.parquet(str(TABLES / "documents.parquet"))
         found = queries.op7_language_id(spark, str(TABLES)).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")

@@ -106,10 +106,11 @@ def gram_hashes(codes: np.ndarray, order: int) -> np.ndarray:
 
 
 class Model(NamedTuple):
-    """Of one language; for each order n from 1: sorted n-gram hashes, their log probabilities, and the back-off weight as context."""
+    """Of one language; for each order n from 1 sorted n-gram hashes and their log probabilities; from 2 sorted hashes of contexts and their back-off weights."""
 
     keys: list[np.ndarray]
     logp: list[np.ndarray]
+    contexts: list[np.ndarray]
     backoff: list[np.ndarray]
     base: float  # log probability of an unseen character
 
@@ -126,7 +127,7 @@ class Model(NamedTuple):
             if not len(todo):
                 return out
             if n > 1:  # the context: the n - 1 codes before the last
-                at, found = _find(self.keys[n - 2], grams[-1 + ORDER + n - 1][todo])
+                at, found = _find(self.contexts[n - 2], grams[-1 + ORDER + n - 1][todo])
                 weight[todo[found]] += self.backoff[n - 2][at[found]]
         out[todo] = weight[todo] + self.base
         return out
@@ -161,7 +162,7 @@ def estimate(chars: Chars) -> Model:
         table[n - 1]["count"] = np.maximum(kinds, 1.0)
     vocabulary = len(table[0]["key"]) + 1
     lower = np.full(len(table[0]["key"]), 1.0 / vocabulary)
-    keys, logp, backoff = [], [], []
+    keys, logp, before, backoff = [], [], [], []
     for n in range(1, ORDER + 1):
         t = table[n - 1]
         ones, twos = (t["count"] == 1).sum(), (t["count"] == 2).sum()
@@ -176,11 +177,9 @@ def estimate(chars: Chars) -> Model:
         if n == 1:
             base = float(np.log(left[0] / vocabulary))
         else:
-            weights = np.zeros(len(keys[n - 2]))
-            at, found = _find(keys[n - 2], contexts)
-            weights[at[found]] = np.log(left[found])
-            backoff.append(weights)
-    return Model(keys, logp, [*backoff, np.zeros(0)], base)
+            before.append(contexts)
+            backoff.append(np.log(left))
+    return Model(keys, logp, before, backoff, base)
 
 
 class Identifier(NamedTuple):
