@@ -39,7 +39,7 @@ from .components import components
 
 COORDINATES = 48
 #: Nodes of one posting list that are compared in one task at a time, and texts verified in one.
-LIST_BLOCK, TEXT_BLOCK = 256, 256
+LIST_BLOCK, TEXT_BLOCK = 256, 64
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
