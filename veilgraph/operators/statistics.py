@@ -3,23 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.storage import materialise
+
 PERCENTS = (5, 25, 50, 75, 95)
 
 
 def nearest_rank(frequencies: DataFrame, group: Sequence[str], order: Sequence[str], value: str, count: str, percents: Sequence[int] = PERCENTS) -> DataFrame:
     """Per group the count, minimum, maximum and nearest-rank quantiles of (value, count) rows.
 
-    Ranks are ceilings in integers, (percent * n + 99) // 100. A window holds distinct values only,
-    as frequencies are summed first with map-side combining.
+    Ranks are ceilings in integers, (percent * n + 99) // 100. Frequencies are summed first, with map-side combining; then
+    distinct values are cut into ranges, whose sums, a row each, tell what comes before, so that a group of very many
+    values is no window of its own.
     """
-    summed = frequencies.groupBy(*group, *dict.fromkeys([*order, value])).agg(F.sum(count).alias("_n"))
-    by = Window.partitionBy(*group)
-    running = summed.withColumn("_upto", F.sum("_n").over(by.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(by))
+    summed = materialise(frequencies.groupBy(*group, *dict.fromkeys([*order, value])).agg(F.sum(count).alias("_n")))
+    parted = materialise(summed.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
+    sums, by = parted.groupBy(*group, "_part").agg(F.sum("_n").alias("_sum")), Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_sum").over(by.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*[F.col(c).alias(f"_of_{c}") for c in group], F.col("_part").alias("_p"), before.alias("_before"), F.sum("_sum").over(by).alias("_all"))
+    same = (F.col("_part") == F.col("_p")) & reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in group))
+    upto = F.sum("_n").over(Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    running = parted.withColumn("_upto", upto).join(sums, same).withColumn("_upto", F.col("_upto") + F.col("_before"))
     key = F.struct(*dict.fromkeys([*order, value]))
     picks = [F.min(F.when(F.col("_upto") >= F.floor((F.col("_all") * p + 99) / 100), key))[value].alias(f"p{p:02d}") for p in percents]
     return running.groupBy(*group).agg(F.first("_all").alias("n"), F.min(key)[value].alias("minimum"), F.max(key)[value].alias("maximum"), *picks)

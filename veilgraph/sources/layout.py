@@ -64,7 +64,8 @@ class _File:
 def write(roots: DataFrame, plans: list[dict], folder: Path) -> list[dict]:
     """Write (source_id, root_id, line) rows, a task per file, streaming in root order; the manifest in file order.
 
-    `folder` must be seen by all executors. A task that runs again writes its file anew.
+    `folder` must be seen by all executors. A task that runs again writes its file anew. The driver holds a row a file, the
+    plan and the manifest: fine for a million of files.
     """
     spark = roots.sparkSession
     folder.mkdir(mode=0o700, parents=True)
@@ -88,7 +89,10 @@ def write(roots: DataFrame, plans: list[dict], folder: Path) -> list[dict]:
             source, records, digest = zip(*done)
             yield pa.RecordBatch.from_arrays([pa.array(source, pa.int32()), pa.array(records, pa.int64()), pa.array(digest)], ["source_id", "records", "digest"])
 
-    ordered = roots.select("source_id", "root_id", "line").repartition(max(1, len(plans)), "source_id").sortWithinPartitions("source_id", "root_id")
+    # sources are numbered through, so each file has a task of its own
+    tasks = max(1, len(plans))
+    dealt = roots.select("source_id", "root_id", "line").repartitionById(tasks, F.pmod("source_id", F.lit(tasks)).cast("int"))
+    ordered = dealt.sortWithinPartitions("source_id", "root_id")
     written = {r["source_id"]: r for r in ordered.mapInArrow(run, "source_id int, records long, digest string").collect()}
     manifest = []
     for entry in plans:
