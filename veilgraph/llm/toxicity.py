@@ -225,7 +225,8 @@ def _sample(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str)
     picked = bounded_sample(rows.filter("toxic"), "toxic", TOXIC_SAMPLE, 1).unionByName(bounded_sample(rows.filter("NOT toxic"), "toxic", OTHER_SAMPLE, 1))
     # bounded by the sample, so it may be sent to every task
     found = docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).filter("text IS NOT NULL").join(F.broadcast(picked), F.col("doc") == F.col("key"))
-    found = bounded_sample(materialise(found.select("text", "toxic")), "toxic", TOXIC_SAMPLE + OTHER_SAMPLE, 2, "text", 2 * SAMPLE_CHARS, SAMPLE_CHARS)
+    # few rows of many partitions: put together, they are few files
+    found = bounded_sample(materialise(found.select("text", "toxic").hint("rebalance")), "toxic", TOXIC_SAMPLE + OTHER_SAMPLE, 2, "text", 2 * SAMPLE_CHARS, SAMPLE_CHARS)
     bands = ["a", "b", "c"]
 
     def mark(batches):
