@@ -48,8 +48,10 @@ def build(spark: SparkSession, files: list[Path], base_url: str | None, progress
     notify(progress, "Reading FHIR files")
     unpacked = materialise(unpack(exports.scan(spark, files), base_url))
     sources = spark.createDataFrame([(i, str(p)) for i, p in enumerate(files, 1)], "id int, path string")
-    flat = unpacked.select("source_id", "ordinal", F.explode("occurrences").alias("o")).select("source_id", "ordinal", "o.*")
-    flat = numbered(flat, ORDER, "id")
+    whole = unpacked.select("source_id", "ordinal", F.explode("occurrences").alias("o")).select("source_id", "ordinal", "o.*")
+    # payloads stay behind until it is known which are new: they move once
+    flat = numbered(whole.drop("payload"), ORDER, "id")
+    payloads = whole.select(F.col("source_id").alias("qs"), F.col("ordinal").alias("qo"), F.col("seq").alias("qq"), "payload")
 
     # a resource is new where its key first occurs, and is numbered in that order
     firsts = flat.groupBy("key").agg(F.min("id").alias("first"))
@@ -57,6 +59,7 @@ def build(spark: SparkSession, files: list[Path], base_url: str | None, progress
     new = materialise(new)
     roots = new.filter(~F.col("contained")).select(F.col("key").alias("of_root"), F.col("resource_id").alias("root_id"))
     new = new.join(roots, F.coalesce("root_key", "key") == F.col("of_root"), "left")
+    new = new.join(payloads, (F.col("source_id") == F.col("qs")) & (F.col("ordinal") == F.col("qo")) & (F.col("seq") == F.col("qq")))
     identity = F.coalesce("identity", F.concat(F.lit("contained:"), "root_id", F.lit("#"), "local"))
     resources = materialise(new.select(F.col("resource_id").alias("id"), identity.alias("identity"), "digest", "resource_type", "logical_id", "version_id", "full_url", "contained", "root_id", "payload", "key", "first", "source_id", "locator"))
 
