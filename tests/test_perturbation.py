@@ -137,7 +137,7 @@ def test_run_reuse_and_reingestion(spark, tmp_path):
     put(source / "x/more.ndjson.gz", person("z"), observation("zo", quantity("@1.50@"), subject=ref("Patient/z")), person("z"))
     stages = []
     header = workflow.run_export([source], tmp_path / "one", spark=spark, progress=lambda stage, *a: stages.append(stage))
-    assert header["status"] == "completed_with_warnings" and header["validation"]["roots_checked"] == 17 and "Perturbing resources" in stages
+    assert header["status"] == "completed_with_warnings" and header["validation"]["roots_checked"] == 17 and "Editing" in stages
     assert {f["file"] for f in header["export"]["files"]} == {"ward.ndjson", "x/more.ndjson.gz"}
     lines = list(perturbation.iter_export_lines(tmp_path / "one"))
     assert len(lines) == 17 and "Muster" not in "".join(lines)

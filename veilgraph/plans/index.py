@@ -45,7 +45,7 @@ def _issues(df: DataFrame, severity: str, code: str, source=None, locator=None,
 
 def build(spark: SparkSession, files: list[Path], base_url: str | None, progress=None) -> dict[str, DataFrame]:
     """All tables of the index."""
-    notify(progress, "Reading FHIR files")
+    notify(progress, "Reading and unpacking documents")
     unpacked = materialise(unpack(exports.scan(spark, files), base_url))
     sources = spark.createDataFrame([(i, str(p)) for i, p in enumerate(files, 1)], "id int, path string")
     whole = unpacked.select("source_id", "ordinal", F.explode("occurrences").alias("o")).select("source_id", "ordinal", "o.*")
@@ -74,9 +74,9 @@ def build(spark: SparkSession, files: list[Path], base_url: str | None, progress
     scope = F.when(F.col("n.kind") == "contained", F.concat(F.lit("contained:"), "root_id")).otherwise(F.col("context"))
     aliases = materialise(names.select(F.col("n.alias").alias("alias"), "resource_id", scope.alias("context"), F.col("n.kind").alias("kind"), "version_id").distinct())
 
-    notify(progress, "Resolving resource references")
+    notify(progress, "Resolving references")
     refs = _resolve(occ, aliases)
-    notify(progress, "Assigning resources to patients")
+    notify(progress, "Finding owners")
     memberships, owner_issues = _owners(resources, occurrences, refs)
 
     # issues: those of single documents, tied to resources, and those that only the whole shows
@@ -179,11 +179,12 @@ def report(tables: dict[str, DataFrame]) -> dict:
 
 
 def text_report(found: dict) -> str:
-    out = ["FHIR ingestion report", f"Status: {found['status']}", "Data: source patient data; this stage does not generate synthetic data.", "Target: FHIR R4 (4.0.1); hospital version is unconfirmed.", "Checks: ingestion and references; full FHIR/MII profile validation has not run.", ""]
-    out += [f"{name.replace('_', ' ').capitalize()}: {n}" for name, n in found["counts"].items()]
-    out += ["", "References:", *(f"  {s}: {n}" for s, n in found["reference_status"].items())]
-    out += ["", "Issues:", *(f"  {i['severity']}: {i['code']} ({i['count']})" for i in found["issues"])]
-    return "\n".join(out) + "\n"
+    """The report as lines of text, for people."""
+    parts = {"Counts": found["counts"], "References": found["reference_status"], "Issues": {f"{i['severity']} {i['code']}": i["count"] for i in found["issues"]}}
+    lines = [f"Index of a FHIR {found['fhir']['target_version']} export: {found['status']}", "It holds the patients' data as they are. Profiles have not been validated."]
+    for title, entries in parts.items():
+        lines += ["", title, *(f"{n:>12,}  {name.replace('_', ' ')}" for name, n in entries.items())]
+    return "\n".join(lines) + "\n"
 
 
 def write_private(path: Path, text: str) -> None:
@@ -196,11 +197,11 @@ def write(spark: SparkSession, files: list[Path], folder: Path, base_url: str |
     (folder / "index").mkdir(mode=0o700)
     with scope(spark):
         tables = build(spark, files, base_url, progress)
-        notify(progress, "Saving linked source index")
+        notify(progress, "Writing the index")
         together(spark, *[lambda name=name, df=df: df.write.parquet(f"{_uri(folder)}/index/{name}") for name, df in tables.items()])
     lock(folder / "index")
     saved = {name: spark.read.parquet(f"{_uri(folder)}/index/{name}") for name in TABLES}
-    notify(progress, "Writing ingestion reports")
+    notify(progress, "Reporting on the load")
     found = report(saved)
     write_private(folder / "report.json", json.dumps(found, indent=2, ensure_ascii=False) + "\n")
     write_private(folder / "report.txt", text_report(found))
@@ -211,7 +212,7 @@ def write(spark: SparkSession, files: list[Path], folder: Path, base_url: str |
 def ingest(inputs, output, base_url: str | None = None, *, progress=None, spark: SparkSession | None = None) -> dict:
     """Index an export into a new folder and return the report. The folder must be seen by driver and executors."""
     base_url = exports.normalize_base_url(base_url)
-    notify(progress, "Finding input files")
+    notify(progress, "Looking for files")
     files, folder = exports.discover(inputs, output)
     folder.mkdir(mode=0o700, parents=True)
     return write(spark or session(), files, folder, base_url, progress)

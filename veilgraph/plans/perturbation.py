@@ -273,13 +273,13 @@ def _report(folder: Path, header: dict, actions: DataFrame) -> None:
 
 def run(spark: SparkSession, source: Path, output: Path, settings: dict, reuse_key_from=None, *, reserved: bool = False, progress=None) -> dict:
     """Perturb the index in `source` into `output`; `reserved`: the folder is there already and holds the index."""
-    notify(progress, "Checking input database and FHIR definitions")
+    notify(progress, "Opening the index")
     tables, source_run = index.open_index(spark, source)
     if source_run["fhir_version"] != index.FHIR_VERSION:
         raise PerturbationError("The index is not one of FHIR R4 4.0.1.")
-    notify(progress, "Checking source snapshot")
+    notify(progress, "Summing up the index")
     found = fingerprint(tables)
-    notify(progress, "Planning output files")
+    notify(progress, "Planning files")
     places = layout.population(tables["occurrences"], tables["resources"])
     sizes = {r["source_id"]: (r["n"], r["first"]) for r in places.groupBy("source_id").agg(F.count("*").alias("n"), F.min("locator").alias("first")).collect()}
     plans = layout.plan([(r["id"], r["path"]) for r in tables["sources"].orderBy("id").collect()], sizes)
@@ -305,7 +305,7 @@ def run(spark: SparkSession, source: Path, output: Path, settings: dict, reuse_k
 
 def _run(state: State, tables, source_run, places, plans, settings, key, output, reserved, progress) -> dict:
     spark, strength = state.spark, settings["strength"]
-    notify(progress, "Preparing replacement identities")
+    notify(progress, "Drawing new ids")
     mappings = state.table("resource_mappings", _mappings(tables, key))
     repeated = mappings.groupBy("new_id").count().filter("count > 1")
     if not repeated.limit(1).isEmpty():
@@ -313,23 +313,23 @@ def _run(state: State, tables, source_run, places, plans, settings, key, output,
     roots = tables["resources"].filter("NOT contained").select(F.col("id").alias("root_id"), "payload")
     number = roots.count()
     state.save(phase="date_bounds")
-    notify(progress, "Checking patient date ranges")
+    notify(progress, "Drawing offsets")
     patients = state.table("patient_parameters", _patients(tables, mappings, roots, number, settings["date_shift_days"], key))
     state.save(phase="writing")
-    notify(progress, "Perturbing resources")
+    notify(progress, "Editing")
     members = _members(mappings, patients)
     written = state.table("written", _written(roots, number, members, _edges(tables, mappings), key, strength))
     state.save(phase="validation")
-    notify(progress, "Validating perturbed resources")
+    notify(progress, "Undoing and comparing")
     validation = _checked(written, number, mappings, members, patients, key, strength)
     state.save(phase="exporting")
-    notify(progress, "Writing and checking FHIR files")
+    notify(progress, "Writing files and reading them back")
     partial = state.folder / ".result.partial"
     partial.mkdir(mode=0o700)
     lines = written.select("root_id", "line").join(places, F.col("root_id") == F.col("resource_id"))
     manifest = layout.write(lines, plans, partial / "fhir")
     state.save(phase="aggregation")
-    notify(progress, "Calculating report statistics")
+    notify(progress, "Adding up")
     acts = written.select("resource_type", F.explode("actions").alias("a")).groupBy("resource_type", "a.path", "a.datatype", "a.action", "a.reason").agg(F.sum("a.frequency").alias("frequency"))
     changes = written.select("root_id", F.explode("changes").alias("c")).select("root_id", "c.*")
     actions, *_ = together(spark, lambda: state.table("field_actions", acts), lambda: state.table("changes", changes), lambda: _statistics(state, written))
@@ -346,7 +346,7 @@ def _run(state: State, tables, source_run, places, plans, settings, key, output,
         "export": {"layout": "source_files", "directory": "result/fhir", "files": manifest, "files_checked": len(manifest), "records": sum(p["records"] for p in plans), "decompressed_bytes_verified": True, "resource_stream_sha256": keyed.sha256("".join(m["uncompressed_sha256"] for m in manifest))},
     }
     state.save(phase="reporting")
-    notify(progress, "Writing result reports")
+    notify(progress, "Reporting")
     reports = partial / "reports"
     reports.mkdir(mode=0o700)
     _report(reports, header, actions)

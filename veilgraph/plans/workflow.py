@@ -28,7 +28,7 @@ def run_export(inputs, output_dir, *, strength=Decimal("0.16"), date_shift_days:
     """
     settings = perturbation.validate_settings(strength, date_shift_days)
     base_url = exports.normalize_base_url(base_url)
-    notify(progress, "Finding input files")
+    notify(progress, "Looking for files")
     files, output = exports.discover(inputs, output_dir)
     spark = spark or index.session()
     work = output / "intermediates"
