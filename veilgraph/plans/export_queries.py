@@ -11,7 +11,6 @@ import json
 import re
 from decimal import Decimal
 from pathlib import Path
-from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +20,7 @@ from ..functions.keyed import json_string_col
 from ..sources import exports, layout
 from . import index, perturbation
 from .registry import DAYS, KEY, STRENGTH_PERCENT, query, read, sql_digest, sql_modulo
-from .storage import delete, private_folder, shared_dir
+from .storage import delete, plain, private_folder, shared_dir
 
 UCUM = "http://unitsofmeasure.org"
 BASE = "https://wards.example/fhir/"
@@ -138,14 +137,13 @@ _runs: dict[tuple, Path] = {}
 def _folder(spark: SparkSession) -> Path:
     """A private folder of this process in the shared one, which the engine's sink needs to be a plain path."""
     place = f"{shared_dir(spark)}/veilgraph-queries-{spark.sparkContext.applicationId}"
-    parts = urlsplit(place)
-    if parts.scheme not in ("", "file"):
+    if plain(place) is None:
         raise RuntimeError("exports are written to a folder that is mounted on driver and executors")
     if (spark.sparkContext.applicationId,) not in _runs:
         import atexit
 
         private_folder(spark, place)
-        _runs[(spark.sparkContext.applicationId,)] = Path(unquote(parts.path))
+        _runs[(spark.sparkContext.applicationId,)] = plain(place)
         atexit.register(lambda: spark.sparkContext._jsc and delete(spark, place))
     return _runs[(spark.sparkContext.applicationId,)]
 

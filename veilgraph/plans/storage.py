@@ -39,8 +39,18 @@ def _hadoop(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def plain(path: str) -> Path | None:
+    """The path as one of this machine's file system, or None if it is of another."""
+    parts = urlsplit(path)
+    return Path(unquote(parts.path)) if parts.scheme in ("", "file") else None
+
+
 def private_folder(spark: SparkSession, path: str) -> None:
     """Make a folder that nobody but its owner can look into, whatever the files in it allow."""
+    local = plain(path)
+    if local is not None:  # without a process of its own for the rights, as Hadoop starts
+        local.mkdir(mode=0o700, parents=True, exist_ok=True)
+        return
     place, system = _hadoop(spark, path)
     system.mkdirs(place)
     system.setPermission(place, spark.sparkContext._jvm.org.apache.hadoop.fs.permission.FsPermission("700"))
@@ -102,13 +112,8 @@ def together(spark: SparkSession, *jobs: Callable[[], object]) -> list:
         return [x.result() for x in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
 
 
-def lock(folder: Path | str) -> None:
+def lock(folder: Path) -> None:
     """Take from others the rights to all files and folders below a local folder, as Spark writes them by its own mask."""
-    if isinstance(folder, str):
-        parts = urlsplit(folder)
-        if parts.scheme not in ("", "file"):
-            return
-        folder = Path(unquote(parts.path))
     for place, _, files in os.walk(folder):
         os.chmod(place, 0o700)
         for name in files:
