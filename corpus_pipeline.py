@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 and reread before the next.  All but the last return the columns of documents.
+
+All stages read whole texts of any length; an empty table stays one; extra columns pass through, whatever
+their names; ties don't matter, so reruns agree.  What nulls and repeated rows give is said with each.
 """
 
 from __future__ import annotations
@@ -17,17 +20,27 @@ ORACLE_SQL = None
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those that are rejected go."""
+    """Documents whose language is told; those that are rejected go.
+
+    Null and empty texts, and texts without a letter, go; a null language or key is no matter, such rows are judged like others;
+    of repeated rows all stay or all go.
+    """
     return langid.accepted(docs, langid.learn(langid.training_rows(docs)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: similarity of five-word shingles of 0.8 or more."""
+    """One document of each group of near duplicates: similarity of five-word shingles of 0.8 or more.
+
+    The smallest key stays; rows with a null key all stay, and so do documents without words; of rows with one key and text one stays.
+    """
     return neardup.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the words of windows of 35 that stand elsewhere too; n_chars follows."""
+    """Texts without the words of windows of 35 that stand elsewhere too; n_chars follows.
+
+    Null texts become empty; white space collapses; of repeated rows every copy is cut.
+    """
     cut = substrings.remove_repeats(docs, window=35, key="doc_id")
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
@@ -35,12 +48,18 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Documents with a null or empty text stay; null items count for nothing; repeated rows stay or go alike.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: documents with size, source_size, target and taken (words, repeats counted)."""
+    """What the mix takes: documents with size, source_size, target and taken (words, repeats counted).
+
+    Documents without words are never taken; a null source is a source; null keys are ordinary; repeated rows take places of their own.
+    """
     return mixing.mix(docs, weights=(1, 2, 3), repeats=3, keep_text=True).filter("taken > 0")
 
 
