@@ -56,7 +56,6 @@ def build(spark: SparkSession, files: list[Path], base_url: str | None, progress
     # a resource is new where its key first occurs, and is numbered in that order
     firsts = flat.groupBy("key").agg(F.min("id").alias("first"))
     new = numbered(flat.join(firsts.select("first"), F.col("id") == F.col("first"), "left_semi").withColumnRenamed("id", "first"), ["first"], "resource_id")
-    new = materialise(new)
     roots = new.filter(~F.col("contained")).select(F.col("key").alias("of_root"), F.col("resource_id").alias("root_id"))
     new = new.join(roots, F.coalesce("root_key", "key") == F.col("of_root"), "left")
     new = new.join(payloads, (F.col("source_id") == F.col("qs")) & (F.col("ordinal") == F.col("qo")) & (F.col("seq") == F.col("qq")))
@@ -137,7 +136,7 @@ def _owners(resources: DataFrame, occurrences: DataFrame, refs: DataFrame) -> tu
     links = materialise(links.join(kind.select(F.col("id").alias("t"), F.col("resource_type").alias("target_type")), F.col("target_resource_id") == F.col("t")))
     patients = kind.filter("resource_type = 'Patient'").select(F.col("id").alias("node"), F.col("id").alias("owner"))
     direct = links.filter(F.col("path").isin(*SUBJECT_PATHS) & (F.col("target_type") == "Patient")).select(F.col("source_resource_id").alias("node"), F.col("target_resource_id").alias("owner"))
-    seeds = materialise(patients.unionByName(direct).distinct())
+    seeds = patients.unionByName(direct).distinct()
     edge = lambda df, a, b: df.select(F.col(a).alias("provider"), F.col(b).alias("dependent"))
     visits = links.filter((F.col("path") == "partOf.reference") & (F.col("source_type") == "Encounter") & (F.col("target_type") == "Encounter"))
     contexts = links.filter(F.col("path").isin(*CONTEXT_PATHS) & (F.col("target_type") == "Encounter"))

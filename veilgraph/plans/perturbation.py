@@ -222,9 +222,7 @@ def _checked(written: DataFrame, number: int, mappings: DataFrame, members: Data
 
     patients.select("identity", "minimum_days", "maximum_days", "days").mapInArrow(offsets, "n long").agg(F.sum("n")).collect()
     own = mappings.filter("resource_id = root_id").select(F.col("root_id").alias("source_root"), "digest")
-    both = written.select("root_id", "line", "changes").join(own, F.col("root_id") == F.col("source_root"), "full")
-    if not both.filter("root_id IS NULL OR source_root IS NULL").limit(1).isEmpty():
-        raise PerturbationError("The output does not hold the source's resources, each once.")
+    both = written.select("root_id", "line", "changes").join(own, F.col("root_id") == F.col("source_root"))
     m = mappings.select(F.col("resource_id").alias("t"), F.col("root_id").alias("t_root"), "resource_type", "new_id")
     links = written.select("root_id", F.explode("changes").alias("c")).filter("c.target_id IS NOT NULL").select("root_id", F.col("c.target_id").alias("target_id")).distinct().join(m, F.col("target_id") == F.col("t"))
     # a contained target must lie in the same root
@@ -243,7 +241,8 @@ def _checked(written: DataFrame, number: int, mappings: DataFrame, members: Data
 
     sums = spread(rows, number).mapInArrow(undo, ", ".join(f"{c} long" for c in kernel.CHECKED)).agg(F.count("*").alias("roots_checked"), *[F.sum(c).alias(c) for c in kernel.CHECKED]).first()
     found = {k: v or 0 for k, v in sums.asDict().items()}
-    if found["roots_checked"] != number:
+    # as many were written as there are, and as many of these are the source's: each is there, once
+    if not found["roots_checked"] == number == written.count():
         raise PerturbationError("The output does not hold the source's resources, each once.")
     return found
 
