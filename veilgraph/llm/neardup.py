@@ -38,8 +38,8 @@ from .common import bounded_batches, fresh, materialise, pack, salted, tidy, unp
 from .components import components
 
 COORDINATES = 48
-#: Nodes of one posting list that are compared in one task at a time, and texts verified in one.
-LIST_BLOCK, TEXT_BLOCK = 256, 64
+#: Nodes of one posting list that are compared in one task at a time, at most and, where pairs of blocks are fewer than tasks, at least; and texts verified in one.
+LIST_BLOCK, SMALL_BLOCK, TEXT_BLOCK = 256, 64, 64
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -180,11 +180,13 @@ def _met(members: DataFrame) -> DataFrame:
     dealt out by the pair, as column `task` tells, not by the hub alone.
     """
     groups = members.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).filter("low != high")
-    rows = salted(members, groups.select("hub", F.ceil(F.col("rows") / LIST_BLOCK).alias("blocks")), "hub", "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # as many blocks that every task gets a pair of them, unless they become too small for that
+    blocks = F.greatest(F.ceil(F.col("rows") / LIST_BLOCK), F.least(F.ceil(F.col("rows") / SMALL_BLOCK), F.lit(int((2 * tasks) ** 0.5) + 1)))
+    rows = salted(members, groups.select("hub", blocks.alias("blocks")), "hub", "node").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
     met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(F.greatest(x, F.col("own")).alias("i"), F.least(x, F.col("own")).alias("j")))
     rows = rows.withColumn("met", F.explode(met)).withColumn("i", F.col("met.i")).withColumn("j", F.col("met.j")).drop("met", "blocks")
     # pairs of a hub are numbered through and dealt in turn, so that no task gets many while others get none
-    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     turn = F.xxhash64("hub") % tasks + F.shiftright(F.col("i") * (F.col("i") + 1), 1) + F.col("j")
     return rows.withColumn("task", F.pmod(turn, F.lit(tasks)).cast("int")).repartitionById(tasks, "task")
 
