@@ -144,7 +144,7 @@ def _folder(spark: SparkSession) -> Path:
 
         private_folder(spark, place)
         _runs[(spark.sparkContext.applicationId,)] = plain(place)
-        atexit.register(lambda: spark.sparkContext._jsc and delete(spark, place))
+        atexit.register(delete, None, place)
     return _runs[(spark.sparkContext.applicationId,)]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -56,9 +57,14 @@ def private_folder(spark: SparkSession, path: str) -> None:
     system.setPermission(place, spark.sparkContext._jvm.org.apache.hadoop.fs.permission.FsPermission("700"))
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    place, system = _hadoop(spark, path)
-    system.delete(place, True)
+def delete(spark: SparkSession | None, path: str) -> None:
+    """Delete a folder; one of this machine's file system goes without Spark, too."""
+    local = plain(path)
+    if local is not None:
+        shutil.rmtree(local, ignore_errors=True)
+    elif spark is not None and spark.sparkContext._jsc is not None:
+        place, system = _hadoop(spark, path)
+        system.delete(place, True)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -88,11 +94,9 @@ def scope(spark: SparkSession) -> Iterator[None]:
 
 @atexit.register
 def _end() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and spark.sparkContext._jsc is not None:
-        for folder in _scopes[0]:
-            with suppress(Exception):
-                delete(spark, folder)
+    for folder in _scopes[0]:
+        with suppress(Exception):
+            delete(SparkSession.getActiveSession() if plain(folder) is None else None, folder)
 
 
 def spread(df: DataFrame, rows: int | None = None, rows_per_task: int = 20_000) -> DataFrame:
