@@ -87,4 +87,30 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id)
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN parts USING (doc_id)
 """
 
-ORACLES = {"op1_substring_dedup": SUBSTRINGS, "op3_minhash_near_dedup": NEAR, "op2_url_filter": URL_FILTER, "op9_mixing": MIXING, "op10_exact_top_k": TOP_K}
+DIVERGENCE = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), found AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM found GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (
+    SELECT g.lang, g.source, k.term, count(f.r) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN found f ON f.lang = g.lang AND f.source = g.source AND f.term = k.term GROUP BY ALL
+), shares AS (
+    SELECT c.lang, c.source, c.term, n, CAST(1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY c.lang, c.source) + v.v) AS HUGEINT) AS p FROM counts c JOIN v USING (lang)
+), langs AS (
+    SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY lang) + v.v) AS HUGEINT) AS q FROM (SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL) JOIN v USING (lang)
+), pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), rows AS (
+    SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(value, 0) AS value
+    FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = h.source
+    UNION ALL SELECT s.lang, s.source, 'term', s.term, ((p - q) * (p - q)) // q FROM shares s JOIN langs l ON l.lang = s.lang AND l.term = s.term WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM rows QUALIFY part = 'pair' OR rank <= 200
+"""
+
+ORACLES = {"op1_substring_dedup": SUBSTRINGS, "op3_minhash_near_dedup": NEAR, "op2_url_filter": URL_FILTER, "op9_mixing": MIXING, "op10_exact_top_k": TOP_K, "op13_source_divergence": DIVERGENCE}

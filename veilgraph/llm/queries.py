@@ -82,4 +82,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_minhash_near_dedup, op4_token_counts, op5_decontamination, op6_toxicity, op7_language_id, op8_license_scan, op9_mixing, op10_exact_top_k)}
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(table(spark, sf_dir, "documents"), least=3, top=200, scale=1_000_000_000)
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_minhash_near_dedup, op4_token_counts, op5_decontamination, op6_toxicity, op7_language_id, op8_license_scan, op9_mixing, op10_exact_top_k, op13_source_divergence)}
