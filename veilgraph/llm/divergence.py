@@ -50,10 +50,15 @@ MACROS = (
 def database() -> duckdb.DuckDBPyConnection:
     base = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "preserve_insertion_order": False})
     for macro in MACROS:
-        base.execute(macro)
+        done(base, macro)
     return base
 
 
+def done(base: duckdb.DuckDBPyConnection, sql: str, given: dict | None = None) -> list:
+    """Run a statement to its end."""
+    return base.execute(sql, given or {}).fetchall()
+
+
 def batches_of(base: duckdb.DuckDBPyConnection, sql: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     table = base.sql(sql).to_arrow_table()
     yield from pa.table([table.column(f.name).cast(f.type) for f in schema], schema=schema).to_batches(max_chunksize=50_000)
@@ -74,7 +79,7 @@ def partial_sums(docs: DataFrame) -> DataFrame:
 
     def count(batches):
         base = database()
-        base.execute("CREATE TABLE sums (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)")
+        done(base, "CREATE TABLE sums (lang VARCHAR, source VARCHAR, term VARCHAR, n BIGINT, docs BIGINT)")
         total = "SELECT lang, source, term, CAST(sum(n) AS BIGINT) AS n, CAST(sum(docs) AS BIGINT) AS docs FROM sums GROUP BY ALL"
         held = 0
         for batch in batches:
@@ -82,14 +87,14 @@ def partial_sums(docs: DataFrame) -> DataFrame:
                 if not len(words.starts):
                     continue
                 here = batch.slice(row, stop - row)
-                found = pa.table({"doc": pa.array(words.docs().astype(np.int32)), "term": _terms(words)})  # noqa: F841
-                rows = pa.table({"doc": pa.array(np.arange(stop - row, dtype=np.int32)), "lang": here.column("lang"), "source": here.column("source")})  # noqa: F841
-                base.execute("""
+                base.register("found", pa.table({"doc": pa.array(words.docs().astype(np.int32)), "term": _terms(words)}))
+                base.register("rows", pa.table({"doc": pa.array(np.arange(stop - row, dtype=np.int32)), "lang": here.column("lang"), "source": here.column("source")}))
+                done(base, """
                     INSERT INTO sums SELECT lang, source, term, sum(n), count(*) FROM (SELECT doc, term, count(*) AS n FROM found GROUP BY ALL) JOIN rows USING (doc) GROUP BY ALL""")
-                (held,) = base.execute("SELECT count(*) FROM sums").fetchone()
+                ((held,),) = done(base, "SELECT count(*) FROM sums")
                 if held >= SUMS:
                     yield from batches_of(base, total, schema)
-                    base.execute("TRUNCATE sums")
+                    done(base, "TRUNCATE sums")
                     held = 0
         if held:
             yield from batches_of(base, total, schema)
@@ -169,23 +174,23 @@ def _parts(kept: DataFrame, ours: list, theirs: list, scale: int, top: int) -> D
     def run(batches):
         base = database()
         for name, side in zip(("groups", "other_groups"), shared.value, strict=True):
-            rows_of = pa.table(side)  # noqa: F841
-            base.execute(f"CREATE TABLE {name} AS SELECT *, share(0, total, v, {scale}) AS p0 FROM rows_of")
-        base.execute("CREATE TABLE sums (id BIGINT, other BIGINT, value HUGEINT)")
-        base.execute("CREATE TABLE best (id BIGINT, term VARCHAR, value BIGINT)")
+            base.register("rows_of", pa.table(side))
+            done(base, f"CREATE TABLE {name} AS SELECT *, share(0, total, v, {scale}) AS p0 FROM rows_of")
+        done(base, "CREATE TABLE sums (id BIGINT, other BIGINT, value HUGEINT)")
+        done(base, "CREATE TABLE best (id BIGINT, term VARCHAR, value BIGINT)")
         held, rows = [], 0
 
         def add():
-            found = pa.Table.from_batches(held)  # noqa: F841
-            base.execute("""CREATE OR REPLACE TEMP TABLE terms AS
+            base.register("found", pa.Table.from_batches(held))
+            done(base, """CREATE OR REPLACE TEMP TABLE terms AS
                 SELECT row_number() OVER () AS place, lang, term, sources, CAST(list_sum(list_transform(sources, lambda s: s.n)) AS BIGINT) AS n_lang FROM found""")
-            base.execute(ENTRIES_SQL.format(name="ours", groups="groups"), {"scale": scale})
+            done(base, ENTRIES_SQL.format(name="ours", groups="groups"), {"scale": scale})
             if same:
-                base.execute("CREATE OR REPLACE TEMP VIEW theirs AS FROM ours")
-                base.execute(TERMS_SQL, {"top": top})
+                done(base, "CREATE OR REPLACE TEMP VIEW theirs AS FROM ours")
+                done(base, TERMS_SQL, {"top": top})
             else:
-                base.execute(ENTRIES_SQL.format(name="theirs", groups="other_groups"), {"scale": scale})
-            base.execute(PAIRS_SQL)
+                done(base, ENTRIES_SQL.format(name="theirs", groups="other_groups"), {"scale": scale})
+            done(base, PAIRS_SQL)
 
         for batch in batches:
             held.append(batch)
