@@ -37,6 +37,7 @@ TEXT_BYTES, SUMS, ROWS = 4 << 20, 1_500_000, 400_000
 TERMS = 100_000
 #: Groups whose pairs one pass adds up: a pass holds no more than the square of it.
 GROUPS = 1000
+BUCKETS = 16
 SUMS_SCHEMA = "lang string, source string, term string, n long, docs long"
 PARTS_SCHEMA = "lang string, source string, part string, item string, value decimal(38,0)"
 KEPT_SCHEMA = "lang string, term string, sources array<struct<source: string, n: bigint>>"
@@ -64,15 +65,6 @@ def batches_of(base: duckdb.DuckDBPyConnection, sql: str, schema: pa.Schema) ->
     yield from pa.table([table.column(f.name).cast(f.type) for f in schema], schema=schema).to_batches(max_chunksize=50_000)
 
 
-def _terms(words: W.Words) -> pa.Array:
-    """The words as strings."""
-    sizes = np.concatenate([[0], np.cumsum(words.ends - words.starts)])
-    inside = np.zeros(len(words.data) + 1, np.int8)
-    inside[words.starts] += 1
-    inside[words.ends] -= 1
-    return W.strings(words.data[np.cumsum(inside[:-1]).astype(bool)], sizes)
-
-
 def partial_sums(docs: DataFrame) -> DataFrame:
     """docs (lang, source, text) as rows of `SUMS_SCHEMA`, several for a key: how often a term occurs, and in how many documents."""
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
@@ -87,7 +79,7 @@ def partial_sums(docs: DataFrame) -> DataFrame:
                 if not len(words.starts):
                     continue
                 here = batch.slice(row, stop - row)
-                base.register("found", pa.table({"doc": pa.array(words.docs().astype(np.int32)), "term": _terms(words)}))
+                base.register("found", pa.table({"doc": pa.array(words.docs().astype(np.int32)), "term": W.spans(words.data, words.starts, words.ends)}))
                 base.register("rows", pa.table({"doc": pa.array(np.arange(stop - row, dtype=np.int32)), "lang": here.column("lang"), "source": here.column("source")}))
                 done(base, """
                     INSERT INTO sums SELECT lang, source, term, sum(n), count(*) FROM (SELECT doc, term, count(*) AS n FROM found GROUP BY ALL) JOIN rows USING (doc) GROUP BY ALL""")
@@ -249,7 +241,11 @@ def audit(docs: DataFrame, least: int = 3, top: int = 200, scale: int = 1_000_00
     every = docs.sparkSession.createDataFrame([], PARTS_SCHEMA)
     for part in parts:
         every = every.unionByName(part)
-    order = Window.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), "item")
-    out = every.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")).withColumn("rank", F.row_number().over(order))
-    out = out.filter((F.col("part") == "pair") | (F.col("rank") <= top))
+    every = materialise(every)
+    # of a group's highest terms, which each task has found so many of, those of each hash bucket go on
+    by = lambda *columns: F.row_number().over(Window.partitionBy("lang", "source", *columns).orderBy(F.col("value").desc(), "item"))
+    terms = every.filter("part = 'term'").withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(BUCKETS)))
+    terms = terms.withColumn("rank", by("bucket")).filter(F.col("rank") <= top).withColumn("rank", by()).filter(F.col("rank") <= top).drop("bucket")
+    pairs = every.filter("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")).withColumn("rank", by())
+    out = pairs.unionByName(terms)
     return out.select("lang", "source", "part", "item", F.col("value").cast("long").alias("value"), F.col("rank").cast("int").alias("rank"))

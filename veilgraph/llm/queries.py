@@ -82,10 +82,24 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, size=2048, file="byte_bpe_50k.json", end=0).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import group_variants
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return group_variants(docs, shortest=5, least=3, times=2, every=97)
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import audit
 
     return audit(table(spark, sf_dir, "documents"), least=3, top=200, scale=1_000_000_000)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_minhash_near_dedup, op4_token_counts, op5_decontamination, op6_toxicity, op7_language_id, op8_license_scan, op9_mixing, op10_exact_top_k, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_url_filter, op3_minhash_near_dedup, op4_token_counts, op5_decontamination, op6_toxicity, op7_language_id, op8_license_scan, op9_mixing, op10_exact_top_k, op11_best_fit_packing, op12_spelling_variants, op13_source_divergence)}

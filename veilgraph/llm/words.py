@@ -208,3 +208,12 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
 def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A string column from its bytes and offsets."""
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())).cast(pa.string())
+
+
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """data[starts[i]:ends[i]], which don't overlap and are in order, as a string column."""
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)])
+    change = np.zeros(len(data) + 1, np.int8)
+    change[starts] += 1
+    change[ends] -= 1
+    return strings(data[np.cumsum(change[:-1]).astype(bool)], offsets)
