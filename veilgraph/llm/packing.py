@@ -15,6 +15,7 @@ import os
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 from typing import NamedTuple
 
@@ -136,6 +137,12 @@ class Encoder:
         return ids[np.repeat(starts - before[:-1], sizes) + np.arange(before[-1])], before
 
 
+@lru_cache(maxsize=1)
+def encoder_of(file: str) -> Encoder:
+    """One for all tasks of a Python worker, with what it remembers."""
+    return Encoder(file)
+
+
 class Pattern(NamedTuple):
     lengths: tuple[int, ...]
     times: int
@@ -286,7 +293,7 @@ def pieces(docs: DataFrame, size: int, file: str, key: str, text: str, end: int
     tail = np.array([] if end is None else [end], "<u4")
 
     def run(batches):
-        encoder = Encoder(tokenizer_file(file))
+        encoder = encoder_of(tokenizer_file(file))
         for batch in batches:
             data, offsets = W.text_bytes(batch.column(text))
             row, n = 0, len(offsets) - 1
