@@ -35,7 +35,7 @@ REMEMBERED, LONGEST, AT_ONCE = 500_000, 64, 1 << 19
 #: Bytes of text encoded at once, whole documents each.
 TEXT_BYTES = 3 << 20
 #: Pieces of one length and hash bucket that are ranked together, about.
-RANKED = 50_000
+RANKED = 2_000
 BLANK = W._byte_table(b" \t\n\x0b\x0c\r")
 PLAIN = W._byte_table(bytes(range(0x21, 0x7F)))
 LETTER = W._byte_table(bytes([*range(0x41, 0x5B), *range(0x61, 0x7B)]))
@@ -337,9 +337,10 @@ def pack(docs: DataFrame, size: int = 2048, file: str = DEFAULT_FILE, end: int |
     rows = materialise(pieces(docs, size, file, key, text, end, keep_ids))
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # `size` rows at most
     patterns = plan(counts, size)
-    buckets = max(1, -(-sum(counts.values()) // RANKED))
+    # a length's pieces fall into as many buckets as there are many of them
+    buckets = F.element_at(F.array(*[F.lit(-(-counts.get(x, 1) // RANKED)) for x in range(1, size + 1)]), F.col("_length").cast("int"))
     kept = [F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in rows.columns if c != key]]
-    rows = rows.select(*kept).withColumn("_hash", F.xxhash64("_key", "_piece", "_ids_crc32")).withColumn("_bucket", F.pmod("_hash", F.lit(buckets)))
+    rows = rows.select(*kept).withColumn("_hash", F.xxhash64("_key", "_piece", "_ids_crc32")).withColumn("_bucket", F.pmod("_hash", buckets))
     sums = rows.groupBy("_length", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("_length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
