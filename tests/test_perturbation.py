@@ -139,7 +139,7 @@ def test_run_reuse_and_reingestion(spark, tmp_path):
     header = workflow.run_export([source], tmp_path / "one", spark=spark, progress=lambda stage, *a: stages.append(stage))
     assert header["status"] == "completed_with_warnings" and header["validation"]["roots_checked"] == 17 and "Editing" in stages
     assert {f["file"] for f in header["export"]["files"]} == {"ward.ndjson", "x/more.ndjson.gz"}
-    lines = list(perturbation.iter_export_lines(tmp_path / "one"))
+    lines = list(perturbation.iter_export_lines(tmp_path / "one", spark))
     assert len(lines) == 17 and "Muster" not in "".join(lines)
     report = (tmp_path / "one/result/reports/perturbation-report.json").read_text()
     state = json.loads((tmp_path / "one/intermediates/state-run.json").read_text())

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import keyed, quantities
 from ..functions.keyed import json_string_col
 from ..sources import exports, layout
+from ..sources.files import Place
 from . import index, perturbation
 from .registry import DAYS, KEY, STRENGTH_PERCENT, query, read, sql_digest, sql_modulo
 from .storage import delete, plain, private_folder, shared_dir
@@ -165,7 +166,7 @@ def _write(rows: DataFrame, names: dict[int, str], folder: Path) -> None:
     rows = numbered(rows, ["source_id", "order"], "root_id")
     counts = {r["source_id"]: r["count"] for r in rows.groupBy("source_id").count().collect()}
     plans = [{"source_id": i, "file": name, "records": counts.get(i, 0), "compressed": name.endswith(".gz")} for i, name in names.items()]
-    layout.write(rows.select("source_id", "root_id", "line"), plans, folder)
+    layout.write(rows.select("source_id", "root_id", "line"), plans, Place(rows.sparkSession, folder))
 
 
 def export(spark: SparkSession, sf_dir: str) -> Path:
@@ -190,7 +191,7 @@ def perturbed(spark: SparkSession, sf_dir: str) -> Path:
         tables, _ = index.open_index(spark, source)
         before = {"schema_version": perturbation.STATE_VERSION, "status": "completed", "algorithm": keyed.ALGORITHM, "run_key": KEY.hex(), "source_fingerprint": perturbation.fingerprint(tables), "definitions": perturbation.definitions(), "settings": {k: str(v) for k, v in settings.items()}}
         state = _folder(spark) / f"key-{len(_runs)}.json"
-        index.write_private(state, json.dumps(before))
+        Place(spark, state).write_text(json.dumps(before))
         perturbation.perturb(source, out, strength=settings["strength"], date_shift_days=DAYS, reuse_key_from=state, spark=spark)
 
     return _kept(spark, sf_dir, "perturbed", run)
@@ -258,7 +259,7 @@ res AS (SELECT * FROM occ WHERE pos = first)
 @query(f"WITH {_LINES_SQL} SELECT CAST(source_id AS INT) AS source_id, n AS ordinal, CASE source_id WHEN 4 THEN '$' ELSE 'line:' || n END AS locator, md5(line) AS digest FROM lines")
 def export_scan(spark, sf_dir):
     """Documents of plain, compressed and single-document files, with their line numbers, a byte order mark and blank lines left out."""
-    files, _ = exports.discover([export(spark, sf_dir)], _folder(spark) / "nothing")
+    files, _ = exports.discover(spark, [export(spark, sf_dir)], _folder(spark) / "nothing")
     return exports.scan(spark, files, part_bytes=1 << 18).select("source_id", "ordinal", "locator", F.md5(F.regexp_replace("text", r"\n\z", "")).alias("digest"))
 
 
@@ -581,7 +582,7 @@ def perturbed_files(spark, sf_dir):
 @query(f"{_RUN_SQL} SELECT md5(line) AS digest, count(*) AS n FROM written GROUP BY ALL")
 def perturbed_export_scan(spark, sf_dir):
     """The written files, scanned as a source again: every root is there, once."""
-    files, _ = exports.discover([perturbed(spark, sf_dir) / "result/fhir"], _folder(spark) / "nothing")
+    files, _ = exports.discover(spark, [perturbed(spark, sf_dir) / "result/fhir"], _folder(spark) / "nothing")
     return exports.scan(spark, files).groupBy(F.md5(F.regexp_replace("text", r"\n\z", "")).alias("digest")).agg(F.count("*").alias("n"))
 
 

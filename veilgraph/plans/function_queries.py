@@ -177,25 +177,25 @@ def document_order(spark, sf_dir):
 @query("SELECT * FROM (VALUES (1, 'people.ndjson'), (2, 'talks.ndjson'), (3, 'visits.ndjson.gz'), (4, 'wards.json')) AS t(source, file)")
 def export_discovery(spark, sf_dir):
     """Files of an export, found and ordered."""
-    files, _ = exports.discover([export(spark, sf_dir)], _folder(spark) / "nothing")
-    return spark.createDataFrame([(i, p.name) for i, p in enumerate(files, 1)], "source int, file string")
+    files, _ = exports.discover(spark, [export(spark, sf_dir)], _folder(spark) / "nothing")
+    return spark.createDataFrame([(i, f.path.rsplit("/", 1)[-1]) for i, f in enumerate(files, 1)], "source int, file string")
 
 
 @query("SELECT * FROM (VALUES ('as it was', false), ('schema_version', true), ('status', true), ('algorithm', true), ('run_key', true), ('source_fingerprint', true), ('definitions', true), ('settings', true)) AS t(changed, refused)")
 def prior_state_gates(spark, sf_dir):
     """A key is taken over from a state file only if all of it fits."""
-    from .index import open_index, write_private
+    from ..sources.files import Place
+    from .index import open_index
 
     settings = perturbation.validate_settings(Decimal("0.16"), 30)
     found = perturbation.fingerprint(open_index(spark, indexed(spark, sf_dir))[0])
     state = {"schema_version": perturbation.STATE_VERSION, "status": "completed", "algorithm": keyed.ALGORITHM, "run_key": keyed.new_key().hex(), "source_fingerprint": found, "definitions": perturbation.definitions(), "settings": {k: str(v) for k, v in settings.items()}}
     rows = []
     for name in ("as it was", *state):
-        path = _folder(spark) / f"gate-{len(rows)}.json"
-        path.unlink(missing_ok=True)
-        write_private(path, json.dumps(state | {name: "other"}))
+        path = Place(spark, _folder(spark)) / f"gate-{len(rows)}.json"
+        path.replace_text(json.dumps(state | {name: "other"}))
         try:
-            perturbation.read_reuse_key(path, settings, found)
+            perturbation.read_reuse_key(spark, path, settings, found)
             rows.append((name, False))
         except InputError:
             rows.append((name, True))

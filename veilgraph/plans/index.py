@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +13,8 @@ from ..operators.ranks import numbered
 from ..operators.unpack import unpack
 from ..progress import notify
 from ..sources import exports
-from .storage import lock, materialise, scope, together
+from ..sources.files import Entry, Place
+from .storage import materialise, scope, together
 
 SCHEMA_VERSION = 2
 #: Versions that can be read: the first has no references of canonical fragments, which perturbation finds itself.
@@ -34,20 +34,16 @@ def session() -> SparkSession:
     return active or SparkSession.builder.appName("veilgraph").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def _uri(path: Path) -> str:
-    return path.absolute().as_uri()
-
-
 def _issues(df: DataFrame, severity: str, code: str, source=None, locator=None, resource=None, detail=None) -> DataFrame:
     pick = lambda c, kind: (F.col(c) if c else F.lit(None)).cast(kind)
     return df.select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), pick(source, "int").alias("source_id"), pick(locator, "string").alias("locator"), pick(resource, "long").alias("resource_id"), pick(detail, "string").alias("detail"))
 
 
-def build(spark: SparkSession, files: list[Path], base_url: str | None, progress=None) -> dict[str, DataFrame]:
+def build(spark: SparkSession, files: list[Entry], base_url: str | None, progress=None) -> dict[str, DataFrame]:
     """All tables of the index."""
     notify(progress, "Reading and unpacking documents")
     unpacked = materialise(unpack(exports.scan(spark, files), base_url))
-    sources = spark.createDataFrame([(i, str(p)) for i, p in enumerate(files, 1)], "id int, path string")
+    sources = spark.createDataFrame([(i, f.path) for i, f in enumerate(files, 1)], "id int, path string")
     whole = unpacked.select("source_id", "ordinal", F.explode("occurrences").alias("o")).select("source_id", "ordinal", "o.*")
     # payloads stay behind until it is known which are new: they move once
     flat = numbered(whole.drop("payload"), ORDER, "id")
@@ -186,35 +182,30 @@ def text_report(found: dict) -> str:
     return "\n".join(lines) + "\n"
 
 
-def write_private(path: Path, text: str) -> None:
-    path.touch(0o600, exist_ok=False)
-    path.write_text(text, encoding="utf-8")
-
-
-def write(spark: SparkSession, files: list[Path], folder: Path, base_url: str | None, progress=None) -> dict:
+def write(spark: SparkSession, files: list[Entry], folder: Place, base_url: str | None, progress=None) -> dict:
     """Index the files into `folder`, which exists and is empty; the run file comes last, so a folder without it isn't whole."""
-    (folder / "index").mkdir(mode=0o700)
+    (folder / "index").make_folder()
     with scope(spark):
         tables = build(spark, files, base_url, progress)
         notify(progress, "Writing the index")
-        together(spark, *[lambda name=name, df=df: df.write.parquet(f"{_uri(folder)}/index/{name}") for name, df in tables.items()])
-    lock(folder / "index")
-    saved = {name: spark.read.parquet(f"{_uri(folder)}/index/{name}") for name in TABLES}
+        together(spark, *[lambda name=name, df=df: df.write.parquet(f"{folder.uri}/index/{name}") for name, df in tables.items()])
+    (folder / "index").lock()
+    saved = {name: spark.read.parquet(f"{folder.uri}/index/{name}") for name in TABLES}
     notify(progress, "Reporting on the load")
     found = report(saved)
-    write_private(folder / "report.json", json.dumps(found, indent=2, ensure_ascii=False) + "\n")
-    write_private(folder / "report.txt", text_report(found))
-    write_private(folder / "index-run.json", json.dumps({"schema_version": SCHEMA_VERSION, "status": found["status"], "fhir_version": FHIR_VERSION}) + "\n")
+    (folder / "report.json").write_text(json.dumps(found, indent=2, ensure_ascii=False) + "\n")
+    (folder / "report.txt").write_text(text_report(found))
+    (folder / "index-run.json").write_text(json.dumps({"schema_version": SCHEMA_VERSION, "status": found["status"], "fhir_version": FHIR_VERSION}) + "\n")
     return found
 
 
 def ingest(inputs, output, base_url: str | None = None, *, progress=None, spark: SparkSession | None = None) -> dict:
-    """Index an export into a new folder and return the report. The folder must be seen by driver and executors."""
+    """Index an export into a new folder and return the report. Inputs and folder are paths or URIs of any file system that Spark reaches."""
     base_url = exports.normalize_base_url(base_url)
     notify(progress, "Looking for files")
-    files, folder = exports.discover(inputs, output)
-    folder.mkdir(mode=0o700, parents=True)
-    return write(spark or session(), files, folder, base_url, progress)
+    spark = spark or session()
+    files, folder = exports.discover(spark, inputs, output)
+    return write(spark, files, folder.make_folder(), base_url, progress)
 
 
 #: Columns that perturbation reads.
@@ -226,12 +217,12 @@ NEEDED = {
 
 def open_index(spark: SparkSession, folder) -> tuple[dict[str, DataFrame], dict]:
     """Tables and run of a whole and clean index; raises InputError for any other."""
-    folder = Path(folder).absolute()
-    if folder.is_symlink() or not folder.is_dir():
+    folder = Place(spark, folder)
+    if folder.is_link() or not folder.is_folder():
         raise InputError("The index is a folder that is there and no link.")
     try:
         run = json.loads((folder / "index-run.json").read_text())
-        tables = {name: spark.read.parquet(f"{_uri(folder)}/index/{name}") for name in NEEDED}
+        tables = {name: spark.read.parquet(f"{folder.uri}/index/{name}") for name in NEEDED}
     except Exception:
         raise InputError("The folder holds no index that can be read.") from None
     if run.get("schema_version") not in READABLE:

@@ -7,10 +7,8 @@ resource or patient.
 from __future__ import annotations
 
 import json
-import os
 from datetime import date
 from decimal import Decimal, InvalidOperation
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +21,10 @@ from ..operators import perturb as kernel
 from ..operators.statistics import nearest_rank
 from ..progress import notify
 from ..sources import layout
+from ..sources.files import Place
 from . import index
-from .index import DONE, _uri, write_private
-from .storage import lock, scope, spread, together
+from .index import DONE
+from .storage import scope, spread, together
 
 STATE_VERSION, REPORT_VERSION = 3, 2
 LOWEST = Decimal("0.01")
@@ -77,16 +76,16 @@ def fingerprint(tables: dict[str, DataFrame]) -> str:
     return keyed.sha256(canonical.render([*zip(parts, found)]))
 
 
-def read_reuse_key(folder, settings: dict, found: str) -> bytes:
+def read_reuse_key(spark: SparkSession, folder, settings: dict, found: str) -> bytes:
     """The key of an earlier whole run on the same index with the same settings."""
-    path = Path(folder).absolute()
-    path = path / "state-run.json" if path.is_dir() else path
-    if path.is_symlink() or not path.is_file():
+    path = Place(spark, folder)
+    path = path / "state-run.json" if path.is_folder() else path
+    if not path.exists() or path.is_link() or path.is_folder():
         raise InputError("The key is taken from a state file that is there and no link.")
     try:
         run = json.loads(path.read_text())
         key = bytes.fromhex(run.get("run_key") or "")
-    except (OSError, ValueError, AttributeError):
+    except (ValueError, AttributeError):
         raise InputError("No key can be read from this state file; it takes one of a finished run.") from None
     gates = (
         (run.get("schema_version") == STATE_VERSION, "The state file is not of schema 3."),
@@ -105,20 +104,17 @@ def read_reuse_key(folder, settings: dict, found: str) -> bytes:
 class State:
     """The run file and the tables of a run."""
 
-    def __init__(self, spark: SparkSession, folder: Path, run: dict):
+    def __init__(self, spark: SparkSession, folder: Place, run: dict):
         self.spark, self.folder, self.run = spark, folder, run
         self.save()
 
     def save(self, **news) -> None:
         self.run |= news
-        partial = self.folder / ".state-run.json.partial"
-        partial.unlink(missing_ok=True)
-        write_private(partial, json.dumps(self.run) + "\n")
-        os.replace(partial, self.folder / "state-run.json")
+        (self.folder / "state-run.json").replace_text(json.dumps(self.run) + "\n")
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
-        df.write.parquet(f"{_uri(self.folder)}/state/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{_uri(self.folder)}/state/{name}")
+        df.write.parquet(f"{self.folder.uri}/state/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder.uri}/state/{name}")
 
 
 def _mappings(tables: dict[str, DataFrame], key: bytes) -> DataFrame:
@@ -256,21 +252,17 @@ def _statistics(state: State, written: DataFrame) -> None:
     state.table("numeric_summaries", nearest_rank(freq, ["context", "phase"], ["sort_key", "value"], "value", "frequency"))
 
 
-def _report(folder: Path, header: dict, actions: DataFrame) -> None:
-    """Header, then coverage by field, streamed; no values and no numbers of patients' measurements."""
-    path = folder / "perturbation-report.json"
-    path.touch(0o600)
-    with path.open("w", encoding="utf-8") as out:
-        out.write("{\n" + "".join(f"{canonical.render(k)}:{canonical.pretty(v)},\n" for k, v in header.items()) + '"fields":[')
-        rows = actions.orderBy("resource_type", "path", "datatype", "action", "reason").toLocalIterator()
-        for number, row in enumerate(rows):
-            place = canonical.parse(row["path"])
-            entry = row.asDict() | {"path": place, "display_path": walk.shown(place)}
-            out.write((",\n" if number else "\n") + canonical.pretty(entry))
-        out.write("]\n}\n")
+def _report(folder: Place, header: dict, actions: DataFrame) -> None:
+    """Header, then coverage by field; no values and no numbers of patients' measurements. There is an entry for each field of a type, whatever the data."""
+    head = "".join(f"{canonical.render(k)}:{canonical.pretty(v)},\n" for k, v in header.items())
+    entries = []
+    for row in actions.orderBy("resource_type", "path", "datatype", "action", "reason").toLocalIterator():
+        place = canonical.parse(row["path"])
+        entries.append(canonical.pretty(row.asDict() | {"path": place, "display_path": walk.shown(place)}))
+    (folder / "perturbation-report.json").write_text("{\n" + head + '"fields":[' + "".join(f"{',' if i else ''}\n{e}" for i, e in enumerate(entries)) + "]\n}\n")
 
 
-def run(spark: SparkSession, source: Path, output: Path, settings: dict, reuse_key_from=None, *, reserved: bool = False, progress=None) -> dict:
+def run(spark: SparkSession, source: Place, output: Place, settings: dict, reuse_key_from=None, *, reserved: bool = False, progress=None) -> dict:
     """Perturb the index in `source` into `output`; `reserved`: the folder is there already and holds the index."""
     notify(progress, "Opening the index")
     tables, source_run = index.open_index(spark, source)
@@ -282,18 +274,18 @@ def run(spark: SparkSession, source: Path, output: Path, settings: dict, reuse_k
     places = layout.population(tables["occurrences"], tables["resources"])
     sizes = {r["source_id"]: (r["n"], r["first"]) for r in places.groupBy("source_id").agg(F.count("*").alias("n"), F.min("locator").alias("first")).collect()}
     plans = layout.plan([(r["id"], r["path"]) for r in tables["sources"].orderBy("id").collect()], sizes)
-    key = keyed.new_key() if reuse_key_from is None else read_reuse_key(reuse_key_from, settings, found)
+    key = keyed.new_key() if reuse_key_from is None else read_reuse_key(spark, reuse_key_from, settings, found)
     work = output / "intermediates"
     if not reserved:
-        work.mkdir(mode=0o700, parents=True)
-        output.chmod(0o700)
+        output.make_folder()
+        work.make_folder()
     kept = {k: str(v) for k, v in settings.items()}
     state = State(spark, work, {"schema_version": STATE_VERSION, "status": "in_progress", "phase": "preparation", "settings": kept, "source_fingerprint": found, "definitions": definitions(), "algorithm": keyed.ALGORITHM, "run_key": key.hex(), "failure_code": None})
     try:
-        (work / "state").mkdir(mode=0o700)
+        (work / "state").make_folder()
         with scope(spark):
             header = _run(state, tables, source_run, places, plans, settings, key, output, reserved, progress)
-        lock(work / "state")
+        (work / "state").lock()
     except BaseException as error:
         failed = "interrupted" if isinstance(error, KeyboardInterrupt) else "failed"
         state.save(status=failed, failure_code=failed)
@@ -324,7 +316,7 @@ def _run(state: State, tables, source_run, places, plans, settings, key, output,
     state.save(phase="exporting")
     notify(progress, "Writing files and reading them back")
     partial = state.folder / ".result.partial"
-    partial.mkdir(mode=0o700)
+    partial.make_folder()
     lines = written.select("root_id", "line").join(places, F.col("root_id") == F.col("resource_id"))
     manifest = layout.write(lines, plans, partial / "fhir")
     state.save(phase="aggregation")
@@ -347,7 +339,7 @@ def _run(state: State, tables, source_run, places, plans, settings, key, output,
     state.save(phase="reporting")
     notify(progress, "Reporting")
     reports = partial / "reports"
-    reports.mkdir(mode=0o700)
+    reports.make_folder()
     _report(reports, header, actions)
     if reserved:
         for name in ("report.json", "report.txt"):
@@ -360,14 +352,15 @@ def _run(state: State, tables, source_run, places, plans, settings, key, output,
 def perturb(source, output_dir, *, strength=Decimal("0.16"), date_shift_days: int = 30, reuse_key_from=None, progress=None, spark: SparkSession | None = None) -> dict:
     """Perturb an index made by `ingest` into a new folder; returns the report's header."""
     settings = validate_settings(strength, date_shift_days)
-    output = Path(output_dir).absolute()
-    if output.is_symlink() or output.exists():
+    spark = spark or index.session()
+    output = Place(spark, output_dir)
+    if output.exists():
         raise PerturbationError("There is something at the output's place already; name a new folder.")
-    return run(spark or index.session(), Path(source), output, settings, reuse_key_from, progress=progress)
+    return run(spark, Place(spark, source), output, settings, reuse_key_from, progress=progress)
 
 
-def iter_export_lines(output):
+def iter_export_lines(output, spark: SparkSession | None = None):
     """The lines of a published result, in the order of the ledger."""
-    folder = Path(output) / "result"
+    folder = Place(spark or index.session(), output) / "result"
     found = canonical.parse((folder / "reports/perturbation-report.json").read_text())
     yield from layout.read_back(folder / "fhir", found["export"]["files"])

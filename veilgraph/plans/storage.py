@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import uuid
 from collections.abc import Callable, Iterator
@@ -114,11 +113,3 @@ def together(spark: SparkSession, *jobs: Callable[[], object]) -> list:
     """What independent jobs return, which run side by side: small ones are mostly waiting."""
     with ThreadPoolExecutor(4) as pool:
         return [x.result() for x in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
-
-
-def lock(folder: Path) -> None:
-    """Take from others the rights to all files and folders below a local folder, as Spark writes them by its own mask."""
-    for place, _, files in os.walk(folder):
-        os.chmod(place, 0o700)
-        for name in files:
-            os.chmod(os.path.join(place, name), 0o600)

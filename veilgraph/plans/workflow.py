@@ -3,22 +3,18 @@
 from __future__ import annotations
 
 import json
-import os
 from decimal import Decimal
-from pathlib import Path
 
 from ..errors import InputError
 from ..progress import notify
 from ..sources import exports
+from ..sources.files import Place
 from . import index, perturbation
 
 
-def _mark(folder: Path, status: str, phase: str) -> None:
+def _mark(folder: Place, status: str, phase: str) -> None:
     """The run file is replaced only by a whole new one."""
-    new = folder / ".run.json.partial"
-    new.unlink(missing_ok=True)
-    index.write_private(new, json.dumps({"status": status, "phase": phase}) + "\n")
-    os.replace(new, folder / "run.json")
+    (folder / "run.json").replace_text(json.dumps({"status": status, "phase": phase}) + "\n")
 
 
 def run_export(inputs, output_dir, *, strength=Decimal("0.16"), date_shift_days: int = 30, reuse_key_from=None, base_url: str | None = None, progress=None, spark=None) -> dict:
@@ -29,11 +25,10 @@ def run_export(inputs, output_dir, *, strength=Decimal("0.16"), date_shift_days:
     settings = perturbation.validate_settings(strength, date_shift_days)
     base_url = exports.normalize_base_url(base_url)
     notify(progress, "Looking for files")
-    files, output = exports.discover(inputs, output_dir)
     spark = spark or index.session()
-    work = output / "intermediates"
-    work.mkdir(mode=0o700, parents=True)
-    output.chmod(0o700)
+    files, output = exports.discover(spark, inputs, output_dir)
+    output.make_folder()
+    work = (output / "intermediates").make_folder()
     phase = "ingestion"
     try:
         _mark(work, "in_progress", phase)
@@ -49,6 +44,6 @@ def run_export(inputs, output_dir, *, strength=Decimal("0.16"), date_shift_days:
     except BaseException as error:
         try:
             _mark(work, "interrupted" if isinstance(error, KeyboardInterrupt) else "failed", phase)
-        except OSError:
+        except Exception:
             pass  # the earlier mark says it isn't whole, and the error itself matters more
         raise

@@ -6,48 +6,53 @@ import gzip
 import io
 import zlib
 from collections.abc import Iterator
-from pathlib import Path
-from typing import NamedTuple
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import InputError
+from .files import Entry, Place, escaped, file_of, lines, of_session, reading, same_file
 
 ENDINGS = tuple(f"{e}{z}" for e in (".json", ".ndjson", ".jsonl") for z in ("", ".gz"))
-#: Characters of text in a batch, and bytes that a task reads.
-BATCH, PART = 4 << 20, 64 << 20
+#: Characters of text in a batch; bytes that a task reads; bytes up to which a file goes to its task as one value.
+BATCH, PART, WHOLE = 4 << 20, 64 << 20, 64 << 20
+DOCUMENTS = "source_id int, ordinal long, locator string, text string"
 
 
-def is_export(path: Path) -> bool:
-    return path.name.lower().endswith(ENDINGS)
+def is_export(path: str) -> bool:
+    return path.lower().endswith(ENDINGS)
 
 
-def discover(inputs, output) -> tuple[list[Path], Path]:
+def discover(spark: SparkSession, inputs, output) -> tuple[list[Entry], Place]:
     """Sorted distinct source files, and the output folder, which must be new and outside the inputs."""
-    target = Path(output).absolute()
-    if target.is_symlink() or target.exists():
+    target = Place(spark, output)
+    if target.exists():
         raise InputError("There is something at the output's place already; name a new folder.")
-    found: set[Path] = set()
-    for given in map(Path, [inputs] if isinstance(inputs, (str, Path)) else inputs):
-        if given.absolute().is_symlink():
+    found: dict[str, int] = {}
+    for given in [inputs] if isinstance(inputs, (str, bytes)) or hasattr(inputs, "__fspath__") else inputs:
+        place = Place(spark, given)
+        if place.is_link():
             raise InputError("An input is a symbolic link; name what it points to.")
-        real = given.absolute().resolve()
-        if real.is_dir():
-            if real in (target.resolve(), *target.resolve().parents):
+        real = place.resolved()
+        if real.is_folder():
+            if target.resolved().within(real):
                 raise InputError("The output may not lie in an input folder.")
-            inside = list(real.rglob("*"))
-            if any(p.is_symlink() for p in inside):
-                raise InputError("There is a symbolic link among the inputs; links are not followed.")
-            found.update(p for p in inside if p.is_file() and is_export(p))
-        elif real.is_file() and is_export(real):
-            found.add(real)
+            for path, size, link in real.walk():
+                if link:
+                    raise InputError("There is a symbolic link among the inputs; links are not followed.")
+                if is_export(path):
+                    found[path] = size
+        elif real.exists() and is_export(real.name):
+            found[str(real)] = real.size()
         else:
             raise InputError("An input is neither a folder nor a .json, .ndjson or .jsonl file, plain or .gz.")
     if not found:
         raise InputError("There are no .json, .ndjson or .jsonl files, plain or .gz, in the inputs.")
-    return sorted(found), target
+    if any(path.rsplit("/", 1)[-1].startswith(("_", ".")) for path in found):
+        raise InputError("A source file's name begins with a dot or a low line, which Spark takes for no data; rename it.")
+    return [Entry(path, found[path]) for path in sorted(found)], target
 
 
 def normalize_base_url(value: str | None) -> str | None:
@@ -64,130 +69,160 @@ def normalize_base_url(value: str | None) -> str | None:
     return value.rstrip("/")
 
 
-def read_documents(path: str) -> Iterator[tuple[int, str, str | None]]:
-    """(ordinal, locator, text) of each document of a file that one task reads; a text of None stands for a file that broke off there."""
-    name = path.lower()
+def has_lines(path: str) -> bool:
+    return path.lower().removesuffix(".gz").endswith((".ndjson", ".jsonl"))
+
+
+def packed(path: str) -> bool:
+    return path.lower().endswith(".gz")
+
+
+def documents_of(path: str, content: bytes) -> Iterator[tuple[int, str, str | None]]:
+    """(ordinal, locator, text) of each document of a whole file; a text of None stands for a file that broke off there."""
     number = 0
     try:
-        with (gzip.open if name.endswith(".gz") else open)(path, "rt", encoding="utf-8-sig") as stream:
-            if not has_lines(path):
-                yield 1, "$", stream.read()
-                return
-            for number, text in enumerate(stream, 1):
+        raw = gzip.GzipFile(fileobj=io.BytesIO(content)) if packed(path) else io.BytesIO(content)
+        if not has_lines(path):
+            yield 1, "$", io.TextIOWrapper(raw, encoding="utf-8-sig").read()
+            return
+        for line in raw:
+            # a return ends a line too, alone or before the feed
+            for text in io.StringIO(line.decode("utf-8" if number else "utf-8-sig"), newline=None):
+                number += 1
                 if text.strip():
                     yield number, f"line:{number}", text
     except (OSError, EOFError, UnicodeError, zlib.error):
         yield number + 1, "", None
 
 
-def has_lines(path: str) -> bool:
-    return path.lower().removesuffix(".gz").endswith((".ndjson", ".jsonl"))
-
-
-class Part(NamedTuple):
-    """Bytes of a file of lines: the lines that begin at `begin` or later and before `end`, of which `before` lines come first. An end of 0: the whole file."""
+def scan(spark: SparkSession, files: list[Entry], part_bytes: int = PART) -> DataFrame:
+    """(source_id, ordinal, locator, text), streamed in batches of bounded size. A null text marks a file that couldn't be read to its end.
 
-    source: int
-    path: str
-    begin: int
-    end: int
-    before: int = 0
+    Spark's readers bring the bytes, so that files may be on any file system it reaches. Files of lines come as lines, large plain ones in parts of
+    `part_bytes`, each by a task of its own; a first pass counts the lines of parts, so that every part knows its
+    numbers, and nothing after a line that can't be read counts. Compressed files and single documents can't be split: they come whole, small
+    ones packed together. Compressed files of lines beyond `WHOLE` are unpacked as a stream instead.
+    The driver plans a row a file and a row a part; texts never come near it.
+    """
+    ids = {path: i for i, (path, _) in enumerate(files, 1)}
+    names = {file_of(path): i for path, i in ids.items()}
+    cores = spark.sparkContext.defaultParallelism
+    large, small, long, whole = [], [], [], []
+    for path, size in files:
+        if has_lines(path):
+            (large if size > part_bytes else small)[:0] = [] if packed(path) else [(path, size)]
+            (long if size > WHOLE else whole).extend([(path, size)] if packed(path) else [])
+        elif size:
+            whole.append((path, size))
+    # readers leave out empty files, which are documents that say nothing
+    parts = [spark.createDataFrame([(ids[path], 1, "$", "") for path, size in files if not size and not has_lines(path)], DOCUMENTS)]
+    if large:
+        df = lines(reading(spark, part_bytes), [p for p, _ in large])
+        parts.append(_numbered(spark, df, names, _places(df, names)))
+    if small:
+        # parts no smaller than the largest file: none is cut
+        most = max(max(size for _, size in small), min(part_bytes, sum(size for _, size in small) // cores), 1)
+        parts.append(_numbered(spark, lines(reading(spark, most), [p for p, _ in small]), names))
+    for path, size in long:
+        parts.append(_stream(spark, path, size, names))
+    if whole:
+        most = max(max(size for _, size in whole), min(part_bytes, sum(size for _, size in whole) // cores), 1)
+        parts.append(_whole(spark, [p for p, _ in whole], most, ids, names))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
-def read_lines(part: Part) -> Iterator[tuple[int, str | None]]:
-    """(number within the part, text) of its lines, blank ones too; None for one that can't be read, which is the last."""
-    number = 0
-    try:
-        with open(part.path, "rb") as stream:
-            if part.begin:  # the line in which the part begins is the one before's, unless it begins just there
-                stream.seek(part.begin - 1)
-                stream.readline()
-            while stream.tell() < part.end and (line := stream.readline()):
-                first = stream.tell() == len(line)
-                # a return ends a line too, alone or before the feed
-                for text in io.StringIO(line.decode("utf-8-sig" if first else "utf-8"), newline=None):
-                    number += 1
-                    yield number, text
-    except (OSError, UnicodeError):
-        yield number + 1, None
-
-
-def plan_parts(files: list[tuple[int, str, int]], size: int, tasks: int = 1) -> list[list[Part]]:
-    """What each task reads, from (source, path, bytes): parts of large plain files of lines, or files packed together up to about `size` bytes, less if that makes fewer than `tasks` tasks."""
-    out: list[list[Part]] = []
-    together, room = None, min(size, max(1 << 20, sum(length for *_, length in files) // tasks))
-    left = 0
-    for source, path, length in files:
-        if length > size and has_lines(path) and not path.lower().endswith(".gz"):
-            out += [[Part(source, path, a, min(a + size, length))] for a in range(0, length, size)]
-            continue
-        if together is None or length > left:
-            together, left = [], room
-            out.append(together)
-        together.append(Part(source, path, 0, 0))
-        left -= length
+def _places(df: DataFrame, names: dict) -> dict[tuple[int, int], int]:
+    """How many lines of its file come before each part; no entry for one behind a line that can't be read."""
+    valid = F.is_valid_utf8(F.col("line").cast("string"))
+    rows = df.groupBy("file", "begin").agg(F.count("*").alias("n"), F.count_if(~valid).alias("bad")).collect()
+    out, at, broken = {}, {}, set()
+    for source, begin, n, bad in sorted((names[same_file(r["file"])], r["begin"], r["n"], r["bad"]) for r in rows):
+        if source not in broken:
+            out[source, begin] = at.get(source, 0)
+            at[source] = out[source, begin] + n
+            if bad:
+                broken.add(source)
     return out
 
 
-def scan(spark: SparkSession, files: list[Path], part_bytes: int = PART) -> DataFrame:
-    """(source_id, ordinal, locator, text), streamed in batches of bounded size. A null text marks a file that couldn't be read to its end.
-
-    Plain files of lines are read in parts, each by a task of its own; a first pass counts their lines, so that every part knows its
-    numbers, and nothing after a line that can't be read counts. Compressed files and single documents can't be split: they
-    are packed together up to a part's size. The driver plans a row a part, and broadcasts the plan: millions of
-    parts are fine, texts never come near it.
-    """
-    tasks = plan_parts([(i, str(p), p.stat().st_size) for i, p in enumerate(files, 1)], part_bytes, spark.sparkContext.defaultParallelism)
-    split = [p for parts in tasks for p in parts if p.end]
-    if split:
-        known: dict[int, tuple[int, bool]] = {r["part"]: (r["lines"], r["whole"]) for r in _run_parts(spark, [[p] for p in split], _count, "part int, lines long, whole boolean").collect()}
-        before: dict[int, int] = {}
-        numbered, broken = {}, set()
-        for k, p in enumerate(split):
-            if p.source not in broken:
-                numbered[p] = p._replace(before=before.get(p.source, 0))
-                before[p.source] = before.get(p.source, 0) + known[k][0]
-                if not known[k][1]:
-                    broken.add(p.source)
-        tasks = [[numbered.get(p, p) for p in parts if not p.end or p in numbered] for parts in tasks]
-    return _run_parts(spark, [parts for parts in tasks if parts], _documents, "source_id int, ordinal long, locator string, text string")
-
-
-def _run_parts(spark: SparkSession, tasks: list[list[Part]], read, schema: str) -> DataFrame:
-    """A task for each list of parts."""
-    shared = spark.sparkContext.broadcast(tasks)
+def _numbered(spark: SparkSession, df: DataFrame, names: dict, before: dict | None = None) -> DataFrame:
+    """Documents of lines (line, file, begin), which come part by part and in order. Without `before`, every file is one part."""
+    shared = spark.sparkContext.broadcast((names, before))
 
     def run(batches):
+        names, before = shared.value
+        file = begin = source = number = None
+        held, size = [], 0
         for batch in batches:
-            for k in batch.column(0).to_pylist():
-                yield from read(k, shared.value[k])
+            for line, its, start in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if its != file or start != begin:
+                    file, begin, source = its, start, names[same_file(its)]
+                    number = 0 if before is None else before.get((source, begin))
+                if number is None:  # behind what can't be read
+                    continue
+                number += 1
+                try:
+                    text = line.decode()
+                except UnicodeDecodeError:
+                    held.append((source, number, "", None))
+                    number = None
+                    continue
+                if text.strip():
+                    held.append((source, number, f"line:{number}", text))
+                    size += len(text)
+                    if size >= BATCH:
+                        yield _batch(held)
+                        held, size = [], 0
+        if held:
+            yield _batch(held)
 
-    return spark.range(0, len(tasks), 1, len(tasks)).mapInArrow(run, schema)
+    return of_session(spark, df.mapInArrow(run, DOCUMENTS), DOCUMENTS)
 
 
-def _count(k: int, parts: list[Part]) -> Iterator[pa.RecordBatch]:
-    lines, whole = 0, True
-    for lines, text in read_lines(parts[0]):
-        whole = text is not None
-    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([lines], pa.int64()), pa.array([whole])], ["part", "lines", "whole"])
+def _stream(spark: SparkSession, path: str, size: int, names: dict) -> DataFrame:
+    """Documents of a compressed file of lines that is too large to go to its task as one value."""
+    df = lines(reading(spark, size), [path])
+    if _readable(df):
+        return _numbered(spark, df, names)
+    # what comes before the break, and a row for it
+    df = lines(reading(spark, size), [path], ignoreCorruptFiles=True)
+    source, n = names[file_of(path)], df.count()
+    return _numbered(spark, df, names).unionByName(spark.createDataFrame([(source, n + 1, "", None)], DOCUMENTS))
 
 
-def _documents(k: int, parts: list[Part]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for part in parts:
-        if part.end:
-            numbers = ((part.before + n, text) for n, text in read_lines(part))
-            rows = ((n, f"line:{n}" if text is not None else "", text) for n, text in numbers if text is None or text.strip())
-        else:
-            rows = read_documents(part.path)
-        for row in rows:
-            held.append((part.source, *row))
-            size += len(row[2] or "")
-            if size >= BATCH:
-                yield _batch(held)
+def _readable(df: DataFrame) -> bool:
+    try:
+        df.count()
+    except Exception as error:
+        if "FAILED_READ_FILE" in str(error):
+            return False
+        raise
+    return True
+
+
+def _whole(spark: SparkSession, paths: list[str], most: int, ids: dict[str, int], names: dict) -> DataFrame:
+    shared = spark.sparkContext.broadcast((names, {i: path for path, i in ids.items()}))
+    df = reading(spark, most).read.format("binaryFile").load([escaped(p) for p in paths]).select("_metadata.file_path", "content")
+
+    def run(batches):
+        names, by_id = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                source = names[same_file(batch.column(0)[i].as_py())]
                 held, size = [], 0
-    if held:
-        yield _batch(held)
+                for row in documents_of(by_id[source], batch.column(1)[i].as_py()):
+                    held.append((source, *row))
+                    size += len(row[2] or "")
+                    if size >= BATCH:
+                        yield _batch(held)
+                        held, size = [], 0
+                if held:
+                    yield _batch(held)
+
+    return of_session(spark, df.mapInArrow(run, DOCUMENTS), DOCUMENTS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -3,25 +3,34 @@
 from __future__ import annotations
 
 import gzip
-import hashlib
+import json
 import os
-from pathlib import Path
+import re
+from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InputError, PerturbationError
+from .files import Place, file_of, lines, reading, same_file, side_by_side
+
+#: Lines of a file that its task hands on at once; bytes that no file has, so that none is cut.
+LINES, UNCUT = 1000, 1 << 50
+NOTHING = sha256().hexdigest()
 
 
 def plan(sources: list[tuple[int, str]], population: dict[int, tuple[int, str]]) -> list[dict]:
     """What file each source becomes; population has (records, smallest locator) by source id."""
     if not sources:
         raise InputError("The index names no files to write.")
-    base = os.path.commonpath([str(Path(p).parent) for _, p in sources])
+    try:
+        base = os.path.commonpath([p.rpartition("/")[0] or "/" for _, p in sources])
+    except ValueError:
+        raise InputError("The source files lie in several file systems; name those of one.") from None
     plans, taken = [], set()
     for source, path in sources:
-        original = Path(path).relative_to(base).as_posix()
+        original = os.path.relpath(os.path.normpath(path), base)
         packed = original.lower().endswith(".gz")
         stem = original[: -3 if packed else None]
         records, locator = population.get(source, (0, None))
@@ -35,80 +44,120 @@ def plan(sources: list[tuple[int, str]], population: dict[int, tuple[int, str]])
     return plans
 
 
-class _File:
-    """One output file; content that is gzipped has a fixed header, so reruns agree byte by byte."""
-
-    def __init__(self, path: Path, packed: bool):
-        for folder in reversed(path.parents):
-            if not folder.exists():
-                folder.mkdir(mode=0o700, exist_ok=True)
-        self.path, self.packed, self.sum, self.records = path, packed, hashlib.sha256(), 0
-        self.raw = open(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "wb")
-        self.out = gzip.GzipFile(filename="", fileobj=self.raw, mode="wb", mtime=0, compresslevel=6) if packed else self.raw
-
-    def add(self, line: str) -> None:
-        data = line.encode() + b"\n"
-        self.out.write(data)
-        self.sum.update(data)
-        self.records += 1
-
-    def close(self) -> str:
-        self.out.close()
-        self.raw.close()
-        with (gzip.open if self.packed else open)(self.path, "rb") as back:
-            if hashlib.file_digest(back, "sha256").hexdigest() != self.sum.hexdigest():
-                raise PerturbationError("A written file, read back, is not what was sent to it.")
-        return self.sum.hexdigest()
-
-
-def write(roots: DataFrame, plans: list[dict], folder: Path) -> list[dict]:
+def write(roots: DataFrame, plans: list[dict], folder: Place) -> list[dict]:
     """Write (source_id, root_id, line) rows, a task per file, streaming in root order; the manifest in file order.
 
-    `folder` must be seen by all executors. A task that runs again writes its file anew. The driver holds a row a file, the
-    plan and the manifest: fine for a million of files.
+    Spark's text sink writes, so any file system will do, and its commit protocol holds: each attempt of a task has a file of its
+    own, the one attempt that is told to commit counts, and what others leave goes with the staging folder. Files then get their names,
+    and are read back by Spark: each must be what the task that wrote it says it sent. Headers of gzip are fixed, so reruns agree byte by byte.
+    The driver holds a row a file, the plan and the manifest: fine for a million of files.
     """
     spark = roots.sparkSession
-    folder.mkdir(mode=0o700, parents=True)
-    by_source = spark.sparkContext.broadcast({p["source_id"]: p for p in plans})
-    place = str(folder)
-
-    def run(batches):
-        current, file = None, None
-        done: list[tuple] = []
-        for batch in batches:
-            for source, line in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if source != current:
-                    if file:
-                        done.append((current, file.records, file.close()))
-                    entry = by_source.value[source]
-                    current, file = source, _File(Path(place) / entry["file"], entry["compressed"])
-                file.add(line)
-        if file:
-            done.append((current, file.records, file.close()))
-        if done:
-            source, records, digest = zip(*done)
-            yield pa.RecordBatch.from_arrays([pa.array(source, pa.int32()), pa.array(records, pa.int64()), pa.array(digest)], ["source_id", "records", "digest"])
-
-    # sources are numbered through, so each file has a task of its own
-    tasks = max(1, len(plans))
-    dealt = roots.select("source_id", "root_id", "line").repartitionById(tasks, F.pmod("source_id", F.lit(tasks)).cast("int"))
-    ordered = dealt.sortWithinPartitions("source_id", "root_id")
-    written = {r["source_id"]: r for r in ordered.mapInArrow(run, "source_id int, records long, digest string").collect()}
+    folder.make_folder()
+    places = {p["source_id"]: folder / p["file"] for p in plans}
+    for parent in sorted({q.parent.uri for q in places.values()} - {folder.uri}):
+        Place(spark, parent).make_folder()
+    told: dict[int, tuple[int, str, str]] = {}
+    for packed in (False, True):
+        own = {p["source_id"]: p for p in plans if p["compressed"] == packed}
+        if any(p["records"] for p in own.values()):
+            told |= _commit(roots, own, packed, places, folder)
+        for source, entry in own.items():
+            if source not in told:
+                places[source].write_bytes(gzip.compress(b"", mtime=0) if packed else b"")
+                told[source] = (0, NOTHING, NOTHING)
     manifest = []
+    read = _read_files(spark, {i: str(q) for i, q in places.items()})
     for entry in plans:
-        found = written.get(entry["source_id"])
-        if (found["records"] if found else 0) != entry["records"]:
+        records, digest, as_read = told[entry["source_id"]]
+        if records != entry["records"]:
             raise PerturbationError("A file did not get the resources planned for it.")
-        digest = found["digest"] if found else _File(folder / entry["file"], entry["compressed"]).close()
+        if read.get(entry["source_id"], (0, NOTHING)) != (records, as_read):
+            raise PerturbationError("A written file, read back, is not what was sent to it.")
         manifest.append({k: v for k, v in entry.items() if k != "source_id"} | {"uncompressed_sha256": digest})
+    folder.lock()
     return manifest
 
 
-def read_back(folder: Path, manifest: list[dict]):
+def _commit(roots: DataFrame, own: dict[int, dict], packed: bool, places: dict[int, Place], folder: Place) -> dict[int, tuple[int, str, str]]:
+    """Write and name the files of `own`; for each (records, digest, digest without a first byte order mark, which readers leave out)."""
+    spark = roots.sparkSession
+    tasks = max(places) + 1
+
+    def stream(batches):
+        current, sums, records = None, None, 0
+
+        def ended():
+            return json.dumps([current, records, sums[0].hexdigest(), sums[1].hexdigest()])
+
+        held: list[str] = []
+        for batch in batches:
+            for source, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if source != current:
+                    current, records, sums = source, 0, (sha256(), sha256())
+                records += 1
+                for nth, digest in enumerate(sums):
+                    digest.update((line.removeprefix("\ufeff") if nth and records == 1 else line).encode() + b"\n")
+                held.append(line)
+                if len(held) >= LINES:  # the last line of a file tells of it: one is held back
+                    yield _batch(held[:-1])
+                    held = held[-1:]
+        if held:
+            yield _batch(held, ended())
+
+    # sources are numbered through, so each file has a task of its own, and the part of a file's number is the file
+    chosen = spark.createDataFrame([(i,) for i in own], "wanted int")
+    dealt = roots.select("source_id", "root_id", "line").join(chosen, F.col("source_id") == F.col("wanted"), "left_semi").repartitionById(tasks, F.col("source_id").cast("int"))
+    ordered = dealt.sortWithinPartitions("source_id", "root_id").select("source_id", "line")
+    staging, seen = folder.parent / f".{folder.name}.staging", Observation()
+    staging.make_folder()
+    lines = ordered.mapInArrow(stream, "line string, told string").observe(seen, F.collect_list("told").alias("files"))
+    lines.select("line").write.option("maxRecordsPerFile", 0).option("lineSep", "\n").text((staging / "parts").uri, compression="gzip" if packed else "none")
+    found = {source: tuple(rest) for source, *rest in map(json.loads, seen.get["files"])}
+    parts = {int(m[1]): path for path, _, _ in (staging / "parts").walk() if (m := re.search(r"/part-(\d+)-[^/]*$", path))}
+    side_by_side([lambda i=i: Place(spark, parts[i]).rename(places[i]) for i in found])
+    staging.delete()
+    return found
+
+
+def _batch(lines: list[str], told: str | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(lines, pa.string()), pa.array([None] * (len(lines) - 1) + [told], pa.string())], ["line", "told"])
+
+
+def _read_files(spark: SparkSession, files: dict[int, str]) -> dict[int, tuple[int, str]]:
+    """(lines, digest) of each file that has any, a task per file."""
+    names = spark.sparkContext.broadcast({file_of(path): i for i, path in files.items()})
+
+    def digest(batches):
+        file, sums, records, done = None, None, 0, []
+        for batch in batches:
+            for line, its in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if its != file:
+                    if file is not None:
+                        done.append((names.value[same_file(file)], records, sums.hexdigest()))
+                    file, sums, records = its, sha256(), 0
+                sums.update(line + b"\n")
+                records += 1
+        if file is not None:
+            done.append((names.value[same_file(file)], records, sums.hexdigest()))
+        if done:
+            columns = zip(*done)
+            yield pa.RecordBatch.from_arrays([pa.array(next(columns), pa.int32()), pa.array(next(columns), pa.int64()), pa.array(next(columns))], ["source_id", "records", "digest"])
+
+    found = whole_files(spark, list(files.values())).mapInArrow(digest, "source_id int, records long, digest string").collect()
+    return {r["source_id"]: (r["records"], r["digest"]) for r in found}
+
+
+def whole_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(line, file, begin) of files of which none is cut."""
+    return lines(reading(spark, UNCUT, UNCUT), paths, lineSep="\n")
+
+
+def read_back(folder: Place, manifest: list[dict]):
     """The lines of all files, in manifest order."""
     for entry in manifest:
-        with (gzip.open if entry["compressed"] else open)(folder / entry["file"], "rt", encoding="utf-8") as stream:
-            yield from stream
+        for row in whole_files(folder.spark, [str(folder / entry["file"])]).toLocalIterator():
+            yield row["line"].decode() + "\n"
 
 
 def population(occurrences: DataFrame, resources: DataFrame) -> DataFrame:
