@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.storage import materialise
+from . import hot
 
 
 def ownership(seeds: DataFrame, edges: DataFrame) -> DataFrame:
@@ -18,10 +19,11 @@ def ownership(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     Owners spread until no set grows; cycles end because a pair is only followed once.
     """
     edges = materialise(edges.select("provider", "dependent").distinct())
+    spread = hot.joiner(edges, [("provider", "node")], unique=False, by=["dependent"])  # a provider may have most of the dependents
     known = materialise(seeds.select("node", "owner").distinct())
     frontier, rounds = known, [known]
     while True:
-        reached = frontier.join(edges, F.col("node") == F.col("provider")).select(F.col("dependent").alias("node"), "owner").distinct()
+        reached = spread(frontier).select(F.col("dependent").alias("node"), "owner").distinct()
         frontier = materialise(reached.join(known, ["node", "owner"], "left_anti"))
         if frontier.limit(1).isEmpty():
             return known

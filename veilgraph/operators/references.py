@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import hot
+
 
 def resolve_relative(edges: DataFrame, aliases: DataFrame) -> DataFrame:
     """(edge, status, target, n_targets) for edges (edge, alias, context, version) against aliases (alias, context, version, resource).
@@ -36,6 +38,7 @@ def resolve_relative(edges: DataFrame, aliases: DataFrame) -> DataFrame:
     wanted = edges.select("alias", "context", "version").distinct().withColumn("any", anywhere(kinds[1]))
     wanted = meet(wanted, "context", "any", F.col("n").alias("local")).withColumn("scope", F.when(F.col("local").isNotNull(), F.col("context")))
     found = meet(wanted, "scope", "version", "n", "low").select(F.col("alias").alias("fa"), F.col("context").alias("fc"), F.col("version").alias("fv"), F.coalesce("n", F.lit(0).cast("long")).alias("n_targets"), "low")
-    same = (F.col("alias") == F.col("fa")) & F.col("context").eqNullSafe(F.col("fc")) & F.col("version").eqNullSafe(F.col("fv"))
     status = F.when(F.col("n_targets") == 1, "resolved").when(F.col("n_targets") == 0, "unresolved").otherwise("ambiguous")
-    return edges.join(found, same).select("edge", status.alias("status"), F.when(F.col("n_targets") == 1, F.col("low")).alias("target"), "n_targets")
+    # one literal may stand in most of the edges
+    met = hot.join(edges, found, [("alias", "fa"), ("context", "fc"), ("version", "fv")], unique=True)
+    return met.select("edge", status.alias("status"), F.when(F.col("n_targets") == 1, F.col("low")).alias("target"), "n_targets")

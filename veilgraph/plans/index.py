@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InputError
-from ..operators import graph, references
+from ..operators import graph, hot, references
 from ..operators.ranks import numbered
 from ..operators.unpack import unpack
 from ..progress import notify
@@ -129,7 +129,7 @@ def _owners(resources: DataFrame, occurrences: DataFrame, refs: DataFrame) -> tu
     kind = resources.select("id", "resource_type")
     links = refs.filter("status = 'resolved'").select("source_resource_id", "path", "target_resource_id").distinct()
     links = links.join(kind.select(F.col("id").alias("s"), F.col("resource_type").alias("source_type")), F.col("source_resource_id") == F.col("s"))
-    links = materialise(links.join(kind.select(F.col("id").alias("t"), F.col("resource_type").alias("target_type")), F.col("target_resource_id") == F.col("t")))
+    links = materialise(hot.join(links, kind.select(F.col("id").alias("t"), F.col("resource_type").alias("target_type")), [("target_resource_id", "t")], unique=True))
     patients = kind.filter("resource_type = 'Patient'").select(F.col("id").alias("node"), F.col("id").alias("owner"))
     direct = links.filter(F.col("path").isin(*SUBJECT_PATHS) & (F.col("target_type") == "Patient")).select(F.col("source_resource_id").alias("node"), F.col("target_resource_id").alias("owner"))
     seeds = patients.unionByName(direct).distinct()

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from ..errors import InputError, PerturbationError
 from ..functions import canonical, keyed, walk
-from ..operators import perturb as kernel
+from ..operators import hot, perturb as kernel
 from ..operators.statistics import nearest_rank
 from ..progress import notify
 from ..sources import layout
@@ -182,7 +182,10 @@ def _edges(tables: dict[str, DataFrame], mappings: DataFrame) -> DataFrame:
     refs = tables["resource_references"].filter("kind = 'literal'").select(F.col("source_resource_id").alias("owner_id"), "path", "literal", "status", F.col("target_resource_id").alias("target_id")).distinct()
     alike = refs.groupBy("owner_id", "path", "literal").agg(F.count("*").alias("n"), F.first("status").alias("status"), F.first("target_id").alias("target_id"))
     alike = alike.withColumn("target_id", F.when((F.col("n") == 1) & (F.col("status") == "resolved"), F.coalesce("target_id", F.lit(-1))))
-    alike = alike.join(m.select(F.col("resource_id").alias("o"), F.col("root_id").alias("of_root")), F.col("owner_id") == F.col("o")).join(target, F.col("target_id") == F.col("t"), "left")
+    alike = alike.join(m.select(F.col("resource_id").alias("o"), F.col("root_id").alias("of_root")), F.col("owner_id") == F.col("o"))
+    # most references may have one target; those without any meet nothing
+    alike = alike.withColumn("wanted", F.col("target_id"))
+    alike = hot.join(alike, target.withColumn("found", F.col("t")), [("wanted", "t")], "left", unique=True).withColumnRenamed("found", "t")
     fault = F.when(F.col("target_id").isNotNull() & F.col("t").isNull(), F.lit(LOST)).when(F.col("inner") & (F.col("target_root") != F.col("of_root")), F.lit(CROSSES))
     outcome = F.struct("owner_id", "path", "literal", F.col("to").alias("replacement"), "target_id", fault.alias("fault"))
     return alike.groupBy("of_root").agg(F.collect_list(outcome).alias("edges"))
@@ -220,7 +223,8 @@ def _checked(written: DataFrame, number: int, mappings: DataFrame, members: Data
     own = mappings.filter("resource_id = root_id").select(F.col("root_id").alias("source_root"), "digest")
     both = written.select("root_id", "line", "changes").join(own, F.col("root_id") == F.col("source_root"))
     m = mappings.select(F.col("resource_id").alias("t"), F.col("root_id").alias("t_root"), "resource_type", "new_id")
-    links = written.select("root_id", F.explode("changes").alias("c")).filter("c.target_id IS NOT NULL").select("root_id", F.col("c.target_id").alias("target_id")).distinct().join(m, F.col("target_id") == F.col("t"))
+    links = written.select("root_id", F.explode("changes").alias("c")).filter("c.target_id IS NOT NULL").select("root_id", F.col("c.target_id").alias("target_id")).distinct()
+    links = hot.join(links, m.withColumn("met", F.col("t")), [("target_id", "met")], unique=True)
     # a contained target must lie in the same root
     meant = F.when(F.col("t") == F.col("t_root"), F.concat_ws("/", "resource_type", "new_id")).when(F.col("t_root") == F.col("root_id"), F.concat(F.lit("#"), "new_id"))
     targets = links.groupBy(F.col("root_id").alias("l")).agg(F.map_from_entries(F.collect_list(F.struct("target_id", meant.alias("meant")))).alias("targets"))
