@@ -123,11 +123,13 @@ def scan(spark: SparkSession, files: list[Entry], part_bytes: int = PART) -> Dat
         # parts no smaller than the largest file: none is cut
         most = max(max(size for _, size in small), min(part_bytes, sum(size for _, size in small) // cores), 1)
         parts.append(_numbered(spark, lines(reading(spark, most), [p for p, _ in small]), names))
+    # what one task unpacks is dealt out for what follows, which costs more
+    dealt = lambda df, size: df.repartition(max(cores, 8 * size // part_bytes), "source_id", "ordinal")
     for path, size in long:
-        parts.append(_stream(spark, path, size, names))
+        parts.append(dealt(_stream(spark, path, size, names), size))
     if whole:
         most = max(max(size for _, size in whole), min(part_bytes, sum(size for _, size in whole) // cores), 1)
-        parts.append(_whole(spark, [p for p, _ in whole], most, ids, names))
+        parts.append(dealt(_whole(spark, [p for p, _ in whole], most, ids, names), sum(size for _, size in whole)))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
