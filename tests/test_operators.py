@@ -56,3 +56,33 @@ def test_weighted_quantiles_are_exact(spark):
     r = statistics.nearest_rank(df, ["g"], ["sort_key", "value"], "value", "n").first()
     assert (r["n"], r["p05"], r["p25"], r["p50"], r["p75"], r["p95"]) == (7, "10E-1", precise, precise, "2", "10")
     assert Decimal(r["minimum"]) == 1 and r["maximum"] == "10"
+
+
+def test_scopes_of_two_threads(spark):
+    """Each deletes its own tables only, and jobs side by side belong to the scope that starts them."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Event
+
+    from veilgraph.plans.storage import materialise, plain, scope, together
+
+    inside, ended, folders = Event(), Event(), []
+
+    def first():
+        with scope(spark):
+            table = materialise(spark.range(3))
+            folders.append(table.inputFiles()[0])
+            inside.set()
+            assert ended.wait(60)
+            return table.count(), together(spark, lambda: materialise(spark.range(5)).inputFiles()[0])
+
+    def second():
+        assert inside.wait(60)
+        with scope(spark):
+            materialise(spark.range(4))
+        ended.set()
+
+    with ThreadPoolExecutor(2) as pool:
+        a, b = pool.submit(first), pool.submit(second)
+        b.result()
+        count, (other,) = a.result()
+    assert count == 3 and not plain(folders[0]).exists() and not plain(other).exists()

@@ -8,14 +8,16 @@ import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager, suppress
+from contextvars import ContextVar, copy_context
 from pathlib import Path
 from urllib.parse import unquote, urlsplit
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders of tables not yet deleted; the innermost scope is last, the first one ends with the process.
-_scopes: list[list[str]] = [[]]
+#: Folders of tables not yet deleted: those that end with the process, and those of the scope that a thread is in.
+_of_process: list[str] = []
+_of_scope: ContextVar[list[str]] = ContextVar("scope", default=_of_process)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -74,26 +76,28 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = f"{shared_dir(spark)}/veilgraph-{uuid.uuid4().hex}"
     private_folder(spark, folder)
-    _scopes[-1].append(folder)
+    _of_scope.get().append(folder)
     df.write.parquet(f"{folder}/table")
     return spark.read.schema(df.schema).parquet(f"{folder}/table")
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
-    """Tables that `materialise` writes within are deleted at the end; nothing that reads them may outlive it."""
-    _scopes.append([])
+    """Tables that `materialise` writes within are deleted at the end; nothing that reads them may outlive it. Scopes of other threads are none of its business."""
+    own: list[str] = []
+    outer = _of_scope.set(own)
     try:
         yield
     finally:
-        for folder in _scopes.pop():
+        _of_scope.reset(outer)
+        for folder in own:
             with suppress(Exception):  # what stays takes room, no more
                 delete(spark, folder)
 
 
 @atexit.register
 def _end() -> None:
-    for folder in _scopes[0]:
+    for folder in _of_process:
         with suppress(Exception):
             delete(SparkSession.getActiveSession() if plain(folder) is None else None, folder)
 
@@ -112,4 +116,4 @@ def spread(df: DataFrame, rows: int | None = None, rows_per_task: int = 20_000)
 def together(spark: SparkSession, *jobs: Callable[[], object]) -> list:
     """What independent jobs return, which run side by side: small ones are mostly waiting."""
     with ThreadPoolExecutor(4) as pool:
-        return [x.result() for x in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]]
+        return [x.result() for x in [pool.submit(copy_context().run, inheritable_thread_target(spark)(job)) for job in jobs]]
