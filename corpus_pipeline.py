@@ -13,12 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilgraph.llm import decontaminate, langid, mixing, neardup, substrings
-from veilgraph.llm.common import materialise, table
+from veilgraph.llm.common import fresh, materialise, table
 
 #: SQL can express neither the language models nor the near-dedup; tests compare with brute force.
 ORACLE_SQL = None
 
 
+def put_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with new names for columns that have one of the names (without regard to case), and the new names."""
+    clashing = [c for c in docs.columns if c.lower() in names]
+    back = dict(zip(clashing, fresh([*docs.columns, *names], *[f"_{c}" for c in clashing])))
+    return docs.withColumnsRenamed(back), back
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those that are rejected go.
 
@@ -41,10 +48,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts become empty; white space collapses; of repeated rows every copy is cut.
     """
-    cut = substrings.remove_repeats(docs, window=35, key="doc_id")
+    aside, back = put_aside(docs, "n_words", "n_removed", "kept_sha256")
+    cut = substrings.remove_repeats(aside, window=35, key="doc_id").select(*aside.columns)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return cut.select(*docs.columns)
+    return cut.select(*[F.col(back.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +66,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mix takes: documents with size, source_size, target and taken (words, repeats counted).
 
-    Documents without words are never taken; a null source is a source; null keys are ordinary; repeated rows take places of their own.
+    Documents without words are never taken; a null source is a source; null keys are ordinary; repeated rows take places of their own;
+    columns of docs that have one of the four names pass through with a low line before it.
     """
-    return mixing.mix(docs, weights=(1, 2, 3), repeats=3, keep_text=True).filter("taken > 0")
+    aside, _ = put_aside(docs, "size", "source_size", "target", "taken")
+    return mixing.mix(aside, weights=(1, 2, 3), repeats=3, keep_text=True).filter("taken > 0")
 
 
 STAGES = [

@@ -53,3 +53,22 @@ def test_empty_tables(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.count() == 0 and (name == "mixing" or out.columns == docs.columns)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_with_clashing_columns_and_long_texts(spark, tmp_path):
+    spark.createDataFrame([(1, brute.varied(88, 40))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["gone", "N_WORDS", "n_removed", "kept_sha256", "size", "Taken", "lang_pred", "score", "node", "once", "block", "keep", "rejected", "item_id", "held_out", "_Taken"]
+    long = " ".join(brute.varied(i, 5000) for i in range(40))
+    assert len(long) > 1_000_000
+    rows = [(i, brute.varied(500 + i, 60), "aa", "s0", 1) for i in range(20)] + [(50, long, "aa", "s1", 1), (51, long + " end", "aa", "s1", 1), (52, f"{long[:700_000]} {brute.varied(88, 40)}", "aa", "s1", 1)]
+    docs = spark.createDataFrame([(*r, *[f"{n} {r[0]}" for n in names]) for r in rows], SCHEMA + "".join(f", {n} string" for n in names))
+    for name, stage in corpus_pipeline.STAGES:
+        out = materialise(stage(spark, docs, str(tmp_path)))
+        if name != "mixing":
+            assert out.columns == docs.columns
+            docs = out
+        passed = [n for n in names if n not in ("size", "Taken", "_Taken")]
+        assert out.count() and all(r[n] == f"{n} {r['doc_id']}" for r in out.collect() for n in passed)
+        assert name == "mixing" or 50 in {r["doc_id"] for r in out.collect()}
+    assert {"size", "source_size", "target", "taken", "_size", "_Taken", "__Taken"} <= set(out.columns)
+    assert all((r["_size"], r["_Taken"], r["__Taken"]) == (f"size {r['doc_id']}", f"_Taken {r['doc_id']}", f"Taken {r['doc_id']}") for r in out.collect())

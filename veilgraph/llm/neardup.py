@@ -337,8 +337,8 @@ def one_of_each(docs: DataFrame, similarity: Fraction = Fraction(8, 10), width:
     Of rows with one key and text one stays; rows with a null key all stay, and so do documents without words or with a null text, each for itself; texts of
     any length count whole; ties don't matter; an empty table stays one; columns of any name pass through as they are.
     """
-    gone = near_duplicates(docs, similarity, width, key, text).filter(F.col(key).isNotNull() & ~F.col("kept")).select(F.col(key).cast(docs.schema[key].dataType).alias("gone")).distinct()
-    once, copy = fresh(docs.columns, "once", "copy")
-    packed = pack(docs, text).join(gone, F.col(key) == F.col("gone"), "left_anti")
+    once, copy, lost = fresh(docs.columns, "once", "copy", "gone")
+    gone = near_duplicates(docs, similarity, width, key, text).filter(F.col(key).isNotNull() & ~F.col("kept")).select(F.col(key).cast(docs.schema[key].dataType).alias(lost)).distinct()
+    packed = pack(docs, text).join(gone, F.col(key) == F.col(lost), "left_anti")
     packed = packed.withColumn(once, F.md5(text)).withColumn(copy, F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
     return unpack(packed.dropDuplicates([key, once, copy]).drop(once, copy), text)
