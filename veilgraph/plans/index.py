@@ -12,7 +12,7 @@ from ..operators import graph, hot, references
 from ..operators.ranks import numbered
 from ..operators.unpack import unpack
 from ..progress import notify
-from ..sources import exports
+from ..sources import exports, sqlite_index
 from ..sources.files import Entry, Place
 from .storage import materialise, scope, together
 
@@ -215,16 +215,40 @@ NEEDED = {
 }
 
 
-def open_index(spark: SparkSession, folder) -> tuple[dict[str, DataFrame], dict]:
-    """Tables and run of a whole and clean index; raises InputError for any other."""
-    folder = Place(spark, folder)
-    if folder.is_link() or not folder.is_folder():
-        raise InputError("The index is a folder that is there and no link.")
+def _of_folder(spark: SparkSession, folder: Place) -> tuple[dict[str, DataFrame], dict]:
     try:
-        run = json.loads((folder / "index-run.json").read_text())
-        tables = {name: spark.read.parquet(f"{folder.uri}/index/{name}") for name in NEEDED}
+        return {name: spark.read.parquet(f"{folder.uri}/index/{name}") for name in NEEDED}, json.loads((folder / "index-run.json").read_text())
     except Exception:
         raise InputError("The folder holds no index that can be read.") from None
+
+
+def _of_file(spark: SparkSession, file: Place) -> tuple[dict[str, DataFrame], dict]:
+    """An index in SQLite. What its tables hold is written to the shared folder at once, as it will be read many times."""
+    found = sqlite_index.open_file(spark, file)
+    try:
+        runs = found["run"].limit(2).collect()
+        if len(runs) != 1:
+            raise InputError("The index file tells of no run, or of several.")
+        return _copied(spark, found), runs[0].asDict()
+    except Exception as error:
+        if "sqlite3." in str(error):  # a task met what is no database
+            raise InputError("The index file is no SQLite file of an index that can be read.") from None
+        raise
+
+
+def _copied(spark: SparkSession, found: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    inner = F.col("identity").substr(F.lit(len("contained:") + 1), F.length("identity"))
+    root = F.when(F.col("contained"), F.substring_index(inner, "#", 1).cast("long")).otherwise(F.col("id"))
+    found["resources"] = found["resources"].withColumn("root_id", root)
+    return dict(zip(NEEDED, together(spark, *[lambda name=name: materialise(found[name]) for name in NEEDED])))
+
+
+def open_index(spark: SparkSession, folder) -> tuple[dict[str, DataFrame], dict]:
+    """Tables and run of a whole and clean index, a folder that `ingest` has made or an index file in SQLite; raises InputError for any other."""
+    folder = Place(spark, folder)
+    if folder.is_link() or not folder.exists():
+        raise InputError("The index is a folder or an index file that is there and no link.")
+    tables, run = _of_folder(spark, folder) if folder.is_folder() else _of_file(spark, folder)
     if run.get("schema_version") not in READABLE:
         raise InputError("The index is of another schema than 1 or 2.")
     if run.get("status") not in DONE:

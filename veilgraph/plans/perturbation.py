@@ -268,6 +268,11 @@ def _report(folder: Place, header: dict, actions: DataFrame) -> None:
 
 def run(spark: SparkSession, source: Place, output: Place, settings: dict, reuse_key_from=None, *, reserved: bool = False, progress=None) -> dict:
     """Perturb the index in `source` into `output`; `reserved`: the folder is there already and holds the index."""
+    with scope(spark):
+        return _whole(spark, source, output, settings, reuse_key_from, reserved, progress)
+
+
+def _whole(spark: SparkSession, source: Place, output: Place, settings: dict, reuse_key_from, reserved: bool, progress) -> dict:
     notify(progress, "Opening the index")
     tables, source_run = index.open_index(spark, source)
     if source_run["fhir_version"] != index.FHIR_VERSION:
@@ -287,8 +292,7 @@ def run(spark: SparkSession, source: Place, output: Place, settings: dict, reuse
     state = State(spark, work, {"schema_version": STATE_VERSION, "status": "in_progress", "phase": "preparation", "settings": kept, "source_fingerprint": found, "definitions": definitions(), "algorithm": keyed.ALGORITHM, "run_key": key.hex(), "failure_code": None})
     try:
         (work / "state").make_folder()
-        with scope(spark):
-            header = _run(state, tables, source_run, places, plans, settings, key, output, reserved, progress)
+        header = _run(state, tables, source_run, places, plans, settings, key, output, reserved, progress)
         (work / "state").lock()
     except BaseException as error:
         failed = "interrupted" if isinstance(error, KeyboardInterrupt) else "failed"
