@@ -135,8 +135,17 @@ def test_run_reuse_and_reingestion(spark, tmp_path):
     source = tmp_path / "in"
     put(source / "ward.json", ward())
     put(source / "x/more.ndjson.gz", person("z"), observation("zo", quantity("@1.50@"), subject=ref("Patient/z")), person("z"))
-    stages = []
-    header = workflow.run_export([source], tmp_path / "one", spark=spark, progress=lambda stage, *a: stages.append(stage))
+    stages, counts = [], {}
+
+    def told(stage, completed, total, unit):
+        stages.append(stage)
+        if completed is not None:
+            counts.setdefault((stage, unit), []).append((completed, total))
+
+    header = workflow.run_export([source], tmp_path / "one", spark=spark, progress=told)
+    for (stage, unit), rose in counts.items():
+        assert rose == sorted(rose, key=lambda x: x[0]) and rose[0][0] == 0 and rose[-1][0] == rose[-1][1], (stage, rose)
+    assert {k: v[-1][0] for k, v in counts.items()} == {("Reading and unpacking documents", "documents"): 4, ("Editing", "roots"): 17, ("Undoing and comparing", "roots"): 17}
     assert header["status"] == "completed_with_warnings" and header["validation"]["roots_checked"] == 17 and "Editing" in stages
     assert {f["file"] for f in header["export"]["files"]} == {"ward.ndjson", "x/more.ndjson.gz"}
     lines = list(perturbation.iter_export_lines(tmp_path / "one", spark))

@@ -11,7 +11,7 @@ from ..errors import InputError
 from ..operators import graph, hot, references
 from ..operators.ranks import numbered
 from ..operators.unpack import unpack
-from ..progress import notify
+from ..progress import counted, notify
 from ..sources import exports, sqlite_index
 from ..sources.files import Entry, Place
 from .storage import materialise, scope, together
@@ -41,8 +41,8 @@ def _issues(df: DataFrame, severity: str, code: str, source=None, locator=None,
 
 def build(spark: SparkSession, files: list[Entry], base_url: str | None, progress=None) -> dict[str, DataFrame]:
     """All tables of the index."""
-    notify(progress, "Reading and unpacking documents")
-    unpacked = materialise(unpack(exports.scan(spark, files), base_url))
+    with counted(progress, spark, "Reading and unpacking documents", None, "documents") as counter:
+        unpacked = materialise(unpack(exports.scan(spark, files), base_url, counter))
     sources = spark.createDataFrame([(i, f.path) for i, f in enumerate(files, 1)], "id int, path string")
     whole = unpacked.select("source_id", "ordinal", F.explode("occurrences").alias("o")).select("source_id", "ordinal", "o.*")
     # payloads stay behind until it is known which are new: they move once

@@ -19,7 +19,7 @@ from ..errors import InputError, PerturbationError
 from ..functions import canonical, keyed, walk
 from ..operators import hot, perturb as kernel
 from ..operators.statistics import nearest_rank
-from ..progress import notify
+from ..progress import add, counted, notify
 from ..sources import layout
 from ..sources.files import Place
 from . import index
@@ -197,19 +197,20 @@ def _arrow_schema():
     return to_arrow_schema(kernel.OUT)
 
 
-def _written(roots: DataFrame, number: int, members: DataFrame, edges: DataFrame, key: bytes, strength: Decimal) -> DataFrame:
+def _written(roots: DataFrame, number: int, members: DataFrame, edges: DataFrame, key: bytes, strength: Decimal, counter=None) -> DataFrame:
     def run(batches):
         schema = _arrow_schema()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):  # what a root makes is many times its size
                 rows = [kernel.perturb_root(row, key, strength) for row in batch.slice(at, 256).to_pylist()]
+                add(counter, len(rows))
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     joined = roots.join(members, F.col("root_id") == F.col("of")).join(edges, F.col("root_id") == F.col("of_root"), "left")
     return spread(joined.select("root_id", "payload", "members", "edges"), number).mapInArrow(run, kernel.OUT)
 
 
-def _checked(written: DataFrame, number: int, mappings: DataFrame, members: DataFrame, patients: DataFrame, key: bytes, strength: Decimal) -> dict:
+def _checked(written: DataFrame, number: int, mappings: DataFrame, members: DataFrame, patients: DataFrame, key: bytes, strength: Decimal, counter=None) -> dict:
     """Undo all changes in what was written and compare digests; draw every patient's offset again."""
 
     def offsets(batches):
@@ -237,6 +238,7 @@ def _checked(written: DataFrame, number: int, mappings: DataFrame, members: Data
                 row["targets"] = dict(row["targets"] or ())
                 for column, n in zip(counts, kernel.check_root(row, key, strength).values()):
                     column.append(n)
+            add(counter, batch.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in counts], list(kernel.CHECKED))
 
     sums = spread(rows, number).mapInArrow(undo, ", ".join(f"{c} long" for c in kernel.CHECKED)).agg(F.count("*").alias("roots_checked"), *[F.sum(c).alias(c) for c in kernel.CHECKED]).first()
@@ -315,12 +317,12 @@ def _run(state: State, tables, source_run, places, plans, settings, key, output,
     notify(progress, "Drawing offsets")
     patients = state.table("patient_parameters", _patients(tables, mappings, roots, number, settings["date_shift_days"], key))
     state.save(phase="writing")
-    notify(progress, "Editing")
     members = _members(mappings, patients)
-    written = state.table("written", _written(roots, number, members, _edges(tables, mappings), key, strength))
+    with counted(progress, spark, "Editing", number, "roots") as counter:
+        written = state.table("written", _written(roots, number, members, _edges(tables, mappings), key, strength, counter))
     state.save(phase="validation")
-    notify(progress, "Undoing and comparing")
-    validation = _checked(written, number, mappings, members, patients, key, strength)
+    with counted(progress, spark, "Undoing and comparing", number, "roots") as counter:
+        validation = _checked(written, number, mappings, members, patients, key, strength, counter)
     state.save(phase="exporting")
     notify(progress, "Writing files and reading them back")
     partial = state.folder / ".result.partial"

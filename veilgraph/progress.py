@@ -5,6 +5,8 @@ from __future__ import annotations
 import sys
 import threading
 import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 
 def notify(progress, stage: str, completed: int | None = None, total: int | None = None, unit: str | None = None) -> None:
@@ -12,6 +14,47 @@ def notify(progress, stage: str, completed: int | None = None, total: int | None
         progress(stage, completed, total, unit)
 
 
+@contextmanager
+def counted(progress, spark, stage: str, total: int | None, unit: str) -> Iterator:
+    """Gives an accumulator to which tasks add what they have done, and tells `progress` of it while the block's jobs run; at their end, what was done is the total.
+
+    Without `progress` it gives None. A task that runs again adds again: where the total is known, more is never told.
+    """
+    if not progress:
+        yield None
+        return
+    progress(stage, 0, total, unit)
+    done, end, told = spark.sparkContext.accumulator(0), threading.Event(), 0
+
+    def tell() -> None:
+        nonlocal told
+        now = done.value if total is None else min(done.value, total)
+        if now > told:
+            told = now
+            progress(stage, now, total, unit)
+
+    def poll() -> None:
+        while not end.wait(0.2):
+            tell()
+
+    poller = threading.Thread(target=poll, daemon=True)
+    poller.start()
+    try:
+        yield done
+    finally:
+        end.set()
+        poller.join()
+    tell()
+    if total is None:
+        progress(stage, told, told, unit)
+
+
+def add(counter, n: int) -> None:
+    """In a task: n more are done."""
+    if counter is not None:
+        counter.add(n)
+
+
 def hms(seconds: float) -> str:
     whole = max(0, int(seconds))
     return ":".join(f"{x:02d}" for x in (whole // 3600, whole // 60 % 60, whole % 60))
