@@ -63,16 +63,16 @@ def hot_keys(df: DataFrame, key: Column, tasks: int) -> list[tuple[int, int]]:
     return sorted((r["hot"], r["n"]) for r in found)
 
 
-def join(many: DataFrame, few: DataFrame, on: list[tuple[str, str]], how: str = "inner", *, unique: bool, by: list[str] | None = None, tasks: int | None = None) -> DataFrame:
+def join(many: DataFrame, few: DataFrame, on: list[tuple[str, str]], how: str = "inner", *, unique: bool, by: list[str] | None = None, tasks: int | None = None, small: int | None = None) -> DataFrame:
     """many joined with few where all pairs of columns in `on` are equal, nulls too; `how` is inner or left. The right-hand columns of `on` go.
 
     unique: few has a row at most for each key. Else hot rows of `many` are dealt out by a hash of the columns `by` (all of them, if not given), and the rows of
-    few that meet them are repeated for each part.
+    few that meet them are repeated for each part. A table of fewer than `small` bytes (`SMALL`) is joined as it is.
     """
-    return joiner(many, on, how, unique=unique, by=by, tasks=tasks)(few)
+    return joiner(many, on, how, unique=unique, by=by, tasks=tasks, small=small)(few)
 
 
-def joiner(many: DataFrame, on: list[tuple[str, str]], how: str = "inner", *, unique: bool, by: list[str] | None = None, tasks: int | None = None) -> Callable[[DataFrame], DataFrame]:
+def joiner(many: DataFrame, on: list[tuple[str, str]], how: str = "inner", *, unique: bool, by: list[str] | None = None, tasks: int | None = None, small: int | None = None) -> Callable[[DataFrame], DataFrame]:
     """`join` with many, whose hot keys are looked for once, as a function of few."""
     spark = many.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -80,7 +80,7 @@ def joiner(many: DataFrame, on: list[tuple[str, str]], how: str = "inner", *, un
     code, mark, parts, salt, few_salt = "_hot_code", "_hot_key", "_hot_parts", "_hot_salt", "_hot_few_salt"
     equal = lambda: _all(F.col(a).eqNullSafe(F.col(b)) for a, b in on)
     plan = many._jdf.queryExecution().optimizedPlan()
-    if int(str(plan.stats().sizeInBytes())) < SMALL:
+    if int(str(plan.stats().sizeInBytes())) < (SMALL if small is None else small):
         return lambda few: many.join(few, equal(), how).drop(*right)
     if not plan.nodeName().startswith("Relation"):  # it is read three times
         many = materialise(many)

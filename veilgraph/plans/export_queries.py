@@ -150,8 +150,8 @@ def _folder(spark: SparkSession) -> Path:
 
 
 def _kept(spark: SparkSession, sf_dir: str, name: str, make) -> Path:
-    """The folder that `make` has filled, once for a process and its tables."""
-    at = (spark.sparkContext.applicationId, sf_dir, name)
+    """The folder that `make` has filled, once for a process and the tables as they are."""
+    at = (spark.sparkContext.applicationId, sf_dir, Place(spark, sf_dir).stamp(), name)
     if at not in _runs:
         out = _folder(spark) / f"{name}-{len(_runs)}"
         make(out)

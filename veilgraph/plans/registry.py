@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import dates, keyed, quantities
 from ..functions.keyed import json_array_col, json_string_col
-from ..operators import audit, graph, references, statistics
+from ..operators import audit, graph, hot, references, statistics
 from .storage import materialise, spread
 
 KEY = bytes(range(32))
@@ -225,6 +225,42 @@ def hierarchy_cycles(spark, sf_dir):
     return graph.tangled(edges)
 
 
+@query("""
+WITH RECURSIVE n AS (SELECT count(*) AS n FROM part),
+edges AS (SELECT p_partkey AS child, (p_partkey * 7) % n AS parent FROM part, n WHERE p_partkey % 5 <> 0 UNION SELECT p_partkey, (p_partkey * 11) % n FROM part, n WHERE p_partkey % 3 = 0),
+up AS (SELECT child AS node, parent AS above FROM edges UNION SELECT node, parent FROM up JOIN edges ON child = above),
+around AS (SELECT DISTINCT node FROM up WHERE node = above)
+SELECT node FROM around UNION SELECT node FROM up WHERE above IN (SELECT node FROM around)
+""")
+def hierarchy_cycles_of_several_parents(spark, sf_dir):
+    """The same where a part may have two parents: one that leads to a cycle is enough."""
+    p = read(spark, sf_dir, "part")
+    n = p.count()
+    edge = lambda rows, times: p.filter(rows).select(F.col("p_partkey").alias("child"), (F.col("p_partkey") * times % n).alias("parent"))
+    return graph.tangled(edge("p_partkey % 5 <> 0", 7).unionByName(edge("p_partkey % 3 = 0", 11)))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_returnflag, lines FROM lineitem JOIN (SELECT l_returnflag AS flag, count(*) AS lines FROM lineitem GROUP BY 1) ON flag = l_returnflag
+""")
+def hot_key_join(spark, sf_dir):
+    """A join with three keys, of which each has far more rows than a task's share: the sketch finds them, and their lines stay where they are."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    counts = lines.groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("lines"))
+    return hot.join(lines, counts, [("l_returnflag", "flag")], unique=True, small=0)
+
+
+@query("""
+SELECT o_orderkey, o_orderstatus, name FROM orders JOIN (SELECT o_orderstatus AS status, n_name AS name FROM nation, (SELECT DISTINCT o_orderstatus FROM orders) WHERE n_regionkey = 1) ON status = o_orderstatus
+""")
+def hot_key_join_of_several_rows(spark, sf_dir):
+    """The same where a key meets several rows: hot keys are dealt out by a salt, and the rows that they meet are repeated."""
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    names = read(spark, sf_dir, "nation").filter("n_regionkey = 1").select(F.col("n_name").alias("name"))
+    few = orders.select(F.col("o_orderstatus").alias("status")).distinct().join(F.broadcast(names))  # five names
+    return hot.join(orders, few, [("o_orderstatus", "status")], unique=False, by=["o_orderkey"], small=0)
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
 def unassigned_anti_join(spark, sf_dir):
     """Customers that no order belongs to."""

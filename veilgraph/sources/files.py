@@ -112,6 +112,17 @@ class Place:
                 else:
                     yield name, status.getLen(), link
 
+    def stamp(self) -> int:
+        """What changes with names, sizes and times of the files below."""
+        folders, found = [self._path], []
+        while folders:
+            for status in self._system.listStatus(folders.pop()):
+                if status.isDirectory():
+                    folders.append(status.getPath())
+                else:
+                    found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+        return hash(tuple(sorted(found)))
+
     def size(self) -> int:
         return self._system.getFileStatus(self._path).getLen()
 
