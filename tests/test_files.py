@@ -65,8 +65,8 @@ def test_a_run_that_only_spark_reaches(spark, far, monkeypatch):
     assert "".join(lines) == (written / "ward [1].ndjson").read_text() + gzip.decompress((written / "x/more.ndjson.gz").read_bytes()).decode() and (written / "x/empty.ndjson").read_bytes() == b""
     assert not [p for p in written.rglob("*") if "part-" in p.name or "_temporary" in p.name]
     # the same key makes the same bytes, here and on this machine's own paths
-    perturbation.perturb(f"{uri}/out/intermediates", f"{uri}/again", reuse_key_from=f"{uri}/out/intermediates", spark=spark)
-    assert (folder / "again/result/fhir/x/more.ndjson.gz").read_bytes() == (written / "x/more.ndjson.gz").read_bytes()
+    perturbation.perturb(f"{uri}/out/intermediates", f"{uri}/again [2]", reuse_key_from=f"{uri}/out/intermediates", spark=spark)
+    assert (folder / "again [2]/result/fhir/x/more.ndjson.gz").read_bytes() == (written / "x/more.ndjson.gz").read_bytes()
     with pytest.raises(InputError):
         index.ingest([f"{uri}/in"], f"{uri}/out", spark=spark)
     with pytest.raises(InputError):

@@ -13,7 +13,7 @@ from ..operators.ranks import numbered
 from ..operators.unpack import unpack
 from ..progress import counted, notify
 from ..sources import exports, sqlite_index
-from ..sources.files import Entry, Place
+from ..sources.files import Entry, Place, escaped
 from .storage import materialise, scope, together
 
 SCHEMA_VERSION = 2
@@ -190,7 +190,7 @@ def write(spark: SparkSession, files: list[Entry], folder: Place, base_url: str
         notify(progress, "Writing the index")
         together(spark, *[lambda name=name, df=df: df.write.parquet(f"{folder.uri}/index/{name}") for name, df in tables.items()])
     (folder / "index").lock()
-    saved = {name: spark.read.parquet(f"{folder.uri}/index/{name}") for name in TABLES}
+    saved = {name: spark.read.parquet(escaped(f"{folder.uri}/index/{name}")) for name in TABLES}
     notify(progress, "Reporting on the load")
     found = report(saved)
     (folder / "report.json").write_text(json.dumps(found, indent=2, ensure_ascii=False) + "\n")
@@ -217,7 +217,7 @@ NEEDED = {
 
 def _of_folder(spark: SparkSession, folder: Place) -> tuple[dict[str, DataFrame], dict]:
     try:
-        return {name: spark.read.parquet(f"{folder.uri}/index/{name}") for name in NEEDED}, json.loads((folder / "index-run.json").read_text())
+        return {name: spark.read.parquet(escaped(f"{folder.uri}/index/{name}")) for name in NEEDED}, json.loads((folder / "index-run.json").read_text())
     except Exception:
         raise InputError("The folder holds no index that can be read.") from None
 

@@ -13,7 +13,6 @@ from decimal import Decimal, InvalidOperation
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..errors import InputError, PerturbationError
 from ..functions import canonical, keyed, walk
@@ -21,7 +20,7 @@ from ..operators import hot, perturb as kernel
 from ..operators.statistics import nearest_rank
 from ..progress import add, counted, notify
 from ..sources import layout
-from ..sources.files import Place
+from ..sources.files import Place, escaped
 from . import index
 from .index import DONE
 from .storage import scope, spread, together
@@ -114,7 +113,7 @@ class State:
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{self.folder.uri}/state/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.folder.uri}/state/{name}")
+        return self.spark.read.schema(df.schema).parquet(escaped(f"{self.folder.uri}/state/{name}"))
 
 
 def _mappings(tables: dict[str, DataFrame], key: bytes) -> DataFrame:
