@@ -19,6 +19,7 @@ from ..sources import exports
 from . import perturbation
 from .export_queries import _folder, export, indexed, made
 from .registry import KEY, STRENGTH_PERCENT, query, read, sql_digest, sql_modulo
+from .storage import spread
 
 
 def mapped(df: DataFrame, schema: str, f) -> DataFrame:
@@ -114,7 +115,9 @@ def measurement_eligibility(spark, sf_dir):
         at = canonical.path_text((("key", "valueQuantity"), ("key", "value")))
         return order, line, next(a["reason"] for a in out["actions"] if a["path"] == at)
 
-    return mapped(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_MEASURE)), "l_orderkey long, l_linenumber int, reason string", outcome)
+    lines = read(spark, sf_dir, "lineitem")
+    # a file may come in few parts, and a row costs far more than its move
+    return mapped(spread(lines.select("l_orderkey", "l_linenumber", F.expr(_MEASURE)), lines.count(), 100_000), "l_orderkey long, l_linenumber int, reason string", outcome)
 
 
 _REST_FORM = "CASE page_id % 5 WHEN 0 THEN 'https://h/fhir/Patient/p' || page_id WHEN 1 THEN 'https://h/fhir/Patient/p' || page_id || '/_history/' || (page_id % 7) WHEN 2 THEN url WHEN 3 THEN 'Patient/p' || page_id ELSE '#c' || page_id END"
