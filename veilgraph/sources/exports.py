@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from ..errors import InputError
 from .files import Entry, Place, escaped, file_of, lines, of_session, reading, same_file
+from .layout import MEMBER
 
 ENDINGS = tuple(f"{e}{z}" for e in (".json", ".ndjson", ".jsonl") for z in ("", ".gz"))
 #: Characters of text in a batch; bytes that a task reads; bytes up to which a file goes to its task as one value.
 BATCH, PART, WHOLE = 4 << 20, 64 << 20, 64 << 20
+#: Bytes from which on a compressed file is looked into for members that tell of their size.
+CUT = 1 << 20
 DOCUMENTS = "source_id int, ordinal long, locator string, text string"
 
 
@@ -77,9 +80,8 @@ def packed(path: str) -> bool:
     return path.lower().endswith(".gz")
 
 
-def documents_of(path: str, content: bytes) -> Iterator[tuple[int, str, str | None]]:
-    """(ordinal, locator, text) of each document of a whole file; a text of None stands for a file that broke off there."""
-    number = 0
+def documents_of(path: str, content: bytes, number: int = 0) -> Iterator[tuple[int, str, str | None]]:
+    """(ordinal, locator, text) of each document of a whole file, or of what follows its first `number` lines; a text of None stands for a file that broke off there."""
     try:
         raw = gzip.GzipFile(fileobj=io.BytesIO(content)) if packed(path) else io.BytesIO(content)
         if not has_lines(path):
@@ -101,21 +103,24 @@ def scan(spark: SparkSession, files: list[Entry], part_bytes: int = PART) -> Dat
     Spark's readers bring the bytes, so that files may be on any file system it reaches. Files of lines come as lines, large plain ones in parts of
     `part_bytes`, each by a task of its own; a first pass counts the lines of parts, so that every part knows its
     numbers, and nothing after a line that can't be read counts. Compressed files and single documents can't be split: they come whole, small
-    ones packed together. Compressed files of lines beyond `WHOLE` are unpacked as a stream instead.
+    ones packed together. Compressed files of lines beyond `WHOLE` are unpacked as a stream instead. Those that `layout` has put together from members, on a
+    mounted file system, are read member by member, side by side.
     The driver plans a row a file and a row a part; texts never come near it.
     """
     ids = {path: i for i, (path, _) in enumerate(files, 1)}
     names = {file_of(path): i for path, i in ids.items()}
     cores = spark.sparkContext.defaultParallelism
-    large, small, long, whole = [], [], [], []
+    large, small, long, whole, joined = [], [], [], [], []
     for path, size in files:
-        if has_lines(path):
+        if has_lines(path) and packed(path) and size > CUT and (df := _members(spark, path, size, ids[path])) is not None:
+            joined.append(df)
+        elif has_lines(path):
             (large if size > part_bytes else small)[:0] = [] if packed(path) else [(path, size)]
             (long if size > WHOLE else whole).extend([(path, size)] if packed(path) else [])
         elif size:
             whole.append((path, size))
     # readers leave out empty files, which are documents that say nothing
-    parts = [spark.createDataFrame([(ids[path], 1, "$", "") for path, size in files if not size and not has_lines(path)], DOCUMENTS)]
+    parts = [spark.createDataFrame([(ids[path], 1, "$", "") for path, size in files if not size and not has_lines(path)], DOCUMENTS), *joined]
     if large:
         df = lines(reading(spark, part_bytes), [p for p, _ in large])
         parts.append(_numbered(spark, df, names, _places(df, names)))
@@ -136,6 +141,72 @@ def scan(spark: SparkSession, files: list[Entry], part_bytes: int = PART) -> Dat
     return out
 
 
+def members(path: str, size: int) -> list[tuple[int, int]] | None:
+    """(begin, bytes) of the members of a file of this machine's file system that `layout` has put together; None for any other."""
+    scheme, _, local = file_of(path)
+    out, at, head = [], 0, len(MEMBER)
+    if scheme != "file":
+        return None
+    with open(local, "rb") as file:
+        while at < size:
+            file.seek(at)
+            told = file.read(head + 8)
+            if told[:head] != MEMBER or len(told) < head + 8:
+                return None
+            out.append((at, int.from_bytes(told[head:], "little")))
+            at += max(out[-1][1], head + 8)
+    return out if at == size and len(out) > 1 else None
+
+
+def _members(spark: SparkSession, path: str, size: int, source: int) -> DataFrame | None:
+    """Documents of a compressed file of lines by members, each by a task; a first pass counts their lines. None if it has no such members, or they are not whole lines that can be read."""
+    found = members(path, size)
+    if found is None:
+        return None
+    local = file_of(path)[2]
+
+    def content(begin: int, n: int) -> bytes:
+        with open(local, "rb") as file:
+            file.seek(begin)
+            return file.read(n)
+
+    def count(batches):
+        for batch in batches:
+            for nth, begin, n in zip(*(c.to_pylist() for c in batch.columns)):
+                lines, line = 0, b"\n"
+                try:
+                    for line in gzip.GzipFile(fileobj=io.BytesIO(content(begin, n))):
+                        text = line.decode()
+                        lines += 1 if "\r" not in text else sum(1 for _ in io.StringIO(text, newline=None))
+                except (OSError, EOFError, UnicodeError, zlib.error):
+                    line = b""
+                yield pa.RecordBatch.from_arrays([pa.array([nth], pa.int32()), pa.array([lines], pa.int64()), pa.array([line.endswith(b"\n")])], ["nth", "lines", "fine"])
+
+    dealt = lambda rows, schema: spark.createDataFrame(rows, schema).repartitionById(len(found), F.col("nth"))
+    rows = [(nth, begin, n) for nth, (begin, n) in enumerate(found)]
+    counted = sorted(dealt(rows, "nth int, begin long, bytes long").mapInArrow(count, "nth int, lines long, fine boolean").collect())
+    if not all(r["fine"] for r in counted):
+        return None
+    before = [0]
+    for r in counted:
+        before.append(before[-1] + r["lines"])
+
+    def run(batches):
+        for batch in batches:
+            for _, begin, n, number in zip(*(c.to_pylist() for c in batch.columns)):
+                held, size = [], 0
+                for row in documents_of(local, content(begin, n), number):
+                    held.append((source, *row))
+                    size += len(row[2] or "")
+                    if size >= BATCH:
+                        yield _batch(held)
+                        held, size = [], 0
+                if held:
+                    yield _batch(held)
+
+    return dealt([(*row, before[row[0]]) for row in rows], "nth int, begin long, bytes long, number long").mapInArrow(run, DOCUMENTS)
+
+
 def _places(df: DataFrame, names: dict) -> dict[tuple[int, int], int]:
     """How many lines of its file come before each part; no entry for one behind a line that can't be read."""
     valid = F.is_valid_utf8(F.col("line").cast("string"))
