@@ -60,3 +60,25 @@ def test_large_files_are_written_in_parts_and_read_by_members(spark, tmp_path, m
     (tmp_path / "broken.ndjson.gz").write_bytes(raw)
     found = sorted(tuple(r) for r in exports.scan(spark, [Entry(str(tmp_path / "broken.ndjson.gz"), size)]).collect())
     assert found == sorted((1, *d) for d in exports.documents_of("broken.ndjson.gz", bytes(raw))) and found[-1][-1] is None
+
+
+def test_measurements_are_judged_without_an_edit(monkeypatch):
+    """The reasons are those that an edit gives, and nothing is drawn, written or kept for a ledger."""
+    from decimal import Decimal
+
+    from veilgraph.functions import canonical, keyed
+    from veilgraph.operators import perturb
+
+    key, unit = bytes(range(32)), {"system": "http://unitsofmeasure.org", "code": "mg"}
+    quantities = [{"value": 1, **unit}, {"value": Decimal("2.50"), **unit}, {"value": "3", **unit}, {"value": 4, "code": "mg"}, {"value": 5, **unit, "code": "%"}, {"value": "", **unit}, {"value": 6, "system": ["x"], "code": "mg"}, {"value": True, **unit}]
+    for quantity in quantities:
+        for owned in (True, False):
+            document = {"resourceType": "Observation", "id": "m", "valueQuantity": quantity, "component": [{"valueQuantity": {"value": 7, **unit}}], "extension": [{"url": "u", "valueQuantity": {"value": 8, **unit}}]}
+            member = {"resource_id": 1, "resource_type": "Observation", "old_id": "m", "new_id": "pert-m", "patient_id": 9 if owned else None, "days": 0}
+            made = perturb.perturb_root({"root_id": 1, "payload": canonical.render(document), "members": [member], "edges": []}, key, Decimal("0.16"))
+            for path, reason in perturb.measurement_reasons(document, key, owned):
+                shape = canonical.path_text(tuple(("item", None) if kind == "index" else (kind, name) for kind, name in canonical.parse(path)))
+                assert reason in {a["reason"] for a in made["actions"] if a["path"] == shape}
+    monkeypatch.setattr(keyed, "digest", None)
+    for quantity in quantities:
+        assert len(list(perturb.measurement_reasons({"resourceType": "Observation", "valueQuantity": quantity, "component": [{"valueQuantity": {"value": 7, **unit}}]}, key, True))) == 2

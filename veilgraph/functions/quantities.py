@@ -29,6 +29,8 @@ def factor(key: bytes, root: str, path: tuple | list, strength: Decimal) -> tupl
 
 def scale(value: int | Decimal, by: tuple[int, int]) -> int | Decimal:
     """value times a ratio, rounded half to even at the last written place of `value`."""
+    if by[0] == by[1]:
+        return value
     sign, digits, exponent = Decimal(value).as_tuple()
     written = int("".join(map(str, digits)))
     out, rest = divmod(written * by[0], by[1])

@@ -109,11 +109,11 @@ _MEASURE = made('{"id":"m","resourceType":"Observation","valueQuantity":{"value"
 def measurement_eligibility(spark, sf_dir):
     """Which measurements are scaled, and why others aren't: by exact unit, value and owner."""
 
+    at = canonical.path_text((("key", "valueQuantity"), ("key", "value")))
+
     def outcome(order, line, payload):
-        member = {"resource_id": 1, "resource_type": "Observation", "old_id": "m", "new_id": "pert-m", "patient_id": None if line % 2 == 0 else 9, "days": 0}
-        out = kernel.perturb_root({"root_id": 1, "payload": payload, "members": [member], "edges": []}, KEY, Decimal(STRENGTH_PERCENT) / 100)
-        at = canonical.path_text((("key", "valueQuantity"), ("key", "value")))
-        return order, line, next(a["reason"] for a in out["actions"] if a["path"] == at)
+        found = kernel.measurement_reasons(canonical.parse(payload), KEY, line % 2 != 0)
+        return order, line, next(reason for path, reason in found if path == at)
 
     lines = read(spark, sf_dir, "lineitem")
     # a file may come in few parts, and a row costs far more than its move
