@@ -82,3 +82,27 @@ def test_measurements_are_judged_without_an_edit(monkeypatch):
     monkeypatch.setattr(keyed, "digest", None)
     for quantity in quantities:
         assert len(list(perturb.measurement_reasons({"resourceType": "Observation", "valueQuantity": quantity, "component": [{"valueQuantity": {"value": 7, **unit}}]}, key, True))) == 2
+
+
+def test_references_are_found_by_a_walk_for_each_outline(monkeypatch):
+    """Documents of one outline share a walk; values still tell fragments from other canonicals, and empty references from literals."""
+    from veilgraph.operators import unpack
+
+    walks = []
+    monkeypatch.setattr(unpack, "walk", lambda *a, **k: walks.append(1) or walk.walk(*a, **k))
+    monkeypatch.setattr(unpack, "_places", {})
+    found = []
+    for literal, canonical in (("Patient/1", "#c"), ("Patient/2", "http://h/p"), ("", "#"), ("#c", "#d")):
+        one = unpack.Unpacker(1, None)
+        one.text(json.dumps({"resourceType": "Observation", "id": "o", "subject": {"reference": literal}, "performer": [{"identifier": {"value": "v"}}]}), "line:1")
+        one.text(json.dumps({"resourceType": "CarePlan", "id": "p", "instantiatesCanonical": [canonical]}), "line:2")
+        found.append(([(r["path"], r["literal"]) for o in one.occurrences for r in o["refs"]], [i["code"] for i in one.issues]))
+    fault = "logical_reference_unresolved"
+    logical = (found[0][0][1][0], None)
+    assert found == [
+        ([("subject.reference", "Patient/1"), logical, ("instantiatesCanonical[0]", "#c")], [fault]),
+        ([("subject.reference", "Patient/2"), logical], [fault]),
+        ([logical], ["invalid_reference", fault]),
+        ([("subject.reference", "#c"), logical, ("instantiatesCanonical[0]", "#d")], [fault]),
+    ]
+    assert len(walks) == 3  # an empty reference is an outline of its own
