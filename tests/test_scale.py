@@ -137,3 +137,16 @@ def test_quantiles_of_values_without_a_sort(spark):
     found = statistics.nearest_rank(spark.createDataFrame(rows, "g string, v long, c long"), ["g"], ["v"], "v", "c")
     assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["g"]: tuple(r)[1:] for r in found.collect()} == {"a": (10, 1, 9, 1, 3, 9, None, None), "b": (1, 5, 5, 5, 5, 5, 5, 5)}
+
+
+def test_hierarchies_send_no_table_through_the_driver(spark):
+    """The rounds of pointers and of peeling shuffle both sides, however small, so that what reaches the driver doesn't grow with the nodes."""
+    from veilgraph.operators import graph, hot
+
+    many, few = spark.range(50).selectExpr("id AS k", "id % 3 AS x"), spark.range(40).selectExpr("id AS j", "id AS y")
+    plan = lambda **how: hot.join(many, few, [("k", "j")], "left", unique=True, **how)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan() and "Broadcast" not in plan(shuffled=True)
+    edges = [(1, 2), (2, 3), (3, 1), (4, 1), (5, 6), (7, 4), (7, 6), (8, 6), (8, 5), (9, 8)]
+    found = graph.tangled(spark.createDataFrame(edges, "child long, parent long"))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["node"] for r in found.collect()} == {1, 2, 3, 4, 7}

@@ -63,44 +63,46 @@ def hot_keys(df: DataFrame, key: Column, tasks: int) -> list[tuple[int, int]]:
     return sorted((r["hot"], r["n"]) for r in found)
 
 
-def join(many: DataFrame, few: DataFrame, on: list[tuple[str, str]], how: str = "inner", *, unique: bool, by: list[str] | None = None, tasks: int | None = None, small: int | None = None) -> DataFrame:
+def join(many: DataFrame, few: DataFrame, on: list[tuple[str, str]], how: str = "inner", *, unique: bool, by: list[str] | None = None, tasks: int | None = None, small: int | None = None, shuffled: bool = False) -> DataFrame:
     """many joined with few where all pairs of columns in `on` are equal, nulls too; `how` is inner or left. The right-hand columns of `on` go.
 
     unique: few has a row at most for each key. Else hot rows of `many` are dealt out by a hash of the columns `by` (all of them, if not given), and the rows of
-    few that meet them are repeated for each part. A table of fewer than `small` bytes (`SMALL`) is joined as it is.
+    few that meet them are repeated for each part. A table of fewer than `small` bytes (`SMALL`) is joined as it is. shuffled: but for its rows of hot keys,
+    few is never broadcast, which sends it through the driver: for joins of many rounds.
     """
-    return joiner(many, on, how, unique=unique, by=by, tasks=tasks, small=small)(few)
+    return joiner(many, on, how, unique=unique, by=by, tasks=tasks, small=small, shuffled=shuffled)(few)
 
 
-def joiner(many: DataFrame, on: list[tuple[str, str]], how: str = "inner", *, unique: bool, by: list[str] | None = None, tasks: int | None = None, small: int | None = None) -> Callable[[DataFrame], DataFrame]:
+def joiner(many: DataFrame, on: list[tuple[str, str]], how: str = "inner", *, unique: bool, by: list[str] | None = None, tasks: int | None = None, small: int | None = None, shuffled: bool = False) -> Callable[[DataFrame], DataFrame]:
     """`join` with many, whose hot keys are looked for once, as a function of few."""
     spark = many.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     left, right = [a for a, _ in on], [b for _, b in on]
     code, mark, parts, salt, few_salt = "_hot_code", "_hot_key", "_hot_parts", "_hot_salt", "_hot_few_salt"
     equal = lambda: _all(F.col(a).eqNullSafe(F.col(b)) for a, b in on)
+    kept = lambda few: few.hint("merge") if shuffled else few
     plan = many._jdf.queryExecution().optimizedPlan()
     if int(str(plan.stats().sizeInBytes())) < (SMALL if small is None else small):
-        return lambda few: many.join(few, equal(), how).drop(*right)
+        return lambda few: many.join(kept(few), equal(), how).drop(*right)
     if not plan.nodeName().startswith("Relation"):  # it is read three times
         many = materialise(many)
     found = hot_keys(many, F.xxhash64(*left), tasks)
     if not found:
-        return lambda few: many.join(few, equal(), how).drop(*right)
+        return lambda few: many.join(kept(few), equal(), how).drop(*right)
     share = max(1, sum(n for _, n in found) // (tasks * PARTS))
     # as many rows as hot keys: 8 a task at most
     hot = F.broadcast(spark.createDataFrame([(h, max(1, min(PARTS * tasks, n // share))) for h, n in found], f"{mark} long, {parts} int"))
     told = lambda df, columns, how: df.withColumn(code, F.xxhash64(*columns)).join(hot, F.col(code) == F.col(mark), how).drop(code, mark)
 
     def stay(few: DataFrame) -> DataFrame:
-        cold = told(many, left, "left_anti").join(told(few, right, "left_anti"), equal(), how)
+        cold = told(many, left, "left_anti").join(kept(told(few, right, "left_anti")), equal(), how)
         return told(many, left, "left_semi").join(F.broadcast(told(few, right, "left_semi")), equal(), how).unionByName(cold).drop(*right)
 
     def deal(few: DataFrame) -> DataFrame:
         nth = F.pmod(F.xxhash64(F.lit(7), *(by or many.columns)), F.coalesce(parts, F.lit(1))).cast("int")
         dealt = told(many, left, "left").withColumn(salt, nth).drop(parts)
         copies = told(few, right, "left").withColumn(few_salt, F.explode(F.sequence(F.lit(0), F.coalesce(parts, F.lit(1)) - 1))).drop(parts)
-        return dealt.join(copies, equal() & (F.col(salt) == F.col(few_salt)), how).drop(*right, salt, few_salt)
+        return dealt.join(kept(copies), equal() & (F.col(salt) == F.col(few_salt)), how).drop(*right, salt, few_salt)
 
     return stay if unique else deal
 
