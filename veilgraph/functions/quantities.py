@@ -22,16 +22,19 @@ def factor(key: bytes, root: str, path: tuple | list, strength: Decimal) -> tupl
     """
     if strength == 0:
         return 1, 1
-    slot = [canonical.render((root, path))]
-    return ratios(key, slot, strength)[0]
+    n = keyed.below(key, "quantity-magnitude", (root, path), STEPS + 1)
+    return _ratios(strength, [n], [keyed.below(key, "quantity-sign", (root, path), 2)])[0]
 
 
 def ratios(key: bytes, slots: Sequence[str], strength: Decimal) -> list[tuple[int, int]]:
     """The factor of each slot, given by the canonical text of its root and path; strength is not 0."""
+    return _ratios(strength, keyed.draws(key, "quantity-magnitude", slots, STEPS + 1), keyed.draws(key, "quantity-sign", slots, 2))
+
+
+def _ratios(strength: Decimal, drawn: Sequence[int], up: Sequence[int]) -> list[tuple[int, int]]:
     s, q = strength.as_integer_ratio()
     least, step, whole = q * STEPS, 100 * s - q, 100 * q * STEPS
-    both = zip(keyed.draws(key, "quantity-magnitude", slots, STEPS + 1), keyed.draws(key, "quantity-sign", slots, 2))
-    return [(whole + least + step * n if up else whole - least - step * n, whole) for n, up in both]
+    return [(whole + least + step * n if more else whole - least - step * n, whole) for n, more in zip(drawn, up)]
 
 
 def scale(value: int | Decimal, by: tuple[int, int]) -> int | Decimal:
