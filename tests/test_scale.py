@@ -84,6 +84,36 @@ def test_measurements_are_judged_without_an_edit(monkeypatch):
         assert len(list(perturb.measurement_reasons({"resourceType": "Observation", "valueQuantity": quantity, "component": [{"valueQuantity": {"value": 7, **unit}}]}, key, True))) == 2
 
 
+def test_measurements_that_differ_in_digits_are_judged_once(monkeypatch):
+    """And each has the reasons that it has by itself."""
+    import pyarrow as pa
+
+    from veilgraph.functions import canonical
+    from veilgraph.operators import perturb
+
+    unit = '"system": "http://unitsofmeasure.org", "code": "mg"'
+    shape = '{"resourceType": "Observation", "valueQuantity": {"value": %s, %s}, "note": [%s]}'
+    values = ["12", "-340", "0.50", "0", "-0.5", "1E+4", "10.25e-3", '"12"', '"a\\"1 22"', "null", "true", "7" * 40]
+    units = [unit, unit.replace("mg", "mg12"), unit.replace("mg", "mg13"), '"code": "mg"']
+    texts = [shape % (v, u, n) for v in values for u in units for n in ("11, 22.5", '"12 \\\\"', '{"text": "x 1, 2"}')]
+    owned = [i % 2 == 0 for i in range(len(texts))]
+    each = [list(perturb.measurement_reasons(canonical.parse(t), bytes(32), o)) for t, o in zip(texts, owned)]
+    found = lambda texts, owned: perturb.measurement_reasons_of(pa.array(texts), bytes(32), pa.array(owned))
+    assert [list(x) for x in found(texts, owned)] == each and len({x[0][1] for x in each if x}) > 3
+    long = shape % ("5", unit, f'"{"y" * perturb.LONG}"')
+    assert found([long], [True]) == [(each[0][0],)]
+    calls, one = [], perturb.measurement_reasons
+    monkeypatch.setattr(perturb, "measurement_reasons", lambda *a: calls.append(a) or one(*a))
+    assert len(found([shape % (f"{9000 + i}.4{i}", unit, "8") for i in range(500)], [True] * 500)) == 500 and len(calls) == 1
+    for bad in ("012", "1.2.3", "1.", "1e5.3", "- 1", "1 2", ".5", "1" * 5000, "-", "+1"):
+        for text in (shape % (bad, unit, "1"),):
+            try:
+                found([text], [True])
+            except canonical.BadJson:
+                continue
+            raise AssertionError(bad)
+
+
 def test_references_are_found_by_a_walk_for_each_outline(monkeypatch):
     """Documents of one outline share a walk; values still tell fragments from other canonicals, and empty references from literals."""
     from veilgraph.operators import unpack

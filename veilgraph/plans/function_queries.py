@@ -19,7 +19,6 @@ from ..sources import exports
 from . import perturbation
 from .export_queries import _folder, export, indexed, made
 from .registry import KEY, STRENGTH_PERCENT, query, read, sql_digest, sql_modulo
-from .storage import spread
 
 
 def mapped(df: DataFrame, schema: str, f) -> DataFrame:
@@ -111,13 +110,17 @@ def measurement_eligibility(spark, sf_dir):
 
     at = canonical.path_text((("key", "valueQuantity"), ("key", "value")))
 
-    def outcome(order, line, payload):
-        found = kernel.measurement_reasons(canonical.parse(payload), KEY, line % 2 != 0)
-        return order, line, next(reason for path, reason in found if path == at)
-
-    lines = read(spark, sf_dir, "lineitem")
-    # a file may come in few parts, and a row costs far more than its move
-    return mapped(spread(lines.select("l_orderkey", "l_linenumber", F.expr(_MEASURE)), lines.count(), 100_000), "l_orderkey long, l_linenumber int, reason string", outcome)
+    def run(batches):
+        for batch in batches:
+            found = kernel.measurement_reasons_of(batch.column("payload"), KEY, batch.column("owned"))
+            reasons = [next(reason for path, reason in one if path == at) for one in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(reasons, pa.string())], ["l_orderkey", "l_linenumber", "reason"])
+
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    # a file may come in few parts, and a row costs more than its move, which comes before its document is made; dealt out by key, rows need no sort
+    dealt = lines.repartition(max(spark.sparkContext.defaultParallelism, -(-lines.count() // 100_000)), "l_orderkey", "l_linenumber")
+    made_of = dealt.select("l_orderkey", "l_linenumber", (F.col("l_linenumber") % 2 != 0).alias("owned"), F.expr(_MEASURE).alias("payload"))
+    return made_of.mapInArrow(run, "l_orderkey long, l_linenumber int, reason string")
 
 
 _REST_FORM = "CASE page_id % 5 WHEN 0 THEN 'https://h/fhir/Patient/p' || page_id WHEN 1 THEN 'https://h/fhir/Patient/p' || page_id || '/_history/' || (page_id % 7) WHEN 2 THEN url WHEN 3 THEN 'Patient/p' || page_id ELSE '#c' || page_id END"
