@@ -138,6 +138,49 @@ def test_references_are_found_by_a_walk_for_each_outline(monkeypatch):
     assert len(walks) == 3  # an empty reference is an outline of its own
 
 
+def test_numbers_of_the_index_come_from_places_and_keys_alone(spark, tmp_path, monkeypatch):
+    """Payloads, names and references are in no table that is sorted for numbers, and are shuffled once."""
+    from veilgraph.plans import index
+
+    seen, shuffled, number, write = [], [], index.numbered, index.materialise
+
+    def written(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        shuffled.append(("Join" in plan, "payload" in df.columns))
+        return write(df)
+
+    monkeypatch.setattr(index, "numbered", lambda df, *a: seen.append(set(df.columns)) or number(df, *a))
+    monkeypatch.setattr(index, "materialise", written)
+    visit = {"resourceType": "Observation", "id": "o", "subject": {"reference": "Patient/p"}, "device": {"reference": "#d"}, "contained": [{"resourceType": "Device", "id": "d"}]}
+    lines = [{"resourceType": "Patient", "id": "p"}, visit, visit, {**visit, "id": "o2", "subject": {"reference": "Patient/lost"}}]
+    (tmp_path / "a.ndjson").write_text("".join(json.dumps(x) + "\n" for x in lines))
+    found = index.ingest([tmp_path / "a.ndjson"], tmp_path / "out", spark=spark)
+    assert len(seen) == 2 and not any(x & {"payload", "names", "refs", "locator", "digest"} for x in seen)
+    assert sum(wide for joined, wide in shuffled if joined) == 1
+    assert found["counts"]["unique_resources"] == 5 and found["counts"]["duplicate_occurrences"] == 2 and found["reference_status"] == {"resolved": 5, "unresolved": 1}
+    rows = spark.read.parquet(f"{tmp_path}/out/index/resources").orderBy("id").collect()
+    assert [(r["identity"], r["root_id"]) for r in rows] == [("Patient/p", 1), ("Observation/o", 2), ("contained:2#d", 2), ("Observation/o2", 4), ("contained:4#d", 4)]
+    owners = spark.read.parquet(f"{tmp_path}/out/index/patient_memberships").orderBy("resource_id").collect()
+    assert [tuple(r) for r in owners] == [(1, 1, "direct"), (2, 1, "direct"), (3, 1, "inferred_from_context")]
+
+
+def test_documents_are_rendered_by_the_compiled_encoder(monkeypatch):
+    """And as the plain one does it, also where strings look like its marks."""
+    from decimal import Decimal
+
+    from veilgraph.functions import canonical
+
+    odd = ["", "\0", 'x"\0', '"', "\\", "é", "\n\t", "\u2028", "\x7f", "😀", "\\u0000", '\\"\0"']
+    for text in odd:
+        for number in (Decimal("4.20"), Decimal("1E+4"), Decimal("-0.00"), 7, True, None):
+            document = {"b": [text, {"z": number, text: text}, []], "a": {}, text: number}
+            assert canonical.render(document) == canonical._object(document)
+            assert canonical.parse(canonical.render(document)) == document
+    plain = {"b": [1, {"z": Decimal("4.20")}], "a": "x"}
+    monkeypatch.setattr(canonical, "_object", None)
+    assert canonical.render(plain) == '{"a":"x","b":[1,{"z":4.20}]}'
+
+
 def test_rows_are_scaled_in_batches_as_one_by_one(spark):
     """Ids, draws and rounding are those of the functions for single values; nothing to scale stays nothing."""
     from decimal import Decimal

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialise
 from . import hot
 
 
 def resolve_relative(edges: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(edge, status, target, n_targets) for edges (edge, alias, context, version) against aliases (alias, context, version, resource).
+    """(status, target, n_targets) and their other columns for edges (..., alias, context, version) against aliases (alias, context, version, resource).
 
     An alias of the edge's own context wins over others, whatever its version: where the
     context knows the alias at all, other contexts are not searched. Of what is
@@ -27,7 +28,7 @@ def resolve_relative(edges: DataFrame, aliases: DataFrame) -> DataFrame:
     # rows without a version answer questions for any only, once
     as_asked = F.when(F.col("version").isNull(), F.array(asked[1], asked[3])).otherwise(F.array(*asked))
     answers = aliases.select("alias", "resource", F.explode(as_asked).alias("q")).select("alias", "q.within", "q.of", "resource").distinct()
-    answers = answers.groupBy("alias", "within", "of").agg(F.count("*").alias("n"), F.min("resource").alias("low"))
+    answers = materialise(answers.groupBy("alias", "within", "of").agg(F.count("*").alias("n"), F.min("resource").alias("low")))  # it is read twice
 
     def meet(questions: DataFrame, within: str, of: str, *keep: str) -> DataFrame:
         a = answers.select(F.col("alias").alias("a_alias"), F.col("within").alias("a_within"), F.col("of").alias("a_of"), *keep)
@@ -41,4 +42,4 @@ def resolve_relative(edges: DataFrame, aliases: DataFrame) -> DataFrame:
     status = F.when(F.col("n_targets") == 1, "resolved").when(F.col("n_targets") == 0, "unresolved").otherwise("ambiguous")
     # one literal may stand in most of the edges
     met = hot.join(edges, found, [("alias", "fa"), ("context", "fc"), ("version", "fv")], unique=True)
-    return met.select("edge", status.alias("status"), F.when(F.col("n_targets") == 1, F.col("low")).alias("target"), "n_targets")
+    return met.select(*[c for c in edges.columns if c not in ("alias", "context", "version")], status.alias("status"), F.when(F.col("n_targets") == 1, F.col("low")).alias("target"), "n_targets")

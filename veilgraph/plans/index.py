@@ -44,25 +44,27 @@ def build(spark: SparkSession, files: list[Entry], base_url: str | None, progres
     with counted(progress, spark, "Reading and unpacking documents", None, "documents") as counter:
         unpacked = materialise(unpack(exports.scan(spark, files), base_url, counter))
     sources = spark.createDataFrame([(i, f.path) for i, f in enumerate(files, 1)], "id int, path string")
-    whole = unpacked.select("source_id", "ordinal", F.explode("occurrences").alias("o")).select("source_id", "ordinal", "o.*")
-    # payloads stay behind until it is known which are new: they move once
-    flat = numbered(whole.drop("payload"), ORDER, "id")
-    payloads = whole.select(F.col("source_id").alias("qs"), F.col("ordinal").alias("qo"), F.col("seq").alias("qq"), "payload")
-
-    # a resource is new where its key first occurs, and is numbered in that order
-    firsts = flat.groupBy("key").agg(F.min("id").alias("first"))
-    new = numbered(flat.join(firsts.select("first"), F.col("id") == F.col("first"), "left_semi").withColumnRenamed("id", "first"), ["first"], "resource_id")
-    roots = new.filter(~F.col("contained")).select(F.col("key").alias("of_root"), F.col("resource_id").alias("root_id"))
-    new = new.join(roots, F.coalesce("root_key", "key") == F.col("of_root"), "left")
-    new = new.join(payloads, (F.col("source_id") == F.col("qs")) & (F.col("ordinal") == F.col("qo")) & (F.col("seq") == F.col("qq")))
+    # ids follow from places and keys alone; all other columns, payloads among them, stay behind until ids are known, and move once
+    short = ("seq", "parent", "key", "root_key")
+    keys = unpacked.select("source_id", "ordinal", F.inline(F.arrays_zip(*[F.col(f"occurrences.{c}") for c in short]))).toDF("source_id", "ordinal", *short)
+    flat = numbered(keys, ORDER, "id")
+
+    # a resource is new where its key first occurs, and is numbered in that order; a key tells of its root's
+    new = numbered(flat.groupBy("key").agg(F.min("id").alias("first"), F.max("root_key").alias("root_key")), ["first"], "resource_id")
+    outer = new.filter("root_key IS NULL")
+    inner = new.filter("root_key IS NOT NULL").join(outer.select(F.col("key").alias("of_root"), F.col("resource_id").alias("root_id")), F.col("root_key") == F.col("of_root"), "left")
+    ids = outer.withColumn("root_id", F.col("resource_id")).unionByName(inner.drop("of_root")).select(F.col("key").alias("k"), "first", "resource_id", "root_id")
+    told = flat.join(ids, F.col("key") == F.col("k")).withColumn("new", F.col("id") == F.col("first"))
+    told = materialise(told.select("id", "source_id", "ordinal", "seq", "parent", "resource_id", "root_id", "new"))
+    place = told.select(F.col("source_id").alias("ps"), F.col("ordinal").alias("po"), F.col("seq").alias("pq"), F.col("resource_id").alias("parent_resource_id"))
+    within = told.filter("parent IS NOT NULL").join(place, (F.col("source_id") == F.col("ps")) & (F.col("ordinal") == F.col("po")) & (F.col("parent") == F.col("pq")), "left").drop("ps", "po", "pq")
+    told = told.filter("parent IS NULL").withColumn("parent_resource_id", F.lit(None).cast("long")).unionByName(within).drop("parent")
+
+    whole = unpacked.select("source_id", "ordinal", F.explode("occurrences").alias("o")).select("source_id", "ordinal", "o.*").drop("parent", "root", "key", "root_key")
+    rows = materialise(whole.join(told, ["source_id", "ordinal", "seq"]).withColumn("payload", F.when(F.col("new"), F.col("payload"))))
     identity = F.coalesce("identity", F.concat(F.lit("contained:"), "root_id", F.lit("#"), "local"))
-    resources = materialise(new.select(F.col("resource_id").alias("id"), identity.alias("identity"), "digest", "resource_type", "logical_id", "version_id", "full_url", "contained", "root_id", "payload", "key", "first", "source_id", "locator"))
-
-    ids = resources.select(F.col("key").alias("k"), F.col("id").alias("resource_id"), "root_id")
-    occ = flat.join(ids, F.col("key") == F.col("k")).drop("k")
-    place = occ.select(F.col("source_id").alias("ps"), F.col("ordinal").alias("po"), F.col("seq").alias("pq"), F.col("resource_id").alias("parent_resource_id"))
-    occ = occ.join(place, (F.col("source_id") == F.col("ps")) & (F.col("ordinal") == F.col("po")) & (F.col("parent") == F.col("pq")), "left").drop("ps", "po", "pq")
-    occ = materialise(occ.select("id", "resource_id", "source_id", "ordinal", "seq", "locator", "context", "full_url", "root_id", "parent_resource_id", "version_id", "contained", "names", "refs"))
+    resources = rows.filter("new").select(F.col("resource_id").alias("id"), identity.alias("identity"), "digest", "resource_type", "logical_id", "version_id", "full_url", "contained", "root_id", "payload", "source_id", "locator")
+    occ = rows.select("id", "resource_id", "source_id", "ordinal", "seq", "locator", "context", "full_url", "root_id", "parent_resource_id", "version_id", "contained", "names", "refs", "new")
     occurrences = occ.select("id", "resource_id", "source_id", "locator", "context", "full_url", F.col("root_id").alias("root_resource_id"), "parent_resource_id")
 
     names = occ.select("resource_id", "context", "root_id", "version_id", F.explode("names").alias("n"))
@@ -76,13 +78,12 @@ def build(spark: SparkSession, files: list[Entry], base_url: str | None, progres
 
     # issues: those of single documents, tied to resources, and those that only the whole shows
     raw = unpacked.select("source_id", "ordinal", F.explode("issues").alias("i")).select("source_id", "ordinal", "i.*")
-    where = occ.select(F.col("source_id").alias("os"), F.col("ordinal").alias("oo"), F.col("seq").alias("oq"), "resource_id", F.col("id").alias("occurrence"))
+    where = occ.select(F.col("source_id").alias("os"), F.col("ordinal").alias("oo"), F.col("seq").alias("oq"), "resource_id", "new")
     raw = raw.join(where, (F.col("source_id") == F.col("os")) & (F.col("ordinal") == F.col("oo")) & (F.col("seq") == F.col("oq")), "left")
-    raw = raw.join(resources.select(F.col("first").alias("f")), F.col("occurrence") == F.col("f"), "left").filter(~F.col("first") | F.col("f").isNotNull())
+    raw = raw.filter(~F.col("first") | F.coalesce("new", F.lit(False)))
     shown = lambda c, kind: F.when(~F.col("bare"), F.col(c)).cast(kind).alias(c)
     parts = [raw.select("severity", "code", shown("source_id", "int"), shown("locator", "string"), "resource_id", "detail")]
-    again = occ.join(resources.select("first"), F.col("id") == F.col("first"), "left_anti")
-    parts.append(_issues(again, "info", "duplicate_resource", "source_id", "locator", "resource_id"))
+    parts.append(_issues(occ.filter("NOT new"), "info", "duplicate_resource", "source_id", "locator", "resource_id"))
     oldest = resources.groupBy("identity").agg(F.min("id").alias("oldest"), F.count("*").alias("n")).filter("n > 1")
     clash = resources.join(oldest.select(F.col("identity").alias("i2"), "oldest"), (F.col("identity") == F.col("i2")) & (F.col("id") > F.col("oldest")))
     parts.append(_issues(clash, "error", "conflicting_resource_identity", "source_id", "locator", "id"))
@@ -100,7 +101,7 @@ def build(spark: SparkSession, files: list[Entry], base_url: str | None, progres
     for part in parts[1:]:
         issues = issues.unionByName(part)
     return {
-        "sources": sources, "resources": resources.drop("key", "first", "source_id", "locator"), "occurrences": occurrences, "aliases": aliases.drop("version_id"),
+        "sources": sources, "resources": resources.drop("source_id", "locator"), "occurrences": occurrences, "aliases": aliases.drop("version_id"),
         "resource_references": refs, "patient_memberships": memberships, "issues": issues,
     }
 
@@ -112,29 +113,31 @@ def _resolve(occ: DataFrame, aliases: DataFrame) -> DataFrame:
     contained ones that of their root, and relative ones their own and all others'.
     """
     refs = occ.select(F.col("id").alias("occurrence_id"), F.col("resource_id").alias("source_resource_id"), "context", "root_id", F.posexplode("refs").alias("at", "r"))
-    refs = materialise(refs.select("occurrence_id", "source_resource_id", "context", "root_id", "at", "r.*").withColumn("edge", F.struct("occurrence_id", "at")))
+    refs = refs.select("occurrence_id", "source_resource_id", "context", "root_id", "at", "r.*")
     scoped = lambda kind, root: F.when(kind == "contained", F.concat(F.lit("c:"), root, F.lit(":"))).when(kind == "absolute", F.lit("a:")).otherwise(F.lit("r:"))
     inside = lambda kind: F.when(kind == "relative", F.col("context")).otherwise(F.lit(""))
     known = aliases.select(F.concat(scoped(F.col("kind"), F.substring_index("context", ":", -1)), "alias").alias("alias"), inside(F.col("kind")).alias("context"), F.col("version_id").alias("version"), F.col("resource_id").alias("resource"))
-    looked = refs.filter(F.col("mode").isin("absolute", "relative", "contained"))
-    edges = looked.select("edge", F.concat(scoped(F.col("mode"), F.col("root_id")), "alias").alias("alias"), inside(F.col("mode")).alias("context"), "version")
-    found = references.resolve_relative(edges, known).select(F.col("edge").alias("e"), F.col("status").alias("s"), "target")
-    out = refs.join(found, F.col("edge") == F.col("e"), "left")
-    status = F.when(F.col("kind") == "logical", "logical_unresolved").when(F.col("mode") == "root", "resolved").otherwise(F.col("s"))
-    target = F.when(F.col("mode") == "root", F.col("root_id")).otherwise(F.col("target"))
-    return materialise(out.select("occurrence_id", "at", "source_resource_id", "path", "literal", "kind", target.cast("long").alias("target_resource_id"), status.alias("status")))
+    own, looked = ("occurrence_id", "at", "source_resource_id", "path", "literal", "kind"), F.col("mode").isin("absolute", "relative", "contained")
+    edges = materialise(refs.filter(looked).select(*own, F.concat(scoped(F.col("mode"), F.col("root_id")), "alias").alias("alias"), inside(F.col("mode")).alias("context"), "version"))
+    found = references.resolve_relative(edges, known).select(*own, F.col("target").cast("long").alias("target_resource_id"), "status")
+    others = refs.filter(~F.coalesce(looked, F.lit(False)))
+    root = F.when(F.col("mode") == "root", F.col("root_id")).cast("long")
+    others = others.select(*own, root.alias("target_resource_id"), F.when(F.col("kind") == "logical", "logical_unresolved").otherwise("resolved").alias("status"))
+    return materialise(found.unionByName(others))
 
 
 def _owners(resources: DataFrame, occurrences: DataFrame, refs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     kind = resources.select("id", "resource_type")
-    links = refs.filter("status = 'resolved'").select("source_resource_id", "path", "target_resource_id").distinct()
-    links = links.join(kind.select(F.col("id").alias("s"), F.col("resource_type").alias("source_type")), F.col("source_resource_id") == F.col("s"))
-    links = materialise(hot.join(links, kind.select(F.col("id").alias("t"), F.col("resource_type").alias("target_type")), [("target_resource_id", "t")], unique=True))
+    # what the paths below don't ask for tells of no owner
+    links = refs.filter((F.col("status") == "resolved") & F.col("path").isin(*SUBJECT_PATHS, *CONTEXT_PATHS, "partOf.reference")).select("source_resource_id", "path", "target_resource_id")
+    targets = kind.filter("resource_type IN ('Patient', 'Encounter')").select(F.col("id").alias("t"), F.col("resource_type").alias("target_type"))
+    links = materialise(hot.join(links, targets, [("target_resource_id", "t")], unique=True))
     patients = kind.filter("resource_type = 'Patient'").select(F.col("id").alias("node"), F.col("id").alias("owner"))
     direct = links.filter(F.col("path").isin(*SUBJECT_PATHS) & (F.col("target_type") == "Patient")).select(F.col("source_resource_id").alias("node"), F.col("target_resource_id").alias("owner"))
     seeds = patients.unionByName(direct).distinct()
     edge = lambda df, a, b: df.select(F.col(a).alias("provider"), F.col(b).alias("dependent"))
-    visits = links.filter((F.col("path") == "partOf.reference") & (F.col("source_type") == "Encounter") & (F.col("target_type") == "Encounter"))
+    visits = links.filter((F.col("path") == "partOf.reference") & (F.col("target_type") == "Encounter"))
+    visits = visits.join(kind.filter("resource_type = 'Encounter'").select(F.col("id").alias("s")), F.col("source_resource_id") == F.col("s"), "left_semi")
     contexts = links.filter(F.col("path").isin(*CONTEXT_PATHS) & (F.col("target_type") == "Encounter"))
     inner = occurrences.filter("parent_resource_id IS NOT NULL").distinct()
     edges = edge(visits.unionByName(contexts), "target_resource_id", "source_resource_id").unionByName(edge(inner, "parent_resource_id", "resource_id"))
