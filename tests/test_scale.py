@@ -114,6 +114,42 @@ def test_measurements_that_differ_in_digits_are_judged_once(monkeypatch):
             raise AssertionError(bad)
 
 
+def test_digits_are_left_out_by_column():
+    """Only digits of numbers go, and a text has the same values but for these, or is no JSON, as before, whatever its neighbours in the batch."""
+    import random
+    from decimal import Decimal
+
+    import pyarrow as pa
+
+    from veilgraph.functions import canonical
+    from veilgraph.operators import perturb
+
+    short = lambda texts: perturb.without_digits(pa.array(texts, pa.string())).to_pylist()
+    written = ['{"a":[12.34,-500,0.050,0]}', '["12\\"34",56]', '["\\\\",78,"90"]', "1E+45", "10e-12", "012", "99", "77", "[]", None, '"é11",22', "7" * perturb.LONG]
+    assert short(written) == ['{"a":[1.3,-5,0.05,0]}', '["12\\"34",5]', '["\\\\",7,"90"]', "1E+45", "1e-12", "01", "9", "7", "[]", "", '"é11",2', "7" * perturb.LONG]
+    assert short(["5"]) == ["5"] and short([]) == [] and short(["[]"]) == ["[]"] and short(["[12]", '"']) == ["[12]", '"']
+    sliced = perturb.without_digits(pa.array(["11", "22", "33"]).slice(1, 1))
+    assert sliced.to_pylist() == ["2"]
+
+    def kinds(text):
+        sort = lambda v: [sort(x) for x in v] if isinstance(v, list) else (type(v), v > 0, v == 0) if type(v) in (int, Decimal) else v
+        try:
+            return sort(canonical.parse(text))
+        except canonical.BadJson:
+            return None
+
+    draw = random.Random(5)
+    number = lambda: draw.choice(["", "-", "0"]) + "".join(draw.choices("0123456789", k=draw.randint(1, 3))) + draw.choice(["", ".0", ".050", ".12", "e12", "E-20", "."])
+    string = lambda: '"' + "".join(draw.choices(["1", "23", "\\\\", '\\"', ":", "[", "e1"], k=draw.randint(0, 4))) + '"'
+    texts = ["[" + ",".join(draw.choice([number, string])() for _ in range(draw.randint(0, 4))) + "]" for _ in range(4000)]
+    found = short(texts)
+    assert [kinds(t) for t in found] == [kinds(t) for t in texts] and 500 < sum(kinds(t) is None for t in texts) < 3500
+    assert [short([t])[0] for t in texts[:500]] == found[:500] and sum(a != b for a, b in zip(found, texts)) > 1000
+    unit = '"system": "http://unitsofmeasure.org", "code": "mg"'
+    group, reasons = perturb.measurement_groups(pa.array([f'{{"resourceType": "Observation", "valueQuantity": {{"value": {5000 + i}.{i % 9 + 100}, {unit}}}}}' for i in range(900)]), bytes(32), pa.array([i % 3 == 0 for i in range(900)]))
+    assert [reasons[g][0][1] for g in group.tolist()] == ["field_quantity_scale" if i % 3 == 0 else "shared_or_unassigned" for i in range(900)] and len(reasons) == 2
+
+
 def test_references_are_found_by_a_walk_for_each_outline(monkeypatch):
     """Documents of one outline share a walk; values still tell fragments from other canonicals, and empty references from literals."""
     from veilgraph.operators import unpack

@@ -112,9 +112,9 @@ def measurement_eligibility(spark, sf_dir):
 
     def run(batches):
         for batch in batches:
-            found = kernel.measurement_reasons_of(batch.column("payload"), KEY, batch.column("owned"))
-            reasons = [next(reason for path, reason in one if path == at) for one in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(reasons, pa.string())], ["l_orderkey", "l_linenumber", "reason"])
+            group, found = kernel.measurement_groups(batch.column("payload"), KEY, batch.column("owned"))
+            reasons = pa.array([next(reason for path, reason in one if path == at) for one in found], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), reasons.take(pa.array(group))], ["l_orderkey", "l_linenumber", "reason"])
 
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     # a file may come in few parts, and a row costs more than its move, which comes before its document is made; dealt out by key, rows need no sort
