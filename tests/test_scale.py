@@ -259,3 +259,29 @@ def test_hierarchies_send_no_table_through_the_driver(spark):
     found = graph.tangled(spark.createDataFrame(edges, "child long, parent long"))
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["node"] for r in found.collect()} == {1, 2, 3, 4, 7}
+
+
+def test_shuffle_files_and_intermediate_tables_go_when_they_are_done_with(spark, tmp_path):
+    """Queries of a tidy session leave no shuffle behind, and a run's tables last as long as their scope, or stay with the scope outside."""
+    from pathlib import Path
+
+    from veilgraph.plans.storage import materialise, plain, scope, tidy
+
+    def ids():
+        return set(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString("\n").splitlines())
+
+    shuffles = lambda: sum("shuffle" in i for i in ids())
+    before, own = shuffles(), tidy(spark)
+    wide = own.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    wide.write.parquet(str(tmp_path / "t"))
+    assert len(wide.collect()) == 10 and len(wide.collect()) == 10
+    assert own.read.parquet(str(tmp_path / "t")).repartition(3).count() == 10
+    assert shuffles() <= before and not spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "true"
+    folder = lambda df: Path(plain(df.inputFiles()[0]))
+    with scope(own):
+        with scope(own) as keep:
+            gone, kept = materialise(own.range(5)), keep(lambda: materialise(own.range(6)))
+            assert kept.join(gone, "id").count() == 5
+            places = folder(gone), folder(kept)
+        assert not places[0].exists() and places[1].exists() and kept.count() == 6
+    assert not places[1].exists()

@@ -57,6 +57,7 @@ def hot_keys(df: DataFrame, key: Column, tasks: int) -> list[tuple[int, int]]:
 
     # rows of one partition are few; the row without a key counts all. What is below the error bound goes
     rows = df.select(key.alias("hot")).mapInArrow(sketch, "hot long, n long").groupBy("hot").agg(F.sum("n").alias("n"))
+    rows = materialise(rows)  # the table is read for it once
     total = rows.filter("hot IS NULL").first()
     least = (total["n"] if total else 0) / (most + 1)
     found = rows.filter(F.col("hot").isNotNull() & (F.col("n") >= max(least, 2))).collect()

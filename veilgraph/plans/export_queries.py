@@ -21,7 +21,7 @@ from ..sources import exports, layout
 from ..sources.files import Place
 from . import index, perturbation
 from .registry import DAYS, KEY, STRENGTH_PERCENT, query, read, sql_digest, sql_modulo
-from .storage import delete, plain, private_folder, shared_dir
+from .storage import delete, plain, private_folder, scope, shared_dir, tidy
 
 UCUM = "http://unitsofmeasure.org"
 BASE = "https://wards.example/fhir/"
@@ -163,19 +163,20 @@ def _write(rows: DataFrame, names: dict[int, str], folder: Path) -> None:
     """Lines (source_id, order, line) to files, by the engine's sink, which orders by number."""
     from ..operators.ranks import numbered
 
-    rows = numbered(rows, ["source_id", "order"], "root_id")
-    counts = {r["source_id"]: r["count"] for r in rows.groupBy("source_id").count().collect()}
-    plans = [{"source_id": i, "file": name, "records": counts.get(i, 0), "compressed": name.endswith(".gz")} for i, name in names.items()]
-    layout.write(rows.select("source_id", "root_id", "line"), plans, Place(rows.sparkSession, folder))
+    with scope(rows.sparkSession):
+        rows = numbered(rows, ["source_id", "order"], "root_id")
+        counts = {r["source_id"]: r["count"] for r in rows.groupBy("source_id").count().collect()}
+        plans = [{"source_id": i, "file": name, "records": counts.get(i, 0), "compressed": name.endswith(".gz")} for i, name in names.items()]
+        layout.write(rows.select("source_id", "root_id", "line"), plans, Place(rows.sparkSession, folder))
 
 
 def export(spark: SparkSession, sf_dir: str) -> Path:
     names = {1: "people.ndjson", 2: "talks.ndjson", 3: "visits.ndjson.gz", 4: "wards.json"}
-    return _kept(spark, sf_dir, "export", lambda out: _write(_documents(spark, sf_dir), names, out))
+    return _kept(spark, sf_dir, "export", lambda out: _write(_documents(tidy(spark), sf_dir), names, out))
 
 
 def faulty(spark: SparkSession, sf_dir: str) -> Path:
-    rows = lambda: read(spark, sf_dir, "events").select(F.lit(1).alias("source_id"), F.struct("event_id").alias("order"), F.expr(_FAULTY).alias("line"))
+    rows = lambda: read(tidy(spark), sf_dir, "events").select(F.lit(1).alias("source_id"), F.struct("event_id").alias("order"), F.expr(_FAULTY).alias("line"))
     return _kept(spark, sf_dir, "faulty", lambda out: _write(rows(), {1: "events.jsonl"}, out))
 
 

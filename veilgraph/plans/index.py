@@ -14,7 +14,7 @@ from ..operators.unpack import unpack
 from ..progress import counted, notify
 from ..sources import exports, sqlite_index
 from ..sources.files import Entry, Place, escaped
-from .storage import materialise, scope, together
+from .storage import CODEC, materialise, scope, tidy, together
 
 SCHEMA_VERSION = 2
 #: Versions that can be read: the first has no references of canonical fragments, which perturbation finds itself.
@@ -41,45 +41,33 @@ def _issues(df: DataFrame, severity: str, code: str, source=None, locator=None,
 
 def build(spark: SparkSession, files: list[Entry], base_url: str | None, progress=None) -> dict[str, DataFrame]:
     """All tables of the index."""
-    with counted(progress, spark, "Reading and unpacking documents", None, "documents") as counter:
-        unpacked = materialise(unpack(exports.scan(spark, files), base_url, counter))
     sources = spark.createDataFrame([(i, f.path) for i, f in enumerate(files, 1)], "id int, path string")
-    # ids follow from places and keys alone; all other columns, payloads among them, stay behind until ids are known, and move once
-    short = ("seq", "parent", "key", "root_key")
-    keys = unpacked.select("source_id", "ordinal", F.inline(F.arrays_zip(*[F.col(f"occurrences.{c}") for c in short]))).toDF("source_id", "ordinal", *short)
-    flat = numbered(keys, ORDER, "id")
-
-    # a resource is new where its key first occurs, and is numbered in that order; a key tells of its root's
-    new = numbered(flat.groupBy("key").agg(F.min("id").alias("first"), F.max("root_key").alias("root_key")), ["first"], "resource_id")
-    outer = new.filter("root_key IS NULL")
-    inner = new.filter("root_key IS NOT NULL").join(outer.select(F.col("key").alias("of_root"), F.col("resource_id").alias("root_id")), F.col("root_key") == F.col("of_root"), "left")
-    ids = outer.withColumn("root_id", F.col("resource_id")).unionByName(inner.drop("of_root")).select(F.col("key").alias("k"), "first", "resource_id", "root_id")
-    told = flat.join(ids, F.col("key") == F.col("k")).withColumn("new", F.col("id") == F.col("first"))
-    told = materialise(told.select("id", "source_id", "ordinal", "seq", "parent", "resource_id", "root_id", "new"))
-    place = told.select(F.col("source_id").alias("ps"), F.col("ordinal").alias("po"), F.col("seq").alias("pq"), F.col("resource_id").alias("parent_resource_id"))
-    within = told.filter("parent IS NOT NULL").join(place, (F.col("source_id") == F.col("ps")) & (F.col("ordinal") == F.col("po")) & (F.col("parent") == F.col("pq")), "left").drop("ps", "po", "pq")
-    told = told.filter("parent IS NULL").withColumn("parent_resource_id", F.lit(None).cast("long")).unionByName(within).drop("parent")
-
-    whole = unpacked.select("source_id", "ordinal", F.explode("occurrences").alias("o")).select("source_id", "ordinal", "o.*").drop("parent", "root", "key", "root_key")
-    rows = materialise(whole.join(told, ["source_id", "ordinal", "seq"]).withColumn("payload", F.when(F.col("new"), F.col("payload"))))
+    with scope(spark) as keep:
+        with counted(progress, spark, "Reading and unpacking documents", None, "documents") as counter:
+            unpacked = materialise(unpack(exports.scan(spark, files), base_url, counter))
+        with scope(spark) as keep_told:
+            told = keep_told(lambda told=_told(unpacked): materialise(told))
+        rows = keep(lambda: materialise(_placed(unpacked, told)))
+        found = unpacked.select("source_id", "ordinal", F.explode("issues").alias("i")).select("source_id", "ordinal", "i.*")
+        found = keep(lambda: materialise(found))
     identity = F.coalesce("identity", F.concat(F.lit("contained:"), "root_id", F.lit("#"), "local"))
     resources = rows.filter("new").select(F.col("resource_id").alias("id"), identity.alias("identity"), "digest", "resource_type", "logical_id", "version_id", "full_url", "contained", "root_id", "payload", "source_id", "locator")
     occ = rows.select("id", "resource_id", "source_id", "ordinal", "seq", "locator", "context", "full_url", "root_id", "parent_resource_id", "version_id", "contained", "names", "refs", "new")
     occurrences = occ.select("id", "resource_id", "source_id", "locator", "context", "full_url", F.col("root_id").alias("root_resource_id"), "parent_resource_id")
 
     names = occ.select("resource_id", "context", "root_id", "version_id", F.explode("names").alias("n"))
-    scope = F.when(F.col("n.kind") == "contained", F.concat(F.lit("contained:"), "root_id")).otherwise(F.col("context"))
-    aliases = materialise(names.select(F.col("n.alias").alias("alias"), "resource_id", scope.alias("context"), F.col("n.kind").alias("kind"), "version_id").distinct())
+    within = F.when(F.col("n.kind") == "contained", F.concat(F.lit("contained:"), "root_id")).otherwise(F.col("context"))
+    aliases = materialise(names.select(F.col("n.alias").alias("alias"), "resource_id", within.alias("context"), F.col("n.kind").alias("kind"), "version_id").distinct())
 
     notify(progress, "Resolving references")
-    refs = _resolve(occ, aliases)
+    with scope(spark) as keep:
+        refs = keep(lambda refs=_resolve(occ, aliases): materialise(refs))
     notify(progress, "Finding owners")
     memberships, owner_issues = _owners(resources, occurrences, refs)
 
     # issues: those of single documents, tied to resources, and those that only the whole shows
-    raw = unpacked.select("source_id", "ordinal", F.explode("issues").alias("i")).select("source_id", "ordinal", "i.*")
     where = occ.select(F.col("source_id").alias("os"), F.col("ordinal").alias("oo"), F.col("seq").alias("oq"), "resource_id", "new")
-    raw = raw.join(where, (F.col("source_id") == F.col("os")) & (F.col("ordinal") == F.col("oo")) & (F.col("seq") == F.col("oq")), "left")
+    raw = found.join(where, (F.col("source_id") == F.col("os")) & (F.col("ordinal") == F.col("oo")) & (F.col("seq") == F.col("oq")), "left")
     raw = raw.filter(~F.col("first") | F.coalesce("new", F.lit(False)))
     shown = lambda c, kind: F.when(~F.col("bare"), F.col(c)).cast(kind).alias(c)
     parts = [raw.select("severity", "code", shown("source_id", "int"), shown("locator", "string"), "resource_id", "detail")]
@@ -106,6 +94,30 @@ def build(spark: SparkSession, files: list[Entry], base_url: str | None, progres
     }
 
 
+def _told(unpacked: DataFrame) -> DataFrame:
+    """(id, source_id, ordinal, seq, parent, resource_id, root_id, new) of all occurrences: these follow from places and keys alone; all other columns, payloads among them, stay behind until ids are known, and move once."""
+    short = ("seq", "parent", "key", "root_key")
+    keys = unpacked.select("source_id", "ordinal", F.inline(F.arrays_zip(*[F.col(f"occurrences.{c}") for c in short]))).toDF("source_id", "ordinal", *short)
+    flat = numbered(keys, ORDER, "id")
+
+    # a resource is new where its key first occurs, and is numbered in that order; a key tells of its root's
+    new = numbered(flat.groupBy("key").agg(F.min("id").alias("first"), F.max("root_key").alias("root_key")), ["first"], "resource_id")
+    outer = new.filter("root_key IS NULL")
+    inner = new.filter("root_key IS NOT NULL").join(outer.select(F.col("key").alias("of_root"), F.col("resource_id").alias("root_id")), F.col("root_key") == F.col("of_root"), "left")
+    ids = outer.withColumn("root_id", F.col("resource_id")).unionByName(inner.drop("of_root")).select(F.col("key").alias("k"), "first", "resource_id", "root_id")
+    told = flat.join(ids, F.col("key") == F.col("k")).withColumn("new", F.col("id") == F.col("first"))
+    return told.select("id", "source_id", "ordinal", "seq", "parent", "resource_id", "root_id", "new")
+
+
+def _placed(unpacked: DataFrame, told: DataFrame) -> DataFrame:
+    """All occurrences with their numbers and those of their parents; the payload where the resource is new."""
+    place = told.select(F.col("source_id").alias("ps"), F.col("ordinal").alias("po"), F.col("seq").alias("pq"), F.col("resource_id").alias("parent_resource_id"))
+    within = told.filter("parent IS NOT NULL").join(place, (F.col("source_id") == F.col("ps")) & (F.col("ordinal") == F.col("po")) & (F.col("parent") == F.col("pq")), "left").drop("ps", "po", "pq")
+    told = told.filter("parent IS NULL").withColumn("parent_resource_id", F.lit(None).cast("long")).unionByName(within).drop("parent")
+    whole = unpacked.select("source_id", "ordinal", F.explode("occurrences").alias("o")).select("source_id", "ordinal", "o.*").drop("parent", "root", "key", "root_key")
+    return whole.join(told, ["source_id", "ordinal", "seq"]).withColumn("payload", F.when(F.col("new"), F.col("payload")))
+
+
 def _resolve(occ: DataFrame, aliases: DataFrame) -> DataFrame:
     """References with status and target.
 
@@ -123,7 +135,7 @@ def _resolve(occ: DataFrame, aliases: DataFrame) -> DataFrame:
     others = refs.filter(~F.coalesce(looked, F.lit(False)))
     root = F.when(F.col("mode") == "root", F.col("root_id")).cast("long")
     others = others.select(*own, root.alias("target_resource_id"), F.when(F.col("kind") == "logical", "logical_unresolved").otherwise("resolved").alias("status"))
-    return materialise(found.unionByName(others))
+    return found.unionByName(others)
 
 
 def _owners(resources: DataFrame, occurrences: DataFrame, refs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -141,7 +153,8 @@ def _owners(resources: DataFrame, occurrences: DataFrame, refs: DataFrame) -> tu
     contexts = links.filter(F.col("path").isin(*CONTEXT_PATHS) & (F.col("target_type") == "Encounter"))
     inner = occurrences.filter("parent_resource_id IS NOT NULL").distinct()
     edges = edge(visits.unionByName(contexts), "target_resource_id", "source_resource_id").unionByName(edge(inner, "parent_resource_id", "resource_id"))
-    owned = materialise(graph.unique_owner(graph.ownership(seeds, edges)))
+    with scope(seeds.sparkSession) as keep:
+        owned = keep(lambda owned=graph.unique_owner(graph.ownership(seeds, edges)): materialise(owned))
     direct_nodes = seeds.select(F.col("node").alias("d")).distinct()
     basis = F.when(F.col("d").isNotNull(), "direct").otherwise("inferred_from_context")
     memberships = owned.filter("owners = 1").join(direct_nodes, F.col("node") == F.col("d"), "left").select(F.col("node").alias("resource_id"), F.col("owner").alias("patient_resource_id"), basis.alias("basis"))
@@ -188,10 +201,11 @@ def text_report(found: dict) -> str:
 def write(spark: SparkSession, files: list[Entry], folder: Place, base_url: str | None, progress=None) -> dict:
     """Index the files into `folder`, which exists and is empty; the run file comes last, so a folder without it isn't whole."""
     (folder / "index").make_folder()
+    spark = tidy(spark)
     with scope(spark):
         tables = build(spark, files, base_url, progress)
         notify(progress, "Writing the index")
-        together(spark, *[lambda name=name, df=df: df.write.parquet(f"{folder.uri}/index/{name}") for name, df in tables.items()])
+        together(spark, *[lambda name=name, df=df: df.write.parquet(f"{folder.uri}/index/{name}", compression=CODEC) for name, df in tables.items()])
     (folder / "index").lock()
     saved = {name: spark.read.parquet(escaped(f"{folder.uri}/index/{name}")) for name in TABLES}
     notify(progress, "Reporting on the load")

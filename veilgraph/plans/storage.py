@@ -68,6 +68,17 @@ def delete(spark: SparkSession | None, path: str) -> None:
         system.delete(place, True)
 
 
+#: How tables are compressed: digests in hex, of which they are full, take half of what they take without entropy coding.
+CODEC = "zstd"
+
+
+def tidy(spark: SparkSession) -> SparkSession:
+    """A session like `spark` whose queries delete their shuffle files at their end, and not when the driver happens to collect garbage: a run of many queries takes the room of its largest."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return own
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: later steps start from there, on any executor.
 
@@ -77,17 +88,21 @@ def materialise(df: DataFrame) -> DataFrame:
     folder = f"{shared_dir(spark)}/veilgraph-{uuid.uuid4().hex}"
     private_folder(spark, folder)
     _of_scope.get().append(folder)
-    df.write.parquet(f"{folder}/table")
+    df.write.parquet(f"{folder}/table", compression=CODEC)
     return spark.read.schema(df.schema).parquet(f"{folder}/table")
 
 
 @contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
-    """Tables that `materialise` writes within are deleted at the end; nothing that reads them may outlive it. Scopes of other threads are none of its business."""
+def scope(spark: SparkSession) -> Iterator[Callable[[Callable], object]]:
+    """Tables that `materialise` writes within are deleted at the end; nothing that reads them may outlive it. Scopes of other threads are none of its business.
+
+    Gives a function: the tables that a job called by it writes are of the scope outside, and stay.
+    """
     own: list[str] = []
+    outside = copy_context()
     outer = _of_scope.set(own)
     try:
-        yield
+        yield lambda job: outside.run(job)
     finally:
         _of_scope.reset(outer)
         for folder in own:
