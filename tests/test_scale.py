@@ -375,3 +375,36 @@ def test_columns_as_lists():
             assert canonical.scalar(text) is None
         except canonical.BadJson:
             pass
+
+
+def test_only_roots_with_dates_near_the_ends_are_taken_apart_for_ranges(spark):
+    """Whether a date can narrow a range shows in its year; a range of many years is looked for in all roots."""
+    from veilgraph.functions import dates
+    from veilgraph.plans import perturbation
+
+    days = 400
+    texts = ["0001-01-01", "0002-12-31", "0003-01-01", "1997-03-04", "9997-12-31", "9998-06-01", "9999-12-31T10:00:00Z", "\\u0039999-12-31"]
+    df = spark.createDataFrame([(t, f'{{"birthDate":"{t}","x":"a0001-b"}}') for t in texts], "day string, payload string")
+    kept = {r["day"] for r in df.filter(perturbation.near_the_ends(days)).collect()}
+    for text in texts[:-1]:
+        low, high = dates.bounds(dates.classify(text, "dateTime")[0])
+        assert text in kept or (low <= -days and high >= days)
+    assert "1997-03-04" not in kept and "0003-01-01" not in kept and texts[-1] in kept
+    assert perturbation.near_the_ends(30_000) is None and perturbation.near_the_ends(0) is not None
+
+
+def test_sums_are_taken_once(spark, monkeypatch):
+    """Quantiles of a table that is summed up are those of its rows; digests of rows are made once, however many levels there are."""
+    from veilgraph.operators import statistics
+    from veilgraph.plans import perturbation
+
+    rows = [("a", v, n) for v, n in ((3, 2), (1, 1), (9, 4), (None, 3))] + [("b", 5, 1)]
+    df = spark.createDataFrame(rows, "g string, v long, c long")
+    both = [sorted(map(tuple, statistics.nearest_rank(df, ["g"], ["v"], "v", "c", summed=s).collect())) for s in (False, True)]
+    assert both[0] == both[1]
+    plans, write = [], perturbation.materialise
+    monkeypatch.setattr(perturbation, "LEAVES", 4)
+    monkeypatch.setattr(perturbation, "materialise", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    rows = spark.range(1, 60).selectExpr("id", "CAST(id AS STRING) AS t")
+    digest = perturbation.ordered_digest(rows, ["id", "t"], "id")
+    assert len(plans) == 2 and sum("Range" in p for p in plans) == 1 and digest == perturbation.ordered_digest(rows.repartition(5), ["id", "t"], "id")
